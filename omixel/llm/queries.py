@@ -17,6 +17,12 @@ def op4_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return dedup_documents(_table(spark, folder, "documents"))
 
 
+def op8_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    from .suffix_dedup import repeated_passages
+
+    return repeated_passages(_table(spark, folder, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
