@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import math
 import tempfile
 import uuid
@@ -39,6 +40,18 @@ def remove(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+@contextlib.contextmanager
+def shuffles_end_with_query(spark: SparkSession):
+    """Queries run inside drop their shuffle files as they end; for jobs whose results are written out and read back."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def id_order(col: Column) -> Column:
     """doc_id as a sort key: null comes last."""
     return F.coalesce(col.cast("long"), F.lit(_LAST))

@@ -159,7 +159,7 @@ def _compact(table: pa.Table) -> pa.Table:
 class SubstringIndex:
     """Runs of window hashes below `path`; `dedup` takes batches whose ids rise from one to the next."""
 
-    def __init__(self, spark: SparkSession, path: str | None = None, size: int = 20, n_buckets: int = 64, fan_in: int = 3, chunk_bytes: int = 6 << 20):
+    def __init__(self, spark: SparkSession, path: str | None = None, size: int = 20, n_buckets: int = 64, fan_in: int = 3, chunk_bytes: int = 2 << 20):
         self.spark, self.size, self.n_buckets, self.fan_in, self.chunk_bytes = spark, size, n_buckets, fan_in, chunk_bytes
         self.path = path or cluster.scratch(spark, "substring-index")
         self.runs: list[str] = []
@@ -181,7 +181,8 @@ class SubstringIndex:
         both = chunks.groupBy("chunk").cogroup(merged.groupBy("chunk")).applyInArrow(_resolve(self.size, self.n_buckets), "run boolean, " + _RESULT + ", " + self._RUN)
         out = f"{self.path}/batch-{self._made:06d}"
         self._made += 1
-        both.write.partitionBy("run").parquet(out)
+        with cluster.shuffles_end_with_query(self.spark):
+            both.write.partitionBy("run").parquet(out)
         if keep_run:
             self.runs.append(f"{out}/run=true")
             if len(self.runs) >= self.fan_in:
@@ -214,7 +215,7 @@ def dedup_documents(docs: DataFrame, size: int = 20, batch_bytes: int = 64 << 30
     total = cluster.text_bytes(docs)
     bounds = cluster.id_bounds(docs, max(least_batches, math.ceil(total / batch_bytes)))
     per_batch = total / len(bounds)
-    index = SubstringIndex(spark, size=size, n_buckets=max(8, math.ceil(per_batch / (8 << 20))))
+    index = SubstringIndex(spark, size=size, n_buckets=max(8, math.ceil(per_batch / (6 << 20))))
     key, out = cluster.id_order(F.col("doc_id")), None
     for i, low in enumerate(bounds):
         last = i + 1 == len(bounds)

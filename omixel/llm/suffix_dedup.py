@@ -202,12 +202,12 @@ def _plan(docs: DataFrame, length: int, k: int, chunk_bytes: int, texts: bool) -
     return chunks.groupBy("chunk").cogroup(repeated.groupBy("chunk")).applyInArrow(_resolve(length, k, texts), schema)
 
 
-def repeated_passages(docs: DataFrame, length: int = 50, k: int = 16, chunk_bytes: int = 6 << 20) -> DataFrame:
+def repeated_passages(docs: DataFrame, length: int = 50, k: int = 16, chunk_bytes: int = 2 << 20) -> DataFrame:
     """One row per document: doc_id, n_words, n_removed, spans (word ranges that go), kept_sha256."""
     return _plan(docs, length, k, chunk_bytes, texts=False)
 
 
-def without_repeats(docs: DataFrame, length: int = 50, k: int = 16, chunk_bytes: int = 6 << 20) -> DataFrame:
+def without_repeats(docs: DataFrame, length: int = 50, k: int = 16, chunk_bytes: int = 2 << 20) -> DataFrame:
     """The documents with repeated passages cut out of `text`; n_chars, where there is one, follows the text."""
     out = _plan(docs, length, k, chunk_bytes, texts=True)
     columns = []

@@ -122,17 +122,27 @@ class Words:
 
     def joined(self, keep: np.ndarray) -> list[bytes]:
         """For each document its kept words, joined by single spaces."""
-        s, e = self.starts[keep], self.ends[keep]
+        out, d, n = [], 0, len(self.n_words)
+        while d < n:  # some documents at a time: the index arrays take many times the bytes of their texts
+            stop = max(d + 1, int(np.searchsorted(self.offsets, self.offsets[d] + _BLOCK // 2, side="right")) - 1)
+            out += self._joined(keep, d, min(stop, n))
+            d = stop
+        return out
+
+    def _joined(self, keep: np.ndarray, d: int, stop: int) -> list[bytes]:
+        i, j = self.first[d], self.first[stop]
+        kept = keep[i:j]
+        s, e = self.starts[i:j][kept], self.ends[i:j][kept]
         size = e - s + 1
-        stop = np.cumsum(size)
-        source = np.arange(int(stop[-1]) if len(stop) else 0) - np.repeat(stop - size - s, size)
+        ends = np.cumsum(size)
+        source = np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - size - s, size)
         np.minimum(source, len(self.data) - 1, out=source)
-        out = self.data[source]
-        out[stop - 1] = 0x20
-        out = out.tobytes()
-        counts = np.concatenate([[0], np.cumsum(self.per_doc(keep))])
-        edge = np.concatenate([[0], stop])[counts]
-        return [out[a : b - 1] if b > a else b"" for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)]
+        flat = self.data[source]
+        flat[ends - 1] = 0x20
+        flat = flat.tobytes()
+        counts = np.concatenate([[0], np.cumsum(kept)])[self.first[d : stop + 1] - i]
+        edge = np.concatenate([[0], ends])[counts].tolist()
+        return [flat[a : b - 1] if b > a else b"" for a, b in zip(edge[:-1], edge[1:], strict=True)]
 
 
 def window_hashes(hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
