@@ -5,6 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from . import mixing
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -23,9 +26,24 @@ def op8_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return repeated_passages(_table(spark, folder, "documents"))
 
 
+def op7_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    from .mixing import mix
+
+    taken = (F.col("__size") * F.col("__copies")).alias("taken")
+    return mix(_table(spark, folder, "documents")).select(
+        F.col("doc_id"), F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), taken
+    )
+
+
+def op10_document_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    from .fingerprints import edited_pairs
+
+    return edited_pairs(_table(spark, folder, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_source_mixing": mixing.ORACLE_SQL}
