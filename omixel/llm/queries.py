@@ -7,13 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing
+from . import mixing, url_rules
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op2_url_rules(spark: SparkSession, folder: str) -> DataFrame:
+    from .url_rules import judged, rule_table
+
+    return judged(_table(spark, folder, "pages"), rule_table(spark)).select(
+        "page_id", F.col("__host").alias("host"), F.col("__path").alias("path"), F.col("__rule").alias("rule"), F.col("__verdict").alias("verdict")
+    )
+
+
 def op4_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     from .substring_index import dedup_documents
 
@@ -46,4 +54,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_source_mixing": mixing.ORACLE_SQL}
+    return {"op2_url_rules": url_rules.ORACLE_SQL, "op7_source_mixing": mixing.ORACLE_SQL}
