@@ -22,6 +22,12 @@ def op2_url_rules(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op3_packing(spark: SparkSession, folder: str) -> DataFrame:
+    from .packing import packed
+
+    return packed(_table(spark, folder, "documents"))
+
+
 def op4_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     from .substring_index import dedup_documents
 
