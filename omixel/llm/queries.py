@@ -40,6 +40,14 @@ def op8_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return repeated_passages(_table(spark, folder, "documents"))
 
 
+def op6_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    from .language_id import held_out, identified, trained
+
+    docs = _table(spark, folder, "documents")
+    predicted = identified(docs.select("doc_id", "text"), trained(docs))
+    return predicted.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("__lang_pred").alias("lang_pred"), F.col("__lang_score").alias("score"))
+
+
 def op7_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
     from .mixing import mix
 
