@@ -57,6 +57,12 @@ def op7_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op9_brown_lm(spark: SparkSession, folder: str) -> DataFrame:
+    from .brown_lm import held_out, scored
+
+    return scored(_table(spark, folder, "documents")).withColumn("held_out", held_out(F.col("doc_id")))
+
+
 def op10_document_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     from .fingerprints import edited_pairs
 
