@@ -14,6 +14,12 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    from .dartminhash import classes
+
+    return classes(_table(spark, folder, "documents")).select("doc_id", "class_id", "kept")
+
+
 def op2_url_rules(spark: SparkSession, folder: str) -> DataFrame:
     from .url_rules import judged, rule_table
 
