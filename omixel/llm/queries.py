@@ -46,6 +46,12 @@ def op8_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return repeated_passages(_table(spark, folder, "documents"))
 
 
+def op5_embedding_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    from .embedding_dedup import near_duplicates
+
+    return near_duplicates(_table(spark, folder, "embeddings"))
+
+
 def op6_language_id(spark: SparkSession, folder: str) -> DataFrame:
     from .language_id import held_out, identified, trained
 
