@@ -301,11 +301,13 @@ def classes(docs: DataFrame, block_elements: int = 2_000_000) -> DataFrame:
     tasks = candidates.join(blocks, "component").withColumn("block", block).withColumn("other", F.explode(others))
     tasks = tasks.select("component", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "set_id", "rep")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    fetched = tasks.join(texts, F.col("rep").eqNullSafe(F.col("doc_id"))).select("component", "low", "high", "set_id", "text")
-    links = components(fetched.groupBy("component", "low", "high").applyInArrow(_verify, "a long, b long")).withColumnRenamed("id", "set_id")
+    # always merged, so that the plan is the same at any size: texts are shuffled once, and hot keys can be split
+    fetched = tasks.hint("merge").join(texts, F.col("rep").eqNullSafe(F.col("doc_id"))).select("component", "low", "high", "set_id", "text")
+    links = cluster.written(components(fetched.groupBy("component", "low", "high").applyInArrow(_verify, "a long, b long")).withColumnRenamed("id", "set_id"), "minhash-links")
 
     joined = sign.select("doc_id", "text_hash", "set_id").join(links, "set_id", "left").withColumn("node", F.coalesce("component", "set_id"))
     least = joined.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"))
+    least = cluster.written(least, "minhash-classes")  # with a plain table on either side Spark can split a hot class
     out = joined.join(least, "node", "left").withColumn("class_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("least")))
     return out.select("doc_id", "text_hash", "class_id", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
 
