@@ -85,6 +85,7 @@ _PRED = f"""pred as (select sample_id, 1.0::double / (1.0::double + exp(-(sum(co
 predicted as (select sample_id, round(p0, 6) as probability, case when round(p0, 6) > 0.5 then 1 else 0 end as predicted, case when label < 5 then 1 else 0 end as y from pred join (select distinct sample_id, label from emb) using (sample_id))"""
 _PHI = "phi as (select sample_id, feature, round(coefficient * (value - avg(value) over (partition by feature)), 9) as phi from emb join par using (feature))"
 _RUNS = "runs as (select (20 * (1 + event_id % 9))::int as n_total, 0.75::double + 0.25::double * least(value, 50.0::double) / 50.0::double * ((event_id % 9 + 3)::double / 11.0::double) as accuracy from events)"
+_COEF = "coefs as (select (event_id % 200)::int as b, case when user_id % 10 = 9 then 'one class' else 'ok' end as status, user_id as position, case when value > 10 then value - 30.0::double else 0.0::double end as coefficient from events)"
 _GRID = "grid_runs as (select event_type as alpha, (user_id % 5)::int as beta, round(avg(value), 6) as acc from events group by 1, 2)"
 _FREQ = "freq as (select user_id as position, avg(case when value > 10 then 1.0::double else 0.0::double end) as selection_prob from events group by 1)"
 
@@ -187,6 +188,8 @@ from (select *, ((tp + fn) * (tp + fp) + (fp + tn) * (fn + tn))::double / (n * n
     "resample_summary": _with(_RUNS) + "select n_total, round(avg(accuracy), 6) as mean, round(stddev_pop(accuracy), 6) as sd, round(quantile_cont(accuracy, 0.025), 6) as ci_low, round(quantile_cont(accuracy, 0.975), 6) as ci_high from runs group by 1",
     "recommended_n": _with(_RUNS) + "select min(n_total) as recommended_n from (select n_total, avg(accuracy) as mean, quantile_cont(accuracy, 0.025) as low from runs group by 1) where mean >= 0.85 and low > 0.75",
     "threshold_sweep": _with(_FREQ) + "select t as threshold, count(*) filter (where selection_prob >= t) as n_stable from freq cross join (select unnest([0.5, 0.6, 0.7, 0.75, 0.8, 0.85, 0.9])::double as t) group by 1",
+    "selection_frequency": _with(_COEF) + "select * from (select position, round(avg(case when abs(coefficient) > 1e-8 then 1.0::double else 0.0::double end), 6) as selection_prob, round(avg(coefficient), 6) as mean_coef, case when avg(coefficient) > 0 then 'up' when avg(coefficient) < 0 then 'down' else '-' end as direction from coefs where status = 'ok' group by 1) where selection_prob >= 0.5",
+    "features_per_fold": _with(_COEF) + "select round(avg(n), 6) as mean, min(n) as low, max(n) as high from (select b, count(distinct position) as n from coefs where status = 'ok' and coefficient <> 0 group by 1)",
     "grid_pivot": _with(_GRID) + "select beta, " + ", ".join(f"max(case when alpha = '{k}' then acc end) as {k}" for k in ("click", "error", "purchase", "signup", "view")) + " from grid_runs group by 1",
     "grid_best": _with(_GRID) + "select alpha, beta, acc from grid_runs order by acc desc, alpha, beta limit 1",
     "theme_counts": "select p_type as theme, count(*) as n, count(distinct p_brand) as brands from part group by 1 order by n desc, theme",

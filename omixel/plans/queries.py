@@ -532,6 +532,22 @@ def threshold_sweep(t: Tables) -> DataFrame:
     return resample.threshold_sweep(frequency, (0.5, 0.6, 0.7, 0.75, 0.8, 0.85, 0.9))
 
 
+def _coefficients(t: Tables) -> DataFrame:
+    status = F.when(F.col("user_id") % 10 == 9, "one class").otherwise("ok")
+    return t.read("events").select((F.col("event_id") % 200).cast("int").alias("b"), status.alias("status"), F.col("user_id").alias("position"), F.when(F.col("value") > 10, F.col("value") - 30.0).otherwise(0.0).alias("coefficient"))
+
+
+@_query
+def selection_frequency(t: Tables) -> DataFrame:
+    return _round(resample.stable(resample.selection_frequency(_coefficients(t)), 0.5), 6, "selection_prob", "mean_coef")
+
+
+@_query
+def features_per_fold(t: Tables) -> DataFrame:
+    folds = _coefficients(t).filter("status = 'ok' and coefficient <> 0").groupBy("b").agg(F.count_distinct("position").alias("n"))
+    return folds.agg(F.round(F.avg("n"), 6).alias("mean"), F.min("n").alias("low"), F.max("n").alias("high"))
+
+
 def _grid(t: Tables) -> DataFrame:
     return t.read("events").groupBy(F.col("event_type").alias("alpha"), (F.col("user_id") % 5).cast("int").alias("beta")).agg(F.round(F.avg("value"), 6).alias("acc"))
 
