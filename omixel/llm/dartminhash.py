@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from . import cluster
 from .components import components
-from .textarrays import Words, mix, pack, split_sorted, unpack, window_hashes
+from .textarrays import Words, mix, pack, split_sorted, tidy, unpack, window_hashes
 
 SHINGLE, K, BANDS, ROWS, THRESHOLD = 5, 128, 32, 4, 0.8
 _RANK_EDGES = [0.0, 1 / 64, 1 / 16, 1 / 4, *(float(1 << i) for i in range(12))]
@@ -49,8 +49,10 @@ def shingle_sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     doc = np.repeat(np.arange(len(n)), count)
     starts = np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count) + words.first[:-1][doc]
     values = window_hashes(hashes, starts, np.minimum(starts + SHINGLE, words.first[1:][doc])) if len(doc) else np.zeros(0, np.uint64)
-    order = np.lexsort((values, doc))
+    order = np.argsort(values, kind="stable")
+    order = order[np.argsort(doc[order], kind="stable")]
     values, doc = values[order], doc[order]
+    del order
     fresh = np.ones(len(values), bool)
     fresh[1:] = (values[1:] != values[:-1]) | (doc[1:] != doc[:-1])
     values, doc = values[fresh], doc[fresh]
@@ -152,6 +154,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 [part.column("doc_id"), part.column("text_hash"), pa.array(ids, pa.int64()), pa.array(np.diff(edges), pa.int64()), pa.array([b.tobytes() if s is not None else None for b, s in zip(bands, ids, strict=True)], pa.binary())],
                 names=["doc_id", "text_hash", "set_id", "n_elements", "bands"],
             )
+    tidy()
 
 
 _MESSAGE = "bucket int, keys binary, nodes binary"
@@ -187,18 +190,27 @@ def _local_stars(n_buckets: int):
     return run
 
 
-def _bucket_stars(table: pa.Table) -> pa.Table:
+def _bucket_edges(table: pa.Table) -> pa.Table:
+    """The stars of one bucket, as rows."""
     keys = np.concatenate([unpack(b) for b in table["keys"].to_pylist()])
     nodes = np.concatenate([np.frombuffer(b, "<i8") for b in table["nodes"].to_pylist()])
-    return pa.Table.from_batches([_table(_edge_rows(_stars(keys, nodes)[2]))])
+    edges = _stars(keys, nodes)[2]
+    return pa.table({"a": pa.array(edges[:, 0], pa.int64()), "b": pa.array(edges[:, 1], pa.int64())})
 
 
-def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _task_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The stars that a task made before the shuffle, as rows."""
     for batch in batches:
         for a, b in zip(batch.column("keys").to_pylist(), batch.column("nodes").to_pylist(), strict=True):
             yield pa.record_batch([pa.array(np.frombuffer(a, "<i8")), pa.array(np.frombuffer(b, "<i8"))], names=["a", "b"])
 
 
+def star_edges(messages: DataFrame) -> DataFrame:
+    """a, b: nodes that share a key, each joined to the least of them."""
+    rows = "a long, b long"
+    return messages.filter("bucket < 0").mapInArrow(_task_edges, rows).unionAll(messages.filter("bucket >= 0").groupBy("bucket").applyInArrow(_bucket_edges, rows))
+
+
 class _Forest:
     def __init__(self, n: int):
         self.parent, self.edges = list(range(n)), []
@@ -275,6 +287,8 @@ def _verify(table: pa.Table) -> pa.Table:
             sets[s] = values[edges[i] : edges[i + 1]]
     ids = sorted(sets)
     pairs = linked([sets[s] for s in ids]) if len(ids) > 1 else []
+    del values, sets
+    tidy()
     return pa.table({"a": pa.array([ids[a] for a, _ in pairs], pa.int64()), "b": pa.array([ids[b] for _, b in pairs], pa.int64())})
 
 
@@ -283,15 +297,16 @@ def signed(docs: DataFrame) -> DataFrame:
     return cluster.written(keyed.mapInArrow(_sign, _SIGNED), "minhash-signed")
 
 
-def classes(docs: DataFrame, block_elements: int = 2_000_000) -> DataFrame:
-    """One row per document: doc_id, text_hash, class_id (the least doc_id of its class), kept (doc_id = class_id)."""
+def classes(docs: DataFrame, block_elements: int = 500_000) -> DataFrame:
+    """One row per document: doc_id, text_hash, class_id (the least doc_id of its class), kept.
+
+    kept is true for the document that gives its class the id; of several texts of that doc_id, for the one of the least hash."""
     sign = signed(docs)
     nodes = sign.filter("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.first("n_elements").alias("n_elements"), F.first("bands").alias("bands"))
     nodes = cluster.written(nodes, "minhash-nodes")
     n_buckets = max(8, nodes.count() * BANDS // 1_000_000)
     messages = cluster.written(nodes.select("set_id", "bands").mapInArrow(_local_stars(n_buckets), _MESSAGE), "minhash-bands")
-    stars = messages.filter("bucket < 0").unionAll(messages.filter("bucket >= 0").groupBy("bucket").applyInArrow(_bucket_stars, _MESSAGE))
-    candidates = components(stars.mapInArrow(_pairs, "a long, b long")).withColumnRenamed("id", "set_id").join(nodes.select("set_id", "rep", "n_elements"), "set_id")
+    candidates = components(star_edges(messages)).withColumnRenamed("id", "set_id").join(nodes.select("set_id", "rep", "n_elements"), "set_id")
     candidates = cluster.written(candidates, "minhash-candidates")
 
     # a component of several blocks is compared block by block: every two of them share one task
@@ -306,10 +321,11 @@ def classes(docs: DataFrame, block_elements: int = 2_000_000) -> DataFrame:
     links = cluster.written(components(fetched.groupBy("component", "low", "high").applyInArrow(_verify, "a long, b long")).withColumnRenamed("id", "set_id"), "minhash-links")
 
     joined = sign.select("doc_id", "text_hash", "set_id").join(links, "set_id", "left").withColumn("node", F.coalesce("component", "set_id"))
-    least = joined.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"))
+    age = F.struct(cluster.id_order(F.col("doc_id")).alias("id"), F.col("text_hash").alias("hash"))
+    least = joined.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"), F.min(age).alias("first"))
     least = cluster.written(least, "minhash-classes")  # with a plain table on either side Spark can split a hot class
     out = joined.join(least, "node", "left").withColumn("class_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("least")))
-    return out.select("doc_id", "text_hash", "class_id", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
+    return out.select("doc_id", "text_hash", "class_id", F.coalesce(age == F.col("first"), F.lit(True)).alias("kept"))
 
 
 def deduplicated(docs: DataFrame, **options) -> DataFrame:

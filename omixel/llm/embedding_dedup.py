@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from . import cluster
 from .components import components
-from .dartminhash import _MESSAGE, _bucket_stars, _edge_rows, _Forest, _pairs, _stars, _table
+from .dartminhash import _MESSAGE, _edge_rows, _Forest, _stars, _table, star_edges
 from .textarrays import mix, pack, split_sorted
 
 THRESHOLD, WIDTH, MISS, SEED = 0.98, 1.0, 1e-4, 20240229
@@ -167,8 +167,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, block_vect
     n = nodes.count()
     m, tables = table_plan(n, threshold)
     messages = cluster.written(nodes.mapInArrow(_local_stars(m, tables, max(8, n * tables // 1_000_000)), _MESSAGE), "embedding-keys")
-    stars = messages.filter("bucket < 0").unionAll(messages.filter("bucket >= 0").groupBy("bucket").applyInArrow(_bucket_stars, _MESSAGE))
-    candidates = cluster.written(components(stars.mapInArrow(_pairs, "a long, b long")).withColumnRenamed("id", "node"), "embedding-candidates")
+    candidates = cluster.written(components(star_edges(messages)).withColumnRenamed("id", "node"), "embedding-candidates")
 
     blocks = candidates.groupBy("component").agg(F.ceil(F.count("*") / block_vectors).cast("int").alias("blocks"))
     block = F.pmod(F.xxhash64("node"), F.col("blocks").cast("long")).cast("int")

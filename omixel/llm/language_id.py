@@ -7,7 +7,7 @@ is an inner product of presence vectors, landmarks and coefficients fold into on
 languages, and a batch of texts is scored by a product of its sparse presence matrix with that.
 
 Bounds: the classifier is fitted on at most `train_docs` labelled documents, the same number of each language as far
-as there are, drawn by a hash of doc_id (WindowGroupLimit keeps them few before the shuffle); what is sent to the
+as there are, drawn by a threshold on a hash of doc_id, so that few rows are ever ranked; what is sent to the
 driver is their sets of at most DIMENSIONS numbers.  Every document is scored, over its whole text, by a map without a
 shuffle; the model it carries has DIMENSIONS x languages numbers.
 
@@ -28,6 +28,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
+from .textarrays import tidy
+
 N_MAX, DIMENSIONS, LANDMARKS, RIDGE = 3, 1 << 16, 192, 1e-2
 UNKNOWN = "und"
 _LETTER = re.compile(r"[^\W\d_]")
@@ -95,6 +97,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sets = [ngrams(t, flags).astype("<u4").tobytes() for t in batch.column("text").to_pylist()]
         yield pa.record_batch([batch.column("doc_id"), batch.column("lang"), pa.array(sets, pa.binary())], names=["doc_id", "lang", "grams"])
+    tidy()
 
 
 def trained(docs: DataFrame, train_docs: int = 2400, modulus: int = 4, remainder: int = 2) -> Model:
@@ -102,10 +105,15 @@ def trained(docs: DataFrame, train_docs: int = 2400, modulus: int = 4, remainder
         F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), modulus, remainder)
     )
     with_letters = labelled.filter(F.col("text").rlike(r"\p{L}"))
-    n_languages = labelled.agg(F.count_distinct("lang")).first()[0]
-    quota = max(2, train_docs // max(1, n_languages))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    ids = with_letters.select("doc_id", "lang").withColumn("rank", rank).filter(F.col("rank") <= quota).select("doc_id").distinct()
+    counts = {r.lang: r["count"] for r in with_letters.groupBy("lang").count().collect()}  # a row per language, as the model has
+    if not counts:
+        return fit([])
+    quota = max(2, train_docs // len(counts))
+    # about twice the quota of each language passes a threshold on the hash, so that few rows are ranked
+    share = F.element_at(F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, (2 * quota + 50) / n))]), F.col("lang"))
+    draw = F.shiftrightunsigned(F.xxhash64("doc_id"), 11) / F.lit(float(1 << 53))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("draw", "doc_id"))
+    ids = with_letters.select("doc_id", "lang", draw.alias("draw")).filter(F.col("draw") < share).withColumn("rank", rank).filter(F.col("rank") <= quota).select("doc_id").distinct()
     sample = labelled.join(F.broadcast(ids), "doc_id", "left_semi").mapInArrow(_features, "doc_id long, lang string, grams binary")
     rows = sorted(((r.lang, r.doc_id, bytes(r.grams)) for r in sample.collect()), key=lambda r: r)
     return fit([(lang, np.frombuffer(g, "<u4").astype(np.int64)) for lang, _, g in rows if g])
@@ -129,15 +137,19 @@ def predict(texts: list[str | None], model: Model, flags: np.ndarray) -> tuple[l
 def identified(docs: DataFrame, model: Model) -> DataFrame:
     """docs with __lang_pred and __lang_score."""
 
+    place = docs.columns.index("text")
+
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flags = np.zeros(DIMENSIONS, bool)
         for batch in batches:
-            texts, names, scores = batch.column(batch.num_columns - 1), [], []
+            texts, names, scores = batch.column(place), [], []
             for i in range(0, batch.num_rows, 256):
                 a, b = predict(texts.slice(i, 256).to_pylist(), model, flags)
                 names += a
                 scores += b
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names[:-1], "__lang_pred", "__lang_score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names, "__lang_pred", "__lang_score"])
+        tidy()
 
-    out = StructType([*docs.schema.fields, StructField("__lang_pred", StringType()), StructField("__lang_score", DoubleType())])
-    return docs.withColumn("__text", F.col("text").cast("string")).mapInArrow(score, out)
+    if docs.schema["text"].dataType != StringType():
+        docs = docs.withColumn("text", F.col("text").cast("string"))
+    return docs.mapInArrow(score, StructType([*docs.schema.fields, StructField("__lang_pred", StringType()), StructField("__lang_score", DoubleType())]))

@@ -25,6 +25,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .textarrays import tidy
+
 TIERS = (512, 1024, 2048, 4096)
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, step_group long"
 _COLUMNS = [x.split()[0] for x in PIECES.split(", ")]
@@ -170,6 +172,8 @@ def _partition(path: str, end: int, tiers: tuple[int, ...], step_tokens: int):
                     pending = sum(p.length for p in rest)
         windows, rest = pack_block(open_pieces, tiers)
         yield emit(windows + powers_of_two(rest, tiers))
+        docs.clear()
+        tidy()
 
     return run
 

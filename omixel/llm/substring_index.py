@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import cluster
-from .textarrays import Words, mix, pack, split_sorted, unpack, window_hashes
+from .textarrays import Words, mix, pack, split_sorted, tidy, unpack, window_hashes
 
 _RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 _MESSAGE = "chunk int, bucket int, hashes binary, checks binary"
@@ -43,6 +43,7 @@ def ordered(table: pa.Table) -> pa.Table:
 def chunk_windows(table: pa.Table, size: int) -> tuple[Words, np.ndarray, np.ndarray]:
     words = Words(table["text"])
     at, hashed = words.windows(size, words.hashes())
+    tidy()
     return words, at, hashed
 
 

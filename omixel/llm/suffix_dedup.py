@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
 from . import cluster
-from .textarrays import Words, mix, pack, split_sorted, unpack, window_hashes
+from .textarrays import Words, mix, pack, split_sorted, tidy, unpack, window_hashes
 
 _MESSAGE = "chunk int, bucket int, hashes binary"
 _ARROW = pa.schema([("chunk", pa.int32()), ("bucket", pa.int32()), ("hashes", pa.binary())])
@@ -62,6 +62,7 @@ class _Chunk:
         hashes = self.words.hashes()
         self.at, self.windows = self.words.windows(length, hashes)
         self.anchor, self.prefix = retained(self.words, hashes, self.at, length, k)
+        tidy()
 
 
 def _messages(chunk: int, unique: np.ndarray, n_buckets: int) -> pa.Table:

@@ -6,6 +6,9 @@ Everything works on whole columns at once; a null text has no words.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 
@@ -14,7 +17,7 @@ _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 #: odd 64-bit multipliers of the two polynomial hashes
 _BYTE_BASE = 0x9E3779B97F4A7C15 | 1
 _WORD_BASE = 0xD6E8FEB86659FD93 | 1
-_BLOCK = 2 << 20  # bytes of text hashed at once
+_BLOCK = 1 << 19  # bytes of text hashed at once
 _ZSTD = pa.Codec("zstd", 1)
 
 
@@ -27,6 +30,13 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
+def tidy() -> None:
+    """Give freed memory back: a worker lives on for other stages, and its executor counts what it holds."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 class _Powers:
     """Powers of an odd number and of its inverse modulo 2**64, grown on demand."""
 
@@ -124,7 +134,7 @@ class Words:
         """For each document its kept words, joined by single spaces."""
         out, d, n = [], 0, len(self.n_words)
         while d < n:  # some documents at a time: the index arrays take many times the bytes of their texts
-            stop = max(d + 1, int(np.searchsorted(self.offsets, self.offsets[d] + _BLOCK // 2, side="right")) - 1)
+            stop = max(d + 1, int(np.searchsorted(self.offsets, self.offsets[d] + _BLOCK, side="right")) - 1)
             out += self._joined(keep, d, min(stop, n))
             d = stop
         return out
@@ -148,7 +158,7 @@ class Words:
 def window_hashes(hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each word sequence hashes[s:e]."""
     out = np.empty(len(starts), np.uint64)
-    i, block = 0, 1 << 18
+    i, block = 0, 1 << 16
     while i < len(out):
         j = min(len(out), i + block)
         low, high = int(starts[i:j].min()), int(ends[i:j].max())
