@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import contextlib
 import math
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -14,10 +17,17 @@ _LAST = (1 << 63) - 1
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all machines share: spark.checkpoint.dir; where unset (tests), one of our own."""
+    """The folder that all machines share: spark.checkpoint.dir.
+
+    Where it is unset, a session in one process (tests) gets a temporary folder; any other one uses the warehouse, which is shared."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="omixel-")
+        if re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            folder = tempfile.mkdtemp(prefix="omixel-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
+            path = f"file://{folder}"
+        else:
+            path = spark.conf.get("spark.sql.warehouse.dir") + "/omixel-scratch"
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
