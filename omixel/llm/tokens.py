@@ -53,8 +53,8 @@ class WordTokenizer:
         words = [_SPLIT(t.lower()) if t and _PLAIN.fullmatch(t) and "<|" not in t else None for t in texts]
         here = set().union(*(w for w in words if w))
         if len(self.known) > _CACHED_WORDS:  # keep what this batch needs, the common words among it
-            self.known = {w: self.known[w] for w in here & self.known.keys()}
-        new = here - self.known.keys()
+            self.known = {w: self.known[w] for w in here.intersection(self.known)}
+        new = here.difference(self.known)  # looks up what is here, not all that is known
         if new:
             self._learn(list(new))
         get, last = self.known.__getitem__, np.uint32(end).tobytes()
