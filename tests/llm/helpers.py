@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import random
 import re
-from collections import Counter, defaultdict
+from collections import defaultdict
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -101,10 +101,6 @@ def classes(rows, threshold=0.8):
     return [find(i) for i in range(len(rows))]
 
 
-def counted(values):
-    return Counter(values)
-
-
 def grouped(pairs):
     out = defaultdict(list)
     for k, v in pairs:
