@@ -465,7 +465,7 @@ def _vectors(t: Tables) -> DataFrame:
 
 def _parameters(t: Tables) -> DataFrame:
     k = F.col("id")
-    return t.spark.range(64).select(k.cast("int").alias("feature"), ((k % 7) - 3).cast("double").__truediv__(10.0).alias("coefficient"), (k / 1000.0).alias("mean"), (k % 3 + 1).cast("double").alias("deviation"), F.lit(0.05).alias("intercept"))
+    return t.spark.range(64).select(k.cast("int").alias("feature"), (((k % 7) - 3).cast("double") / F.lit(10.0)).alias("coefficient"), (k / 1000.0).alias("mean"), (k % 3 + 1).cast("double").alias("deviation"), F.lit(0.05).alias("intercept"))
 
 
 def _predictions(t: Tables) -> DataFrame:
