@@ -2,14 +2,18 @@
 
 Tokens are the words of a text (A-Z in lower case) and one end token.  The TOP most frequent training words are
 put into CLASSES classes by exchange clustering: each word in turn moves to the class that most raises
-the likelihood of the class bigrams, until none moves.  All rarer words share one class, the end token is one.
+the likelihood of the class bigrams, until none moves.  Every other word that occurs LEAST times or more then joins the class that
+most raises it, by the classes of its neighbours, in which words beyond the TOP count as rare.  Words that occur less often share one
+class, the rare one, which stands for unseen words too; the end token is one.
 P(word | previous) = P(class | previous class) * P(word | class); transitions are smoothed by class frequency, the
 rare class leaves one share to all unseen words, so the probabilities of all known words and of "unseen" sum to 1.
 
 All counts cover the whole training corpus and grow with it: each task counts its words before the
-shuffle and sends sorted hashes with counts to buckets.  Only the TOP words and their bigram counts (at most
-(TOP + 2) ** 2 numbers) reach the driver.  Scoring never broadcasts the vocabulary: each chunk of documents sends its
-distinct words to the buckets and gets their counts back.  A word in every document is one entry a task or chunk.
+shuffle and sends sorted hashes with counts to buckets.  Only the TOP words, their bigram counts (at most
+(TOP + 2) ** 2 numbers) and the class bigrams reach the driver.  A word's class lies in its bucket beside its count; it is found there from
+the word's counts of (class before) and (class after), at most 2 (CLASSES + 2) a word.  The vocabulary is never broadcast: each chunk of
+documents sends its distinct words to the buckets and gets counts and classes back, from which the class bigrams of all words
+are counted and the documents scored.  A word in every document is one entry a task or chunk.
 
 Words are told apart by 64-bit hashes.  Defined results: a null text is empty and has the end token only; documents
 with null doc_id are scored but not learned from; with no training document every token is unseen; repeated
@@ -29,7 +33,7 @@ from pyspark.sql import functions as F
 from . import cluster
 from .textarrays import Words, pack, split_sorted, unpack
 
-TOP, CLASSES, SWEEPS, SMOOTHING = 1024, 64, 12, 2.0
+TOP, CLASSES, SWEEPS, SMOOTHING, LEAST = 1024, 64, 12, 2.0, 2
 END = np.uint64(0xE0D0E0D0E0D0E0D1)
 _ZSTD = pa.Codec("zstd", 1)
 _COUNTS = "bucket int, hashes binary, counts binary"
@@ -198,28 +202,127 @@ def exchange_classes(bigrams: np.ndarray, n_classes: int = CLASSES, sweeps: int
     return of
 
 
+def _transitions(pair: np.ndarray) -> np.ndarray:
+    frequency = (pair.sum(0) + 1) / (pair.sum() + len(pair))
+    return np.log10((pair + SMOOTHING * frequency) / (pair.sum(1, keepdims=True) + SMOOTHING))
+
+
 class Model:
-    """What scoring needs besides the words' counts: sizes, classes of the top words, log10 transitions."""
+    """What scoring needs besides the words' counts and classes: sizes, classes of the top words, log10 transitions."""
 
     def __init__(self, tokens: int, types: int, vocabulary: np.ndarray, counts: np.ndarray, bigrams: np.ndarray):
         self.tokens, self.types, self.vocabulary = tokens, types, vocabulary
         self.classes = exchange_classes(bigrams)
         n = int(self.classes.max()) + 1
         one_hot = np.eye(n)[self.classes]
-        pair = one_hot.T @ bigrams @ one_hot
-        frequency = (pair.sum(0) + 1) / (pair.sum() + n)
-        self.transitions = np.log10((pair + SMOOTHING * frequency) / (pair.sum(1, keepdims=True) + SMOOTHING))
+        self.rare, self.end = n - 2, n - 1
+        self.pair = one_hot.T @ bigrams @ one_hot
+        self.transitions = _transitions(self.pair)
         ends = int(bigrams[:, -1].sum())
-        sizes = one_hot[: len(counts)].T @ counts if len(counts) else np.zeros(n)
+        self.sizes = sizes = one_hot[: len(counts)].T @ counts if len(counts) else np.zeros(n)
         with np.errstate(divide="ignore"):
             self.emissions = np.log10(counts / sizes[self.classes[: len(counts)]]) if len(counts) else np.zeros(0)
         self.rare_tokens = tokens - int(counts.sum()) - ends
         self.rare_types = types - len(counts) - (ends > 0)
 
+    def widen(self, pair: np.ndarray, sizes: np.ndarray, rare_types: int) -> None:
+        """Class bigrams and class sizes of all words take the place of those of the top words."""
+        self.pair, self.sizes, self.transitions = pair, sizes, _transitions(pair)
+        self.rare_tokens, self.rare_types = int(sizes[self.rare]), rare_types
+
+
+_NEAR = "bucket int, hashes binary, codes binary, counts binary"
+_NEAR_ARROW = pa.schema([("bucket", pa.int32()), ("hashes", pa.binary()), ("codes", pa.binary()), ("counts", pa.binary())])
+_WORDS = "bucket int, hashes binary, counts binary, classes binary, sizes array<long>, rare_types long"
+_WORDS_ARROW = pa.schema([("bucket", pa.int32()), ("hashes", pa.binary()), ("counts", pa.binary()), ("classes", pa.binary()), ("sizes", pa.list_(pa.int64())), ("rare_types", pa.int64())])
+
+
+def _summed_pairs(keys: np.ndarray, codes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    order = np.lexsort((codes, keys))
+    keys, codes, counts = keys[order], codes[order], counts[order]
+    begin = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]) | (codes[1:] != codes[:-1])])) if len(keys) else np.zeros(0, np.int64)
+    return keys[begin], codes[begin], np.add.reduceat(counts, begin) if len(begin) else counts
+
+
+def _count_neighbours(model: Model, n_buckets: int):
+    """Of each word beyond the top: how often it follows each class, and (codes from the number of classes on) precedes each."""
+    n = len(model.vocabulary)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: list[tuple] = []
+        rows = 0
+
+        def flush() -> pa.RecordBatch:
+            k, d, c = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.uint64), np.zeros(0, np.uint8), np.zeros(0, np.int64))
+            k, d, c = _summed_pairs(k, d, c)
+            parts = split_sorted(k, n_buckets)
+            return pa.record_batch([pa.array([b for b, _, _ in parts], pa.int32()), *(pa.array([f(x[i:j]) for _, i, j in parts], pa.binary()) for f, x in ((pack, k), (_bytes, d), (_numbers, c)))], schema=_NEAR_ARROW)
+
+        for batch in batches:
+            for texts in _slices(batch.column("text")):
+                hashes, _ = _tokens(texts)
+                symbols = _symbols(hashes, model.vocabulary)
+                classes = model.classes[symbols]
+                at = np.flatnonzero(symbols == n)  # an end token follows any word
+                before = np.where(at > 0, classes[at - 1], model.end)
+                codes = np.concatenate([before, model.end + 1 + classes[at + 1]]).astype(np.uint8)
+                found.append(_summed_pairs(np.concatenate([hashes[at], hashes[at]]), codes, np.ones(2 * len(at), np.int64)))
+                rows += len(found[-1][0])
+                if rows > _FLUSH_WORDS:
+                    yield flush()
+                    found, rows = [], 0
+        yield flush()
+
+    return count
+
+
+def _bytes(values: np.ndarray) -> bytes:
+    return _numbers(values, "u1")
+
+
+def best_classes(pair: np.ndarray, of: np.ndarray, codes: np.ndarray, counts: np.ndarray, block: int = 1 << 14) -> np.ndarray:
+    """For words 0, 1, ... the class that most raises the likelihood when the word is added to it.
+
+    of: the word of each entry, rising; codes and counts as _count_neighbours has them."""
+    total = len(pair)
+    k = total - 2
+    table = np.vstack([pair[:, :k], pair[:k].T])  # the row of a code: the cell that each class adds to
+    now = _xlogx(table)
+    rows, columns = pair[:k].sum(1), pair[:, :k].sum(0)
+    edges = np.append(np.flatnonzero(np.diff(of, prepend=-1)), len(of))
+    out = np.zeros(len(edges) - 1, np.int64)
+    i = 0
+    while i < len(out):
+        j = max(i + 1, int(np.searchsorted(edges, edges[i] + block, side="right")) - 1)
+        here = slice(edges[i], edges[j])
+        gain = np.add.reduceat(_xlogx(table[codes[here]] + counts[here, None]) - now[codes[here]], edges[i:j] - edges[i], axis=0)
+        n = np.add.reduceat(np.where(codes[here] < total, counts[here], 0), edges[i:j] - edges[i])[:, None]
+        gain -= _xlogx(rows + n) - _xlogx(rows) + _xlogx(columns + n) - _xlogx(columns)
+        out[i:j] = gain.argmax(1)
+        i = j
+    return out
+
+
+def _classify(model: Model):
+    def classify(counted: pa.Table, near: pa.Table) -> pa.Table:
+        keys, counts = unpack(counted["hashes"][0].as_py()), _read_numbers(counted["counts"][0].as_py()).astype(np.int64)
+        classes = model.classes[_symbols(keys, model.vocabulary)].astype(np.uint8)
+        if near.num_rows:
+            words, codes, n = _summed_pairs(*(np.concatenate([f(b) for b in near[c].to_pylist()]) for c, f in (("hashes", unpack), ("codes", lambda b: _read_numbers(b, "u1")), ("counts", lambda b: _read_numbers(b).astype(np.int64)))))
+            at = np.searchsorted(keys, words)
+            often = counts[at] >= LEAST
+            at, codes, n = at[often], codes[often], n[often]
+            if len(at):
+                classes[np.unique(at)] = best_classes(model.pair, at, codes, n)
+        sizes = np.bincount(classes, counts, model.end + 1).astype(np.int64)
+        return pa.table([[counted["bucket"][0].as_py()], [pack(keys)], [_numbers(counts)], [_bytes(classes)], [sizes.tolist()], [int((classes == model.rare).sum())]], schema=_WORDS_ARROW)
+
+    return classify
+
 
 def trained(docs: DataFrame, path: str, n_buckets: int, modulus: int = 7, remainder: int = 2) -> Model:
-    """Counts the training words into buckets below `path` and fits the model."""
-    spark = docs.sparkSession
+    """Writes the training words, with counts and classes, in buckets to `path`; the model's transitions are still those of the top words."""
+    spark, out, path = docs.sparkSession, path, f"{path}-counts"
     training = docs.filter(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), modulus, remainder)).select(F.col("text").cast("string").alias("text"))
     training.mapInArrow(_count_words(n_buckets), _COUNTS).groupBy("bucket").applyInArrow(_sum_bucket, _COUNTS).write.parquet(path)
     described = spark.read.schema(_COUNTS).parquet(path).mapInArrow(_describe, "types long, tokens long, top binary, top_counts binary").collect()
@@ -234,7 +337,10 @@ def trained(docs: DataFrame, path: str, n_buckets: int, modulus: int = 7, remain
     bigrams = np.zeros(size * size, np.int64)
     for r in training.mapInArrow(_count_bigrams(vocabulary), _COUNTS).groupBy("bucket").applyInArrow(_sum_bucket, _COUNTS).collect():
         bigrams[unpack(bytes(r.hashes)).astype(np.int64)] = _read_numbers(bytes(r.counts))
-    return Model(sum(r.tokens for r in described), sum(r.types for r in described), vocabulary, counts, bigrams.reshape(size, size).astype(np.float64))
+    model = Model(sum(r.tokens for r in described), sum(r.types for r in described), vocabulary, counts, bigrams.reshape(size, size).astype(np.float64))
+    near = training.mapInArrow(_count_neighbours(model, n_buckets), _NEAR)
+    spark.read.schema(_COUNTS).parquet(path).groupBy("bucket").cogroup(near.groupBy("bucket")).applyInArrow(_classify(model), _WORDS).write.parquet(out)
+    return model
 
 
 def _ask(n_buckets: int):
@@ -250,36 +356,58 @@ _ASKED = "chunk int, bucket int, payload binary"
 _ASKED_ARROW = pa.schema([("chunk", pa.int32()), ("bucket", pa.int32()), ("payload", pa.binary())])
 
 
-def _answer(asked: pa.Table, counted: pa.Table) -> pa.Table:
-    keys, counts = (np.zeros(1, np.uint64), np.zeros(1, np.uint64))
-    for r in counted.to_pylist():
-        keys, counts = unpack(r["hashes"]), _read_numbers(r["counts"])
-    out = []
-    for blob in asked["payload"].to_pylist():
-        wanted = unpack(blob)
-        at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-        out.append(_numbers(np.where(keys[at] == wanted, counts[at], 0)))
-    return pa.table([asked["chunk"], asked["bucket"], pa.array(out, pa.binary())], schema=_ASKED_ARROW)
+_ANSWERS = "chunk int, bucket int, counts binary, classes binary"
+_ANSWERS_ARROW = pa.schema([("chunk", pa.int32()), ("bucket", pa.int32()), ("counts", pa.binary()), ("classes", pa.binary())])
 
 
-def _score(model: Model):
-    rare, end = len(model.vocabulary), len(model.vocabulary) + 1
+def _answer(rare: int):
+    def answer(asked: pa.Table, words: pa.Table) -> pa.Table:
+        keys, counts, classes = (np.zeros(1, np.uint64), np.zeros(1, np.uint64), np.zeros(1, np.uint8))
+        for r in words.to_pylist():
+            keys, counts, classes = unpack(r["hashes"]), _read_numbers(r["counts"]), _read_numbers(r["classes"], "u1")
+        out = []
+        for blob in asked["payload"].to_pylist():
+            wanted = unpack(blob)
+            at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+            found = keys[at] == wanted
+            out.append((_numbers(np.where(found, counts[at], 0)), _bytes(np.where(found, classes[at], rare))))
+        return pa.table([asked["chunk"], asked["bucket"], *(pa.array([o[i] for o in out], pa.binary()) for i in (0, 1))], schema=_ANSWERS_ARROW)
+
+    return answer
 
+
+def _told(docs: pa.Table, answers: pa.Table, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(first token of each document and the end, counts, classes, classes before) of the tokens of a chunk."""
+    hashes, first = _tokens(docs["text"].combine_chunks())
+    unique, inverse = np.unique(hashes, return_inverse=True)
+    rows = sorted(answers.to_pylist(), key=lambda r: r["bucket"])  # buckets rise with the hash
+    counts = np.concatenate([_read_numbers(r["counts"]) for r in rows]).astype(np.float64)[inverse]
+    classes = np.concatenate([_read_numbers(r["classes"], "u1") for r in rows]).astype(np.int64)
+    classes[unique == END] = end  # also where nothing was learned
+    classes = classes[inverse]
+    return first, counts, classes, np.concatenate([[end], classes[:-1]])
+
+
+def _count_pairs(end: int):
+    def count(docs: pa.Table, answers: pa.Table) -> pa.Table:
+        first, _, classes, before = _told(docs, answers, end)
+        learn = np.repeat(docs["learn"].to_numpy(), np.diff(first))
+        code, n = np.unique((before * (end + 1) + classes)[learn], return_counts=True)
+        return pa.table({"code": pa.array(code, pa.int32()), "n": pa.array(n, pa.int64())})
+
+    return count
+
+
+def _score(model: Model):
     def score(docs: pa.Table, answers: pa.Table) -> pa.Table:
-        hashes, first = _tokens(docs["text"].combine_chunks())
-        _, inverse = np.unique(hashes, return_inverse=True)
-        rows = sorted(answers.to_pylist(), key=lambda r: r["bucket"])
-        counts = np.concatenate([_read_numbers(r["payload"]) for r in rows]).astype(np.float64)[inverse]  # buckets rise with the hash
+        first, counts, classes, before = _told(docs, answers, model.end)
         n_tokens = np.diff(first)
         sums = lambda x: np.add.reduceat(x, first[:-1])  # noqa: E731  every document has its end token
         base = np.log10((counts + 1) / (model.tokens + 1.0 * (model.types + 1)))
-        symbols = _symbols(hashes, model.vocabulary)
-        classes = model.classes[symbols]
-        before = np.concatenate([[model.classes[end]], classes[:-1]])
-        emission = np.zeros(len(hashes))
-        top = symbols < rare
-        emission[top] = model.emissions[symbols[top]]
-        other = symbols == rare
+        emission = np.zeros(len(classes))
+        own = classes < model.rare
+        emission[own] = np.log10(counts[own] / model.sizes[classes[own]])
+        other = classes == model.rare
         emission[other] = np.log10((counts[other] + 1) / (model.rare_tokens + model.rare_types + 1))
         return pa.table(
             {
@@ -300,10 +428,21 @@ def scored(docs: DataFrame, modulus: int = 7, remainder: int = 2, chunk_bytes: i
     spark = docs.sparkSession
     total = cluster.text_bytes(docs)
     n_buckets = max(8, math.ceil(total / (16 << 20)))
-    path = cluster.scratch(spark, "lm-counts")
-    model = trained(docs, path, n_buckets, modulus, remainder)
-    chunks = cluster.with_chunk(docs, chunk_bytes, total)
-    asked = chunks.groupBy("chunk").applyInArrow(_ask(n_buckets), _ASKED)
-    answers = asked.groupBy("bucket").cogroup(spark.read.schema(_COUNTS).parquet(path).groupBy("bucket")).applyInArrow(_answer, _ASKED)
+    path = cluster.scratch(spark, "lm-words")
+    learn = F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), modulus, remainder)
+    chunks = cluster.with_chunk(docs, chunk_bytes, total).withColumn("learn", learn)
+    with cluster.shuffles_end_with_query(spark):
+        model = trained(docs, path, n_buckets, modulus, remainder)
+        words = spark.read.schema(_WORDS).parquet(path)
+        asked = chunks.groupBy("chunk").applyInArrow(_ask(n_buckets), _ASKED)
+        answers = cluster.written(asked.groupBy("bucket").cogroup(words.groupBy("bucket")).applyInArrow(_answer(model.rare), _ANSWERS), "lm-answers")
+        pair, sizes, rare_types = np.zeros((model.end + 1) ** 2), np.zeros(model.end + 1), 0
+        pairs = chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_count_pairs(model.end), "code int, n long")
+        for r in pairs.groupBy("code").agg(F.sum("n").alias("n")).collect():
+            pair[r.code] = r.n
+        for r in words.select("sizes", "rare_types").collect():
+            sizes += r.sizes
+            rare_types += r.rare_types
+    model.widen(pair.reshape(model.end + 1, -1), sizes, rare_types)
     out = "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_score(model), out)

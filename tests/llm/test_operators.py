@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import random
 import zlib
 from collections import Counter, defaultdict
 
@@ -430,6 +431,44 @@ def test_language_model(spark):
     assert brown_lm.scored(h.frame(spark, [])).collect() == []
 
 
+def test_words_beyond_the_top_have_classes(spark):
+    """x and y are all past rank TOP, and stand where c and d stand: their order in a text counts."""
+    rng = random.Random(4)
+    rows = []
+    for i in range(400):
+        say = []
+        for _ in range(40):
+            say += [f"a{rng.randrange(260)}", f"c{rng.randrange(260)}", f"d{rng.randrange(260)}", f"b{rng.randrange(260)}"]
+        for j in rng.sample(range(200), 1):
+            say += [f"a{rng.randrange(260)}", f"x{j}", f"y{rng.randrange(200)}", f"b{rng.randrange(260)}"]
+        rows.append((i, " ".join(say), "en", "s", 0, 0, "k"))
+    seen = Counter(w for r in rows for w in r[1].split() if zlib.crc32(str(r[0]).encode()) % 7 != 2)
+    x, y = (next(w for w, n in seen.items() if w[0] == k and n >= 2) for k in "xy")
+    assert max(n for w, n in seen.items() if w[0] in "xy") < sorted(seen.values())[-brown_lm.TOP]
+    out = [i for i in range(1000, 1100) if zlib.crc32(str(i).encode()) % 7 == 2][:2]
+    rows += [(i, text, "en", "s", 0, 0, "k") for i, text in zip(out, (f"a1 {x} {y} b1", f"a1 {y} {x} b1"), strict=True)]
+    got = {r.doc_id: r.score for r in brown_lm.scored(h.frame(spark, rows)).filter("doc_id >= 1000").collect()}
+    assert got[out[0]] > got[out[1]] + 1
+
+
+def test_best_class_has_the_most_likelihood():
+    rng = np.random.default_rng(3)
+    bigrams = rng.poisson(2.0, (9, 9)).astype(float)
+    before, after = rng.poisson(1.0, 9).astype(float), rng.poisson(1.0, 9).astype(float)
+    after[-1] += max(0.0, before.sum() - after.sum())
+    before[-1] += max(0.0, after.sum() - before.sum())
+    n = np.concatenate([before, after])
+    codes = np.flatnonzero(n)
+    got = brown_lm.best_classes(bigrams, np.zeros(len(codes), int), codes, n[codes])
+    grown = []
+    for c in range(7):
+        more = bigrams.copy()
+        more[:, c] += before
+        more[c] += after
+        grown.append(_plain_likelihood(more, np.arange(9)))
+    assert got.tolist() == [int(np.argmax(grown))]
+
+
 def test_model_probabilities_sum_to_one():
     rng = np.random.default_rng(2)
     bigrams = rng.poisson(3.0, (12, 12)).astype(float)
