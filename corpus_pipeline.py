@@ -2,7 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last keep the columns of documents.
 
-1. language ID: documents without a letter, of which no language can be told, go.
+1. language ID: documents without a letter, of which no language can be told, go, and only these: neither the predicted
+   language nor its score rejects a document.  Where no language can be learned (no label outside the held-out documents), all
+   documents with a letter stay.
 2. near-dedup: of each class of near copies (Jaccard 0.8 of five-word shingles) the one of the least doc_id stays.
 3. long repeats: passages of 50 words and more that also begin earlier are cut from the text.
 4. mixing: sources are repeated or thinned to 3 : 1 : 2 weights and 150 % of all words.
@@ -18,7 +20,10 @@ from omixel.llm import cluster, dartminhash, language_id, mixing, packing, suffi
 
 
 def tell_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    told = language_id.identified(docs, language_id.trained(docs))
+    model = language_id.trained(docs)
+    if not model.languages:
+        return docs.filter(language_id.has_letter(docs["text"]))
+    told = language_id.identified(docs, model)
     return told.filter(told["__lang_pred"] != language_id.UNKNOWN).drop("__lang_pred", "__lang_score")
 
 

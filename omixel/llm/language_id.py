@@ -92,6 +92,11 @@ def held_out(doc_id: Column, modulus: int = 4, remainder: int = 2) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % modulus == remainder, F.lit(False))
 
 
+def has_letter(text: Column) -> Column:
+    """What a text needs to be predicted; the classes of characters are those of _LETTER."""
+    return F.coalesce(text.cast("string").rlike(r"[\p{L}\p{Nl}\p{No}]"), F.lit(False))
+
+
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     flags = np.zeros(DIMENSIONS, bool)
     for batch in batches:

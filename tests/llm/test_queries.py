@@ -98,3 +98,15 @@ def test_pipeline_on_nothing(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, FOLDER)
         assert docs.count() == 0
+
+
+@pytest.mark.parametrize("lang", [None, "en"])
+def test_no_language_to_learn(spark, lang):
+    """No labels at all, or held-out ones only: documents with a letter stay, as they do where languages are known."""
+    out = [i for i in range(100) if zlib.crc32(str(i).encode()) % 4 == 2]
+    texts = ["some words", "é", "漢", "12 34", "...", "", None, "½"]
+    docs = h.frame(spark, [(i, t, lang, "s", 0, 0, "k") for i, t in zip(out, texts, strict=False)])
+    kept = corpus_pipeline.tell_language(spark, docs, FOLDER)
+    assert kept.columns == docs.columns and {r.text for r in kept.collect()} == {"some words", "é", "漢", "½"}
+    known = corpus_pipeline.tell_language(spark, docs.union(h.frame(spark, [(i, "some words", "en", "s", 0, 0, "k") for i in range(100) if i not in out])), FOLDER)
+    assert {r.text for r in known.collect()} == {"some words", "é", "漢", "½"}
