@@ -670,7 +670,7 @@ def permutation_test(t: Tables) -> DataFrame:
 @_query
 def power_curve(t: Tables) -> DataFrame:
     x, y, _, _ = _set_scores(t)
-    return resample.summary(resample.power_curve(t.spark, x[:, :12], y, (20, 30, 50, 75, 100, 150), 20), "n_total")
+    return resample.summary(resample.power_curve(t.spark, x, y, (20, 30, 50, 75, 100, 150, 200, 300, 500), 20), "n_total")
 
 
 @_query

@@ -180,3 +180,14 @@ def test_metrics_match_plain_version(spark):
     df = spark.createDataFrame([(int(a), int(b > 0.5), float(b)) for a, b in zip(y, s, strict=True)], "y int, predicted int, score double")
     m = stats.metrics(df).first()
     assert m.auc == pytest.approx(solvers.auc(y, s)) and m.kappa == pytest.approx(solvers.kappa(y, (s > 0.5).astype(int))) and m.accuracy == pytest.approx((y == (s > 0.5)).mean())
+
+
+def test_power_curve_has_all_sets_and_sizes(spark, monkeypatch):
+    from omixel.plans import queries
+
+    x, y = np.random.default_rng(1).standard_normal((24, 30)), np.array([0, 1] * 12)
+    monkeypatch.setattr(queries, "_set_scores", lambda t: (x, y, [], []))
+    seen, run = [], resample.power_curve
+    monkeypatch.setattr(resample, "power_curve", lambda spark, x, y, sizes, simulations: seen.append(x.shape) or run(spark, x, y, sizes, 1))
+    got = queries.queries()["power_curve"](spark, "").collect()
+    assert seen == [x.shape] and sorted(r.n_total for r in got) == [20, 30, 50, 75, 100, 150, 200, 300, 500]
