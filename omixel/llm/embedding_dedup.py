@@ -2,18 +2,21 @@
 
 Vectors are normalised; a hash floor((a . x + b) / WIDTH) with normal a and uniform b is equal for close vectors more often
 than for others.  `m` such hashes make a key, one key a table, in `tables` tables.  m grows with the logarithm of
-the number of vectors, so that unrelated vectors rarely share a key, and tables follow from m so that a pair at the
-threshold is missed with a probability of at most MISS.  Vectors of one label that share a key are joined as stars;
-components of that graph are compared exactly, in double precision, by matrix products.
+the number of vectors, so that an unrelated vector has company under a key in about COMPANY of the cases, and tables follow
+from m so that a pair at the threshold is missed with a probability of at most MISS.  Vectors of one label that share a key are
+compared exactly, in double precision, by matrix products, bucket by bucket; a pair that shares several keys counts under
+the least of them.
 
-Scale: stars are made in each task before the shuffle, so a key shared by a third of all vectors is one entry a task.  A
-component is cut into blocks of at most about `block_vectors`; every two blocks meet in one task, which counts
-the links of each vector and keeps a spanning forest of them, never all pairs.  Equal vectors of one label are one node
-with a count, so copies are not compared with each other.
+Scale: a vector gives one row (key, node) a table, and what has no company under a key goes no further.  Buckets are
+sized before the shuffle; a bucket of more than `block_vectors` is cut into blocks, every two of which meet in one
+task.  A task counts the links of each vector and keeps one edge a vector to the least it is connected with, never all pairs.
+Equal vectors of one label are one node with a count, so copies are not compared with each other.  Rows compared grow
+with the vectors: no component of the candidates is ever formed, only one of the links.
 
 Defined results: a vector that is null, empty, zero, or holds null, NaN or infinite components, and any vector of null label, links
 with nothing and is its own component; vectors of unequal length are not compared; a null vec_id is carried along; rows that
-share a vec_id are vectors of their own; other columns play no part.
+share a vec_id are vectors of their own; other columns, whatever their names, play no part.  Nodes are 64-bit digests of
+label and components.
 """
 
 from __future__ import annotations
@@ -27,12 +30,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import cluster
+from . import buckets, cluster
 from .components import components
-from .dartminhash import _MESSAGE, _edge_rows, _Forest, _stars, _table, star_edges
-from .textarrays import mix, pack, split_sorted
+from .textarrays import mix
 
-THRESHOLD, WIDTH, MISS, SEED = 0.98, 1.0, 1e-4, 20240229
+THRESHOLD, WIDTH, MISS, COMPANY, SEED = 0.98, 1.0, 5e-4, 0.05, 20240229
 _NODES = "vec_id long, node long, label long, vector binary"
 
 
@@ -46,7 +48,7 @@ def collision(distance: float, width: float = WIDTH) -> float:
 def table_plan(n: int, threshold: float = THRESHOLD) -> tuple[int, int]:
     """(hashes per key, tables) for n vectors."""
     near, far = collision(math.sqrt(2 - 2 * threshold)), collision(math.sqrt(2) * 0.9)
-    m = max(4, math.ceil(math.log(max(n, 2)) / -math.log(far)))
+    m = max(4, math.ceil(math.log(max(n, 2) / COMPANY) / -math.log(far)))
     return m, math.ceil(math.log(MISS) / math.log(1 - near**m))
 
 
@@ -77,7 +79,9 @@ def _unit(blobs: list[bytes]) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
-def _local_stars(m: int, tables: int, n_buckets: int):
+def _hash(m: int, tables: int):
+    """The vectors with their keys, one a table."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         projections: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for batch in batches:
@@ -85,8 +89,8 @@ def _local_stars(m: int, tables: int, n_buckets: int):
             blobs = batch.column("vector").to_pylist()
             for i, b in enumerate(blobs):
                 rows.setdefault(len(b) // 8, []).append(i)
-            nodes, labels = np.array(batch.column("node").to_pylist(), np.int64), np.array(batch.column("label").to_pylist(), np.int64)
-            keys, owners = [], []
+            labels = np.array(batch.column("label").to_pylist(), np.int64)
+            keys = np.zeros((len(blobs), tables), np.uint64)
             for dimension, at in rows.items():
                 if dimension not in projections:
                     rng = np.random.default_rng([SEED, dimension])
@@ -98,82 +102,95 @@ def _local_stars(m: int, tables: int, n_buckets: int):
                     key = np.tile(mix(np.arange(1, tables + 1, dtype=np.uint64)), (len(some), 1)) + mix(labels[some].view(np.uint64) + np.uint64(dimension << 40))[:, None]
                     for j in range(m):
                         key = mix(key + hashed[:, :, j])
-                    keys.append(key.ravel())
-                    owners.append(np.repeat(nodes[some], tables))
-            if keys:
-                keys, least, edges = _stars(np.concatenate(keys), np.concatenate(owners))
-                yield _table(_edge_rows(edges) + [(b, pack(keys[i:j]), least[i:j].astype("<i8").tobytes()) for b, i, j in split_sorted(keys, n_buckets)])
+                    keys[some] = key
+            yield pa.record_batch([*batch.columns, pa.array([k.tobytes() for k in keys], pa.binary())], names=[*batch.schema.names, "keys"])
 
     return run
 
 
-def _compare(threshold: float):
-    """Two blocks of a component (or one): counts of links across (or within), and edges that connect what they connect."""
+def _key_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        keys = [np.frombuffer(k, "<i8") for k in batch.column("keys").to_pylist()]
+        nodes = np.repeat(np.array(batch.column("node").to_pylist(), np.int64), [len(k) for k in keys])
+        yield pa.record_batch([pa.array(np.concatenate([np.zeros(0, np.int64), *keys])), pa.array(nodes)], names=["key", "node"])
+
+
+def _compare(threshold: float, pairs_at_once: int = 1 << 14):
+    """Some buckets, or two blocks of one (or one block): links of each node, and edges that connect what they connect."""
 
     def compare(table: pa.Table) -> pa.Table:
-        low, high = table["low"][0].as_py(), table["high"][0].as_py()
-        first: dict[int, int] = {}
-        for i, n in enumerate(table["node"].to_pylist()):
-            first.setdefault(n, i)
-        at = list(first.values())
-        table = table.take(pa.array(at, pa.int64()))
-        nodes = np.array(table["node"].to_pylist(), np.int64)
-        copies = np.array(table["copies"].to_pylist(), np.int64)
-        sides = np.array(table["block"].to_pylist())
-        blobs, labels = table["vector"].to_pylist(), np.array(table["label"].to_pylist())
-        kinds = {}
+        nodes, first, own = np.unique(np.array(table["node"].to_pylist(), np.int64), return_index=True, return_inverse=True)
+        data = table.select(["label", "copies", "vector", "keys"]).take(pa.array(first))
+        blobs, labels, copies = data["vector"].to_pylist(), np.array(data["label"].to_pylist()), np.array(data["copies"].to_pylist(), np.int64)
+        keys = np.array([np.frombuffer(k, "<i8") for k in data["keys"].to_pylist()])
+        kinds: dict[tuple, list[int]] = {}
         for i, (b, x) in enumerate(zip(blobs, labels.tolist(), strict=True)):
             kinds.setdefault((len(b), x), []).append(i)
-        counts, forest = np.zeros(len(nodes), np.int64), _Forest(len(nodes))
-        for members in kinds.values():
-            left = [i for i in members if sides[i] == low]
-            right = left if low == high else [i for i in members if sides[i] == high]
-            if not left or not right:
-                continue
-            x, y = _unit([blobs[i] for i in left]), _unit([blobs[i] for i in right])
-            left, right = np.array(left), np.array(right)
-            for i in range(0, len(left), 512):
-                near = x[i : i + 512] @ y.T >= threshold
-                rows = left[i : i + 512]
-                if low == high:
-                    near[np.arange(len(rows)), np.arange(i, i + len(rows))] = False
-                counts[rows] += near @ copies[right]
-                if low != high:
-                    counts[right] += near.T @ copies[rows]
-                for r in np.flatnonzero(near.any(1)).tolist():
-                    mine = right[near[r]]
-                    for c in mine[[forest.find(k) != forest.find(rows[r]) for k in mine.tolist()]].tolist():
-                        forest.join(int(rows[r]), c)
-        a = [int(nodes[i]) for i, _ in forest.edges]
-        b = [int(nodes[j]) for _, j in forest.edges]
+        kind, place, units = np.zeros(len(nodes), int), np.zeros(len(nodes), int), []
+        for at in kinds.values():
+            kind[at], place[at] = len(units), np.arange(len(at))
+            units.append(_unit([blobs[i] for i in at]))
+        del blobs, data
+        low, high, key, block = (table[c].to_numpy() for c in ("low", "high", "key", "block"))
+        counts, edges = np.zeros(len(nodes), np.int64), []
+
+        def link(i: np.ndarray, j: np.ndarray, k: int) -> None:
+            for at in range(0, len(i), pairs_at_once):
+                a, b = i[at : at + pairs_at_once], j[at : at + pairs_at_once]
+                shared = np.where(keys[a] == keys[b], keys[a], np.iinfo(np.int64).max).min(1) == k  # counted under the least shared key
+                a, b = a[shared], b[shared]
+                np.add.at(counts, a, copies[b])
+                np.add.at(counts, b, copies[a])
+                edges.append((a, b))
+
+        for rows in buckets.members(key):
+            alike = kind[own[rows]]
+            for x in np.unique(alike):
+                some, unit = rows[alike == x], units[x]
+                left = own[some[block[some] == low[some]]]
+                right = left if low[some[0]] == high[some[0]] else own[some[block[some] == high[some]]]
+                if not len(left) or not len(right):
+                    continue
+                other = unit[place[right]]
+                for i in range(0, len(left), 512):
+                    part = left[i : i + 512]
+                    r, c = np.nonzero(unit[place[part]] @ other.T >= threshold)
+                    if left is right:
+                        r, c = r[c > r + i], c[c > r + i]
+                    link(part[r], right[c], int(key[some[0]]))
+            if len(edges) > 1000:
+                edges = [_starred(len(nodes), edges)]
+        a, b = _starred(len(nodes), edges)
         some = np.flatnonzero(counts)
         return pa.table(
             {
-                "a": pa.array(a + nodes[some].tolist(), pa.int64()),
-                "b": pa.array(b + [None] * len(some), pa.int64()),
-                "links": pa.array([None] * len(a) + counts[some].tolist(), pa.int64()),
+                "a": pa.array(nodes[np.concatenate([a, some])], pa.int64()),
+                "b": pa.array([*nodes[b].tolist(), *[None] * len(some)], pa.int64()),
+                "links": pa.array([*[None] * len(a), *counts[some].tolist()], pa.int64()),
             }
         )
 
     return compare
 
 
+def _starred(n: int, edges: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    none = np.zeros(0, np.int64)
+    root = buckets.roots(n, np.concatenate([none, *(a for a, _ in edges)]), np.concatenate([none, *(b for _, b in edges)]))
+    a = np.flatnonzero(root != np.arange(n))
+    return a, root[a]
+
+
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, block_vectors: int = 2000) -> DataFrame:
     """One row per vector: vec_id, n_links, component_id, kept."""
     given = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), F.col("label").cast("long").alias("label"))
     rows = cluster.written(given.mapInArrow(_identify, _NODES), "embedding-rows")
     nodes = rows.filter("node is not null").groupBy("node", "label").agg(F.count("*").alias("copies"), F.min("vec_id").alias("least"), F.first("vector").alias("vector"))
     nodes = cluster.written(nodes, "embedding-nodes")
-    n = nodes.count()
-    m, tables = table_plan(n, threshold)
-    messages = cluster.written(nodes.mapInArrow(_local_stars(m, tables, max(8, n * tables // 1_000_000)), _MESSAGE), "embedding-keys")
-    candidates = cluster.written(components(star_edges(messages)).withColumnRenamed("id", "node"), "embedding-candidates")
-
-    blocks = candidates.groupBy("component").agg(F.ceil(F.count("*") / block_vectors).cast("int").alias("blocks"))
-    block = F.pmod(F.xxhash64("node"), F.col("blocks").cast("long")).cast("int")
-    tasks = candidates.join(blocks, "component").withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    tasks = tasks.select("component", "node", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
-    found = tasks.join(nodes.select("node", "label", "copies", "vector"), "node").groupBy("component", "low", "high").applyInArrow(_compare(threshold), "a long, b long, links long")
+    m, tables = table_plan(nodes.count(), threshold)
+    keyed = cluster.written(nodes.select("node", "label", "copies", "vector").mapInArrow(_hash(m, tables), "node long, label long, copies long, vector binary, keys binary"), "embedding-keys")
+    company = cluster.written(buckets.kept_buckets(keyed.select("node", "keys").mapInArrow(_key_rows, "key long, node long")), "embedding-buckets")
+    tasks = buckets.dealt(company.withColumn("size", F.lit(1)), block_vectors, within=True)
+    found = tasks.join(keyed, "node").groupBy("bin", "low", "high").applyInArrow(_compare(threshold), "a long, b long, links long")
     found = cluster.written(found, "embedding-links")
     links = found.filter("links is not null").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
     connected = components(found.filter("b is not null").select("a", "b")).withColumnRenamed("id", "node")
