@@ -1,6 +1,7 @@
 """MinHash near-dedup with DartMinHash signatures.
 
-A document is the set of its runs of SHINGLE words (all its words, if fewer), each with a weight.  Every element has
+A document is the set of its runs of SHINGLE words (all its words, if fewer), each with a weight: 1 + ln(how often it
+occurs), so 1 in most texts.  Similarity is weighted Jaccard, sum of the lesser weights over sum of the greater.  Every element has
 a field of hashed darts, a Poisson process over (weight, rank), generated cell by cell: unit steps of weight,
 growing steps of rank.  A document keeps the darts that lie under its elements' weights and below a rank that
 lets about k (ln k + 2) of them through, whatever its size; each dart falls on one of K coordinates, and
@@ -8,17 +9,20 @@ the earliest dart per coordinate makes the signature.  Where a coordinate stays
 Two signatures agree at a coordinate with a probability of the weighted Jaccard similarity.
 
 BANDS bands of ROWS coordinates give candidates (at similarity 0.8, all but 5e-8 of the pairs).  Documents of equal
-sets are one node.  Nodes that share a band are joined as stars, components of that graph are compared in blocks by
-exact Jaccard similarity, and the components of what reaches the threshold are the classes.
-
-Scale: stars are made in each task before the shuffle, so a band value shared by a third of all documents is
-one entry a task.  A component is cut into blocks of about `block_elements` elements and every two blocks are
-compared in a task of their own, so no task holds an unbounded group.  Within a task, pairs are not enumerated: leaders are
+weighted sets are one node.  Within the bucket of a band value, sketches (16 bits a coordinate) are compared first: a
+node stays if it agrees with another one in LIKELY of the coordinates (a pair at 0.8 fails with probability 1e-8).  What is left
+of a bucket is compared by exact similarity on the texts, and the components of what reaches the threshold are the classes.
+
+Scale: a node gives one row (key, node) a band; a band value shared by a third of all nodes is counted before the
+shuffle.  Buckets are compared one by one (module buckets): no component of candidates is formed, and a text goes only to the
+buckets in which a sketch resembles its own.  A bucket beyond `block_elements` is cut into blocks and every two blocks meet
+in a task of their own.  Within a task, pairs of texts are not enumerated: leaders are
 compared with everything, and the triangle inequality of Jaccard distance leaves few other comparisons; no
 link between two classes is lost.
 
 Defined results: a null text, or one without words, is a class of its own; a null doc_id is carried along (a class has the
-least doc_id that is not null, if any); repeated rows are members of their class like any other; other columns play no part.
+least doc_id that is not null, if any); repeated rows are members of their class like any other; other columns, whatever
+their names, play no part and are carried along by deduplicated.  Nodes are told apart by 64-bit digests of their weighted sets.
 """
 
 from __future__ import annotations
@@ -32,17 +36,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import cluster
+from . import buckets, cluster
 from .components import components
-from .textarrays import Words, mix, pack, split_sorted, tidy, unpack, window_hashes
+from .textarrays import Words, mix, tidy, window_hashes
 
-SHINGLE, K, BANDS, ROWS, THRESHOLD = 5, 128, 32, 4, 0.8
+SHINGLE, K, BANDS, ROWS, THRESHOLD, LIKELY = 5, 128, 32, 4, 0.8, 0.6
 _RANK_EDGES = [0.0, 1 / 64, 1 / 16, 1 / 4, *(float(1 << i) for i in range(12))]
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
-def shingle_sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(distinct shingle hashes of all texts, sorted within each text; where each text's begin and end)."""
+def shingle_sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct shingle hashes of all texts, sorted within each text; where each text's begin and end; their weights)."""
     words = Words(texts)
     hashes, n = words.hashes(), words.n_words
     count = np.where(n == 0, 0, np.maximum(n - SHINGLE + 1, 1))
@@ -55,8 +59,9 @@ def shingle_sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     del order
     fresh = np.ones(len(values), bool)
     fresh[1:] = (values[1:] != values[:-1]) | (doc[1:] != doc[:-1])
+    times = np.diff(np.append(np.flatnonzero(fresh), len(values)))
     values, doc = values[fresh], doc[fresh]
-    return values, np.searchsorted(doc, np.arange(len(n) + 1))
+    return values, np.searchsorted(doc, np.arange(len(n) + 1)), 1 + np.log(times)
 
 
 @functools.lru_cache(maxsize=None)
@@ -134,81 +139,65 @@ def band_values(signature: np.ndarray, bands: int = BANDS, rows: int = ROWS) ->
     return out
 
 
-def _set_ids(values: np.ndarray, edges: np.ndarray) -> list[int | None]:
-    flat = values.astype("<u8").tobytes()
-    digest = lambda a, b: int.from_bytes(hashlib.blake2b(flat[8 * a : 8 * b], digest_size=8).digest(), "little", signed=True)
+def _set_ids(values: np.ndarray, edges: np.ndarray, weights: np.ndarray) -> list[int | None]:
+    flat, heavy = values.astype("<u8").tobytes(), weights.astype("<f4").tobytes()
+
+    def digest(a: int, b: int) -> int:
+        return int.from_bytes(hashlib.blake2b(flat[8 * a : 8 * b] + heavy[4 * a : 4 * b], digest_size=8).digest(), "little", signed=True)
+
     return [digest(a, b) if b > a else None for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
 
 
-_SIGNED = "doc_id long, text_hash long, set_id long, n_elements long, bands binary"
+_SIGNED = "doc_id long, text_hash long, set_id long, n_elements long, bands binary, sketch binary"
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i in range(0, batch.num_rows, 256):
             part = batch.slice(i, 256)
-            values, edges = shingle_sets(part.column("text"))
-            bands = band_values(signatures(values, edges)).astype("<u8")
-            ids = _set_ids(values, edges)
-            yield pa.record_batch(
-                [part.column("doc_id"), part.column("text_hash"), pa.array(ids, pa.int64()), pa.array(np.diff(edges), pa.int64()), pa.array([b.tobytes() if s is not None else None for b, s in zip(bands, ids, strict=True)], pa.binary())],
-                names=["doc_id", "text_hash", "set_id", "n_elements", "bands"],
-            )
+            values, edges, weights = shingle_sets(part.column("text"))
+            signs = signatures(values, edges, weights)
+            bands, sketches = band_values(signs).astype("<u8"), (mix(signs) >> np.uint64(48)).astype("<u2")
+            ids = _set_ids(values, edges, weights)
+            blobs = [pa.array([x.tobytes() if s is not None else None for x, s in zip(xs, ids, strict=True)], pa.binary()) for xs in (bands, sketches)]
+            yield pa.record_batch([part.column("doc_id"), part.column("text_hash"), pa.array(ids, pa.int64()), pa.array(np.diff(edges), pa.int64()), *blobs], names=["doc_id", "text_hash", "set_id", "n_elements", "bands", "sketch"])
     tidy()
 
 
-_MESSAGE = "bucket int, keys binary, nodes binary"
-_ARROW = pa.schema([("bucket", pa.int32()), ("keys", pa.binary()), ("nodes", pa.binary())])
-
-
-def _stars(keys: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct sorted keys, the least node of each, and (node, least) edges of the others."""
-    order = np.lexsort((nodes, keys))
-    keys, nodes = keys[order], nodes[order]
-    first = np.concatenate([[True], keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, bool)
-    least = nodes[np.flatnonzero(first)[np.cumsum(first) - 1]] if len(keys) else nodes
-    edges = np.unique(np.stack([nodes[~first], least[~first]], 1), axis=0)
-    return keys[first], nodes[first], edges[edges[:, 0] != edges[:, 1]]
-
-
-def _edge_rows(edges: np.ndarray) -> list[tuple[int, bytes, bytes]]:
-    return [(-1, edges[:, 0].astype("<i8").tobytes(), edges[:, 1].astype("<i8").tobytes())] if len(edges) else []
-
-
-def _table(rows: list[tuple[int, bytes, bytes]]) -> pa.RecordBatch:
-    return pa.record_batch([pa.array([r[i] for r in rows], t) for i, t in enumerate(_ARROW.types)], schema=_ARROW)
-
-
-def _local_stars(n_buckets: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            nodes = np.repeat(np.array(batch.column("set_id").to_pylist(), np.int64), BANDS)
-            keys = np.frombuffer(b"".join(batch.column("bands").to_pylist()), "<u8")
-            keys, least, edges = _stars(keys, nodes)
-            yield _table(_edge_rows(edges) + [(b, pack(keys[i:j]), least[i:j].astype("<i8").tobytes()) for b, i, j in split_sorted(keys, n_buckets)])
-
-    return run
-
-
-def _bucket_edges(table: pa.Table) -> pa.Table:
-    """The stars of one bucket, as rows."""
-    keys = np.concatenate([unpack(b) for b in table["keys"].to_pylist()])
-    nodes = np.concatenate([np.frombuffer(b, "<i8") for b in table["nodes"].to_pylist()])
-    edges = _stars(keys, nodes)[2]
-    return pa.table({"a": pa.array(edges[:, 0], pa.int64()), "b": pa.array(edges[:, 1], pa.int64())})
-
-
-def _task_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The stars that a task made before the shuffle, as rows."""
+def _key_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for a, b in zip(batch.column("keys").to_pylist(), batch.column("nodes").to_pylist(), strict=True):
-            yield pa.record_batch([pa.array(np.frombuffer(a, "<i8")), pa.array(np.frombuffer(b, "<i8"))], names=["a", "b"])
-
+        keys = np.frombuffer(b"".join(batch.column("bands").to_pylist()), "<i8")
+        yield pa.record_batch([pa.array(keys), pa.array(np.repeat(np.array(batch.column("node").to_pylist(), np.int64), BANDS))], names=["key", "node"])
+
+
+def _likely(threshold: float):
+    """Some buckets, or two blocks of one: its nodes that resemble another one, by sketch, in groups that are connected by that."""
+
+    def run(table: pa.Table) -> pa.Table:
+        sketches = np.frombuffer(b"".join(table["sketch"].to_pylist()), "<u2").reshape(table.num_rows, K)
+        key, node, sizes = (table[c].to_numpy() for c in ("key", "node", "n_elements"))
+        groups, found = [], []
+        for rows in buckets.members(key):
+            a, b = [], []
+            step = max(1, (1 << 22) // (len(rows) * K))
+            for i in range(0, len(rows), step):
+                same = (sketches[rows[i : i + step], None, :] == sketches[None, rows, :]).mean(2) >= threshold
+                r, c = np.nonzero(same)
+                above = c > r + i
+                root = buckets.roots(len(rows), r[above] + i, c[above])  # one edge a node is enough
+                joined = np.flatnonzero(root != np.arange(len(rows)))
+                a.append(joined)
+                b.append(root[joined])
+            root = buckets.roots(len(rows), np.concatenate(a), np.concatenate(b))
+            often = np.bincount(root, minlength=len(rows))[root] > 1
+            least = np.full(len(rows), np.iinfo(np.int64).max)
+            np.minimum.at(least, root, node[rows])
+            groups.append((mix(mix(key[rows[often]].view(np.uint64)) + least[root[often]].view(np.uint64))).view(np.int64))
+            found.append(rows[often])
+        at = np.concatenate([np.zeros(0, np.int64), *found])
+        return pa.table({"key": pa.array(np.concatenate([np.zeros(0, np.int64), *groups])), "node": pa.array(node[at]), "size": pa.array(sizes[at])})
 
-def star_edges(messages: DataFrame) -> DataFrame:
-    """a, b: nodes that share a key, each joined to the least of them."""
-    rows = "a long, b long"
-    return messages.filter("bucket < 0").mapInArrow(_task_edges, rows).unionAll(messages.filter("bucket >= 0").groupBy("bucket").applyInArrow(_bucket_edges, rows))
+    return run
 
 
 class _Forest:
@@ -227,29 +216,31 @@ class _Forest:
             self.edges.append((a, b))
 
 
-def linked(sets: list[np.ndarray], threshold: float = THRESHOLD) -> list[tuple[int, int]]:
-    """Pairs with Jaccard >= threshold that connect whatever such pairs connect, without trying all of them.
+def linked(sets: list[np.ndarray], threshold: float = THRESHOLD, weights: list[np.ndarray] | None = None) -> list[tuple[int, int]]:
+    """Pairs with weighted Jaccard >= threshold (weights 1 if None) that connect whatever such pairs connect, without trying all of them.
 
     A leader, the unassigned set of the commonest elements, is compared with all sets; those within reach join its
     cluster.  Distance 1 - J is a metric: a set x can reach a member of leader a's cluster only if
     d(a, x) <= radius + 1 - threshold; only those x, while not yet connected, are compared with the members."""
     n = len(sets)
-    sizes = np.array([len(s) for s in sets])
     numbers, flat = np.unique(np.concatenate(sets), return_inverse=True)
-    edges = np.concatenate([[0], np.cumsum(sizes)])
-    commonness = np.add.reduceat(np.bincount(flat)[flat].astype(float), edges[:-1]) / sizes
-    flags, forest = np.zeros(len(numbers), bool), _Forest(n)
+    heavy = np.ones(len(flat)) if weights is None else np.concatenate(weights)
+    lengths = np.array([len(s) for s in sets])
+    edges = np.concatenate([[0], np.cumsum(lengths)])
+    sizes = np.add.reduceat(heavy, edges[:-1])
+    commonness = np.add.reduceat(np.bincount(flat)[flat].astype(float), edges[:-1]) / lengths
+    held, forest = np.zeros(len(numbers)), _Forest(n)
 
     def likeness(i: int, among: np.ndarray | None = None) -> np.ndarray:
-        own = flat[edges[i] : edges[i + 1]]
-        flags[own] = True
+        own = slice(edges[i], edges[i + 1])
+        held[flat[own]] = heavy[own]
         if among is None:
-            common = np.add.reduceat(flags[flat], edges[:-1], dtype=np.int64)
+            common = np.add.reduceat(np.minimum(held[flat], heavy), edges[:-1])
             total = sizes
         else:
-            common = np.array([np.count_nonzero(flags[flat[edges[j] : edges[j + 1]]]) for j in among.tolist()])
+            common = np.array([np.minimum(held[flat[edges[j] : edges[j + 1]]], heavy[edges[j] : edges[j + 1]]).sum() for j in among.tolist()])
             total = sizes[among]
-        flags[own] = False
+        held[flat[own]] = 0
         return common / (sizes[i] + total - common)
 
     reach = 1 - threshold + 1e-9
@@ -279,17 +270,19 @@ def linked(sets: list[np.ndarray], threshold: float = THRESHOLD) -> list[tuple[i
 
 
 def _verify(table: pa.Table) -> pa.Table:
-    """One pair of blocks of a component: the links that connect its documents."""
-    values, edges = shingle_sets(table["text"])
-    wanted, sets = table["set_id"].to_pylist(), {}
-    for i, (s, w) in enumerate(zip(_set_ids(values, edges), wanted, strict=True)):
-        if s == w:  # another text of the same doc_id falls out here
-            sets[s] = values[edges[i] : edges[i + 1]]
-    ids = sorted(sets)
-    pairs = linked([sets[s] for s in ids]) if len(ids) > 1 else []
-    del values, sets
+    """Some buckets, or two blocks of one: the links that connect their nodes."""
+    nodes, first, own = np.unique(table["node"].to_numpy(), return_index=True, return_inverse=True)
+    values, edges, weights = shingle_sets(table["text"].take(pa.array(first)))
+    pairs = []
+    for rows in buckets.members(table["key"].to_numpy()):
+        at = np.unique(own[rows])
+        if len(at) > 1:
+            parts = [slice(edges[i], edges[i + 1]) for i in at.tolist()]
+            pairs += [(at[a], at[b]) for a, b in linked([values[p] for p in parts], weights=[weights[p] for p in parts])]
+    del values, weights
     tidy()
-    return pa.table({"a": pa.array([ids[a] for a, _ in pairs], pa.int64()), "b": pa.array([ids[b] for _, b in pairs], pa.int64())})
+    a, b = (np.array([p[i] for p in pairs], np.int64) for i in (0, 1))
+    return pa.table({"a": pa.array(nodes[a], pa.int64()), "b": pa.array(nodes[b], pa.int64())})
 
 
 def signed(docs: DataFrame) -> DataFrame:
@@ -297,31 +290,29 @@ def signed(docs: DataFrame) -> DataFrame:
     return cluster.written(keyed.mapInArrow(_sign, _SIGNED), "minhash-signed")
 
 
-def classes(docs: DataFrame, block_elements: int = 500_000) -> DataFrame:
+def classes(docs: DataFrame, block_elements: int = 500_000, block_nodes: int = 2000) -> DataFrame:
     """One row per document: doc_id, text_hash, class_id (the least doc_id of its class), kept.
 
     kept is true for the document that gives its class the id; of several texts of that doc_id, for the one of the least hash."""
     sign = signed(docs)
-    nodes = sign.filter("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.first("n_elements").alias("n_elements"), F.first("bands").alias("bands"))
+    age = F.struct(cluster.id_order(F.col("doc_id")).alias("id"), F.col("text_hash").alias("hash"))
+    eldest = F.min_by(F.struct("doc_id", "text_hash"), age).alias("rep")
+    nodes = sign.filter("set_id is not null").groupBy(F.col("set_id").alias("node")).agg(eldest, *[F.first(c).alias(c) for c in ("n_elements", "bands", "sketch")])
     nodes = cluster.written(nodes, "minhash-nodes")
-    n_buckets = max(8, nodes.count() * BANDS // 1_000_000)
-    messages = cluster.written(nodes.select("set_id", "bands").mapInArrow(_local_stars(n_buckets), _MESSAGE), "minhash-bands")
-    candidates = components(star_edges(messages)).withColumnRenamed("id", "set_id").join(nodes.select("set_id", "rep", "n_elements"), "set_id")
-    candidates = cluster.written(candidates, "minhash-candidates")
-
-    # a component of several blocks is compared block by block: every two of them share one task
-    blocks = candidates.groupBy("component").agg(F.ceil(F.sum("n_elements") / block_elements).cast("int").alias("blocks"))
-    block = F.pmod(F.xxhash64("set_id"), F.col("blocks").cast("long")).cast("int")
-    others = F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: x != F.col("block")))
-    tasks = candidates.join(blocks, "component").withColumn("block", block).withColumn("other", F.explode(others))
-    tasks = tasks.select("component", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "set_id", "rep")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    # always merged, so that the plan is the same at any size: texts are shuffled once, and hot keys can be split
-    fetched = tasks.hint("merge").join(texts, F.col("rep").eqNullSafe(F.col("doc_id"))).select("component", "low", "high", "set_id", "text")
-    links = cluster.written(components(fetched.groupBy("component", "low", "high").applyInArrow(_verify, "a long, b long")).withColumnRenamed("id", "set_id"), "minhash-links")
+    candidates = cluster.written(buckets.kept_buckets(nodes.select("node", "bands").mapInArrow(_key_rows, "key long, node long")), "minhash-buckets")
+    tasks = buckets.dealt(candidates.withColumn("size", F.lit(1)), block_nodes, within=False).join(nodes.select("node", "n_elements", "sketch"), "node")
+    likely = tasks.groupBy("bin", "low", "high").applyInArrow(_likely(LIKELY), "key long, node long, size long")
+    likely = cluster.written(buckets.kept_buckets(likely), "minhash-likely")
+
+    # a node's text is that of one document, found by id and hash together: null or repeated ids are no hot key, and repeated rows give it once
+    wanted = nodes.join(likely.select("node").distinct(), "node").select("node", F.col("rep.doc_id").alias("rep_id"), F.col("rep.text_hash").alias("rep_hash"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("rep_id"), F.xxhash64(F.col("text").cast("string")).alias("rep_hash"), F.col("text").cast("string").alias("text"))
+    same = texts["rep_id"].eqNullSafe(wanted["rep_id"]) & (texts["rep_hash"] == wanted["rep_hash"])
+    fetched = wanted.hint("merge").join(texts, same).groupBy("node").agg(F.first("text").alias("text"))
+    fetched = buckets.dealt(likely, block_elements, within=False).join(cluster.written(fetched, "minhash-texts"), "node")
+    links = cluster.written(components(fetched.groupBy("bin", "low", "high").applyInArrow(_verify, "a long, b long")).withColumnRenamed("id", "set_id"), "minhash-links")
 
     joined = sign.select("doc_id", "text_hash", "set_id").join(links, "set_id", "left").withColumn("node", F.coalesce("component", "set_id"))
-    age = F.struct(cluster.id_order(F.col("doc_id")).alias("id"), F.col("text_hash").alias("hash"))
     least = joined.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"), F.min(age).alias("first"))
     least = cluster.written(least, "minhash-classes")  # with a plain table on either side Spark can split a hot class
     out = joined.join(least, "node", "left").withColumn("class_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("least")))
@@ -330,7 +321,7 @@ def classes(docs: DataFrame, block_elements: int = 500_000) -> DataFrame:
 
 def deduplicated(docs: DataFrame, **options) -> DataFrame:
     """The documents without near copies: of each class the one of the least doc_id stays, once."""
-    kept = classes(docs, **options).filter("kept").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
-    keyed = docs.withColumn("__text_hash", F.xxhash64(F.col("text").cast("string")))
-    found = keyed.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__text_hash") == F.col("__hash")), "left_semi")
-    return found.dropDuplicates(["doc_id", "__text_hash"]).drop("__text_hash")
+    kept = classes(docs, **options).filter("kept").select(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash")).distinct()
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("own_id"), F.xxhash64(F.col("text").cast("string")).alias("own_hash"))
+    found = keyed.join(kept, F.col("own_id").eqNullSafe(F.col("id")) & (F.col("own_hash") == F.col("hash")), "left_semi")
+    return found.dropDuplicates(["own_id", "own_hash"]).select(*[F.col("row").getField(c).alias(c) for c in docs.columns])

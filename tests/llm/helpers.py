@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import math
 import random
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -84,9 +85,22 @@ def jaccard(a, b):
     return 1.0 if a == b else len(a & b) / len(a | b) if a and b else 0.0
 
 
+def weighted(text):
+    """Each shingle with its weight."""
+    w = words(text)
+    times = Counter(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else {}
+    return {s: 1 + math.log(n) for s, n in times.items()}
+
+
+def likeness(a, b):
+    """Weighted Jaccard similarity."""
+    common = sum(min(x, b[s]) for s, x in a.items() if s in b)
+    return common / (sum(a.values()) + sum(b.values()) - common)
+
+
 def classes(rows, threshold=0.8):
     """Class of each row (position of its least member) under links of similarity >= threshold."""
-    sets, of = [shingles(r[1]) for r in rows], list(range(len(rows)))
+    sets, of = [weighted(r[1]) for r in rows], list(range(len(rows)))
 
     def find(x):
         while of[x] != x:
@@ -95,7 +109,7 @@ def classes(rows, threshold=0.8):
 
     for i in range(len(rows)):
         for j in range(i):
-            if sets[i] and sets[j] and jaccard(sets[i], sets[j]) >= threshold:
+            if sets[i] and sets[j] and (sets[i] == sets[j] or likeness(sets[i], sets[j]) >= threshold):
                 a, b = find(i), find(j)
                 of[max(a, b)] = min(a, b)
     return [find(i) for i in range(len(rows))]

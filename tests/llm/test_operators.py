@@ -15,7 +15,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from omixel.llm import brown_lm, cluster, components, dartminhash, embedding_dedup, fingerprints, language_id, mixing, packing, substring_index, suffix_dedup, url_rules
+from omixel.llm import brown_lm, buckets, cluster, components, dartminhash, embedding_dedup, fingerprints, language_id, mixing, packing, substring_index, suffix_dedup, url_rules
 from omixel.llm.textarrays import Words, pack, unpack
 
 from . import helpers as h
@@ -152,6 +152,39 @@ def test_dart_signatures_take_weights():
     assert np.mean(found) == pytest.approx(6.5 / 11, abs=0.03)
 
 
+def test_links_of_weighted_sets():
+    """Two sets of equal elements are apart by their weights alone; a third is near both."""
+    e = np.arange(10, dtype=np.uint64)
+    weights = [np.full(10, 1.0), np.full(10, 1.2), np.full(10, 1.4)]
+    assert {frozenset(p) for p in dartminhash.linked([e, e, e], weights=weights)} == {frozenset({0, 1}), frozenset({1, 2})}
+    assert dartminhash.linked([e, e], weights=[weights[0], weights[2]]) == []
+
+
+def test_repeated_shingles_weigh_more():
+    values, edges, weights = dartminhash.shingle_sets(pa.array(["a b c d e " * 3, "a b", None]))
+    assert edges.tolist() == [0, 5, 6, 6] and sorted(weights[:5].tolist()) == pytest.approx(sorted([1 + math.log(3)] + [1 + math.log(2)] * 4)) and weights[5] == 1
+
+
+def test_no_bucket_is_compared_twice(spark):
+    """Buckets of the same nodes are one; a large bucket is cut so that every two nodes meet, once."""
+    rows = [(k, n) for k, nodes in ((1, range(50)), (2, range(50)), (3, (7, 8)), (4, (9,)), (5, range(40, 60))) for n in nodes]
+    kept = buckets.kept_buckets(spark.createDataFrame(rows, "key long, node long"))
+    assert {r.key for r in kept.collect()} == {1, 3, 5}
+    for within in (True, False):
+        met = Counter()
+        for task in h.grouped(((r.bin, r.low, r.high), r) for r in buckets.dealt(kept.withColumn("size", F.lit(1)), 12, within).collect()).values():
+            for own in h.grouped((r.key, r) for r in task).values():
+                sides = [{r.node for r in own if r.block == side} for side in (own[0].low, own[0].high)]
+                if own[0].low == own[0].high:
+                    pairs = [(own[0].key, a, b) for a in sides[0] for b in sides[0] if a < b]
+                else:
+                    pairs = [(own[0].key, *sorted((a, b))) for a in sides[0] for b in sides[1]]
+                    pairs += [] if within else [(own[0].key, a, b) for s in sides for a in s for b in s if a < b]
+                met.update(pairs)
+        want = {(k, a, b) for k, nodes in ((1, range(50)), (3, (7, 8)), (5, range(40, 60))) for a in nodes for b in nodes if a < b}
+        assert set(met) == want and (not within or max(met.values()) == 1)
+
+
 @settings(max_examples=30, deadline=None)
 @given(st.integers(0, 10_000))
 def test_linked_connects_what_is_connected(seed):
@@ -179,13 +212,13 @@ def test_linked_connects_what_is_connected(seed):
     assert [find(mine, i) for i in range(25)] == [find(of, i) for i in range(25)]
 
 
-@pytest.mark.parametrize("block", [1000, 2_000_000])
+@pytest.mark.parametrize("block", [(1000, 5), (2_000_000, 2000)])
 def test_near_copies(spark, block):
     rows = sorted(h.corpus(), key=h.order)
     of = h.classes(rows)
     least = {c: min((rows[i][0] for i in range(len(rows)) if of[i] == c and rows[i][0] is not None), default=None) for c in set(of)}
     want = Counter((r[0], least[c] if h.words(r[1]) else r[0]) for r, c in zip(rows, of, strict=True))
-    got = dartminhash.classes(h.frame(spark), block).collect()
+    got = dartminhash.classes(h.frame(spark), *block).collect()
     assert Counter((r.doc_id, r.class_id) for r in got) == want
     assert all(r.doc_id == r.class_id for r in got if r.kept)
     kept = h.grouped((r.class_id, r.text_hash) for r in got if r.kept)
@@ -198,7 +231,7 @@ def test_deduplicated(spark):
     assert kept.columns == h.frame(spark).columns
     got = kept.collect()
     of = h.classes(sorted(rows, key=h.order))
-    assert len({h.shingles(r.text) for r in got if h.words(r.text)}) == sum(1 for r in got if h.words(r.text)) == len({c for r, c in zip(sorted(rows, key=h.order), of, strict=True) if h.words(r[1])})
+    assert len({frozenset(h.weighted(r.text).items()) for r in got if h.words(r.text)}) == sum(1 for r in got if h.words(r.text)) == len({c for r, c in zip(sorted(rows, key=h.order), of, strict=True) if h.words(r[1])})
     assert dartminhash.deduplicated(h.frame(spark, [])).collect() == []
 
 
