@@ -4,28 +4,34 @@ Of all suffixes only those are retained that begin at a minimiser: of any `lengt
 position whose `k`-word prefix hashes lowest (leftmost of ties).  Equal passages retain equal positions,
 so two documents that share a passage of `length` words share a retained suffix prefix.
 
-1. Each chunk of consecutive ids sends its retained suffixes' prefixes, sorted, to the buckets of the
-   hash space; a bucket merges them and compares neighbours.  Prefixes of two chunks or more go back.
-2. From each such suffix the match is extended to the left and to the right: the windows of `length` words
-   whose minimiser it is are sent the same way, and every chunk but the first that holds a window hears of it.
-   Overlapping windows join to maximal passages.
+1. Candidates.  Each chunk of consecutive ids sends the hashes of its retained suffixes' prefixes to the buckets of the
+   hash space; prefixes of two chunks or more go back, and the hashes of the windows of `length` words
+   around them are sent and answered the same way.  A suffix without a repeated hash has no match and is not sorted.
+2. Sorting.  The other suffixes are sorted by their words (Spark's sort, within the partition of their leading words) and each is
+   compared, word by word, with its neighbour: the common prefix is how far a match reaches to the right.  The words before
+   them, read backwards, are sorted and compared likewise: how far it reaches to the left.
+3. Extension.  A window that begins `a` words before its suffix is the same in two documents if they match `length - a` words to the right and
+   `a` words to the left.  The sorted orders give that for all suffixes at once: runs of neighbours that match so far.  The earliest
+   window of each run stays.  Overlapping windows join to maximal passages.
 
 A word goes if one of its windows of `length` words also begins earlier: in a document of smaller id, or
-earlier in the same document.  That is exact but for collisions of 64-bit hashes.  A chunk sends a prefix or
-window once, so a passage in a third of all documents is one entry a chunk; nothing is emitted in pairs.
+earlier in the same document.  That is decided on words, not on hashes.  A chunk first sorts its own suffixes and sends on
+what is new in it, once, so a passage in a third of all documents is one row a chunk; nothing is emitted in pairs.
 
 Defined results: a null or blank text has no words and is left as it is; a null doc_id counts as after all
 others; rows that share a doc_id are ordered by text; texts shorter than `length` words never change; any
-other columns are carried along unchanged.
+other columns, whatever their names, are carried along unchanged.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
@@ -35,7 +41,10 @@ from .textarrays import Words, mix, pack, split_sorted, tidy, unpack, window_has
 
 _MESSAGE = "chunk int, bucket int, hashes binary"
 _ARROW = pa.schema([("chunk", pa.int32()), ("bucket", pa.int32()), ("hashes", pa.binary())])
-_POSITION_BITS = np.uint64(28)
+_POSITION_BITS = 28
+_SUFFIX = "prefix long, suffix binary, before binary, chunk int, anchor int, open long"
+_FOUND = "chunk int, anchor int, repeated long"
+_SORTED_AT_ONCE = 8192
 
 
 def retained(words: Words, hashes: np.ndarray, at: np.ndarray, length: int, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -45,7 +54,7 @@ def retained(words: Words, hashes: np.ndarray, at: np.ndarray, length: int, k: i
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     prefix = np.full(n, np.iinfo(np.uint64).max, np.uint64)
     prefix[: n - k + 1] = window_hashes(hashes, np.arange(n - k + 1), np.arange(k, n + 1))
-    low = (np.uint64(1) << _POSITION_BITS) - np.uint64(1)
+    low = np.uint64((1 << max(_POSITION_BITS, n.bit_length())) - 1)
     keyed = (mix(prefix) & ~low) | np.arange(n, dtype=np.uint64)
     width, have = length - k + 1, 1
     while have < width:  # minima over ever longer runs of positions
@@ -101,42 +110,160 @@ def _send_windows(length: int, k: int, n_buckets: int):
     return send
 
 
-def _neighbours(but_first: bool):
-    """One bucket: hashes that are in several chunks, told to all of these, or to all but the first."""
-
-    def compare(table: pa.Table) -> pa.Table:
-        rows = sorted(table.to_pylist(), key=lambda r: r["chunk"])
-        values = [unpack(r["hashes"]) for r in rows]
-        merged = np.concatenate(values)
-        order = np.argsort(merged, kind="stable")
-        ranked = merged[order]
-        as_before = np.zeros(len(ranked), bool)
-        as_before[1:] = ranked[1:] == ranked[:-1]
-        told = as_before.copy()
-        if not but_first:
-            told[:-1] |= as_before[1:]
-        flags = np.zeros(len(merged), bool)
-        flags[order] = told
-        out, i = {"chunk": [], "bucket": [], "hashes": []}, 0
-        for r, v in zip(rows, values, strict=True):
-            got = v[flags[i : i + len(v)]]
-            i += len(v)
-            if len(got):
-                out["chunk"].append(r["chunk"])
-                out["bucket"].append(r["bucket"])
-                out["hashes"].append(pack(got))
-        return pa.table(out, _ARROW)
-
-    return compare
+def _shared(table: pa.Table) -> pa.Table:
+    """One bucket: hashes that are in several chunks, told to all of these."""
+    rows = sorted(table.to_pylist(), key=lambda r: r["chunk"])
+    values = [unpack(r["hashes"]) for r in rows]
+    merged = np.concatenate(values)
+    order = np.argsort(merged, kind="stable")
+    ranked = merged[order]
+    as_before = np.zeros(len(ranked), bool)
+    as_before[1:] = ranked[1:] == ranked[:-1]
+    told = as_before.copy()
+    told[:-1] |= as_before[1:]
+    flags = np.zeros(len(merged), bool)
+    flags[order] = told
+    out, i = {"chunk": [], "bucket": [], "hashes": []}, 0
+    for r, v in zip(rows, values, strict=True):
+        got = v[flags[i : i + len(v)]]
+        i += len(v)
+        if len(got):
+            out["chunk"].append(r["chunk"])
+            out["bucket"].append(r["bucket"])
+            out["hashes"].append(pack(got))
+    return pa.table(out, _ARROW)
+
+
+def _stream(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[bytes, np.ndarray]:
+    """The words, each with one space after it, and where each begins."""
+    size = ends - starts + 1
+    stop = np.cumsum(size)
+    source = np.arange(int(stop[-1]) if len(stop) else 0) - np.repeat(stop - size - starts, size)
+    flat = data[np.minimum(source, len(data) - 1)] if len(source) else np.zeros(0, np.uint8)
+    flat[stop - 1] = 0x20
+    return flat.tobytes(), np.concatenate([[0], stop])
+
+
+def contexts(words: Words, anchors: np.ndarray, length: int, k: int) -> tuple[list[bytes], list[bytes]]:
+    """Of each anchor the words from it on, `length` at most, and those before it, the nearest first, as far as a window may reach."""
+    doc = np.searchsorted(words.first, anchors, side="right") - 1
+    stop, begin = np.minimum(anchors + length, words.first[doc + 1]), np.maximum(anchors - (length - k), words.first[doc])
+    flat, at = _stream(words.data, words.starts, words.ends)
+    suffixes = [flat[i:j] for i, j in zip(at[anchors].tolist(), at[stop].tolist(), strict=True)]
+    flat, at = _stream(words.data, words.starts[::-1], words.ends[::-1])
+    n = len(words.starts)
+    return suffixes, [flat[i:j] for i, j in zip(at[n - anchors].tolist(), at[n - begin].tolist(), strict=True)]
+
+
+def _word_numbers(texts: list[bytes], width: int) -> np.ndarray:
+    """One row a text: numbers of its words, equal for equal words; -1 after its end."""
+    parts = pc.split_pattern(pa.array(texts, pa.large_binary()), " ")
+    counts = np.diff(parts.offsets.to_numpy())
+    numbers = parts.flatten().dictionary_encode().indices.to_numpy()
+    row = np.repeat(np.arange(len(texts)), counts)
+    column = np.arange(len(numbers)) - np.repeat(np.cumsum(counts) - counts, counts)
+    real = column < counts[row] - 1  # what follows the last space is no word
+    out = np.full((len(texts), width), -1, np.int32)
+    out[row[real], column[real]] = numbers[real]
+    return out
+
+
+def _common(numbers: np.ndarray) -> np.ndarray:
+    """How many leading words each row shares with the row before it (-1 for the first)."""
+    same = numbers[1:] == numbers[:-1]
+    reach = np.where(same.all(1), numbers.shape[1], same.argmin(1)) if numbers.shape[1] else np.zeros(len(same), int)
+    return np.concatenate([[-1], reach])
+
+
+def repeated_windows(suffixes: list[bytes], before: list[bytes], age: np.ndarray, windows: np.ndarray, length: int, k: int) -> np.ndarray:
+    """Of each suffix which of its windows also begin at an earlier one; bit a: the window that begins a words before the suffix.
+
+    windows: those that are asked for, all of `length` words within a document."""
+    n = len(suffixes)
+    right, left = (np.array(sorted(range(n), key=texts.__getitem__), np.int64) for texts in (suffixes, before))
+    reach_right = _common(_word_numbers([suffixes[i] for i in right.tolist()], length))
+    reach_left = _common(_word_numbers([before[i] for i in left.tolist()], length - k))
+    out, run_right, run_left = np.zeros(n, np.uint64), np.zeros(n, np.int64), np.zeros(n, np.int64)
+    for a in range(length - k + 1):
+        rows = np.flatnonzero((windows >> np.uint64(a)) & np.uint64(1))
+        if len(rows) < 2:
+            continue
+        run_right[right], run_left[left] = np.cumsum(reach_right < length - a), np.cumsum(reach_left < a)
+        run = run_right[rows] * (n + 1) + run_left[rows]
+        order = np.lexsort((age[rows], run))
+        again = np.zeros(len(rows), bool)
+        again[1:] = run[order][1:] == run[order][:-1]
+        out[rows[order[again]]] |= np.uint64(1 << a)
+    return out
+
+
+class _Candidates:
+    """The suffixes of a chunk with windows that may repeat, and which of these repeat within the chunk."""
+
+    def __init__(self, c: _Chunk, elsewhere: np.ndarray, length: int, k: int):
+        _, inverse, times = np.unique(c.windows, return_inverse=True, return_counts=True)
+        maybe = np.flatnonzero(elsewhere | (times[inverse] > 1))
+        self.anchors, own = np.unique(c.anchor[maybe], return_inverse=True)
+        bit = np.uint64(1) << (c.anchor[maybe] - c.at[maybe]).astype(np.uint64)
+        asked, shared = np.zeros(len(self.anchors), np.uint64), np.zeros(len(self.anchors), np.uint64)
+        np.bitwise_or.at(asked, own, bit)
+        np.bitwise_or.at(shared, own[elsewhere[maybe]], bit[elsewhere[maybe]])
+        self.suffixes, self.before = contexts(c.words, self.anchors, length, k)
+        self.repeated = repeated_windows(self.suffixes, self.before, self.anchors, asked, length, k)
+        self.open = shared & ~self.repeated  # new in this chunk, and perhaps in another one too
+
+
+def _send_suffixes(length: int, k: int):
+    schema = pa.schema([("prefix", pa.int64()), ("suffix", pa.binary()), ("before", pa.binary()), ("chunk", pa.int32()), ("anchor", pa.int32()), ("open", pa.int64())])
+
+    def send(docs: pa.Table, answers: pa.Table) -> pa.Table:
+        if not docs.num_rows or not answers.num_rows:
+            return schema.empty_table()
+        c = _Chunk(docs.select(["doc_id", "text"]), length, k)
+        found = _Candidates(c, _isin(c.windows, _heard(answers)), length, k)
+        at = np.flatnonzero(found.open)
+        columns = [c.prefix[found.anchors[at]].view(np.int64), [found.suffixes[i] for i in at.tolist()], [found.before[i] for i in at.tolist()], np.full(len(at), docs["chunk"][0].as_py()), found.anchors[at], found.open[at].view(np.int64)]
+        return pa.table([pa.array(x, f.type) for x, f in zip(columns, schema, strict=True)], schema=schema)
+
+    return send
+
+
+def _extend(length: int, k: int):
+    """Suffixes sorted by prefix and words: the windows that also begin in an earlier chunk."""
+
+    def emit(table: pa.Table) -> pa.RecordBatch:
+        chunk, anchor = (table[c].to_numpy().astype(np.int64) for c in ("chunk", "anchor"))
+        again = repeated_windows(table["suffix"].to_pylist(), table["before"].to_pylist(), (chunk << 32) | anchor, table["open"].to_numpy().view(np.uint64), length, k)
+        at = np.flatnonzero(again)
+        return pa.record_batch([pa.array(chunk[at], pa.int32()), pa.array(anchor[at], pa.int32()), pa.array(again[at].view(np.int64))], names=["chunk", "anchor", "repeated"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            held.append(batch)
+            if sum(b.num_rows for b in held) >= _SORTED_AT_ONCE:
+                table = pa.Table.from_batches(held)
+                prefix = table["prefix"].to_numpy()
+                cut = int(np.searchsorted(prefix, prefix[-1]))  # suffixes of the last prefix may go on in the next batch
+                if cut:
+                    yield emit(table.slice(0, cut))
+                    held = table.slice(cut).combine_chunks().to_batches()
+        if held:
+            yield emit(pa.Table.from_batches(held))
+        tidy()
+
+    return run
 
 
 def _resolve(length: int, k: int, texts: bool):
     def resolve(docs: pa.Table, answers: pa.Table) -> pa.Table:
         c = _Chunk(docs, length, k)
         w = c.words
-        _, first, inverse = np.unique(c.windows, return_index=True, return_inverse=True)
-        again = _isin(c.windows, _heard(answers)) | (first[inverse] != np.arange(len(c.at)))
-        gone = w.covered(c.at[again], length)
+        found = _Candidates(c, np.zeros(len(c.at), bool), length, k)
+        anchors = np.concatenate([found.anchors, answers["anchor"].to_numpy().astype(np.int64)])
+        repeated = np.concatenate([found.repeated, answers["repeated"].to_numpy().view(np.uint64)])
+        starts = [anchors[((repeated >> np.uint64(a)) & np.uint64(1)).astype(bool)] - a for a in range(length - k + 1)]
+        gone = w.covered(np.concatenate(starts), length)
         n_gone = w.per_doc(gone)
         if texts:
             out, offsets = c.docs["text"].to_pylist(), w.offsets
@@ -182,6 +309,8 @@ _SPANS = StructType(
 
 
 def _plan(docs: DataFrame, length: int, k: int, chunk_bytes: int, texts: bool) -> DataFrame:
+    if not 0 <= length - k <= 62:
+        raise ValueError(f"a suffix of {k} words or more lies in at most 63 windows, so {k} <= length <= {k + 62}")
     total = cluster.text_bytes(docs)
     n_buckets = max(8, math.ceil(total / (16 << 20)))
     chunks = cluster.with_chunk(docs, chunk_bytes, total)
@@ -197,9 +326,12 @@ def _plan(docs: DataFrame, length: int, k: int, chunk_bytes: int, texts: bool) -
         schema = StructType([chunks.schema["row"], StructField("text", StringType()), StructField("n_removed", LongType())])
     by_chunk = chunks.groupBy("chunk")
     prefixes = by_chunk.applyInArrow(_send_prefixes(length, k, n_buckets), _MESSAGE)
-    shared = prefixes.groupBy("bucket").applyInArrow(_neighbours(False), _MESSAGE)
+    shared = prefixes.groupBy("bucket").applyInArrow(_shared, _MESSAGE)
     windows = chunks.groupBy("chunk").cogroup(shared.groupBy("chunk")).applyInArrow(_send_windows(length, k, n_buckets), _MESSAGE)
-    repeated = windows.groupBy("bucket").applyInArrow(_neighbours(True), _MESSAGE)
+    candidates = windows.groupBy("bucket").applyInArrow(_shared, _MESSAGE)
+    suffixes = chunks.groupBy("chunk").cogroup(candidates.groupBy("chunk")).applyInArrow(_send_suffixes(length, k), _SUFFIX)
+    ordered = suffixes.repartition("prefix").sortWithinPartitions("prefix", "suffix")
+    repeated = ordered.mapInArrow(_extend(length, k), _FOUND)
     return chunks.groupBy("chunk").cogroup(repeated.groupBy("chunk")).applyInArrow(_resolve(length, k, texts), schema)
 
 

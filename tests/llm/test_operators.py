@@ -120,6 +120,45 @@ def test_suffix_dedup(spark, length, k, chunk):
     assert suffix_dedup.without_repeats(h.frame(spark, [])).collect() == []
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.integers(0, 10_000))
+def test_suffixes_match_as_far_as_their_words_do(seed):
+    """Every window of every suffix against a plain search, in texts of few words, where matches end anywhere."""
+    rng = random.Random(seed)
+    length, k = 8, 3
+    say = [[rng.choice(("a", "b", "ab", "é", "a\x01")) for _ in range(rng.randrange(0, 25))] for _ in range(6)]
+    w = Words(pa.array([" ".join(x) for x in say]))
+    anchors = np.array([i for i in range(len(w.starts)) if rng.random() < 0.6], np.int64)
+    flat = [x for t in say for x in t]
+    doc = np.searchsorted(w.first, anchors, side="right") - 1
+    asked = np.zeros(len(anchors), np.uint64)
+    for i, (p, d) in enumerate(zip(anchors.tolist(), doc.tolist(), strict=True)):
+        for a in range(length - k + 1):
+            if p - a >= w.first[d] and p - a + length <= w.first[d + 1]:
+                asked[i] |= np.uint64(1 << a)
+    got = suffix_dedup.repeated_windows(*suffix_dedup.contexts(w, anchors, length, k), anchors, asked, length, k)
+    for a in range(length - k + 1):
+        seen = set()
+        for i, p in enumerate(anchors.tolist()):
+            if int(asked[i]) >> a & 1:
+                window = tuple(flat[p - a : p - a + length])
+                assert bool(int(got[i]) >> a & 1) == (window in seen)
+                seen.add(window)
+
+
+def test_equal_hashes_of_different_words_do_not_match(spark, monkeypatch):
+    """Passages are told apart by words: with hashes of three values nearly all collide."""
+    c = suffix_dedup._Chunk(pa.table({"doc_id": [1, 2, 3], "text": [" ".join(f"{x}{i}" for i in range(30)) for x in "abb"]}), 10, 4)
+    c.windows %= np.uint64(3)
+    found = suffix_dedup._Candidates(c, np.ones(len(c.at), bool), 10, 4)
+    assert sum(int(x).bit_count() for x in found.repeated) == 21
+
+
+def test_suffixes_are_sorted_by_spark(spark):
+    plan = suffix_dedup.repeated_passages(h.frame(spark))._jdf.queryExecution().executedPlan().toString()
+    assert "prefix#" in plan and any("Sort [prefix#" in x and "suffix#" in x for x in plan.splitlines())
+
+
 def test_untouched_texts_stay_as_they_are(spark):
     rows = h.corpus()
     clean = Counter(x[1] for x, (_, _, g) in zip(sorted(rows, key=h.order), h.removed(rows, 50), strict=True) if not any(g))
