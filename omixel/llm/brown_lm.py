@@ -352,12 +352,12 @@ def _ask(n_buckets: int):
     return ask
 
 
-_ASKED = "chunk int, bucket int, payload binary"
-_ASKED_ARROW = pa.schema([("chunk", pa.int32()), ("bucket", pa.int32()), ("payload", pa.binary())])
+_ASKED = "chunk long, bucket int, payload binary"
+_ASKED_ARROW = pa.schema([("chunk", pa.int64()), ("bucket", pa.int32()), ("payload", pa.binary())])
 
 
-_ANSWERS = "chunk int, bucket int, counts binary, classes binary"
-_ANSWERS_ARROW = pa.schema([("chunk", pa.int32()), ("bucket", pa.int32()), ("counts", pa.binary()), ("classes", pa.binary())])
+_ANSWERS = "chunk long, bucket int, counts binary, classes binary"
+_ANSWERS_ARROW = pa.schema([("chunk", pa.int64()), ("bucket", pa.int32()), ("counts", pa.binary()), ("classes", pa.binary())])
 
 
 def _answer(rare: int):

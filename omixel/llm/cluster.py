@@ -9,11 +9,21 @@ import re
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 _LAST = (1 << 63) - 1
+#: bytes of text in a range of ids, which one task sorts
+RANGE_BYTES = 256 << 20
+_SEQUENCE_BITS = 24
+#: folders to remove, for each `temporary` that is open
+_open: list[list[str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -32,16 +42,30 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder name below the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+def scratch(spark: SparkSession, name: str, lasting: bool = False) -> str:
+    """A new folder name below the shared folder; lasting: it outlives the innermost `temporary`."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    levels = _open[:-1] if lasting else _open
+    if levels:
+        levels[-1].append(path)
+    return path
 
 
-def written(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
+@contextlib.contextmanager
+def temporary(spark: SparkSession):
+    """Removes, at the end, what is written inside, but for what is lasting."""
+    _open.append([])
+    try:
+        yield
+    finally:
+        for path in _open.pop():
+            remove(spark, path)
+
+
+def written(df: DataFrame, name: str, lasting: bool = False) -> DataFrame:
     """Write df to the shared folder and read it back: cuts lineage and outlives executors."""
-    path = scratch(df.sparkSession, name)
-    writer = df.write
-    (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
+    path = scratch(df.sparkSession, name, lasting)
+    df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -72,9 +96,9 @@ def text_bytes(docs: DataFrame) -> int:
 
 
 def id_bounds(docs: DataFrame, n: int) -> list[int]:
-    """At most n ids that cut documents into ranges of about equal rows; the first is the smallest id.
+    """At most n (and 65,536) ids that cut documents into ranges of about equal rows; the first is the smallest id.
 
-    The list is bounded by n, whatever the number of documents."""
+    For ranges whose size bounds no task's memory: batches, and ranges that Spark sorts and walks through."""
     n = max(1, min(n, 1 << 16))
     shares = [i / n for i in range(n)]
     got = docs.agg(F.percentile_approx(id_order(F.col("doc_id")), F.lit(shares), F.lit(max(10_000, 4 * n)))).first()[0]
@@ -95,7 +119,32 @@ def range_of(key: Column, bounds: list[int]) -> Column:
     )
 
 
-def with_chunk(docs: DataFrame, bytes_per_chunk: int, total_bytes: int) -> DataFrame:
-    """doc_id, text and `chunk`: ranges of ids of about bytes_per_chunk bytes of text, rising with doc_id."""
-    bounds = id_bounds(docs, math.ceil(total_bytes / bytes_per_chunk))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), range_of(id_order(F.col("doc_id")), bounds).cast("int").alias("chunk"))
+def _number(bytes_per_chunk: int):
+    """Adds the chunk: the number of the task's range, and how many chunks of text came before in it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        base, before = TaskContext.get().partitionId() << _SEQUENCE_BITS, 0
+        for batch in batches:
+            sizes = pc.binary_length(batch.column("text")).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64) + 1
+            ends = before + np.cumsum(sizes)
+            before = int(ends[-1]) if len(ends) else before
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(base + (ends - sizes) // bytes_per_chunk, pa.int64())], names=[*batch.schema.names, "chunk"])
+
+    return run
+
+
+def with_chunk(docs: DataFrame, bytes_per_chunk: int, total_bytes: int, row: Column | None = None, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """doc_id, text, chunk (and row): texts of about bytes_per_chunk bytes in all share a chunk, which rises with (doc_id, text).
+
+    Ids are dealt to ranges by Spark's range partitioning, null ids last, and numbered within each range; so neither many
+    rows of one id, nor null ids, nor long texts make a chunk larger than bytes_per_chunk and one text, and nothing is
+    gathered on the driver.  Rows of one id and the same first letters share a range; equal rows may stand in any order.
+    Written, so that a chunk stays the same however often it is read."""
+    columns = [F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *([] if row is None else [row.alias("row")])]
+    n = max(1, math.ceil(total_bytes / range_bytes), math.ceil(math.sqrt(total_bytes / bytes_per_chunk)))
+    key = F.col("doc_id").asc_nulls_last()
+    dealt = docs.select(*columns).repartitionByRange(n, key, F.left(F.col("text"), F.lit(64))).sortWithinPartitions(key, "text")
+    with shuffles_end_with_query(docs.sparkSession):
+        return written(dealt.mapInArrow(_number(bytes_per_chunk), StructType([*dealt.schema.fields, StructField("chunk", LongType())])), "chunks")

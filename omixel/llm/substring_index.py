@@ -1,20 +1,21 @@
 """Substring dedup with a log-structured index of window fingerprints.
 
 Documents arrive in batches of ascending doc_id.  The index is a set of immutable runs; a run holds, for
-each bucket of the hash space, the sorted distinct hashes of all windows of one or more earlier batches.
-A batch is cut into chunks of consecutive ids.  Each chunk sends its sorted distinct window hashes to
+each bucket of the hash space, the sorted distinct fingerprints of all windows of one or more earlier batches.
+A batch is cut into chunks of consecutive ids.  Each chunk sends its sorted distinct window fingerprints to
 the buckets, a bucket merges them with its part of every run, and answers each chunk with one bit per
-hash: seen before, or not.  What no run holds becomes the batch's own run; once `fan_in` runs exist they are
-merged into one.  A window is a window of `size` words; it counts as seen only if its hash and an
-independent check hash of the same words agree with one earlier window.
+fingerprint: seen before, or not.  What no run holds becomes the batch's own run; once `fan_in` runs exist they are
+merged into one.  A window is a window of `size` words.  Its fingerprint is a 64-bit hash, by which runs are sorted and
+merged, and a 32-bit check that verifies it: a hash of the same words that is made of their bytes independently of the first.
+Windows count as equal, within a chunk, across chunks and in runs, only if both agree; those that agree in the hash alone
+stand side by side.
 
-Hot windows cost nothing extra: a chunk sends each hash once, however often it holds it.  A bucket gets
-a bounded number of hashes, since the number of buckets follows the batch.  Texts are shuffled once a
-batch, by chunk; no window is ever a row.
+Hot windows cost nothing extra: a chunk sends each fingerprint once, however often it holds it.  A bucket gets
+a bounded number of them, since the number of buckets follows the batch.  No window is ever a row.
 
 Results are defined for every input: a null or blank text has no words and keeps the empty text; a null
 doc_id counts as after all others; rows that share a doc_id are ordered by their text, and the later of
-them counts as later; other columns are ignored.
+them counts as later; other columns, whatever their names, are ignored; of an empty table nothing comes.
 """
 
 from __future__ import annotations
@@ -28,10 +29,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import cluster
-from .textarrays import Words, mix, pack, split_sorted, tidy, unpack, window_hashes
+from .textarrays import Words, pack, split_sorted, tidy, unpack, window_hashes
 
 _RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
-_MESSAGE = "chunk int, bucket int, hashes binary, checks binary"
+_MESSAGE = "chunk long, bucket int, hashes binary, checks binary"
 
 
 def ordered(table: pa.Table) -> pa.Table:
@@ -48,21 +49,30 @@ def chunk_windows(table: pa.Table, size: int) -> tuple[Words, np.ndarray, np.nda
 
 
 def _checks(words: Words, at: np.ndarray, size: int) -> np.ndarray:
-    """16 bits of a second hash of the same windows, from other word hashes."""
-    other = mix(words.hashes() ^ np.uint64(0xA5A5F00DC3D2E1B7))
-    return (window_hashes(other, at, at + size) >> np.uint64(48)).astype("<u2")
+    """32 bits of the second hash of the windows."""
+    return (window_hashes(words.checks(), at, at + size) >> np.uint64(32)).astype("<u4")
+
+
+def distinct(hashed: np.ndarray, checks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes, checks, first place, number of each given one) of the distinct fingerprints, sorted."""
+    order = np.lexsort((checks, hashed))
+    h, c = hashed[order], checks[order]
+    fresh = np.ones(len(h), bool)
+    fresh[1:] = (h[1:] != h[:-1]) | (c[1:] != c[:-1])
+    number = np.empty(len(h), np.int64)
+    number[order] = np.cumsum(fresh) - 1
+    return h[fresh], c[fresh], order[fresh], number
 
 
 def _send(size: int, n_buckets: int):
     def send(table: pa.Table) -> pa.Table:
         chunk = table["chunk"][0].as_py()
         words, at, hashed = chunk_windows(ordered(table), size)
-        unique, first = np.unique(hashed, return_index=True)
-        checks = _checks(words, at, size)[first]
+        unique, checks, _, _ = distinct(hashed, _checks(words, at, size))
         parts = split_sorted(unique, n_buckets)
         return pa.table(
             {
-                "chunk": pa.array([chunk] * len(parts), pa.int32()),
+                "chunk": pa.array([chunk] * len(parts), pa.int64()),
                 "bucket": pa.array([b for b, _, _ in parts], pa.int32()),
                 "hashes": pa.array([pack(unique[i:j]) for _, i, j in parts], pa.binary()),
                 "checks": pa.array([checks[i:j].tobytes() for _, i, j in parts], pa.binary()),
@@ -86,16 +96,14 @@ def _merge(keep_run: bool):
         parts = [(-1, h) for h in history.to_pylist()] + [(r["chunk"], r) for r in rows]
         if rows:
             values = [unpack(r["hashes"]) for _, r in parts]
-            checks = np.concatenate([np.frombuffer(r["checks"], "<u2") for _, r in parts])
+            checks = np.concatenate([np.frombuffer(r["checks"], "<u4") for _, r in parts])
             merged = np.concatenate(values)
-            order = np.argsort(merged, kind="stable")  # equal hashes stay in order of age
+            order = np.lexsort((checks, merged))  # equal fingerprints stay in order of age
             merged, checks = merged[order], checks[order]
             fresh = np.ones(len(merged), bool)
-            fresh[1:] = merged[1:] != merged[:-1]
-            owner = np.flatnonzero(fresh)[np.cumsum(fresh) - 1]
-            verified = ~fresh & (checks == checks[owner])
+            fresh[1:] = (merged[1:] != merged[:-1]) | (checks[1:] != checks[:-1])
             seen = np.zeros(len(merged), bool)
-            seen[order] = verified
+            seen[order] = ~fresh
             at = sum(len(v) for (c, _), v in zip(parts, values, strict=True) if c < 0)
             aged = at
             for (c, r), v in zip(parts, values, strict=True):
@@ -107,7 +115,7 @@ def _merge(keep_run: bool):
             if keep_run:
                 own = fresh & (order >= aged)
                 add(-1 - rows[0]["bucket"], rows[0]["bucket"], pack(merged[own]), checks[own].tobytes())
-        return pa.table(out, pa.schema([("chunk", pa.int32()), ("bucket", pa.int32()), ("hashes", pa.binary()), ("checks", pa.binary())]))
+        return pa.table(out, pa.schema([("chunk", pa.int64()), ("bucket", pa.int32()), ("hashes", pa.binary()), ("checks", pa.binary())]))
 
     return merge
 
@@ -120,7 +128,7 @@ def _resolve(size: int, n_buckets: int):
         if docs.num_rows:
             docs = ordered(docs)
             words, at, hashed = chunk_windows(docs, size)
-            unique, first, inverse = np.unique(hashed, return_index=True, return_inverse=True)
+            unique, _, first, inverse = distinct(hashed, _checks(words, at, size))
             seen = np.zeros(len(unique), bool)
             spans = {b: (i, j) for b, i, j in split_sorted(unique, n_buckets)}
             for r in answers.to_pylist():
@@ -152,8 +160,8 @@ def _compact(table: pa.Table) -> pa.Table:
     """One bucket: several runs become one."""
     rows = table.to_pylist()
     merged = np.concatenate([unpack(r["hashes"]) for r in rows])
-    checks = np.concatenate([np.frombuffer(r["checks"], "<u2") for r in rows])
-    order = np.argsort(merged, kind="stable")
+    checks = np.concatenate([np.frombuffer(r["checks"], "<u4") for r in rows])
+    order = np.lexsort((checks, merged))
     return pa.table({"bucket": pa.array([rows[0]["bucket"]], pa.int32()), "hashes": pa.array([pack(merged[order])], pa.binary()), "checks": pa.array([checks[order].tobytes()], pa.binary())})
 
 
@@ -176,13 +184,13 @@ class SubstringIndex:
     def dedup(self, docs: DataFrame, keep_run: bool = True, total_bytes: int | None = None) -> DataFrame:
         """One row per document: doc_id, n_words, n_removed, kept_sha256.  Adds the batch to the index if keep_run."""
         total = cluster.text_bytes(docs) if total_bytes is None else total_bytes
-        chunks = cluster.with_chunk(docs, self.chunk_bytes, total)
-        sent = chunks.groupBy("chunk").applyInArrow(_send(self.size, self.n_buckets), _MESSAGE)
-        merged = sent.groupBy("bucket").cogroup(self._history().groupBy("bucket")).applyInArrow(_merge(keep_run), _MESSAGE)
-        both = chunks.groupBy("chunk").cogroup(merged.groupBy("chunk")).applyInArrow(_resolve(self.size, self.n_buckets), "run boolean, " + _RESULT + ", " + self._RUN)
         out = f"{self.path}/batch-{self._made:06d}"
         self._made += 1
-        with cluster.shuffles_end_with_query(self.spark):
+        with cluster.temporary(self.spark), cluster.shuffles_end_with_query(self.spark):
+            chunks = cluster.with_chunk(docs, self.chunk_bytes, total)
+            sent = chunks.groupBy("chunk").applyInArrow(_send(self.size, self.n_buckets), _MESSAGE)
+            merged = sent.groupBy("bucket").cogroup(self._history().groupBy("bucket")).applyInArrow(_merge(keep_run), _MESSAGE)
+            both = chunks.groupBy("chunk").cogroup(merged.groupBy("chunk")).applyInArrow(_resolve(self.size, self.n_buckets), "run boolean, " + _RESULT + ", " + self._RUN)
             both.write.partitionBy("run").parquet(out)
         if keep_run:
             self.runs.append(f"{out}/run=true")
@@ -210,8 +218,10 @@ class SubstringIndex:
         self.runs = []
 
 
-def dedup_documents(docs: DataFrame, size: int = 20, batch_bytes: int = 64 << 30, least_batches: int = 2) -> DataFrame:
-    """Dedup a whole table: batches of ascending ids through one index, which is dropped at the end."""
+def dedup_documents(docs: DataFrame, size: int = 20, batch_bytes: int = 64 << 30, least_batches: int = 4) -> DataFrame:
+    """Dedup a whole table: batches of ascending ids, four at least, through one index, which is dropped at the end.
+
+    The batches before the last leave runs, `fan_in` of which are compacted, as they are where batches arrive over time."""
     spark = docs.sparkSession
     total = cluster.text_bytes(docs)
     bounds = cluster.id_bounds(docs, max(least_batches, math.ceil(total / batch_bytes)))

@@ -39,11 +39,11 @@ from pyspark.sql.types import ArrayType, LongType, StringType, StructField, Stru
 from . import cluster
 from .textarrays import Words, mix, pack, split_sorted, tidy, unpack, window_hashes
 
-_MESSAGE = "chunk int, bucket int, hashes binary"
-_ARROW = pa.schema([("chunk", pa.int32()), ("bucket", pa.int32()), ("hashes", pa.binary())])
+_MESSAGE = "chunk long, bucket int, hashes binary"
+_ARROW = pa.schema([("chunk", pa.int64()), ("bucket", pa.int32()), ("hashes", pa.binary())])
 _POSITION_BITS = 28
-_SUFFIX = "prefix long, suffix binary, before binary, chunk int, anchor int, open long"
-_FOUND = "chunk int, anchor int, repeated long"
+_SUFFIX = "prefix long, suffix binary, before binary, chunk long, anchor int, open long"
+_FOUND = "chunk long, anchor int, repeated long"
 _SORTED_AT_ONCE = 8192
 
 
@@ -214,7 +214,7 @@ class _Candidates:
 
 
 def _send_suffixes(length: int, k: int):
-    schema = pa.schema([("prefix", pa.int64()), ("suffix", pa.binary()), ("before", pa.binary()), ("chunk", pa.int32()), ("anchor", pa.int32()), ("open", pa.int64())])
+    schema = pa.schema([("prefix", pa.int64()), ("suffix", pa.binary()), ("before", pa.binary()), ("chunk", pa.int64()), ("anchor", pa.int32()), ("open", pa.int64())])
 
     def send(docs: pa.Table, answers: pa.Table) -> pa.Table:
         if not docs.num_rows or not answers.num_rows:
@@ -233,9 +233,10 @@ def _extend(length: int, k: int):
 
     def emit(table: pa.Table) -> pa.RecordBatch:
         chunk, anchor = (table[c].to_numpy().astype(np.int64) for c in ("chunk", "anchor"))
-        again = repeated_windows(table["suffix"].to_pylist(), table["before"].to_pylist(), (chunk << 32) | anchor, table["open"].to_numpy().view(np.uint64), length, k)
+        age = np.argsort(np.lexsort((anchor, chunk)))
+        again = repeated_windows(table["suffix"].to_pylist(), table["before"].to_pylist(), age, table["open"].to_numpy().view(np.uint64), length, k)
         at = np.flatnonzero(again)
-        return pa.record_batch([pa.array(chunk[at], pa.int32()), pa.array(anchor[at], pa.int32()), pa.array(again[at].view(np.int64))], names=["chunk", "anchor", "repeated"])
+        return pa.record_batch([pa.array(chunk[at], pa.int64()), pa.array(anchor[at], pa.int32()), pa.array(again[at].view(np.int64))], names=["chunk", "anchor", "repeated"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -313,16 +314,11 @@ def _plan(docs: DataFrame, length: int, k: int, chunk_bytes: int, texts: bool) -
         raise ValueError(f"a suffix of {k} words or more lies in at most 63 windows, so {k} <= length <= {k + 62}")
     total = cluster.text_bytes(docs)
     n_buckets = max(8, math.ceil(total / (16 << 20)))
-    chunks = cluster.with_chunk(docs, chunk_bytes, total)
-    schema = _SPANS
+    row, schema = None, _SPANS
+    if texts:
+        row = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"])
+    chunks = cluster.with_chunk(docs, chunk_bytes, total, row)
     if texts:
-        bounds = cluster.id_bounds(docs, math.ceil(total / chunk_bytes))
-        chunks = docs.select(
-            F.col("doc_id").cast("long").alias("doc_id"),
-            F.col("text").cast("string").alias("text"),
-            cluster.range_of(cluster.id_order(F.col("doc_id")), bounds).cast("int").alias("chunk"),
-            F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("row"),
-        )
         schema = StructType([chunks.schema["row"], StructField("text", StringType()), StructField("n_removed", LongType())])
     by_chunk = chunks.groupBy("chunk")
     prefixes = by_chunk.applyInArrow(_send_prefixes(length, k, n_buckets), _MESSAGE)

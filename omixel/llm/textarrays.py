@@ -17,6 +17,8 @@ _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 #: odd 64-bit multipliers of the two polynomial hashes
 _BYTE_BASE = 0x9E3779B97F4A7C15 | 1
 _WORD_BASE = 0xD6E8FEB86659FD93 | 1
+#: of a second hash of bytes, which shares nothing with the first
+_CHECK_BASE = 0xA24BAED4963EE407 | 1
 _BLOCK = 1 << 19  # bytes of text hashed at once
 _ZSTD = pa.Codec("zstd", 1)
 
@@ -56,7 +58,7 @@ class _Powers:
         return self.up[:n], self.down[:n]
 
 
-_bytes_powers, _words_powers = _Powers(_BYTE_BASE), _Powers(_WORD_BASE)
+_bytes_powers, _words_powers, _check_powers = _Powers(_BYTE_BASE), _Powers(_WORD_BASE), _Powers(_CHECK_BASE)
 
 
 def _range_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, powers: _Powers) -> np.ndarray:
@@ -100,6 +102,13 @@ class Words:
 
     def hashes(self) -> np.ndarray:
         """A 64-bit hash of each word."""
+        return self._hashed(_bytes_powers)
+
+    def checks(self) -> np.ndarray:
+        """A second 64-bit hash of each word, independent of the first: made of its bytes, not of that."""
+        return ~self._hashed(_check_powers)
+
+    def _hashed(self, powers: _Powers) -> np.ndarray:
         out = np.empty(len(self.starts), np.uint64)
         i = 0
         while i < len(out):
@@ -107,7 +116,7 @@ class Words:
             j = max(i + 1, int(np.searchsorted(self.ends, low + _BLOCK, side="right")))
             s, e = self.starts[i:j] - low, self.ends[i:j] - low
             block = self.data[low : low + e[-1]].astype(np.uint64) + np.uint64(1)
-            out[i:j] = mix(_range_hash(block, s, e, _bytes_powers) + (e - s).astype(np.uint64))
+            out[i:j] = mix(_range_hash(block, s, e, powers) + (e - s).astype(np.uint64))
             i = j
         return out
 

@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -91,6 +92,50 @@ def test_substring_index(spark, chunk):
     index.drop_runs()
 
 
+def test_colliding_hashes_are_told_apart_by_the_check(monkeypatch):
+    """With word hashes of two values most windows collide in the hash; within a chunk, across chunks and in runs the check decides."""
+    monkeypatch.setattr(Words, "hashes", lambda self: self.checks() % np.uint64(2))
+    rng = random.Random(8)
+    texts = [" ".join(rng.choice("abc") for _ in range(40)) for _ in range(9)]
+    tables = [pa.table({"chunk": [c] * 3, "doc_id": list(range(3 * c, 3 * c + 3)), "text": texts[3 * c : 3 * c + 3]}) for c in range(3)]
+    send, merge, resolve = substring_index._send(6, 1), substring_index._merge(True), substring_index._resolve(6, 1)
+    history = pa.table({"bucket": pa.array([], pa.int32()), "hashes": pa.array([], pa.binary()), "checks": pa.array([], pa.binary())})
+    got = []
+    for part in (tables[:1], tables[1:]):
+        answers = merge(pa.concat_tables([send(t) for t in part]), history)
+        run = answers.filter(pc.less(answers["chunk"], 0)).select(["bucket", "hashes", "checks"])
+        history = pa.concat_tables([history, run]) if history.num_rows == 0 else substring_index._compact(pa.concat_tables([history, run]))
+        for t in part:
+            got += resolve(t, answers.filter(pc.equal(answers["chunk"], t["chunk"][0]))).select(["doc_id", "n_removed"]).to_pylist()
+    want = [(d, sum(g)) for d, _, g in h.removed(list(enumerate(texts)), 6)]
+    assert [(r["doc_id"], r["n_removed"]) for r in got] == want and 0 < sum(n for _, n in want) < 9 * 40
+    assert len(unpack(history["hashes"][0].as_py())) == len({tuple(t.split()[i : i + 6]) for t in texts for i in range(35)})
+
+
+def test_the_index_is_compacted_in_the_query(spark, monkeypatch):
+    made = []
+    compact = substring_index.SubstringIndex.compact
+    monkeypatch.setattr(substring_index.SubstringIndex, "compact", lambda self: (made.append(len(self.runs)), compact(self))[1])
+    substring_index.dedup_documents(h.frame(spark)).count()
+    assert made == [3]
+
+
+@pytest.mark.parametrize("doc_id", [7, None])
+def test_one_id_is_many_chunks(spark, doc_id):
+    """10,000 rows of one id, or of none, beside one long text: no chunk takes more than its bytes and one text."""
+    rows = [(doc_id, f"{i % 5000:05d} some words of it", "en", "s", 0, 0, "k") for i in range(10_000)] + [(3, "w " * 20_000, "en", "s", 0, 0, "k")]
+    docs = h.frame(spark, rows)
+    chunks = cluster.with_chunk(docs, 4000, cluster.text_bytes(docs), F.struct("chunk", "key"), range_bytes=50_000)
+    by = chunks.groupBy("chunk").agg(F.sum(F.length("text")).alias("n"), F.count("*").alias("rows"), F.min("text").alias("low"), F.max("text").alias("high"), F.count("doc_id").alias("ids")).orderBy("chunk").collect()
+    assert sum(r.rows for r in by) == 10_001 and len(by) > 40
+    assert all(r.n <= 4100 or r.rows < 200 and r.n < 44_100 for r in by)
+    same = [r for r in by if r.low[0] != "w" and r.high[0] != "w"]
+    assert all(a.high <= b.low for a, b in zip(same, same[1:], strict=False))
+    assert len({r.chunk >> cluster._SEQUENCE_BITS for r in by}) > 2
+    got = suffix_dedup.repeated_passages(docs, 4, 2, 4000).agg(F.sum("n_removed")).first()[0]
+    assert got == sum(sum(g) for _, _, g in h.removed(rows, 4))
+
+
 def test_dedup_documents(spark):
     got = substring_index.dedup_documents(h.frame(spark)).collect()
     assert Counter(r.kept_sha256 for r in got) == Counter(hashlib.sha256(" ".join(x for x, gone in zip(w, g, strict=True) if not gone).encode()).hexdigest() for _, w, g in h.removed(h.corpus(), 20))
