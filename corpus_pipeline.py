@@ -2,29 +2,35 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last keep the columns of documents.
 
-1. language ID: documents without a letter, of which no language can be told, go, and only these: neither the predicted
-   language nor its score rejects a document.  Where no language can be learned (no label outside the held-out documents), all
-   documents with a letter stay.
-2. near-dedup: of each class of near copies (Jaccard 0.8 of five-word shingles) the one of the least doc_id stays.
+1. language ID: documents whose language cannot be told go: those without a letter, and those of which no language has at least
+   LEAST_SCORE of the classifier's score.  A document without `lang` takes the predicted one.  Where no language can be learned (no label
+   outside the held-out documents), all documents with a letter stay as they are.
+2. near-dedup: of each class of near copies (weighted Jaccard 0.8 of five-word shingles) the one of the least doc_id stays.
 3. long repeats: passages of 50 words and more that also begin earlier are cut from the text.
 4. mixing: sources are repeated or thinned to 3 : 1 : 2 weights and 150 % of all words.
 5. packing: token ids in full sequences of up to 4096.
 
-Null texts go in stage 1; an empty table gives an empty result; further columns are carried along to stage 4."""
+Null texts go in stage 1; an empty table gives an empty result; further columns, whatever their names,
+are carried along to stage 4."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from omixel.llm import cluster, dartminhash, language_id, mixing, packing, suffix_dedup
 
+#: below it no language stands out from the others
+LEAST_SCORE = 0.4
+
 
 def tell_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = language_id.trained(docs)
     if not model.languages:
         return docs.filter(language_id.has_letter(docs["text"]))
     told = language_id.identified(docs, model)
-    return told.filter(told["__lang_pred"] != language_id.UNKNOWN).drop("__lang_pred", "__lang_score")
+    language, score = (F.col(c) for c in told.columns[-2:])
+    return told.filter((language != language_id.UNKNOWN) & (score >= LEAST_SCORE)).withColumn("lang", F.coalesce(F.col("lang").cast("string"), language)).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,6 +63,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = cluster.written(stage(spark, docs, sf_dir), f"pipeline-{name}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+    with cluster.temporary(spark):  # what stages leave goes when the last table is written
+        for name, stage in STAGES[:-1]:
+            with cluster.temporary(spark):  # what a stage leaves goes when its table is written
+                docs = cluster.written(stage(spark, docs, sf_dir), f"pipeline-{name}", lasting=True)
+        return cluster.written(STAGES[-1][1](spark, docs, sf_dir), f"pipeline-{STAGES[-1][0]}", lasting=True)

@@ -9,7 +9,7 @@ P(word | previous) = P(class | previous class) * P(word | class); transitions ar
 rare class leaves one share to all unseen words, so the probabilities of all known words and of "unseen" sum to 1.
 
 All counts cover the whole training corpus and grow with it: each task counts its words before the
-shuffle and sends sorted hashes with counts to buckets.  Only the TOP words, their bigram counts (at most
+shuffle and sends sorted hashes with counts to buckets.  Only the TOP words (from at most PARTS rows, however many buckets there are), their bigram counts (at most
 (TOP + 2) ** 2 numbers) and the class bigrams reach the driver.  A word's class lies in its bucket beside its count; it is found there from
 the word's counts of (class before) and (class after), at most 2 (CLASSES + 2) a word.  The vocabulary is never broadcast: each chunk of
 documents sends its distinct words to the buckets and gets counts and classes back, from which the class bigrams of all words
@@ -17,7 +17,7 @@ are counted and the documents scored.  A word in every document is one entry a t
 
 Words are told apart by 64-bit hashes.  Defined results: a null text is empty and has the end token only; documents
 with null doc_id are scored but not learned from; with no training document every token is unseen; repeated
-rows count as often as they occur.
+rows count as often as they occur; other columns, whatever their names, play no part; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -34,6 +34,8 @@ from . import cluster
 from .textarrays import Words, pack, split_sorted, unpack
 
 TOP, CLASSES, SWEEPS, SMOOTHING, LEAST = 1024, 64, 12, 2.0, 2
+#: rows that describe the vocabulary on the driver; parts of the bigram table; tasks whose bigrams are summed together first
+PARTS, BIGRAM_PARTS, TASKS_AT_ONCE = 64, 256, 128
 END = np.uint64(0xE0D0E0D0E0D0E0D1)
 _ZSTD = pa.Codec("zstd", 1)
 _COUNTS = "bucket int, hashes binary, counts binary"
@@ -111,15 +113,33 @@ def _sum_bucket(table: pa.Table) -> pa.Table:
     return pa.table([[table["bucket"][0].as_py()], [pack(keys)], [_numbers(counts)]], schema=_COUNTS_ARROW)
 
 
+_DESCRIBED = "part int, types long, tokens long, top binary, top_counts binary"
+_DESCRIBED_ARROW = pa.schema([("part", pa.int32()), ("types", pa.int64()), ("tokens", pa.int64()), ("top", pa.binary()), ("top_counts", pa.binary())])
+
+
+def _most_frequent(part: int, types: int, tokens: int, keys: np.ndarray, counts: np.ndarray) -> dict:
+    top = np.lexsort((keys, -counts.astype(np.int64)))[: TOP + 1]
+    return {"part": part, "types": types, "tokens": tokens, "top": keys[top].astype("<u8").tobytes(), "top_counts": counts[top].astype("<u8").tobytes()}
+
+
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each bucket: distinct words, tokens, and its most frequent words."""
+    """Of all buckets of a task: distinct words, tokens, and the most frequent words, in one row."""
+    from pyspark import TaskContext
+
+    types, tokens, top, top_counts = 0, 0, np.zeros(0, np.uint64), np.zeros(0, np.uint64)
     for batch in batches:
-        rows = []
         for r in batch.to_pylist():
             keys, counts = unpack(r["hashes"]), _read_numbers(r["counts"])
-            top = np.lexsort((keys, -counts.astype(np.int64)))[: TOP + 1]
-            rows.append({"types": len(keys), "tokens": int(counts.sum()), "top": keys[top].astype("<u8").tobytes(), "top_counts": counts[top].astype("<u8").tobytes()})
-        yield pa.RecordBatch.from_pylist(rows, pa.schema([("types", pa.int64()), ("tokens", pa.int64()), ("top", pa.binary()), ("top_counts", pa.binary())]))
+            row = _most_frequent(0, 0, 0, np.concatenate([top, keys]), np.concatenate([top_counts, counts]))
+            top, top_counts = (np.frombuffer(row[c], "<u8") for c in ("top", "top_counts"))
+            types, tokens = types + len(keys), tokens + int(counts.sum())
+    yield pa.RecordBatch.from_pylist([_most_frequent(TaskContext.get().partitionId() % PARTS, types, tokens, top, top_counts)], _DESCRIBED_ARROW)
+
+
+def _describe_all(table: pa.Table) -> pa.Table:
+    """The rows of several tasks in one: at most PARTS of them reach the driver."""
+    keys, counts = (np.concatenate([np.frombuffer(b, "<u8") for b in table[c].to_pylist()]) for c in ("top", "top_counts"))
+    return pa.Table.from_pylist([_most_frequent(table["part"][0].as_py(), sum(table["types"].to_pylist()), sum(table["tokens"].to_pylist()), keys, counts)], _DESCRIBED_ARROW)
 
 
 def _symbols(hashes: np.ndarray, vocabulary: np.ndarray) -> np.ndarray:
@@ -130,10 +150,14 @@ def _symbols(hashes: np.ndarray, vocabulary: np.ndarray) -> np.ndarray:
     return np.where(hashes == END, n + 1, np.where(found, at, n))
 
 
-def _count_bigrams(vocabulary: np.ndarray, parts: int = 16):
+def _count_bigrams(vocabulary: np.ndarray, parts: int = BIGRAM_PARTS):
+    """Bigram counts of a task, by part of the table; the bucket is the part and a number of the task."""
     size = len(vocabulary) + 2
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        first = TaskContext.get().partitionId() // TASKS_AT_ONCE * parts
         total = np.zeros(size * size, np.int64)
         for batch in batches:
             for texts in _slices(batch.column("text")):
@@ -144,7 +168,7 @@ def _count_bigrams(vocabulary: np.ndarray, parts: int = 16):
         codes = np.flatnonzero(total)
         part = codes * parts // (size * size)
         rows = [(p, codes[part == p]) for p in np.unique(part)]
-        yield pa.record_batch([pa.array([p for p, _ in rows], pa.int32()), pa.array([pack(c.astype(np.uint64)) for _, c in rows], pa.binary()), pa.array([_numbers(total[c]) for _, c in rows], pa.binary())], schema=_COUNTS_ARROW)
+        yield pa.record_batch([pa.array([first + p for p, _ in rows], pa.int32()), pa.array([pack(c.astype(np.uint64)) for _, c in rows], pa.binary()), pa.array([_numbers(total[c]) for _, c in rows], pa.binary())], schema=_COUNTS_ARROW)
 
     return count
 
@@ -325,7 +349,7 @@ def trained(docs: DataFrame, path: str, n_buckets: int, modulus: int = 7, remain
     spark, out, path = docs.sparkSession, path, f"{path}-counts"
     training = docs.filter(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), modulus, remainder)).select(F.col("text").cast("string").alias("text"))
     training.mapInArrow(_count_words(n_buckets), _COUNTS).groupBy("bucket").applyInArrow(_sum_bucket, _COUNTS).write.parquet(path)
-    described = spark.read.schema(_COUNTS).parquet(path).mapInArrow(_describe, "types long, tokens long, top binary, top_counts binary").collect()
+    described = spark.read.schema(_COUNTS).parquet(path).mapInArrow(_describe, _DESCRIBED).groupBy("part").applyInArrow(_describe_all, _DESCRIBED).collect()
     keys = np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(bytes(r.top), "<u8") for r in described)])
     counts = np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(bytes(r.top_counts), "<u8") for r in described)]).astype(np.int64)
     words = keys != END
@@ -335,7 +359,8 @@ def trained(docs: DataFrame, path: str, n_buckets: int, modulus: int = 7, remain
     vocabulary, counts = keys[top], counts[top]
     size = len(vocabulary) + 2
     bigrams = np.zeros(size * size, np.int64)
-    for r in training.mapInArrow(_count_bigrams(vocabulary), _COUNTS).groupBy("bucket").applyInArrow(_sum_bucket, _COUNTS).collect():
+    of_tasks = training.mapInArrow(_count_bigrams(vocabulary), _COUNTS).groupBy("bucket").applyInArrow(_sum_bucket, _COUNTS)
+    for r in of_tasks.withColumn("bucket", F.col("bucket") % BIGRAM_PARTS).groupBy("bucket").applyInArrow(_sum_bucket, _COUNTS).collect():
         bigrams[unpack(bytes(r.hashes)).astype(np.int64)] = _read_numbers(bytes(r.counts))
     model = Model(sum(r.tokens for r in described), sum(r.types for r in described), vocabulary, counts, bigrams.reshape(size, size).astype(np.float64))
     near = training.mapInArrow(_count_neighbours(model, n_buckets), _NEAR)
@@ -436,13 +461,13 @@ def scored(docs: DataFrame, modulus: int = 7, remainder: int = 2, chunk_bytes: i
         words = spark.read.schema(_WORDS).parquet(path)
         asked = chunks.groupBy("chunk").applyInArrow(_ask(n_buckets), _ASKED)
         answers = cluster.written(asked.groupBy("bucket").cogroup(words.groupBy("bucket")).applyInArrow(_answer(model.rare), _ANSWERS), "lm-answers")
-        pair, sizes, rare_types = np.zeros((model.end + 1) ** 2), np.zeros(model.end + 1), 0
+        pair, sizes = np.zeros((model.end + 1) ** 2), np.zeros(model.end + 1)
         pairs = chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_count_pairs(model.end), "code int, n long")
         for r in pairs.groupBy("code").agg(F.sum("n").alias("n")).collect():
             pair[r.code] = r.n
-        for r in words.select("sizes", "rare_types").collect():
-            sizes += r.sizes
-            rare_types += r.rare_types
+        for r in words.select(F.posexplode("sizes").alias("class", "n")).groupBy("class").agg(F.sum("n").alias("n")).collect():
+            sizes[r["class"]] = r.n
+        rare_types = words.agg(F.coalesce(F.sum("rare_types"), F.lit(0))).first()[0]
     model.widen(pair.reshape(model.end + 1, -1), sizes, rare_types)
     out = "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_score(model), out)

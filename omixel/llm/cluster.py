@@ -86,6 +86,24 @@ def shuffles_end_with_query(spark: SparkSession):
         spark.conf.unset(key) if before is None else spark.conf.set(key, before)
 
 
+def free_name(columns: list[str], name: str) -> str:
+    """`name`, or with underscores after it where a column is called so already (in any case)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def as_row(docs: DataFrame) -> Column:
+    """All columns in one, out of reach of names that an operator uses."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+
+
+def of_row(docs: DataFrame) -> list[Column]:
+    """The columns of docs again, from `row`."""
+    return [F.col("row").getField(c).alias(c) for c in docs.columns]
+
+
 def id_order(col: Column) -> Column:
     """doc_id as a sort key: null comes last."""
     return F.coalesce(col.cast("long"), F.lit(_LAST))

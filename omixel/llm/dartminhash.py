@@ -33,7 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import buckets, cluster
@@ -287,16 +287,12 @@ def _verify(table: pa.Table) -> pa.Table:
 
 def signed(docs: DataFrame) -> DataFrame:
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("text_hash"), F.col("text").cast("string").alias("text"))
-    return cluster.written(keyed.mapInArrow(_sign, _SIGNED), "minhash-signed")
+    return cluster.written(keyed.mapInArrow(_sign, _SIGNED), "minhash-signed", lasting=True)
 
 
-def classes(docs: DataFrame, block_elements: int = 500_000, block_nodes: int = 2000) -> DataFrame:
-    """One row per document: doc_id, text_hash, class_id (the least doc_id of its class), kept.
-
-    kept is true for the document that gives its class the id; of several texts of that doc_id, for the one of the least hash."""
-    sign = signed(docs)
-    age = F.struct(cluster.id_order(F.col("doc_id")).alias("id"), F.col("text_hash").alias("hash"))
-    eldest = F.min_by(F.struct("doc_id", "text_hash"), age).alias("rep")
+def _links(docs: DataFrame, sign: DataFrame, block_elements: int, block_nodes: int) -> DataFrame:
+    """set_id, component: of every set that is linked to another one."""
+    eldest = F.min_by(F.struct("doc_id", "text_hash"), _age()).alias("rep")
     nodes = sign.filter("set_id is not null").groupBy(F.col("set_id").alias("node")).agg(eldest, *[F.first(c).alias(c) for c in ("n_elements", "bands", "sketch")])
     nodes = cluster.written(nodes, "minhash-nodes")
     candidates = cluster.written(buckets.kept_buckets(nodes.select("node", "bands").mapInArrow(_key_rows, "key long, node long")), "minhash-buckets")
@@ -310,8 +306,20 @@ def classes(docs: DataFrame, block_elements: int = 500_000, block_nodes: int = 2
     same = texts["rep_id"].eqNullSafe(wanted["rep_id"]) & (texts["rep_hash"] == wanted["rep_hash"])
     fetched = wanted.hint("merge").join(texts, same).groupBy("node").agg(F.first("text").alias("text"))
     fetched = buckets.dealt(likely, block_elements, within=False).join(cluster.written(fetched, "minhash-texts"), "node")
-    links = cluster.written(components(fetched.groupBy("bin", "low", "high").applyInArrow(_verify, "a long, b long")).withColumnRenamed("id", "set_id"), "minhash-links")
+    return cluster.written(components(fetched.groupBy("bin", "low", "high").applyInArrow(_verify, "a long, b long")).withColumnRenamed("id", "set_id"), "minhash-links", lasting=True)
+
+
+def _age() -> Column:
+    return F.struct(cluster.id_order(F.col("doc_id")).alias("id"), F.col("text_hash").alias("hash"))
 
+
+def classes(docs: DataFrame, block_elements: int = 500_000, block_nodes: int = 2000) -> DataFrame:
+    """One row per document: doc_id, text_hash, class_id (the least doc_id of its class), kept.
+
+    kept is true for the document that gives its class the id; of several texts of that doc_id, for the one of the least hash."""
+    sign, age = signed(docs), _age()
+    with cluster.temporary(docs.sparkSession):
+        links = _links(docs, sign, block_elements, block_nodes)
     joined = sign.select("doc_id", "text_hash", "set_id").join(links, "set_id", "left").withColumn("node", F.coalesce("component", "set_id"))
     least = joined.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"), F.min(age).alias("first"))
     least = cluster.written(least, "minhash-classes")  # with a plain table on either side Spark can split a hot class
@@ -322,6 +330,6 @@ def classes(docs: DataFrame, block_elements: int = 500_000, block_nodes: int = 2
 def deduplicated(docs: DataFrame, **options) -> DataFrame:
     """The documents without near copies: of each class the one of the least doc_id stays, once."""
     kept = classes(docs, **options).filter("kept").select(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash")).distinct()
-    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("own_id"), F.xxhash64(F.col("text").cast("string")).alias("own_hash"))
+    keyed = docs.select(cluster.as_row(docs), F.col("doc_id").cast("long").alias("own_id"), F.xxhash64(F.col("text").cast("string")).alias("own_hash"))
     found = keyed.join(kept, F.col("own_id").eqNullSafe(F.col("id")) & (F.col("own_hash") == F.col("hash")), "left_semi")
-    return found.dropDuplicates(["own_id", "own_hash"]).select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
+    return found.dropDuplicates(["own_id", "own_hash"]).select(*cluster.of_row(docs))

@@ -183,7 +183,16 @@ def _starred(n: int, edges: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.nda
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, block_vectors: int = 2000) -> DataFrame:
     """One row per vector: vec_id, n_links, component_id, kept."""
     given = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), F.col("label").cast("long").alias("label"))
-    rows = cluster.written(given.mapInArrow(_identify, _NODES), "embedding-rows")
+    rows = cluster.written(given.mapInArrow(_identify, _NODES), "embedding-rows", lasting=True)
+    with cluster.temporary(vectors.sparkSession):
+        by_node = cluster.written(_linked(rows, threshold, block_vectors), "embedding-links", lasting=True)
+    out = rows.select("vec_id", "node").join(by_node, "node", "left")
+    component = F.when(F.col("node").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
+    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept"))
+
+
+def _linked(rows: DataFrame, threshold: float, block_vectors: int) -> DataFrame:
+    """node, n_links, component_id."""
     nodes = rows.filter("node is not null").groupBy("node", "label").agg(F.count("*").alias("copies"), F.min("vec_id").alias("least"), F.first("vector").alias("vector"))
     nodes = cluster.written(nodes, "embedding-nodes")
     m, tables = table_plan(nodes.count(), threshold)
@@ -191,13 +200,10 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, block_vect
     company = cluster.written(buckets.kept_buckets(keyed.select("node", "keys").mapInArrow(_key_rows, "key long, node long")), "embedding-buckets")
     tasks = buckets.dealt(company.withColumn("size", F.lit(1)), block_vectors, within=True)
     found = tasks.join(keyed, "node").groupBy("bin", "low", "high").applyInArrow(_compare(threshold), "a long, b long, links long")
-    found = cluster.written(found, "embedding-links")
+    found = cluster.written(found, "embedding-found")
     links = found.filter("links is not null").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
     connected = components(found.filter("b is not null").select("a", "b")).withColumnRenamed("id", "node")
     root = F.coalesce("component", "node").alias("root")
     member = nodes.select("node", "copies", "least").join(connected, "node", "left").join(links, "node", "left").select("node", "copies", "least", "links", root)
     smallest = member.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_node = member.join(smallest, "root").select("node", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id")
-    out = rows.select("vec_id", "node").join(by_node, "node", "left")
-    component = F.when(F.col("node").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept"))
+    return member.join(smallest, "root").select("node", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id")

@@ -6,14 +6,14 @@ Nyström approximation; one-versus-rest kernel ridge regression is solved in its
 is an inner product of presence vectors, landmarks and coefficients fold into one matrix of DIMENSIONS x
 languages, and a batch of texts is scored by a product of its sparse presence matrix with that.
 
-Bounds: the classifier is fitted on at most `train_docs` labelled documents, the same number of each language as far
-as there are, drawn by a threshold on a hash of doc_id, so that few rows are ever ranked; what is sent to the
-driver is their sets of at most DIMENSIONS numbers.  Every document is scored, over its whole text, by a map without a
+Bounds: the classifier is fitted on at most `train_docs` labelled rows (two of each language at least), the same number of each language as far
+as there are, drawn by a threshold on a hash of id and text, so that few rows are ever ranked, and cut by rank, so that
+rows of one id are bounded too; what is sent to the driver is their sets of at most DIMENSIONS numbers, and a count a language.  Every document is scored, over its whole text, by a map without a
 shuffle; the model it carries has DIMENSIONS x languages numbers.
 
 Defined results: a null text, or one without a letter, is `und` with score 0; documents with null lang or null doc_id are
 never learned from but are predicted; with no labelled document at all everything is `und`; repeated rows are
-predicted alike.  lang, source and doc_id are not inputs of a prediction.
+predicted alike; a column of docs that is called like a new one stays, and the new one gets an underscore more.  lang, source and doc_id are not inputs of a prediction.
 """
 
 from __future__ import annotations
@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
+from . import cluster
 from .textarrays import tidy
 
 N_MAX, DIMENSIONS, LANDMARKS, RIDGE = 3, 1 << 16, 192, 1e-2
@@ -114,13 +115,13 @@ def trained(docs: DataFrame, train_docs: int = 2400, modulus: int = 4, remainder
     if not counts:
         return fit([])
     quota = max(2, train_docs // len(counts))
-    # about twice the quota of each language passes a threshold on the hash, so that few rows are ranked
+    # about twice the quota of each language passes a threshold on a hash of the row, so that few rows are ranked
     share = F.element_at(F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, (2 * quota + 50) / n))]), F.col("lang"))
-    draw = F.shiftrightunsigned(F.xxhash64("doc_id"), 11) / F.lit(float(1 << 53))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("draw", "doc_id"))
-    ids = with_letters.select("doc_id", "lang", draw.alias("draw")).filter(F.col("draw") < share).withColumn("rank", rank).filter(F.col("rank") <= quota).select("doc_id").distinct()
-    sample = labelled.join(F.broadcast(ids), "doc_id", "left_semi").mapInArrow(_features, "doc_id long, lang string, grams binary")
-    rows = sorted(((r.lang, r.doc_id, bytes(r.grams)) for r in sample.collect()), key=lambda r: r)
+    draw = F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 11) / F.lit(float(1 << 53))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("draw", "doc_id", "text"))
+    sample = with_letters.withColumn("draw", draw).filter(F.col("draw") < share).withColumn("rank", rank).filter(F.col("rank") <= quota)
+    rows = sample.select("doc_id", "lang", "text").mapInArrow(_features, "doc_id long, lang string, grams binary").collect()
+    rows = sorted(((r.lang, r.doc_id, bytes(r.grams)) for r in rows), key=lambda r: r)
     return fit([(lang, np.frombuffer(g, "<u4").astype(np.int64)) for lang, _, g in rows if g])
 
 
@@ -142,7 +143,7 @@ def predict(texts: list[str | None], model: Model, flags: np.ndarray) -> tuple[l
 def identified(docs: DataFrame, model: Model) -> DataFrame:
     """docs with __lang_pred and __lang_score."""
 
-    place = docs.columns.index("text")
+    place, added = docs.columns.index("text"), [cluster.free_name(docs.columns, c) for c in ("__lang_pred", "__lang_score")]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flags = np.zeros(DIMENSIONS, bool)
@@ -152,9 +153,9 @@ def identified(docs: DataFrame, model: Model) -> DataFrame:
                 a, b = predict(texts.slice(i, 256).to_pylist(), model, flags)
                 names += a
                 scores += b
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names, "__lang_pred", "__lang_score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names, *added])
         tidy()
 
     if docs.schema["text"].dataType != StringType():
         docs = docs.withColumn("text", F.col("text").cast("string"))
-    return docs.mapInArrow(score, StructType([*docs.schema.fields, StructField("__lang_pred", StringType()), StructField("__lang_score", DoubleType())]))
+    return docs.mapInArrow(score, StructType([*docs.schema.fields, StructField(added[0], StringType()), StructField(added[1], DoubleType())]))

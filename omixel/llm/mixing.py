@@ -13,7 +13,8 @@ The sources' table is broadcast while it has at most BROADCAST_SOURCES rows; bey
 Spark, which splits hot sources.
 
 Defined results: a null text has no words; a null source is a source of its own and comes last; rows that share
-a doc_id share the draw; sources without words get no target; an empty table gives an empty result; reruns agree.
+a doc_id share the draw; sources without words get no target; columns of docs stay as they
+are: a new column of a name that docs has gets an underscore more; an empty table gives an empty result; reruns agree.
 """
 
 from __future__ import annotations
@@ -58,27 +59,29 @@ def _draw(doc_id: Column, seed: int) -> Column:
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: int = 7) -> DataFrame:
-    """docs with __size, __source_size, __target, __rate and __copies: how often the mix takes each document."""
+def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: int = 7, size: Column | None = None) -> DataFrame:
+    """docs with __size, __source_size, __target, __rate and __copies: how often the mix takes each document.
+
+    size: a document's size, where docs has it; by default its words are counted."""
     spark = docs.sparkSession
-    sizes = docs.select(F.col("source").cast("string").alias("source"), n_words(F.col("text")).alias("size")).groupBy("source").agg(F.sum("size").alias("size"))
-    plan = cluster.written(targets(sizes, weights, share, most), "mix-targets").withColumnsRenamed({"source": "__key", "source_size": "__source_size", "target": "__target"})
+    size = n_words(F.col("text")) if size is None else size
+    rows = docs.select(cluster.as_row(docs), F.col("source").cast("string").alias("source"), size.alias("__size"), F.col("doc_id").alias("doc_id"))
+    sizes = rows.groupBy("source").agg(F.sum("__size").alias("size"))
+    plan = cluster.written(targets(sizes, weights, share, most), "mix-targets").withColumnsRenamed({"source": "key", "source_size": "__source_size", "target": "__target"})
     if plan.count() <= BROADCAST_SOURCES:
         plan = F.broadcast(plan)
     rate = F.when(F.col("__source_size") > 0, F.col("__target") / F.col("__source_size")).otherwise(F.lit(0.0))
     copies = F.floor("__rate") + (_draw(F.col("doc_id"), seed) < F.col("__rate") - F.floor("__rate")).cast("long")
-    return (
-        docs.withColumn("__size", n_words(F.col("text")))
-        .join(plan, F.col("source").cast("string").eqNullSafe(F.col("__key")), "left")
-        .drop("__key")
-        .withColumn("__rate", rate)
-        .withColumn("__copies", copies)
-    )
+    mixed = rows.join(plan, F.col("source").eqNullSafe(F.col("key")), "left").withColumn("__rate", rate).withColumn("__copies", copies)
+    return mixed.select(*cluster.of_row(docs), *[F.col(c).alias(cluster.free_name(docs.columns, c)) for c in _NAMES])
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: every document as often as it is taken, with the columns of docs."""
-    return mix(docs, **options).withColumn("__copy", F.explode(F.expr("if(__copies > 0, sequence(1, cast(__copies as int)), array())"))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    copies = F.col(cluster.free_name(docs.columns, "__copies"))
+    times = F.when(copies > 0, F.sequence(F.lit(1), copies.cast("int"))).otherwise(F.array())
+    taken = mix(docs, **options)
+    return taken.select(cluster.as_row(docs), F.explode(times)).select(*cluster.of_row(docs))
 
 
 ORACLE_SQL = r"""

@@ -12,8 +12,8 @@ Within each tier windows are dealt to step groups of `step_tokens` tokens, in or
 No shuffle: every partition of the input is packed on its own, in blocks of a bounded number of tokens.  A hot
 source or a very long document is just more windows.  Sequence ids carry the number of the partition.
 
-Defined results: a null or empty text is the end id alone; rows that share a doc_id are packed as documents of their
-own; an empty table gives no pieces.
+Defined results: a null or empty text is the end id alone; rows that share a doc_id (copies that a mix repeats, too) are packed
+as documents of their own, told apart by `document`; other columns, whatever their names, play no part; an empty table gives no pieces.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from .textarrays import tidy
 
 TIERS = (512, 1024, 2048, 4096)
-PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, step_group long"
+PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, step_group long, document long"
 _COLUMNS = [x.split()[0] for x in PIECES.split(", ")]
 _BLOCK_TOKENS = 1 << 20
 
@@ -49,13 +49,28 @@ class _Piece:
         return head
 
 
+class _Pool(deque):
+    """Pieces that wait, and how many tokens they have."""
+
+    tokens = 0
+
+    def add(self, p: _Piece) -> None:
+        self.append(p)
+        self.tokens += p.length
+
+    def take(self) -> _Piece:
+        p = self.popleft()
+        self.tokens -= p.length
+        return p
+
+
 def pack_block(lengths: list[tuple[int, int, int]], tiers: tuple[int, ...]) -> tuple[list[tuple[int, list[_Piece]]], list[_Piece]]:
     """(doc, start, length) pieces -> full windows as (tier, pieces), and what is left over, less than the smallest tier."""
     top, windows = tiers[-1], []
-    pools: dict[int, deque[_Piece]] = {t: deque() for t in tiers}
+    pools = {t: _Pool() for t in tiers}
 
     def route(p: _Piece) -> None:
-        pools[next(t for t in tiers if p.length <= t)].append(p)
+        pools[next(t for t in tiers if p.length <= t)].add(p)
 
     for doc, start, length in lengths:
         p = _Piece(doc, start, length)
@@ -67,33 +82,32 @@ def pack_block(lengths: list[tuple[int, int, int]], tiers: tuple[int, ...]) -> t
         tier, pool = tiers[i], pools[tiers[i]]
         fillers = [pools[t] for t in tiers[: i + 1]]  # the shortest first, its own last
         while pool:
-            if sum(p.length for p in pool) < tier and not any(fillers[:-1]):
+            if pool.tokens < tier and not any(fillers[:-1]):
                 break  # too little for a window
-            if i and len(pool) == 1 and sum(p.length for f in fillers for p in f) < tier:
+            if i and len(pool) == 1 and sum(f.tokens for f in fillers) < tier:
                 break
-            window = [pool.popleft()]
+            window = [pool.take()]
             gap = tier - window[0].length
             while gap:
                 source = next((f for f in fillers if f), None)
                 if source is None:
                     break
-                p = source[0]
-                if p.length <= gap:
-                    source.popleft()
-                else:
-                    p, rest = p.cut(gap), source.popleft()
+                p = source.take()
+                if p.length > gap:
+                    p, rest = p.cut(gap), p
                     route(rest)
                 gap -= p.length
                 window.append(p)
             if gap:
-                pool.extend(window)
+                for p in window:
+                    pool.add(p)
                 break
             windows.append((tier, window))
         if i:  # a smaller tier can still use what this one could not
             while pool:
-                p = pool.popleft()
+                p = pool.take()
                 while p.length > tiers[i - 1]:
-                    pools[tiers[i - 1]].append(p.cut(tiers[i - 1]))
+                    pools[tiers[i - 1]].add(p.cut(tiers[i - 1]))
                 if p.length:
                     route(p)
     return windows, list(pools[tiers[0]])
@@ -115,12 +129,18 @@ def powers_of_two(pieces: list[_Piece], tiers: tuple[int, ...]) -> list[tuple[in
     return out
 
 
-def _step_groups(windows: list[tuple[int, list[_Piece]]], step_tokens: int, counters: dict[int, int]) -> list[int]:
-    """A step group for each window: numbers of (tier, group) made unique within the partition."""
-    groups = [0] * len(windows)
+def _step_groups(windows: list[tuple[int, list[_Piece]]], step_tokens: int, counters: dict[int, int], last: bool) -> list[int | None]:
+    """A step group for each window: numbers of (tier, group) made unique within the partition.
+
+    Of each tier as many windows get one as fill whole groups; the others (None) wait for the next block, but for the last block's."""
+    groups: list[int | None] = [None] * len(windows)
     for tier in {t for t, _ in windows}:
-        mine = sorted((i for i, (t, _) in enumerate(windows) if t == tier), key=lambda i: -sum(p.length**2 for p in windows[i][1]))
-        n = -(-len(mine) * tier // step_tokens)
+        mine = [i for i, (t, _) in enumerate(windows) if t == tier]
+        each = max(1, step_tokens // tier)
+        if not last:
+            mine = mine[: len(mine) // each * each]
+        mine.sort(key=lambda i: -sum(p.length**2 for p in windows[i][1]))
+        n = -(-len(mine) // each)
         base = counters.get(tier, 0)
         for rank, i in enumerate(mine):
             lap, at = divmod(rank, n)
@@ -140,14 +160,21 @@ def _partition(path: str, end: int, tiers: tuple[int, ...], step_tokens: int):
         open_pieces: list[tuple[int, int, int]] = []
         pending, made, counters = 0, 0, {}
 
-        def emit(windows: list[tuple[int, list[_Piece]]]) -> pa.RecordBatch:
-            nonlocal made
+        waiting: list[tuple[int, list[_Piece]]] = []  # full windows of step groups that are not full
+
+        def emit(windows: list[tuple[int, list[_Piece]]], last: bool) -> pa.RecordBatch:
+            nonlocal made, waiting
+            windows = waiting + windows
             rows: list[list] = [[] for _ in _COLUMNS]
-            for (tier, pieces), group in zip(windows, _step_groups(windows, step_tokens, counters), strict=True):
+            groups = _step_groups(windows, step_tokens, counters, last)
+            waiting = [w for w, group in zip(windows, groups, strict=True) if group is None]
+            for (tier, pieces), group in zip(windows, groups, strict=True):
+                if group is None:
+                    continue
                 offset = 0
                 for p in pieces:
                     doc_id, ids = docs[p.doc]
-                    values = (doc_id, p.start, p.length, zlib.crc32(ids[p.start : p.start + p.length]), len(ids), number + made, offset, tier, number + group)
+                    values = (doc_id, p.start, p.length, zlib.crc32(ids[p.start : p.start + p.length]), len(ids), number + made, offset, tier, number + group, number + p.doc)
                     for column, v in zip(rows, values, strict=True):
                         column.append(v)
                     offset += p.length
@@ -166,12 +193,12 @@ def _partition(path: str, end: int, tiers: tuple[int, ...], step_tokens: int):
                     next_doc += 1
                 if pending >= _BLOCK_TOKENS:
                     windows, rest = pack_block(open_pieces, tiers)
-                    yield emit(windows)
+                    yield emit(windows, last=False)
                     open_pieces = [(p.doc, p.start, p.length) for p in rest]
-                    docs = {p.doc: docs[p.doc] for p in rest}
+                    docs = {p.doc: docs[p.doc] for p in [*rest, *(p for _, w in waiting for p in w)]}
                     pending = sum(p.length for p in rest)
         windows, rest = pack_block(open_pieces, tiers)
-        yield emit(windows + powers_of_two(rest, tiers))
+        yield emit(windows + powers_of_two(rest, tiers), last=True)
         docs.clear()
         tidy()
 

@@ -23,7 +23,7 @@ def op1_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
 def op2_url_rules(spark: SparkSession, folder: str) -> DataFrame:
     from .url_rules import judged, rule_table
 
-    return judged(_table(spark, folder, "pages"), rule_table(spark)).select(
+    return judged(_table(spark, folder, "pages").select("page_id", "url"), rule_table(spark)).select(
         "page_id", F.col("__host").alias("host"), F.col("__path").alias("path"), F.col("__rule").alias("rule"), F.col("__verdict").alias("verdict")
     )
 
@@ -61,12 +61,13 @@ def op6_language_id(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op7_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
-    from .mixing import mix
+    from . import cluster
+    from .mixing import mix, n_words
 
+    # words are counted once: sizes are written, and the mix reads them instead of the texts
+    sizes = cluster.written(_table(spark, folder, "documents").select("doc_id", "source", n_words(F.col("text")).alias("size")), "mix-sizes")
     taken = (F.col("__size") * F.col("__copies")).alias("taken")
-    return mix(_table(spark, folder, "documents")).select(
-        F.col("doc_id"), F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), taken
-    )
+    return mix(sizes, size=F.col("size")).select("doc_id", "size", F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), taken)
 
 
 def op9_brown_lm(spark: SparkSession, folder: str) -> DataFrame:

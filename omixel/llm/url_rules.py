@@ -17,7 +17,7 @@ count, so intervals are never copied to more rows than there are keys.  The only
 Spark splits skewed partitions.
 
 Defined results: a null url, or one without "://", has empty host and path and takes the default verdict;
-repeated rows each get their row; an empty table gives an empty result.
+repeated rows each get their row; columns of pages stay as they are, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,6 +25,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import cluster
+
 #: the parts of a url: host and path
 URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -74,9 +76,9 @@ def sweep(points: DataFrame, intervals: DataFrame, part_rows: int) -> DataFrame:
 
 
 def judged(pages: DataFrame, rules: DataFrame, default: str = "allow", part_rows: int = 2000) -> DataFrame:
-    """All columns of pages and __host, __path, __rule, __verdict."""
+    """All columns of pages and __host, __path, __rule, __verdict; where pages has a column of such a name, the new one has an underscore more."""
     host, path = host_and_path(F.col("url").cast("string"))
-    pages = pages.withColumns({"__host": host, "__path": path})
+    given, pages = pages, pages.select(cluster.as_row(pages), host.alias("__host"), path.alias("__path"))
     rules = rules.groupBy("host", "path").agg(F.max("verdict").alias("verdict"))  # block sorts after allow
 
     # which rule hosts are active for each host: the innermost, and those around it
@@ -106,8 +108,8 @@ def judged(pages: DataFrame, rules: DataFrame, default: str = "allow", part_rows
     )
     return (
         pages.join(best, (F.col("__host") == F.col("__h")) & (F.col("__path") == F.col("__p")), "left")
-        .drop("__h", "__p")
         .withColumn("__verdict", F.coalesce("__verdict", F.lit(default)))
+        .select(*cluster.of_row(given), *[F.col(c).alias(cluster.free_name(given.columns, c)) for c in ("__host", "__path", "__rule", "__verdict")])
     )
 
 

@@ -410,6 +410,8 @@ def test_packing(spark):
         fits = [i for i, x in enumerate(ids) if rows[i][0] == r.doc_id and len(x) == r.doc_tokens]
         assert any(zlib.crc32(np.array(ids[i][r.start : r.start + r.length], "<u4").tobytes()) == r.ids_crc32 for i in fits)
         covered[r.doc_id, r.doc_tokens] += r.length
+    for r in h.grouped((r.document, r) for r in got).values():  # each document, and each copy of it, is whole
+        assert sorted(x.start for x in r)[0] == 0 and sum(x.length for x in r) == r[0].doc_tokens
     assert covered == Counter({k: sum(len(x) for i, x in enumerate(ids) if (rows[i][0], len(x)) == k) for k in {(r[0], len(x)) for r, x in zip(rows, ids, strict=True)}})
     assert packing.packed(h.frame(spark, [])).collect() == []
 
@@ -642,3 +644,150 @@ def test_fingerprints_are_native(spark):
 def test_one_document_follows_itself(spark):
     r = fingerprints.edited_pairs(h.frame(spark, [(1, "a b c d e f", "en", "s", 0, 0, "")])).first()
     assert r.n_chars == 11 and r.near_next == 1.0 and r.edited_sha256 == hashlib.sha256(b"a b c a b c").hexdigest()
+
+
+# names and one id
+
+
+def test_clashing_names(spark):
+    """Columns called like what an operator adds, or uses inside, stay as they are."""
+    names = ["__size", "__source_size", "__target", "__rate", "__copies", "__copy", "__key", "__host", "__path", "__rule", "__verdict", "__lang_pred", "__LANG_SCORE", "row", "own_hash", "id", "node", "key_", "block", "size", "bin", "rep", "n_removed"]
+    docs = h.frame(spark).withColumns({c: F.lit(f"kept {c}") for c in names})
+
+    def kept(out, more):
+        assert out.columns[: len(docs.columns)] == docs.columns and len(out.columns) == len(docs.columns) + more
+        rows = out.collect()
+        assert rows and all(r[c] == f"kept {c}" for r in rows for c in names)
+        return rows
+
+    mixed = mixing.mix(docs)
+    assert mixed.columns[-5:] == ["__size_", "__source_size_", "__target_", "__rate_", "__copies_"]
+    assert all(r["__size_"] == len(h.words(r.text)) for r in kept(mixed, 5))
+    kept(mixing.mixed(docs), 0)
+    kept(dartminhash.deduplicated(docs), 0)
+    kept(suffix_dedup.without_repeats(docs), 0)
+    told = language_id.identified(docs, language_id.trained(docs))
+    assert told.columns[-2:] == ["__lang_pred_", "__lang_score_"]
+    kept(told, 2)
+    judged = url_rules.judged(docs.withColumn("url", F.lit("http://a.net/")), url_rules.rule_table(spark))
+    assert judged.columns[-4:] == ["__host_", "__path_", "__rule_", "__verdict_"] and {(r["__host"], r["__host_"], r["__verdict_"]) for r in judged.collect()} == {("kept __host", "a.net", "block")}
+    same = lambda f: Counter(map(str, f(docs).collect())) == Counter(map(str, f(h.frame(spark)).collect()))
+    assert same(suffix_dedup.repeated_passages) and same(lambda d: dartminhash.classes(d)) and same(fingerprints.edited_pairs)
+    assert packing.packed(docs).count() > 0 and brown_lm.scored(docs).count() == substring_index.dedup_documents(docs).count() == docs.count()
+
+
+def test_the_sample_of_one_id_is_bounded(spark):
+    docs = h.frame(spark, [(1, f"word{i} and more of {i % 7}", "en", "s", 0, 0, "k") for i in range(300)] + [(1, "encore un mot", "fr", "s", 0, 0, "k")] * 300)
+    seen = []
+    fit = language_id.fit
+    try:
+        language_id.fit = lambda examples: (seen.append(len(examples)), fit(examples))[1]
+        language_id.trained(docs, train_docs=8)
+    finally:
+        language_id.fit = fit
+    assert 0 < seen[0] <= 8
+
+
+def test_kernel_ridge_is_what_the_plain_kernel_gives():
+    """With every example a landmark, decisions are those of kernel ridge regression solved on the kernel matrix itself."""
+    rng, flags = random.Random(11), np.zeros(language_id.DIMENSIONS, bool)
+    say = lambda of: " ".join("".join(rng.choice(of) for _ in range(5)) for _ in range(8))
+    texts = [(k, say(of)) for k, of in (("a", "abcdeu"), ("b", "efghio"), ("c", "klmnoa")) for _ in range(9)]
+    sets = [set(language_id.ngrams(t, flags).tolist()) for _, t in texts]
+    model = language_id.fit([(k, np.array(sorted(s))) for (k, _), s in zip(texts, sets, strict=True)])
+    kernel = np.array([[len(x & y) / math.sqrt(len(x) * len(y)) for y in sets] for x in sets])
+    n = len(texts)
+    ridge = language_id.RIDGE * n / (np.linalg.matrix_rank(kernel) + 1)
+    weight = np.full(n, n / 3 / 9)
+    system = np.block([[kernel + ridge * np.diag(1 / weight), np.ones((n, 1))], [np.ones((1, n)), np.zeros((1, 1))]])
+    signs = np.array([[1.0 if k == name else -1.0 for name in "abc"] for k, _ in texts])
+    solved = np.linalg.solve(system, np.vstack([signs, np.zeros((1, 3))]))
+    other = say("abcdek")
+    x = set(language_id.ngrams(other, flags).tolist())
+    want = np.array([len(x & y) / math.sqrt(len(x) * len(y)) for y in sets]) @ solved[:-1] + solved[-1]
+    got = model.weights[sorted(x)].sum(0) / math.sqrt(len(x)) + model.weights[-1]
+    assert got == pytest.approx(want, abs=2e-3)
+
+
+def test_scores_of_the_language_model(spark, monkeypatch):
+    """Scores from plain counts over the classes that the model learnt."""
+    rows = h.corpus()
+    model, folder = [], []
+    score, trained = brown_lm._score, brown_lm.trained
+    monkeypatch.setattr(brown_lm, "_score", lambda m: (model.append(m), score(m))[1])
+    monkeypatch.setattr(brown_lm, "trained", lambda docs, path, *more: (folder.append(path), trained(docs, path, *more))[1])
+    got = brown_lm.scored(h.frame(spark), chunk_bytes=3000).collect()
+    low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    say = [h.words((r[1] or "").translate(low)) for r in rows]
+    names = sorted({x for t in say for x in t})
+    of_hash = {}
+    for r in spark.read.parquet(folder[0]).collect():
+        of_hash |= dict(zip(unpack(bytes(r.hashes)).tolist(), brown_lm._read_numbers(bytes(r.classes), "u1").tolist(), strict=True))
+    hashes = Words(pa.array([" ".join(names)])).hashes().tolist()
+    rare, end = model[0].rare, model[0].end
+    of = {x: of_hash.get(k, rare) for x, k in zip(names, hashes, strict=True)}
+    learn = [r[0] is not None and zlib.crc32(str(r[0]).encode()) % 7 != 2 for r in rows]
+    counts, pairs = Counter(), np.zeros((end + 1, end + 1))
+    for t, ok in zip(say, learn, strict=True):
+        counts.update(t if ok else ())
+        path = [end, *(of[x] for x in t), end]
+        for a, b in zip(path, path[1:], strict=False):
+            pairs[a, b] += ok
+    size = Counter()
+    for x, n in counts.items():
+        size[of[x]] += n
+    rare_types = sum(of[x] == rare for x in counts)
+    assert all(of[x] != rare for x, n in counts.items() if n >= brown_lm.LEAST) and len(set(of.values())) > 30
+    to = (pairs.sum(0) + 1) / (pairs.sum() + len(pairs))
+
+    def plain(t):
+        total, before = 0.0, end
+        for x in [*t, None]:
+            c = end if x is None else of[x]
+            total += math.log10((pairs[before, c] + brown_lm.SMOOTHING * to[c]) / (pairs[before].sum() + brown_lm.SMOOTHING))
+            if c == rare:
+                total += math.log10((counts[x] + 1) / (size[rare] + rare_types + 1))
+            elif c != end:
+                total += math.log10(counts[x] / size[c])
+            before = c
+        return total
+
+    want = Counter((r[0], len(t) + 1, round(plain(t), 4)) for r, t in zip(rows, say, strict=True))
+    assert Counter((r.doc_id, r.n_tokens, round(r.score, 4)) for r in got) == want
+
+
+def test_rows_compared_grow_with_the_vectors():
+    """Vectors of one label, three times as many: about three times as many rows have company under a key; nearly all near pairs share one."""
+    rng, rows = np.random.default_rng(5), []
+    for n in (2000, 6000):
+        x = rng.standard_normal((n, 64))
+        x[1::10] = x[::10] + rng.standard_normal((n // 10, 64)) * 0.17  # pairs of cosine about 0.986
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        m, tables = embedding_dedup.table_plan(n)
+        batch = pa.record_batch([pa.array(np.arange(n)), pa.array(np.zeros(n, np.int64)), pa.array([v.tobytes() for v in x], pa.binary())], names=["node", "label", "vector"])
+        keys = np.array([np.frombuffer(k, "<i8") for k in next(embedding_dedup._hash(m, tables)([batch])).column("keys").to_pylist()])
+        values, times = np.unique(keys, return_counts=True)
+        far = np.isin(keys, values[times > 1])
+        far[::10] = far[1::10] = False
+        rows.append(far.sum() / n)
+        near = np.flatnonzero((x[::10] * x[1::10]).sum(1) >= 0.98)
+        met = (keys[10 * near] == keys[10 * near + 1]).any(1)
+        assert len(near) > n / 30 and met.mean() >= 0.99
+    assert rows[1] < 1.5 * rows[0] + 0.5 and max(rows) < 8
+
+
+def test_packing_of_many_short_texts_takes_no_square_of_them():
+    import time
+
+    began = time.perf_counter()
+    windows, rest = packing.pack_block([(i, 0, 40) for i in range(100_000)], packing.TIERS)
+    assert time.perf_counter() - began < 5 and sum(p.length for _, w in windows for p in w) + sum(p.length for p in rest) == 4_000_000
+
+
+def test_step_groups_are_full_until_the_last_block():
+    piece = lambda n: [packing._Piece(0, 0, n)]
+    windows, counters = [(4096, piece(4096))] * 21 + [(512, piece(512))] * 130, {}
+    first = packing._step_groups(windows, 1 << 16, counters, last=False)
+    assert Counter(first) == Counter({None: 5 + 2, 4096: 16, 512: 128})
+    then = packing._step_groups([w for w, g in zip(windows, first, strict=True) if g is None], 1 << 16, counters, last=True)
+    assert Counter(then) == Counter({1 << 13 | 4096: 5, 1 << 13 | 512: 2})

@@ -66,14 +66,16 @@ def test_language_model_beats_single_words(spark):
 def test_pipeline(spark, documents):
     """Each stage against a plain version, on what the stage before it left."""
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
-    columns, before = docs.columns, None
+    columns, before, by_id = docs.columns, None, {d[0]: d for d in documents}
     for name, stage in corpus_pipeline.STAGES:
         now = stage(spark, docs, FOLDER)
         rows = now.collect()
         if name != "packing":
             assert now.columns == columns
         if name == "language_id":
-            assert len(rows) == sum(any(c.isalpha() for c in d[1] or "") for d in documents)
+            told = {r.doc_id: r for r in entry.queries()["op6_language_id"](spark, FOLDER).collect()}
+            assert sorted(r.doc_id for r in rows) == sorted(d[0] for d in documents if any(c.isalpha() for c in d[1] or "") and told[d[0]].score >= corpus_pipeline.LEAST_SCORE)
+            assert all(r.lang == (told[r.doc_id].lang_pred if d[2] is None else d[2]) for r in rows for d in (by_id[r.doc_id],))
         elif name == "minhash_near_dedup":
             of = h.classes(before)
             assert sorted(r.doc_id for r in rows) == sorted(before[c][0] for c in set(of))
@@ -110,3 +112,33 @@ def test_no_language_to_learn(spark, lang):
     assert kept.columns == docs.columns and {r.text for r in kept.collect()} == {"some words", "é", "漢", "½"}
     known = corpus_pipeline.tell_language(spark, docs.union(h.frame(spark, [(i, "some words", "en", "s", 0, 0, "k") for i in range(100) if i not in out])), FOLDER)
     assert {r.text for r in known.collect()} == {"some words", "é", "漢", "½"}
+
+
+def test_language_decides(spark):
+    """What no language stands out for goes; a missing lang is filled with the prediction."""
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    unlabelled = [i for i in range(10**6, 10**6 + 40) if zlib.crc32(str(i).encode()) % 4 == 2]
+    texts = [r.text for r in docs.filter("lang = 'fr' and length(text) > 300").limit(4).collect()] + [r.text for r in docs.filter("lang = 'de' and length(text) > 300").limit(4).collect()]
+    more = spark.createDataFrame([(i, t, None, "s", 0) for i, t in zip(unlabelled, texts, strict=False)], docs.schema)
+    kept = corpus_pipeline.tell_language(spark, docs.unionByName(more), FOLDER).filter("doc_id >= 1000000").orderBy("doc_id").collect()
+    assert [r.lang for r in kept] == ["fr"] * 4 + ["de"] * 4
+    told = entry.queries()["op6_language_id"](spark, FOLDER).collect()
+    middle = sorted(r.score for r in told)[len(told) // 2]
+    least = corpus_pipeline.LEAST_SCORE
+    try:
+        corpus_pipeline.LEAST_SCORE = middle
+        kept = {r.doc_id for r in corpus_pipeline.tell_language(spark, docs, FOLDER).collect()}
+    finally:
+        corpus_pipeline.LEAST_SCORE = least
+    assert kept == {r.doc_id for r in told if r.lang_pred != "und" and r.score >= middle} and len(kept) < len(told)
+
+
+def test_scratch_goes(spark):
+    """Of what the pipeline writes on its way only the result stays."""
+    from omixel.llm import cluster
+
+    path = spark._jvm.org.apache.hadoop.fs.Path(cluster.shared_dir(spark))
+    there = lambda: {str(f.getPath()) for f in path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)}
+    before = there()
+    assert corpus_pipeline.run(spark, FOLDER).count() > 0
+    assert len(there() - before) == 1
