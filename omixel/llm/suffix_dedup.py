@@ -42,7 +42,7 @@ from .textarrays import Words, mix, pack, split_sorted, tidy, unpack, window_has
 _MESSAGE = "chunk long, bucket int, hashes binary"
 _ARROW = pa.schema([("chunk", pa.int64()), ("bucket", pa.int32()), ("hashes", pa.binary())])
 _POSITION_BITS = 28
-_SUFFIX = "prefix long, suffix binary, before binary, chunk long, anchor int, open long"
+_SUFFIX = "prefix long, suffix binary, before binary, chunk long, anchor int, windows long, settled boolean"
 _FOUND = "chunk long, anchor int, repeated long"
 _SORTED_AT_ONCE = 8192
 
@@ -64,10 +64,13 @@ def retained(words: Words, hashes: np.ndarray, at: np.ndarray, length: int, k: i
     return (keyed[at] & low).astype(np.int64), prefix
 
 
+def ordered(docs: pa.Table) -> pa.Table:
+    return docs.sort_by([("doc_id", "ascending"), ("text", "ascending")])
+
+
 class _Chunk:
     def __init__(self, docs: pa.Table, length: int, k: int):
-        self.docs = docs.sort_by([("doc_id", "ascending"), ("text", "ascending")])
-        self.words = Words(self.docs["text"])
+        self.words = Words(ordered(docs)["text"])
         hashes = self.words.hashes()
         self.at, self.windows = self.words.windows(length, hashes)
         self.anchor, self.prefix = retained(self.words, hashes, self.at, length, k)
@@ -144,15 +147,18 @@ def _stream(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[byt
     return flat.tobytes(), np.concatenate([[0], stop])
 
 
-def contexts(words: Words, anchors: np.ndarray, length: int, k: int) -> tuple[list[bytes], list[bytes]]:
-    """Of each anchor the words from it on, `length` at most, and those before it, the nearest first, as far as a window may reach."""
-    doc = np.searchsorted(words.first, anchors, side="right") - 1
-    stop, begin = np.minimum(anchors + length, words.first[doc + 1]), np.maximum(anchors - (length - k), words.first[doc])
+def contexts(words: Words, anchors: np.ndarray, windows: np.ndarray, length: int, k: int) -> tuple[list[bytes], list[bytes]]:
+    """Of each anchor the words from it on, and those before it, the nearest first, as far as its windows reach."""
+    left, right = np.zeros(len(anchors), np.int64), np.zeros(len(anchors), np.int64)
+    for a in range(length - k + 1):
+        has = ((windows >> np.uint64(a)) & np.uint64(1)).astype(bool)
+        left[has] = a
+        right[has & (right == 0)] = length - a
     flat, at = _stream(words.data, words.starts, words.ends)
-    suffixes = [flat[i:j] for i, j in zip(at[anchors].tolist(), at[stop].tolist(), strict=True)]
+    suffixes = [flat[i:j] for i, j in zip(at[anchors].tolist(), at[anchors + right].tolist(), strict=True)]
     flat, at = _stream(words.data, words.starts[::-1], words.ends[::-1])
     n = len(words.starts)
-    return suffixes, [flat[i:j] for i, j in zip(at[n - anchors].tolist(), at[n - begin].tolist(), strict=True)]
+    return suffixes, [flat[i:j] for i, j in zip(at[n - anchors].tolist(), at[n - anchors + left].tolist(), strict=True)]
 
 
 def _word_numbers(texts: list[bytes], width: int) -> np.ndarray:
@@ -178,7 +184,7 @@ def _common(numbers: np.ndarray) -> np.ndarray:
 def repeated_windows(suffixes: list[bytes], before: list[bytes], age: np.ndarray, windows: np.ndarray, length: int, k: int) -> np.ndarray:
     """Of each suffix which of its windows also begin at an earlier one; bit a: the window that begins a words before the suffix.
 
-    windows: those that are asked for, all of `length` words within a document."""
+    windows: those that are asked for, all of `length` words within a document; contexts may end where these end."""
     n = len(suffixes)
     right, left = (np.array(sorted(range(n), key=texts.__getitem__), np.int64) for texts in (suffixes, before))
     reach_right = _common(_word_numbers([suffixes[i] for i in right.tolist()], length))
@@ -208,33 +214,44 @@ class _Candidates:
         asked, shared = np.zeros(len(self.anchors), np.uint64), np.zeros(len(self.anchors), np.uint64)
         np.bitwise_or.at(asked, own, bit)
         np.bitwise_or.at(shared, own[elsewhere[maybe]], bit[elsewhere[maybe]])
-        self.suffixes, self.before = contexts(c.words, self.anchors, length, k)
-        self.repeated = repeated_windows(self.suffixes, self.before, self.anchors, asked, length, k)
+        self.repeated = repeated_windows(*contexts(c.words, self.anchors, asked, length, k), self.anchors, asked, length, k)
         self.open = shared & ~self.repeated  # new in this chunk, and perhaps in another one too
 
 
 def _send_suffixes(length: int, k: int):
-    schema = pa.schema([("prefix", pa.int64()), ("suffix", pa.binary()), ("before", pa.binary()), ("chunk", pa.int64()), ("anchor", pa.int32()), ("open", pa.int64())])
+    """Of each chunk what is new in it, as suffixes to sort, and, settled, the windows that repeat within it."""
+    schema = pa.schema([("prefix", pa.int64()), ("suffix", pa.binary()), ("before", pa.binary()), ("chunk", pa.int64()), ("anchor", pa.int32()), ("windows", pa.int64()), ("settled", pa.bool_())])
 
     def send(docs: pa.Table, answers: pa.Table) -> pa.Table:
-        if not docs.num_rows or not answers.num_rows:
+        if not docs.num_rows:
             return schema.empty_table()
         c = _Chunk(docs.select(["doc_id", "text"]), length, k)
         found = _Candidates(c, _isin(c.windows, _heard(answers)), length, k)
-        at = np.flatnonzero(found.open)
-        columns = [c.prefix[found.anchors[at]].view(np.int64), [found.suffixes[i] for i in at.tolist()], [found.before[i] for i in at.tolist()], np.full(len(at), docs["chunk"][0].as_py()), found.anchors[at], found.open[at].view(np.int64)]
-        return pa.table([pa.array(x, f.type) for x, f in zip(columns, schema, strict=True)], schema=schema)
+        out = []
+        for windows, settled in ((found.open, False), (found.repeated, True)):
+            at = np.flatnonzero(windows)
+            anchors, none = found.anchors[at], [b""] * len(at)
+            words = (none, none) if settled else contexts(c.words, anchors, windows[at], length, k)
+            # settled rows only pass: they are dealt out evenly, whatever their words
+            key = mix(anchors.astype(np.uint64) + np.uint64(docs["chunk"][0].as_py() << 20)) if settled else c.prefix[anchors]
+            columns = [key.view(np.int64), *words, np.full(len(at), docs["chunk"][0].as_py()), anchors, windows[at].view(np.int64), np.full(len(at), settled)]
+            out.append(pa.table([pa.array(x, f.type) for x, f in zip(columns, schema, strict=True)], schema=schema))
+        return pa.concat_tables(out)
 
     return send
 
 
 def _extend(length: int, k: int):
-    """Suffixes sorted by prefix and words: the windows that also begin in an earlier chunk."""
+    """Suffixes sorted by prefix and words: the windows that also begin in an earlier chunk; settled ones pass."""
 
     def emit(table: pa.Table) -> pa.RecordBatch:
         chunk, anchor = (table[c].to_numpy().astype(np.int64) for c in ("chunk", "anchor"))
-        age = np.argsort(np.lexsort((anchor, chunk)))
-        again = repeated_windows(table["suffix"].to_pylist(), table["before"].to_pylist(), age, table["open"].to_numpy().view(np.uint64), length, k)
+        windows, settled = table["windows"].to_numpy().view(np.uint64), table["settled"].to_numpy()
+        at = np.flatnonzero(~settled)
+        age = np.argsort(np.lexsort((anchor[at], chunk[at])))
+        some = table.select(["suffix", "before"]).take(pa.array(at))
+        again = np.where(settled, windows, 0).astype(np.uint64)
+        again[at] = repeated_windows(some["suffix"].to_pylist(), some["before"].to_pylist(), age, windows[at], length, k)
         at = np.flatnonzero(again)
         return pa.record_batch([pa.array(chunk[at], pa.int64()), pa.array(anchor[at], pa.int32()), pa.array(again[at].view(np.int64))], names=["chunk", "anchor", "repeated"])
 
@@ -258,23 +275,21 @@ def _extend(length: int, k: int):
 
 def _resolve(length: int, k: int, texts: bool):
     def resolve(docs: pa.Table, answers: pa.Table) -> pa.Table:
-        c = _Chunk(docs, length, k)
-        w = c.words
-        found = _Candidates(c, np.zeros(len(c.at), bool), length, k)
-        anchors = np.concatenate([found.anchors, answers["anchor"].to_numpy().astype(np.int64)])
-        repeated = np.concatenate([found.repeated, answers["repeated"].to_numpy().view(np.uint64)])
+        docs = ordered(docs)
+        w = Words(docs["text"])
+        anchors, repeated = answers["anchor"].to_numpy().astype(np.int64), answers["repeated"].to_numpy().view(np.uint64)
         starts = [anchors[((repeated >> np.uint64(a)) & np.uint64(1)).astype(bool)] - a for a in range(length - k + 1)]
         gone = w.covered(np.concatenate(starts), length)
         n_gone = w.per_doc(gone)
         if texts:
-            out, offsets = c.docs["text"].to_pylist(), w.offsets
+            out, offsets = docs["text"].to_pylist(), w.offsets
             for d in np.flatnonzero(n_gone).tolist():
                 i, j = w.first[d], w.first[d + 1]
                 edges = np.append(w.starts[i:j], offsets[d + 1])  # a word with the white space after it
                 kept = np.repeat(~gone[i:j], np.diff(edges))
                 whole = w.data[offsets[d] : offsets[d + 1]]
                 out[d] = (whole[: edges[0] - offsets[d]].tobytes() + whole[edges[0] - offsets[d] :][kept].tobytes()).decode()
-            return pa.table({"row": c.docs["row"], "text": pa.array(out, pa.string()), "n_removed": pa.array(n_gone, pa.int64())})
+            return pa.table({"row": docs["row"], "text": pa.array(out, pa.string()), "n_removed": pa.array(n_gone, pa.int64())})
         edges = np.diff(np.concatenate([[0], gone.view(np.int8), [0]]))
         begins, ends = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
         spans: list[list] = [[] for _ in range(docs.num_rows)]
@@ -287,7 +302,7 @@ def _resolve(length: int, k: int, texts: bool):
                 b, d = stop, d + 1
         return pa.table(
             {
-                "doc_id": c.docs["doc_id"],
+                "doc_id": docs["doc_id"],
                 "n_words": pa.array(w.n_words, pa.int64()),
                 "n_removed": pa.array(n_gone, pa.int64()),
                 "spans": pa.array(spans, pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))),
