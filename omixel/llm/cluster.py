@@ -65,7 +65,7 @@ def temporary(spark: SparkSession):
 def written(df: DataFrame, name: str, lasting: bool = False) -> DataFrame:
     """Write df to the shared folder and read it back: cuts lineage and outlives executors."""
     path = scratch(df.sparkSession, name, lasting)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -6,12 +6,14 @@ A batch is cut into chunks of consecutive ids.  Each chunk sends its sorted dist
 the buckets, a bucket merges them with its part of every run, and answers each chunk with one bit per
 fingerprint: seen before, or not.  What no run holds becomes the batch's own run; once `fan_in` runs exist they are
 merged into one.  A window is a window of `size` words.  Its fingerprint is a 64-bit hash, by which runs are sorted and
-merged, and a 32-bit check that verifies it: a hash of the same words that is made of their bytes independently of the first.
+merged, and a 16-bit check that verifies it: a hash of the same words that is made of their bytes independently of the first.
 Windows count as equal, within a chunk, across chunks and in runs, only if both agree; those that agree in the hash alone
 stand side by side.
 
 Hot windows cost nothing extra: a chunk sends each fingerprint once, however often it holds it.  A bucket gets
-a bounded number of them, since the number of buckets follows the batch.  No window is ever a row.
+a bounded number of them from a batch, since the number of buckets follows the batch.  A run's bucket is stored in PARTS
+sorted parts; a batch's bucket is held in memory, and the parts of the runs stream past it, so history may grow beyond any
+task's memory.  Compaction takes one part of one bucket at a time.  No window is ever a row.
 
 Results are defined for every input: a null or blank text has no words and keeps the empty text; a null
 doc_id counts as after all others; rows that share a doc_id are ordered by their text, and the later of
@@ -22,6 +24,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +36,9 @@ from .textarrays import Words, pack, split_sorted, tidy, unpack, window_hashes
 
 _RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 _MESSAGE = "chunk long, bucket int, hashes binary, checks binary"
+_MERGED = "chunk long, bucket int, part int, hashes binary, checks binary"
+_MERGED_ARROW = pa.schema([("chunk", pa.int64()), ("bucket", pa.int32()), ("part", pa.int32()), ("hashes", pa.binary()), ("checks", pa.binary())])
+PARTS = 64
 
 
 def ordered(table: pa.Table) -> pa.Table:
@@ -49,8 +55,8 @@ def chunk_windows(table: pa.Table, size: int) -> tuple[Words, np.ndarray, np.nda
 
 
 def _checks(words: Words, at: np.ndarray, size: int) -> np.ndarray:
-    """32 bits of the second hash of the windows."""
-    return (window_hashes(words.checks(), at, at + size) >> np.uint64(32)).astype("<u4")
+    """16 bits of the second hash of the windows."""
+    return (window_hashes(words.checks(), at, at + size) >> np.uint64(48)).astype("<u2")
 
 
 def distinct(hashed: np.ndarray, checks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -82,40 +88,71 @@ def _send(size: int, n_buckets: int):
     return send
 
 
-def _merge(keep_run: bool):
-    """One bucket: the sorted hashes of the batch's chunks against those of the runs."""
-
-    def merge(batch: pa.Table, history: pa.Table) -> pa.Table:
-        out = {"chunk": [], "bucket": [], "hashes": [], "checks": []}
-
-        def add(chunk: int, bucket: int, hashes: bytes, checks: bytes) -> None:
-            for k, v in zip(out, (chunk, bucket, hashes, checks), strict=True):
-                out[k].append(v)
-
-        rows = sorted(batch.to_pylist(), key=lambda r: r["chunk"])
-        parts = [(-1, h) for h in history.to_pylist()] + [(r["chunk"], r) for r in rows]
+class _Bucket:
+    """A batch's part of one bucket, and what of it is in the runs."""
+
+    def __init__(self, rows: list[dict]):
+        self.rows = sorted(rows, key=lambda r: r["chunk"])
+        self.values = [unpack(r["hashes"]) for r in self.rows]
+        checks = np.concatenate([np.frombuffer(r["checks"], "<u2") for r in self.rows])
+        self.hashes, self.checks, self.first, self.number = distinct(np.concatenate(self.values), checks)
+        self.known = np.zeros(len(self.hashes), bool)
+
+    def meet(self, run: dict) -> None:
+        """Mark what a part of a run holds."""
+        hashes, checks = unpack(run["hashes"]), np.frombuffer(run["checks"], "<u2")
+        at = np.searchsorted(self.hashes, hashes)
+        while len(at):  # once, but for fingerprints that agree in the hash alone
+            inside = at < len(self.hashes)
+            at, hashes, checks = at[inside], hashes[inside], checks[inside]
+            alike = self.hashes[at] == hashes
+            at, hashes, checks = at[alike], hashes[alike], checks[alike]
+            same = self.checks[at] == checks
+            self.known[at[same]] = True
+            at, hashes, checks = at[~same] + 1, hashes[~same], checks[~same]
+
+    def answers(self, keep_run: bool, n_buckets: int) -> pa.RecordBatch:
+        """One bit for each fingerprint of each chunk, and the parts of the new run."""
+        seen = np.ones(len(self.number), bool)
+        seen[self.first] = False
+        seen |= self.known[self.number]
+        bucket, rows, at = self.rows[0]["bucket"], [], 0
+        for r, v in zip(self.rows, self.values, strict=True):
+            bits = seen[at : at + len(v)]
+            if bits.any():
+                rows.append((r["chunk"], bucket, None, np.packbits(bits).tobytes(), b""))
+            at += len(v)
+        if keep_run:
+            hashes, checks = self.hashes[~self.known], self.checks[~self.known]
+            rows += [(-1 - bucket, bucket, p, pack(hashes[i:j]), checks[i:j].tobytes()) for p, i, j in _parts(hashes, bucket, n_buckets)]
+        return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 5, _MERGED_ARROW.types, strict=True)], schema=_MERGED_ARROW)
+
+
+def _parts(hashes: np.ndarray, bucket: int, n_buckets: int) -> list[tuple[int, int, int]]:
+    """(part, from, to): equal ranges of the bucket's hashes."""
+    finer = split_sorted(hashes, n_buckets * PARTS)
+    return [(b - bucket * PARTS, i, j) for b, i, j in finer]
+
+
+def _merge(keep_run: bool, n_buckets: int):
+    """Rows sorted by bucket, in each the batch's chunks first (chunk >= 0) and then the runs (chunk null)."""
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[dict] = []
+        bucket: _Bucket | None = None
+        for batch in batches:
+            for r in batch.to_pylist():
+                if rows and r["bucket"] != rows[0]["bucket"]:
+                    yield (bucket or _Bucket(rows)).answers(keep_run, n_buckets)
+                    rows, bucket = [], None
+                if r["chunk"] is not None:
+                    rows.append(r)
+                elif rows:  # a bucket that the batch does not touch needs no answer
+                    bucket = bucket or _Bucket(rows)
+                    bucket.meet(r)
         if rows:
-            values = [unpack(r["hashes"]) for _, r in parts]
-            checks = np.concatenate([np.frombuffer(r["checks"], "<u4") for _, r in parts])
-            merged = np.concatenate(values)
-            order = np.lexsort((checks, merged))  # equal fingerprints stay in order of age
-            merged, checks = merged[order], checks[order]
-            fresh = np.ones(len(merged), bool)
-            fresh[1:] = (merged[1:] != merged[:-1]) | (checks[1:] != checks[:-1])
-            seen = np.zeros(len(merged), bool)
-            seen[order] = ~fresh
-            at = sum(len(v) for (c, _), v in zip(parts, values, strict=True) if c < 0)
-            aged = at
-            for (c, r), v in zip(parts, values, strict=True):
-                if c >= 0:
-                    bits = seen[at : at + len(v)]
-                    if bits.any():
-                        add(c, r["bucket"], np.packbits(bits).tobytes(), b"")
-                    at += len(v)
-            if keep_run:
-                own = fresh & (order >= aged)
-                add(-1 - rows[0]["bucket"], rows[0]["bucket"], pack(merged[own]), checks[own].tobytes())
-        return pa.table(out, pa.schema([("chunk", pa.int64()), ("bucket", pa.int32()), ("hashes", pa.binary()), ("checks", pa.binary())]))
+            yield (bucket or _Bucket(rows)).answers(keep_run, n_buckets)
+        tidy()
 
     return merge
 
@@ -124,7 +161,7 @@ def _resolve(size: int, n_buckets: int):
     """One chunk: its documents and the answers of the buckets, or one bucket's part of the new run."""
 
     def resolve(docs: pa.Table, answers: pa.Table) -> pa.Table:
-        fields = {"doc_id": [], "n_words": [], "n_removed": [], "kept_sha256": [], "bucket": [], "hashes": [], "checks": []}
+        fields = {"doc_id": [], "n_words": [], "n_removed": [], "kept_sha256": [], "bucket": [], "part": [], "hashes": [], "checks": []}
         if docs.num_rows:
             docs = ordered(docs)
             words, at, hashed = chunk_windows(docs, size)
@@ -143,26 +180,27 @@ def _resolve(size: int, n_buckets: int):
                 "n_removed": words.per_doc(removed).tolist(),
                 "kept_sha256": [hashlib.sha256(x).hexdigest() for x in words.joined(~removed)],
                 "bucket": [None] * n,
+                "part": [None] * n,
                 "hashes": [None] * n,
                 "checks": [None] * n,
             }
         else:
             runs = answers.to_pylist()
-            fields |= {k: [r[k] for r in runs] for k in ("bucket", "hashes", "checks")}
+            fields |= {k: [r[k] for r in runs] for k in ("bucket", "part", "hashes", "checks")}
             fields |= {k: [None] * len(runs) for k in ("doc_id", "n_words", "n_removed", "kept_sha256")}
-        kinds = [pa.int64()] * 3 + [pa.string(), pa.int32(), pa.binary(), pa.binary()]
+        kinds = [pa.int64()] * 3 + [pa.string(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
         return pa.table({"run": pa.array([docs.num_rows == 0] * len(fields["doc_id"]), pa.bool_())} | {k: pa.array(v, t) for (k, v), t in zip(fields.items(), kinds, strict=True)})
 
     return resolve
 
 
 def _compact(table: pa.Table) -> pa.Table:
-    """One bucket: several runs become one."""
+    """One part of one bucket: several runs become one."""
     rows = table.to_pylist()
     merged = np.concatenate([unpack(r["hashes"]) for r in rows])
-    checks = np.concatenate([np.frombuffer(r["checks"], "<u4") for r in rows])
+    checks = np.concatenate([np.frombuffer(r["checks"], "<u2") for r in rows])
     order = np.lexsort((checks, merged))
-    return pa.table({"bucket": pa.array([rows[0]["bucket"]], pa.int32()), "hashes": pa.array([pack(merged[order])], pa.binary()), "checks": pa.array([checks[order].tobytes()], pa.binary())})
+    return pa.table([[rows[0]["bucket"]], [rows[0]["part"]], [pack(merged[order])], [checks[order].tobytes()]], pa.schema([_MERGED_ARROW.field(i) for i in (1, 2, 3, 4)]))
 
 
 class SubstringIndex:
@@ -174,7 +212,7 @@ class SubstringIndex:
         self.runs: list[str] = []
         self._made = 0
 
-    _RUN = "bucket int, hashes binary, checks binary"
+    _RUN = "bucket int, part int, hashes binary, checks binary"
 
     def _history(self) -> DataFrame:
         if not self.runs:
@@ -189,7 +227,9 @@ class SubstringIndex:
         with cluster.temporary(self.spark), cluster.shuffles_end_with_query(self.spark):
             chunks = cluster.with_chunk(docs, self.chunk_bytes, total)
             sent = chunks.groupBy("chunk").applyInArrow(_send(self.size, self.n_buckets), _MESSAGE)
-            merged = sent.groupBy("bucket").cogroup(self._history().groupBy("bucket")).applyInArrow(_merge(keep_run), _MESSAGE)
+            both = sent.unionByName(self._history().drop("part"), allowMissingColumns=True)
+            ordered_ = both.repartition("bucket").sortWithinPartitions("bucket", F.col("chunk").asc_nulls_last())
+            merged = ordered_.mapInArrow(_merge(keep_run, self.n_buckets), _MERGED)
             both = chunks.groupBy("chunk").cogroup(merged.groupBy("chunk")).applyInArrow(_resolve(self.size, self.n_buckets), "run boolean, " + _RESULT + ", " + self._RUN)
             both.write.partitionBy("run").parquet(out)
         if keep_run:
@@ -207,7 +247,8 @@ class SubstringIndex:
         self.runs = [r for r in self.runs if self._has(r)]
         if len(self.runs) > 1:
             path = f"{self.path}/compacted-{self._made:06d}"
-            self._history().groupBy("bucket").applyInArrow(_compact, self._RUN).write.parquet(path)
+            with cluster.shuffles_end_with_query(self.spark):
+                self._history().groupBy("bucket", "part").applyInArrow(_compact, self._RUN).write.parquet(path)
             for r in self.runs:
                 cluster.remove(self.spark, r)
             self.runs = [path]

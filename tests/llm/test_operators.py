@@ -98,18 +98,20 @@ def test_colliding_hashes_are_told_apart_by_the_check(monkeypatch):
     rng = random.Random(8)
     texts = [" ".join(rng.choice("abc") for _ in range(40)) for _ in range(9)]
     tables = [pa.table({"chunk": [c] * 3, "doc_id": list(range(3 * c, 3 * c + 3)), "text": texts[3 * c : 3 * c + 3]}) for c in range(3)]
-    send, merge, resolve = substring_index._send(6, 1), substring_index._merge(True), substring_index._resolve(6, 1)
-    history = pa.table({"bucket": pa.array([], pa.int32()), "hashes": pa.array([], pa.binary()), "checks": pa.array([], pa.binary())})
-    got = []
+    send, merge, resolve = substring_index._send(6, 1), substring_index._merge(True, 1), substring_index._resolve(6, 1)
+    history, got = [], []
     for part in (tables[:1], tables[1:]):
-        answers = merge(pa.concat_tables([send(t) for t in part]), history)
-        run = answers.filter(pc.less(answers["chunk"], 0)).select(["bucket", "hashes", "checks"])
-        history = pa.concat_tables([history, run]) if history.num_rows == 0 else substring_index._compact(pa.concat_tables([history, run]))
+        sent = pa.concat_tables([send(t) for t in part])
+        past = [pa.table({"chunk": pa.array([None] * r.num_rows, pa.int64()), **{c: r[c] for c in ("bucket", "hashes", "checks")}}) for r in history]
+        answers = pa.Table.from_batches(merge(iter(pa.concat_tables([sent, *past]).to_batches())))
+        history.append(answers.filter(pc.less(answers["chunk"], 0)).select(["bucket", "part", "hashes", "checks"]))
         for t in part:
             got += resolve(t, answers.filter(pc.equal(answers["chunk"], t["chunk"][0]))).select(["doc_id", "n_removed"]).to_pylist()
+    runs = h.grouped((r["part"], r) for r in pa.concat_tables(history).to_pylist())
+    merged = [substring_index._compact(pa.Table.from_pylist(r, history[0].schema)) for r in runs.values()]
     want = [(d, sum(g)) for d, _, g in h.removed(list(enumerate(texts)), 6)]
     assert [(r["doc_id"], r["n_removed"]) for r in got] == want and 0 < sum(n for _, n in want) < 9 * 40
-    assert len(unpack(history["hashes"][0].as_py())) == len({tuple(t.split()[i : i + 6]) for t in texts for i in range(35)})
+    assert sum(len(unpack(t["hashes"][0].as_py())) for t in merged) == len({tuple(t.split()[i : i + 6]) for t in texts for i in range(35)})
 
 
 def test_the_index_is_compacted_in_the_query(spark, monkeypatch):
@@ -181,7 +183,7 @@ def test_suffixes_match_as_far_as_their_words_do(seed):
         for a in range(length - k + 1):
             if p - a >= w.first[d] and p - a + length <= w.first[d + 1]:
                 asked[i] |= np.uint64(1 << a)
-    got = suffix_dedup.repeated_windows(*suffix_dedup.contexts(w, anchors, length, k), anchors, asked, length, k)
+    got = suffix_dedup.repeated_windows(*suffix_dedup.contexts(w, anchors, asked, length, k), anchors, asked, length, k)
     for a in range(length - k + 1):
         seen = set()
         for i, p in enumerate(anchors.tolist()):
