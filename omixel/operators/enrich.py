@@ -29,11 +29,17 @@ def weights(scores: DataFrame, config: Config = Config()) -> DataFrame:
     return scores.select("feature", combined_weight(F.col("d"), F.col("s"), config.d_share, config.s_share, config.default_weight).alias("w"))
 
 
-def with_fallback(scores: DataFrame, curated: DataFrame, features: DataFrame, least: int = 10) -> DataFrame:
-    """feature, score: where fewer than `least` features have a score, curated ones fill those that have none."""
+def with_fallback(scores: DataFrame, curated: DataFrame, features: DataFrame, least: int = 10, by: list[str] = ()) -> DataFrame:
+    """feature, score: where fewer than `least` features (of a group, by columns of `features`) have a score, curated ones fill those that have none."""
     have = scores.filter("score is not null").select("feature", "score")
-    few = have.agg((F.count("*") < least).alias("few"))
-    more = curated.join(features.select("feature").distinct(), "feature", "left_semi").join(have, "feature", "left_anti").join(F.broadcast(few), how="cross").filter("few")
+    groups = features.select("feature", *by).distinct()
+    if not by:
+        few = have.agg((F.count("*") < least).alias("few"))
+        open_ = groups.join(F.broadcast(few), how="cross").filter("few")
+    else:
+        enough = groups.join(have, "feature").groupBy(*by).agg(F.count("*").alias("n")).filter(F.col("n") >= least)
+        open_ = groups.join(enough, list(by), "left_anti")
+    more = curated.join(open_.select("feature"), "feature", "left_semi").join(have, "feature", "left_anti")
     return have.unionByName(more.select("feature", "score"))
 
 
@@ -41,7 +47,8 @@ def degree_centrality(edges: DataFrame) -> DataFrame:
     """node, degree, centrality: endpoints counted on both sides, relative to the largest degree."""
     ends = edges.select(F.col("a").alias("node")).unionAll(edges.select(F.col("b").alias("node")))
     degrees = ends.groupBy("node").agg(F.count("*").alias("degree"))
-    return degrees.withColumn("centrality", F.col("degree") / F.max("degree").over(Window.partitionBy()))
+    largest = degrees.agg(F.max("degree").alias("largest"))  # one row, whatever the number of nodes
+    return degrees.join(F.broadcast(largest), how="cross").select("node", "degree", (F.col("degree") / F.col("largest")).alias("centrality"))
 
 
 def ssgsea(matrix: DataFrame, membership: DataFrame, weight: DataFrame, samples: DataFrame, config: Config = Config()) -> DataFrame:

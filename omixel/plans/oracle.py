@@ -93,7 +93,7 @@ SQL: dict[str, str] = {
     # sources and routing
     "scan_unpivot": "select measure, count(*) as n, round(sum(value), 2) as total from (" + " union all ".join(f"select '{c}' as measure, {c} as value from lineitem" for c in ("l_quantity", "l_extendedprice", "l_discount", "l_tax")) + ") where value is not null group by 1",
     "genesets_explode": "select event_type as set_id, json_extract_string(props, '$.k')::int as feature, count(*) as n from events where json_extract_string(props, '$.k') is not null group by 1, 2",
-    "disease_fallback": _with(BASE) + "select * from (select feature, d as score from scores where d is not null and feature % 500 = 1) union all (select feature, s as score from scores where s is not null and feature not in (select feature from scores where d is not null and feature % 500 = 1) and (select count(*) from scores where d is not null and feature % 500 = 1) < 10)",
+    "disease_fallback": _with(BASE) + "select feature, d as score from scores where d is not null union all select feature, s as score from scores join part on p_partkey = feature where d is null and s is not null and (p_brand, p_type) not in (select (p_brand, p_type) from scores join part on p_partkey = feature where d is not null group by p_brand, p_type having count(*) >= 10)",
     "degree_centrality": "with e as (select 's' || l_suppkey as node from lineitem union all select 'p' || l_partkey from lineitem), d as (select node, count(*) as degree from e group by 1) select node, degree, round(degree::double / max(degree) over (), 9) as centrality from d",
     "route_regex": _with(NAMES) + f"select p_partkey, {_IG} as is_ig from names",
     "route_split": _with(NAMES) + f"select case when {_IG} then 'ig' else 'canonical' end as route, count(*) as n, count(name) as named from names group by 1",

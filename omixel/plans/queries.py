@@ -50,7 +50,8 @@ def genesets_explode(t: Tables) -> DataFrame:
 @_query
 def disease_fallback(t: Tables) -> DataFrame:
     s = t.scores()
-    return enrich.with_fallback(s.filter("feature % 500 = 1").select("feature", F.col("d").alias("score")), s.filter("s is not null").select("feature", F.col("s").alias("score")), t.features())
+    groups = t.read("part").select(F.col("p_partkey").alias("feature"), "p_brand", "p_type")
+    return enrich.with_fallback(s.select("feature", F.col("d").alias("score")), s.filter("s is not null").select("feature", F.col("s").alias("score")), groups, by=["p_brand", "p_type"])
 
 
 @_query
@@ -588,7 +589,7 @@ def _set_scores(t: Tables) -> tuple[np.ndarray, np.ndarray, list, list]:
 @_query
 def upgma_clusters(t: Tables) -> DataFrame:
     sim = similarity.combined_similarity(similarity.jaccard_pairs(t.membership()), _correlations(t))
-    return similarity.clusters(t.membership().select("set_id").distinct(), sim, (0.7, 0.8, 0.9))
+    return similarity.clusters(_scores(t).select("set_id").distinct(), sim, (0.7, 0.8, 0.9))
 
 
 @_query
@@ -629,10 +630,9 @@ def missforest(t: Tables) -> DataFrame:
 
 @_query
 def train_predict(t: Tables) -> DataFrame:
-    rows = _vectors(t).select("sample_id", "feature", F.col("value").alias("filled"))
-    labels = t.read("embeddings").select(F.col("vec_id").alias("sample_id"), (F.col("label") < 5).cast("int").alias("y"))
-    model = ml.train(rows, labels)
-    return ml.score_arrays(t.read("embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("embedding")), F.col("embedding"), model).drop("embedding")
+    rows = t.read("embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"), (F.col("label") < 5).cast("int").alias("y"))
+    model = ml.train_distributed(rows.filter("y is not null and embedding is not null"), "embedding")
+    return ml.score_arrays(rows.select("vec_id", "embedding"), F.col("embedding"), model).drop("embedding")
 
 
 @_query

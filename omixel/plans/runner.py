@@ -9,7 +9,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import Config
@@ -44,11 +44,13 @@ class Analysis:
 
     def reduce(self) -> None:
         """Redundant sets go (one per cluster stays), then sets of low variance, then what bootstraps do not select."""
-        es, ids = self.results["scores"], self.membership.select("set_id").distinct()
-        correlation = stats.pairwise_correlation(es.withColumn("es", F.coalesce("es", F.lit(0.0))), "set_id", "sample_id", "es")
-        near = similarity.combined_similarity(similarity.jaccard_pairs(self.membership), correlation)
+        es = self.results["scores"]
+        ids = es.select("set_id").distinct()  # sets without scores take no part
+        filled = es.withColumn("es", F.coalesce("es", F.avg("es").over(Window.partitionBy("set_id"))))
+        correlation = stats.pairwise_correlation(filled, "set_id", "sample_id", "es")
+        near = similarity.combined_similarity(similarity.jaccard_pairs(self.membership.join(ids, "set_id", "left_semi")), correlation)
         clusters = similarity.clusters(ids, near, (self.config.similarity,))
-        order = ids.withColumn("ord", F.xxhash64("set_id"))
+        order = ids.withColumn("ord", F.row_number().over(Window.orderBy("set_id")))  # of equal ones the first; average linkage bounds the sets
         iqrs = enrich.iqr(es)
         kept = similarity.representatives(clusters.join(order, "set_id"), iqrs).select("set_id")
         self.results["nonredundant"] = kept

@@ -191,3 +191,29 @@ def test_power_curve_has_all_sets_and_sizes(spark, monkeypatch):
     monkeypatch.setattr(resample, "power_curve", lambda spark, x, y, sizes, simulations: seen.append(x.shape) or run(spark, x, y, sizes, 1))
     got = queries.queries()["power_curve"](spark, "").collect()
     assert seen == [x.shape] and sorted(r.n_total for r in got) == [20, 30, 50, 75, 100, 150, 200, 300, 500]
+
+
+def test_distributed_training_is_the_solver_s(spark):
+    import numpy as np
+
+    from omixel.functions.solvers import logistic_l2, standardise
+    from omixel.operators import ml
+
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((240, 4)) * [1, 3, 0.5, 1]
+    y = (x @ [1.0, -0.4, 0.5, 0] + rng.logistic(size=240) > 0.6).astype(int)
+    model = ml.train_distributed(spark.createDataFrame([(v.tolist(), int(k)) for v, k in zip(x, y, strict=True)], "v array<double>, y int"), "v", n_cs=5, folds=3)
+    scaled, mean, deviation = standardise(x)
+    want = logistic_l2(scaled, y, model["regularization_C"])
+    assert np.abs(np.array([*model["coefficients"], model["intercept"]]) - want).max() < 1e-3
+    assert np.abs(np.array(model["feature_means"]) - mean).max() < 1e-9 and np.abs(np.array(model["feature_stds"]) - deviation).max() < 1e-9
+
+
+def test_fallback_by_group(spark):
+    from omixel.operators import enrich
+
+    scores = spark.createDataFrame([(i, float(i) if i != 3 else None) for i in range(14)], "feature int, score double")
+    curated = spark.createDataFrame([(3, 0.5), (20, 0.6), (21, 0.7), (99, 0.9)], "feature int, score double")
+    features = spark.createDataFrame([(i, "a" if i < 14 else "b") for i in (*range(14), 20, 21)], "feature int, grp string")
+    got = {r.feature: r.score for r in enrich.with_fallback(scores, curated, features, by=["grp"]).collect()}
+    assert got == {**{i: float(i) for i in range(14) if i != 3}, 20: 0.6, 21: 0.7}
