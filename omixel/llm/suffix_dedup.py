@@ -233,7 +233,7 @@ def _send_suffixes(length: int, k: int):
             anchors, none = found.anchors[at], [b""] * len(at)
             words = (none, none) if settled else contexts(c.words, anchors, windows[at], length, k)
             # settled rows only pass: they are dealt out evenly, whatever their words
-            key = mix(anchors.astype(np.uint64) + np.uint64(docs["chunk"][0].as_py() << 20)) if settled else c.prefix[anchors]
+            key = mix(anchors.astype(np.uint64) + np.uint64((docs["chunk"][0].as_py() << 20) % (1 << 64))) if settled else c.prefix[anchors]
             columns = [key.view(np.int64), *words, np.full(len(at), docs["chunk"][0].as_py()), anchors, windows[at].view(np.int64), np.full(len(at), settled)]
             out.append(pa.table([pa.array(x, f.type) for x, f in zip(columns, schema, strict=True)], schema=schema))
         return pa.concat_tables(out)
