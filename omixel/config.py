@@ -25,5 +25,7 @@ class Config:
     n_cs: int = 10
     folds: int = 5
     permutations: int = 1000
+    trees: int = 100
+    impute_rounds: int = 10
     alpha: float = 0.05
     seed: int = 42

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import fixed_values as V
@@ -61,3 +61,8 @@ def label(value: Column) -> Column:
 
 def shortened(text: Column, size: int) -> Column:
     return F.when(F.length(text) > size, F.concat(F.substring(text, 1, size - 3), F.lit("..."))).otherwise(text)
+
+
+def usable_symbols(rows: DataFrame, column: str, least: int = 2) -> DataFrame:
+    """The distinct symbols of two characters or more, without nulls."""
+    return rows.filter(F.length(column) >= least).select(column).distinct()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import Config
@@ -87,3 +87,20 @@ def variance_filter(iqrs: DataFrame, percentile: float = 0.05) -> DataFrame:
     """Sets whose interquartile range is above the percentile of all; ties with it go."""
     cut = iqrs.agg(F.expr(f"percentile(iqr, {percentile}D)").alias("cut"))
     return iqrs.join(F.broadcast(cut), how="cross").filter("iqr > cut")
+
+
+def with_symbols(rows: DataFrame, symbols: DataFrame, on: str) -> DataFrame:
+    """All rows with their symbol, null where there is none; AQE broadcasts a small map, a large one is merged."""
+    return rows.join(symbols, on, "left")
+
+
+def best_hits(names: DataFrame, catalogue: DataFrame, name: str, key: str, *order: Column, n: int = 5) -> DataFrame:
+    """query_original, query_clean, hit (from 1) and the catalogue's columns: for each name the first n entries of the same cleaned name.
+
+    Names are cut at their first bracket and compared in lower case; a name without a hit, null or empty has no row.
+    The first n of an entry's name are taken before the join, so that a common name never multiplies more than n rows."""
+    clean = F.trim(F.regexp_extract(name, r"^([^(]+)", 1))
+    asked = names.select(F.col(name).alias("query_original"), clean.alias("query_clean")).filter("query_clean <> ''").withColumn("__key", F.lower("query_clean"))
+    entries = catalogue.withColumn("__key", F.lower(F.trim(key)))
+    entries = entries.withColumn("hit", F.row_number().over(Window.partitionBy("__key").orderBy(*order))).filter(F.col("hit") <= n)
+    return asked.join(entries, "__key").drop("__key")

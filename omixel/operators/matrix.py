@@ -74,3 +74,13 @@ def kernel_density(values: DataFrame, column: str, grid: list[float]) -> DataFra
     stats = stats.select("n", F.when(width > 0, width).otherwise(F.lit(1e-9)).alias("h"))
     dots = points.join(F.broadcast(stats), how="cross").withColumn("point", F.explode(F.array(*[F.lit(float(g)) for g in grid])))
     return dots.groupBy("point").agg((F.sum(F.exp(F.lit(-0.5) * F.pow((F.col("point") - F.col("x")) / F.col("h"), F.lit(2.0)))) / (F.first("n") * F.first("h") * 2.5066282746310002)).alias("density"))
+
+
+def complete_features(matrix: DataFrame, samples: DataFrame, detected: float = 0.6, least: int = 5) -> DataFrame:
+    """The matrix's rows of features that reach the detection rate and lack no sample; none where fewer than `least` features do."""
+    values = matrix.filter(F.col("value").isNotNull()).join(samples.select("sample_id"), "sample_id", "left_semi")
+    n = samples.agg(F.count_distinct("sample_id").alias("n_samples"))
+    seen = values.groupBy("feature").agg(F.count_distinct("sample_id").alias("n")).join(F.broadcast(n), how="cross")
+    full = seen.filter((F.col("n") >= detected * F.col("n_samples")) & (F.col("n") == F.col("n_samples"))).select("feature")
+    enough = full.agg((F.count("*") >= least).alias("enough"))
+    return values.join(full.join(F.broadcast(enough), how="cross").filter("enough").select("feature"), "feature", "left_semi")

@@ -32,8 +32,8 @@ def mann_whitney_u(rows: DataFrame, by: list[str], value: str = "es", group: str
     return sums.withColumn("u", u).withColumn("r", F.lit(1.0) - F.lit(2.0) * F.col("u") / F.nullif(F.col("n1") * F.col("n0"), F.lit(0)).cast("double")).drop("r1")
 
 
-def _exact_p(u: float, n1: int, n0: int) -> float:
-    """Two-sided p of U without ties: subsets of ranks counted by their sum."""
+def _exact_tails(n1: int, n0: int) -> np.ndarray:
+    """The chance of each U or more, from 0 to n1 n0, without ties: subsets of ranks counted by their sum."""
     n1, n0 = sorted((n1, n0))
     counts = np.zeros((n1 + 1, n1 * n0 + 1))
     counts[0, 0] = 1
@@ -42,9 +42,11 @@ def _exact_p(u: float, n1: int, n0: int) -> float:
             shift = item - (k - 1)  # what the k-th chosen rank adds to U
             if 0 <= shift <= n1 * n0:
                 counts[k, shift:] += counts[k - 1, : n1 * n0 + 1 - shift]
-    weights = counts[n1]
-    tail = weights[int(max(u, n1 * n0 - u)) :].sum() / weights.sum()
-    return min(1.0, 2 * tail)
+    return counts[n1][::-1].cumsum()[::-1] / counts[n1].sum()
+
+
+def _exact_p(u: float, n1: int, n0: int) -> float:
+    return min(1.0, 2 * float(_exact_tails(n1, n0)[int(max(u, n1 * n0 - u))]))
 
 
 def p_of_u(u: float, n1: int, n0: int, ties: float) -> float:
@@ -59,20 +61,30 @@ def p_of_u(u: float, n1: int, n0: int, ties: float) -> float:
 
 
 def mann_whitney_p(u: str = "u", n1: str = "n1", n0: str = "n0", ties: str = "ties") -> Column:
-    def p(*columns: pd.Series) -> pd.Series:
-        return pd.Series([p_of_u(*x) for x in zip(*columns, strict=True)])
+    """Exact for groups of which the smaller has at most 8 and no values are tied, else the normal branch; null without two groups.
 
-    def run(u: pd.Series, n1: pd.Series, n0: pd.Series, ties: pd.Series) -> pd.Series:
-        return p(u, n1, n0, ties)
+    Python sees the exact rows only; it counts each pair of group sizes once a batch."""
+    small = (F.least(n1, n0) <= 8) & (F.col(ties) == 0)
 
-    return F.pandas_udf(run, "double")(u, n1, n0, ties)
+    def run(u: pd.Series, n1: pd.Series, n0: pd.Series) -> pd.Series:
+        out = pd.Series(np.nan, index=u.index)
+        wanted = (n1 > 0) & (n0 > 0)
+        for (a, b), rows in u[wanted].groupby([n1[wanted], n0[wanted]]):
+            tails = _exact_tails(int(a), int(b))
+            out[rows.index] = np.minimum(1.0, 2 * tails[np.maximum(rows, a * b - rows).astype(int)])
+        return out
+
+    zero = F.lit(0)  # of large groups nothing is counted
+    exact = F.pandas_udf(run, "double")(F.when(small, F.col(u)).otherwise(0.0), F.when(small, F.col(n1)).otherwise(zero), F.when(small, F.col(n0)).otherwise(zero))
+    both = (F.col(n1) > 0) & (F.col(n0) > 0)
+    return F.when(both & small, exact).when(both, F.coalesce(normal_p(F.col(u), F.col(n1), F.col(n0), F.col(ties)), F.lit(1.0)))
 
 
 def normal_p(u: Column, n1: Column, n0: Column, ties: Column) -> Column:
     """The normal branch as an expression; the normal tail by a rational approximation (error below 1.2e-7)."""
     n = n1 + n0
-    s = F.sqrt(n1 * n0 / 12.0 * (n + 1 - ties / (n * (n - 1))))
-    z = (F.greatest(u, n1 * n0 - u) - n1 * n0 / 2.0 - 0.5) / s
+    s = F.sqrt(n1 * n0 / 12.0 * (n + 1 - F.coalesce(ties / F.nullif(n * (n - 1), F.lit(0)).cast("double"), F.lit(0.0))))
+    z = (F.greatest(u, n1 * n0 - u) - n1 * n0 / 2.0 - 0.5) / F.nullif(s, F.lit(0.0))
     x = F.greatest(z, F.lit(0.0)) / math.sqrt(2)
     t = F.lit(1.0) / (F.lit(1.0) + F.lit(0.5) * x)
     series = F.lit(0.17087277)
@@ -97,6 +109,12 @@ def pairwise_correlation(rows: DataFrame, item: str, on: str, value: str) -> Dat
     return left.join(right, on).filter("a < b and x is not null and y is not null").groupBy("a", "b").agg(F.corr("x", "y").alias("r"), F.count("*").alias("n"))
 
 
+def reproduced(again: DataFrame, stored: DataFrame, keys: list[str], value: str, tolerance: float = 0.01) -> DataFrame:
+    """keys, again, stored and whether they differ by less than the tolerance; what only one of them holds is not reproduced."""
+    both = again.select(*keys, F.col(value).alias("again")).join(stored.select(*keys, F.col(value).alias("stored")), keys, "full")
+    return both.withColumn("same", F.coalesce(F.abs(F.col("again") - F.col("stored")) < tolerance, F.lit(False)))
+
+
 def empirical_p(null: DataFrame, column: str, observed: float) -> DataFrame:
     """(b + 1) / (n + 1) with b of the n values at least as large as what was observed, and the null's summary."""
     c = F.col(column)

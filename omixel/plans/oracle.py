@@ -55,6 +55,18 @@ def normal_p(u: str = "u", n1: str = "n1", n0: str = "n0", ties: str = "ties") -
     return f"least(1.0::double, {t} * exp(-{x} * {x} + {series}))"
 
 
+#: how many subsets of k ranks out of i give U, item by item; then the share of them with U or more
+TAILS = """subsets(i, k, u, c) as (select 0, 0, 0, 1.0::double union all select i + 1, k + s, u + s * (i - k), sum(c) from subsets cross join (values (0), (1)) taken(s)
+  where i < (select count(*) from samples) and k + s <= 8 group by 1, 2, 3),
+tails as (select i, k, u as u_or_more, sum(c) over (partition by i, k order by u desc rows unbounded preceding) / sum(c) over (partition by i, k) as tail from subsets)"""
+
+
+def p_values(source: str, to: str) -> str:
+    """p of all rows of source: exact for small groups without ties, else normal."""
+    return f"""{to} as (select x.*, case when n1 = 0 or n0 = 0 then null when ties = 0 and tail is not null then least(1.0::double, 2 * tail) else {normal_p()} end as p
+  from {source} x left join tails on i = n1 + n0 and k = least(n1, n0) and u_or_more = greatest(u, n1 * n0 - u))"""
+
+
 def bh(source: str, keys: str) -> str:
     """q over all rows of source (columns keys, p)."""
     return f"""ranked_p as (select *, row_number() over (order by p, {keys}) as k, count(p) over () as m from {source}),
@@ -62,10 +74,10 @@ q as (select *, least(1.0::double, min(p * m / k) over (order by k desc rows unb
 
 
 def _with(*parts: str) -> str:
-    return "with " + ",\n".join(parts) + "\n"
+    return "with recursive " + ",\n".join(parts) + "\n"
 
 
-_P = f"pv as (select *, {normal_p()} as p from rb)"
+_P = TAILS + ",\n" + p_values("rb", "pv")
 _CATEGORY = "case " + " ".join(f"when regexp_matches(lower(coalesce(name, '')), '{_WORDS(words)}') then '{label}'" for label, words in V.CATEGORIES) + " else 'Other' end"
 _LIST = lambda xs: "[" + ", ".join(f"'{x}'" for x in xs) + "]"
 _IG = f"coalesce(regexp_matches(name, '(?i){V.IMMUNOGLOBULIN}'), false)"
@@ -163,10 +175,28 @@ SQL: dict[str, str] = {
         """fm as (select *, count(*) over (partition by feature, value) as peers, rank() over (partition by feature order by value) + (count(*) over (partition by feature, value) - 1) / 2.0::double as mid from matrix join samples using (sample_id)),
 fs as (select feature, count(*) filter (where y = 1) as n1, count(*) filter (where y = 0) as n0, sum(case when y = 1 then mid end) as r1, sum(peers * peers - 1)::double as ties from fm group by 1),
 fu as (select feature, n1, n0, ties, coalesce(r1, 0) - n1 * (n1 + 1) / 2.0::double as u from fs where n1 >= 3 and n0 >= 2)""",
-        f"ft as (select m.set_id, f.feature, n1, n0, 1.0::double - 2.0::double * u / (n1 * n0)::double as r, {normal_p()} as p from fu f join (select distinct set_id, feature from membership) m using (feature))",
+        TAILS,
+        p_values("fu", "fp"),
+        "ft as (select m.set_id, f.feature, n1, n0, 1.0::double - 2.0::double * u / (n1 * n0)::double as r, p from fp f join (select distinct set_id, feature from membership) m using (feature))",
         bh("ft", "set_id, feature"),
     )
     + "select set_id, feature, n1, n0, round(r, 6) as r, round(p, 6) as p, round(q, 6) as q, k2 as rank from (select *, row_number() over (partition by set_id order by abs(r) desc, feature) as k2 from q) where k2 <= 5",
+    "mann_whitney_p": _with(
+        BASE,
+        """fm as (select *, count(*) over (partition by feature, value) as peers, rank() over (partition by feature order by value) + (count(*) over (partition by feature, value) - 1) / 2.0::double as mid from matrix join samples using (sample_id)),
+fs as (select feature, count(*) filter (where y = 1) as n1, count(*) filter (where y = 0) as n0, sum(case when y = 1 then mid end) as r1, sum(peers * peers - 1)::double as ties from fm group by 1),
+fu as (select feature, n1, n0, ties, coalesce(r1, 0) - n1 * (n1 + 1) / 2.0::double as u from fs)""",
+        TAILS,
+        p_values("fu", "fp"),
+    )
+    + "select feature, n1, n0, u, round(p, 6) as p from fp",
+    "complete_features": _with(BASE, ES) + "select set_id as feature, count(*) as n, round(avg(es), 6) as mean from es where es is not null group by 1 having count(*) = (select count(*) from samples)",
+    "best_hits": _with(NAMES) + r"""select query_original, query_clean, p_partkey, hit from (select name as query_original, trim(regexp_extract(name, '^([^(]+)', 1)) as query_clean from (select distinct name from names)) q
+  join (select p_partkey, lower(trim(p_name)) as key, row_number() over (partition by lower(trim(p_name)) order by p_partkey) as hit from part) on key = lower(query_clean) where query_clean <> '' and hit <= 5""",
+    "usable_symbols": _with(NAMES) + f"select distinct {_SYMBOL} as gene from names where length({_SYMBOL}) >= 2",
+    "mapped_features": _with(NAMES, BASE) + f"select feature, {_SYMBOL} as gene, count(*) as n from matrix left join names on p_partkey = feature group by 1, 2",
+    "reproducibility": """with e as (select ts::date as day, round(avg(value), 2) as stored from events group by 1), a as (select ts::date as day, avg(value) as again from events group by 1)
+select day, round(again, 6) as again, stored, coalesce(abs(again - stored) < 0.01, false) as same from e join a using (day)""",
     "significance_counts": _with(BASE, ES, MWU, _P) + "select count(*) filter (where p < 0.05) as nominal, count(*) filter (where p < 0.01) as strong, count(*) as tests from pv",
     "pairwise_corr": _with(BASE) + "select a.sample_id as a, b.sample_id as b, round(corr(a.value, b.value), 6) as r, count(*) as n from matrix a join matrix b on a.feature = b.feature and a.sample_id < b.sample_id group by 1, 2",
     "filled_corr": _with(BASE, ES, _ES_FILLED, _COR) + "select a, b, round(coalesce(case when isnan(r) then 0.0 else r end, 0.0), 6) as r from cor",

@@ -301,6 +301,24 @@ def first_match(t: Tables) -> DataFrame:
     return here.groupBy("c_mktsegment").agg(F.min("c_custkey").alias("first_customer"), F.count("*").alias("n"))
 
 
+@_query
+def best_hits(t: Tables) -> DataFrame:
+    """Names without what is in brackets, looked up in the catalogue of parts."""
+    return enrich.best_hits(t.names().select("name").distinct(), t.read("part").select("p_partkey", "p_name"), "name", "p_name", F.col("p_partkey")).select("query_original", "query_clean", "p_partkey", "hit")
+
+
+@_query
+def usable_symbols(t: Tables) -> DataFrame:
+    return text.usable_symbols(t.names().select(text.gene_symbol(F.col("name")).alias("gene")), "gene")
+
+
+@_query
+def mapped_features(t: Tables) -> DataFrame:
+    """Every feature of the matrix with its symbol, where it has one."""
+    symbols = t.names().select(F.col("p_partkey").alias("feature"), text.gene_symbol(F.col("name")).alias("gene")).filter("gene is not null")
+    return enrich.with_symbols(t.matrix(), symbols, "feature").groupBy("feature", "gene").agg(F.count("*").alias("n"))
+
+
 @_query
 def join_metadata(t: Tables) -> DataFrame:
     sets = t.membership().select("set_id").distinct()
@@ -396,7 +414,7 @@ def _tests(t: Tables) -> DataFrame:
 
 
 def _p_values(t: Tables) -> DataFrame:
-    return _tests(t).withColumn("p", stats.normal_p(F.col("u"), F.col("n1"), F.col("n0"), F.col("ties")))
+    return _tests(t).withColumn("p", stats.mann_whitney_p())
 
 
 @_query
@@ -424,7 +442,7 @@ def differential(t: Tables) -> DataFrame:
 @_query
 def driver_features(t: Tables) -> DataFrame:
     by_feature = stats.mann_whitney_u(t.matrix().join(t.samples(), "sample_id"), ["feature"], "value").filter("n1 >= 3 and n0 >= 2")
-    tests = by_feature.withColumn("p", stats.normal_p(F.col("u"), F.col("n1"), F.col("n0"), F.col("ties"))).join(t.membership().distinct(), "feature")
+    tests = by_feature.withColumn("p", stats.mann_whitney_p()).join(t.membership().distinct(), "feature")
     best = matrix.first_n(stats.benjamini_hochberg(tests, order=["set_id", "feature"]), 5, ["set_id"], F.abs("r").desc(), F.col("feature"))
     return _long(_round(best, 6, "r", "p", "q"), "rank").select("set_id", "feature", "n1", "n0", "r", "p", "q", "rank")
 
@@ -445,6 +463,16 @@ def filled_corr(t: Tables) -> DataFrame:
     return _correlations(t).select("a", "b", F.round(r, 6).alias("r"))
 
 
+@_query
+def reproducibility(t: Tables) -> DataFrame:
+    """Means of events by day against those by hour, put together again to two digits."""
+    day = F.to_date("ts").alias("day")
+    stored = t.read("events").groupBy(day).agg(F.round(F.avg("value"), 2).alias("mean"))
+    hours = t.read("events").groupBy(day, F.hour("ts").alias("hour")).agg(F.sum("value").alias("total"), F.count("value").alias("n"))
+    again = hours.groupBy("day").agg((F.sum("total") / F.sum("n")).alias("mean"))
+    return _round(stats.reproduced(again, stored, ["day"], "mean"), 6, "again", "stored")
+
+
 @_query
 def empirical_p(t: Tables) -> DataFrame:
     out = stats.empirical_p(t.read("events"), "value", 40.0)
@@ -600,7 +628,9 @@ def cluster_representatives(t: Tables) -> DataFrame:
 
 @_query
 def mann_whitney_p(t: Tables) -> DataFrame:
-    return _tests(t).withColumn("p", stats.mann_whitney_p("u", "n1", "n0", "ties"))
+    """Of every feature: many have small groups, whose p is exact."""
+    tests = stats.mann_whitney_u(t.matrix().join(t.samples(), "sample_id"), ["feature"], "value")
+    return _round(tests.withColumn("p", stats.mann_whitney_p()), 6, "p").select("feature", "n1", "n0", "u", "p")
 
 
 @_query
@@ -609,6 +639,22 @@ def clopper_pearson(t: Tables) -> DataFrame:
     return stats.clopper_pearson(counts)
 
 
+def _complete_scores(t: Tables) -> DataFrame:
+    return matrix.complete_features(_scores(t).select("sample_id", F.col("set_id").alias("feature"), F.round("es", 9).alias("value")), t.samples())
+
+
+@_query
+def complete_features(t: Tables) -> DataFrame:
+    return _complete_scores(t).groupBy("feature").agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean"))
+
+
+@_query
+def pca_samples(t: Tables) -> DataFrame:
+    """Samples in two dimensions, from the sets that are scored in all of them."""
+    values = F.transform(F.array_sort(F.collect_list(F.struct("feature", "value"))), lambda x: x["value"])
+    return ml.principal_components(_complete_scores(t).groupBy("sample_id").agg(values.alias("values")), "values").select("sample_id", "scores", "explained")
+
+
 @_query
 def pca2(t: Tables) -> DataFrame:
     return ml.principal_components(t.read("embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("embedding")), "embedding").select("vec_id", "scores", "explained")

@@ -210,10 +210,30 @@ def test_distributed_training_is_the_solver_s(spark):
 
 
 def test_fallback_by_group(spark):
-    from omixel.operators import enrich
-
     scores = spark.createDataFrame([(i, float(i) if i != 3 else None) for i in range(14)], "feature int, score double")
     curated = spark.createDataFrame([(3, 0.5), (20, 0.6), (21, 0.7), (99, 0.9)], "feature int, score double")
     features = spark.createDataFrame([(i, "a" if i < 14 else "b") for i in (*range(14), 20, 21)], "feature int, grp string")
     got = {r.feature: r.score for r in enrich.with_fallback(scores, curated, features, by=["grp"]).collect()}
     assert got == {**{i: float(i) for i in range(14) if i != 3}, 20: 0.6, 21: 0.7}
+
+
+def test_best_hits(spark):
+    names = spark.createDataFrame([("Kinase A (KA)",), ("ring",), (None,), ("",), ("(X)",), ("none",)], "name string")
+    catalogue = spark.createDataFrame([(i, "kinase a ") for i in range(9)] + [(20, "Ring"), (21, None)], "id int, title string")
+    got = enrich.best_hits(names, catalogue, "name", "title", F.col("id"))
+    assert sorted((r.query_clean, r.id, r.hit) for r in got.collect()) == [("Kinase A", i, i + 1) for i in range(5)] + [("ring", 20, 1)]
+    symbols = spark.createDataFrame([("kinase a ", "KA")], "title string, gene string")
+    assert enrich.with_symbols(catalogue, symbols, "title").filter("gene is null").count() == 2
+
+
+def test_complete_features(spark):
+    samples = spark.createDataFrame([(s,) for s in range(4)], "sample_id int")
+    rows = [(s, f, 1.0 if f < 5 or s else None) for s in range(4) for f in range(7)]
+    m = spark.createDataFrame(rows, "sample_id int, feature int, value double")
+    assert {r.feature for r in matrix.complete_features(m, samples).collect()} == set(range(5))
+    assert matrix.complete_features(m.filter("feature > 0"), samples).count() == 0
+
+
+def test_usable_symbols(spark):
+    rows = spark.createDataFrame([("A",), ("AB",), ("AB",), (None,), ("",)], "gene string")
+    assert [r.gene for r in text.usable_symbols(rows, "gene").collect()] == ["AB"]

@@ -139,3 +139,22 @@ def test_forest_and_imputation():
     assert not np.isnan(full).any()
     assert np.abs(full[::7, 1] - m[::7, 1]).mean() < np.abs(np.nanmedian(holes[:, 1]) - m[::7, 1]).mean()
     assert np.array_equal(full[~np.isnan(holes)], holes[~np.isnan(holes)])
+
+
+def test_p_expression(spark):
+    import pyspark.sql.functions as F
+
+    rows = [(float(u), a, b, t) for a, b in ((1, 1), (3, 2), (8, 12), (9, 10), (2, 40)) for t in (0.0, 6.0) for u in range(a * b + 1)] + [(0.0, 0, 5, 0.0), (12.5, 5, 5, 120.0)]
+    got = spark.createDataFrame(rows, "u double, n1 long, n0 long, ties double").withColumn("p", stats.mann_whitney_p()).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        want = stats.p_of_u(r.u, r.n1, r.n0, r.ties) if r.n1 + r.n0 > 2 or not r.ties else None
+        if not r.n1 or not r.n0:
+            assert r.p is None
+        elif want is not None and r.n1 * r.n0:
+            assert r.p == pytest.approx(want, abs=5e-7), r
+
+
+def test_reproduced(spark):
+    a, b = (spark.createDataFrame(r, "k int, v double") for r in ([(1, 0.5), (2, 0.5), (3, None), (4, 1.0)], [(1, 0.509), (2, 0.52), (3, 1.0), (5, 1.0)]))
+    assert {r.k: r.same for r in stats.reproduced(a, b, ["k"], "v").collect()} == {1: True, 2: False, 3: False, 4: False, 5: False}
