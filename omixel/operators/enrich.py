@@ -51,6 +51,24 @@ def degree_centrality(edges: DataFrame) -> DataFrame:
     return degrees.join(F.broadcast(largest), how="cross").select("node", "degree", (F.col("degree") / F.col("largest")).alias("centrality"))
 
 
+def _hit_sums(matrix: DataFrame, membership: DataFrame, scores: DataFrame, samples: DataFrame, config: Config, parts: dict[str, Column]) -> DataFrame:
+    """set_id, sample_id, n (values of the sample), hits, sp, and of every part its sum and its sum times p (name, name_p), over a set's hits."""
+    ranks = Window.partitionBy("sample_id").orderBy(F.col("value").desc(), "feature")
+    ranked = matrix.filter("value is not null").select("sample_id", "feature", "value", F.row_number().over(ranks).alias("rank"), F.count("*").over(Window.partitionBy("sample_id")).alias("n"))
+    sizes = ranked.groupBy("sample_id").agg(F.count("*").alias("n"))
+    weighted = ranked.join(scores, "feature", "left").withColumns(parts).withColumn("p", F.col("n") - F.col("rank") + 1)
+    sets = present_sets(membership, matrix, config.min_present)
+    sums = [f(F.col(k)).alias(name) for k in parts for f, name in ((F.sum, k), (lambda c: F.sum(c * F.col("p")), f"{k}_p"))]
+    hits = weighted.join(sets, "feature").groupBy("set_id", "sample_id").agg(F.count("*").alias("hits"), F.sum("p").alias("sp"), *sums)
+    return sets.select("set_id").distinct().join(samples.select("sample_id"), how="cross").join(sizes, "sample_id", "left").join(hits, ["set_id", "sample_id"], "left")
+
+
+def _score(a: Column, ap: Column, config: Config) -> Column:
+    n = F.col("n").cast("double")
+    es = (ap / a - (n * (n + 1) / 2 - F.col("sp")) / (n - F.col("hits"))) / n
+    return F.when(F.coalesce("n", F.lit(0)) < config.min_observed, None).when(F.col("hits").isNull() | (F.col("hits") == F.col("n")) | (a == 0), 0.0).otherwise(es)
+
+
 def ssgsea(matrix: DataFrame, membership: DataFrame, weight: DataFrame, samples: DataFrame, config: Config = Config()) -> DataFrame:
     """set_id, sample_id, es: weighted enrichment of every set in every sample.
 
@@ -58,17 +76,22 @@ def ssgsea(matrix: DataFrame, membership: DataFrame, weight: DataFrame, samples:
     es = (sum(a p) / sum(a) - (n (n + 1) / 2 - sum(p)) / (n - hits)) / n, a = |value| * weight.
     So one window ranks each sample once, one join finds the hits, and one aggregate does the rest; the aggregate is partial
     before its shuffle.  Null where a sample has too few values; 0 where a set hits none or all of them."""
-    ranks = Window.partitionBy("sample_id").orderBy(F.col("value").desc(), "feature")
-    ranked = matrix.filter("value is not null").select("sample_id", "feature", "value", F.row_number().over(ranks).alias("rank"), F.count("*").over(Window.partitionBy("sample_id")).alias("n"))
-    sizes = ranked.groupBy("sample_id").agg(F.count("*").alias("n"))
-    weighted = ranked.join(weight, "feature", "left").withColumn("a", F.abs("value") * F.coalesce("w", F.lit(config.default_weight))).withColumn("p", F.col("n") - F.col("rank") + 1)
-    sets = present_sets(membership, matrix, config.min_present)
-    hits = weighted.join(sets, "feature").groupBy("set_id", "sample_id").agg(F.count("*").alias("hits"), F.sum("a").alias("sa"), F.sum(F.col("a") * F.col("p")).alias("sap"), F.sum("p").alias("sp"))
-    everywhere = sets.select("set_id").distinct().join(samples.select("sample_id"), how="cross").join(sizes, "sample_id", "left").join(hits, ["set_id", "sample_id"], "left")
-    n = F.col("n").cast("double")
-    es = (F.col("sap") / F.col("sa") - (n * (n + 1) / 2 - F.col("sp")) / (n - F.col("hits"))) / n
-    value = F.when(F.coalesce("n", F.lit(0)) < config.min_observed, None).when(F.col("hits").isNull() | (F.col("hits") == F.col("n")) | (F.col("sa") == 0), 0.0).otherwise(es)
-    return everywhere.select("set_id", "sample_id", value.alias("es"))
+    sums = _hit_sums(matrix, membership, weight, samples, config, {"a": F.abs("value") * F.coalesce("w", F.lit(config.default_weight))})
+    return sums.select("set_id", "sample_id", _score(F.col("a"), F.col("a_p"), config).alias("es"))
+
+
+def ssgsea_grid(matrix: DataFrame, membership: DataFrame, scores: DataFrame, samples: DataFrame, points: list[tuple[float, float]], config: Config = Config()) -> DataFrame:
+    """alpha, beta, set_id, sample_id, es: the scores under every weighting 1 + alpha d + beta s (a missing d or s counts as 0).
+
+    The sums over hits are linear in alpha and beta, so three pairs of sums, made once, give all points; the points multiply
+    the rows only after the aggregate."""
+    size = F.abs("value")
+    parts = {"one": size, "by_d": size * F.coalesce("d", F.lit(0.0)), "by_s": size * F.coalesce("s", F.lit(0.0))}
+    sums = _hit_sums(matrix, membership, scores.select("feature", "d", "s"), samples, config, parts)
+    at = F.explode(F.array(*[F.struct(F.lit(float(a)).alias("alpha"), F.lit(float(b)).alias("beta")) for a, b in points]))
+    each = sums.withColumn("at", at).select("*", "at.alpha", "at.beta")
+    total = lambda end: F.col("one" + end) + F.col("alpha") * F.col("by_d" + end) + F.col("beta") * F.col("by_s" + end)
+    return each.select("alpha", "beta", "set_id", "sample_id", _score(total(""), total("_p"), config).alias("es"))
 
 
 def group_means(scores: DataFrame, samples: DataFrame) -> DataFrame:

@@ -45,6 +45,20 @@ mwu as (select set_id, n1, n0, ties, coalesce(r1, 0) - n1 * (n1 + 1) / 2.0::doub
 rb as (select *, 1.0::double - 2.0::double * u / nullif(n1 * n0, 0)::double as r from mwu)"""
 
 
+#: the same running sums for every weighting 1 + alpha d + beta s; rank-biserial r of each set under each
+GRID = """cells as (select k.set_id, r.sample_id, r.pos, r.n, case when p.feature is null then 0 else 1 end as hit, case when p.feature is null then 0.0::double else abs(r.value) end as a,
+  coalesce(c.d, 0.0::double) as d, coalesce(c.s, 0.0::double) as s
+  from (select distinct set_id from present) k cross join ranked r join scores c on c.feature = r.feature left join present p on p.set_id = k.set_id and p.feature = r.feature),
+walked as (select *, sum(a) over g as r0, sum(a * d) over g as r1, sum(a * s) over g as r2, sum(1 - hit) over g as rm from cells window g as (partition by set_id, sample_id order by pos rows unbounded preceding)),
+walks as (select set_id, sample_id, any_value(n) as n, sum(hit) as hits, sum(a) as t0, sum(a * d) as t1, sum(a * s) as t2, sum(r0) as s0, sum(r1) as s1, sum(r2) as s2, sum(rm)::double as sm from walked group by 1, 2),
+points as (select i / 4.0::double as alpha, j / 4.0::double as beta from range(5) x(i), range(5) y(j)),
+weighed as (select alpha, beta, k.set_id, t.sample_id, t.y, round(case when n < 10 then null when hits = 0 or hits = n or t0 + alpha * t1 + beta * t2 = 0 then 0.0::double
+  else ((s0 + alpha * s1 + beta * s2) / nullif(t0 + alpha * t1 + beta * t2, 0) - sm / nullif(n - hits, 0)) / n end, 9) as es
+  from points cross join (select distinct set_id from present) k cross join samples t left join walks x on x.set_id = k.set_id and x.sample_id = t.sample_id),
+gmids as (select *, rank() over (partition by alpha, beta, set_id order by es) + (count(*) over (partition by alpha, beta, set_id, es) - 1) / 2.0::double as mid from weighed where es is not null),
+gsums as (select alpha, beta, set_id, count(*) filter (where y = 1) as n1, count(*) filter (where y = 0) as n0, coalesce(sum(case when y = 1 then mid end), 0) as r1 from gmids group by 1, 2, 3),
+effects as (select *, 1.0::double - 2.0::double * (r1 - n1 * (n1 + 1) / 2.0::double) / nullif(n1 * n0, 0)::double as r from gsums)"""
+
 def normal_p(u: str = "u", n1: str = "n1", n0: str = "n0", ties: str = "ties") -> str:
     z = f"((greatest({u}, {n1} * {n0} - {u}) - {n1} * {n0} / 2.0::double - 0.5::double) / sqrt({n1} * {n0} / 12.0::double * ({n1} + {n0} + 1 - {ties} / (({n1} + {n0}) * ({n1} + {n0} - 1)))))"
     x = f"(greatest({z}, 0.0::double) / sqrt(2.0::double))"
@@ -190,6 +204,16 @@ fu as (select feature, n1, n0, ties, coalesce(r1, 0) - n1 * (n1 + 1) / 2.0::doub
         p_values("fu", "fp"),
     )
     + "select feature, n1, n0, u, round(p, 6) as p from fp",
+    "weight_grid": _with(BASE, ES, GRID) + "select alpha, beta, count(*) as sets, count(*) filter (where abs(r) >= 0.3::double) as n_large, round(max(abs(r)), 6) as max_r from effects group by 1, 2",
+    "ablation": _with(
+        BASE,
+        ES,
+        GRID,
+        """large as (select case when alpha = 0 and beta = 0 then 'A' when beta = 0 then 'B' when alpha = 0 then 'C' else 'D' end as condition, set_id
+  from effects where alpha in (0, 1) and beta in (0, 1) and abs(r) >= 0.3::double),
+compared as (select condition, count(*) as n_sets, count(*) filter (where set_id in (select set_id from large where condition = 'D')) as shared from large group by 1)""",
+    )
+    + "select condition, n_sets, round(shared::double / (n_sets + (select count(*) from large where condition = 'D') - shared), 6) as overlap from compared",
     "complete_features": _with(BASE, ES) + "select set_id as feature, count(*) as n, round(avg(es), 6) as mean from es where es is not null group by 1 having count(*) = (select count(*) from samples)",
     "best_hits": _with(NAMES) + r"""select query_original, query_clean, p_partkey, hit from (select name as query_original, trim(regexp_extract(name, '^([^(]+)', 1)) as query_clean from (select distinct name from names)) q
   join (select p_partkey, lower(trim(p_name)) as key, row_number() over (partition by lower(trim(p_name)) order by p_partkey) as hit from part) on key = lower(query_clean) where query_clean <> '' and hit <= 5""",

@@ -726,34 +726,33 @@ def class_covariance(t: Tables) -> DataFrame:
     return t.spark.createDataFrame(rows, "y int, n int, shrinkage double, condition double")
 
 
+#: the weightings that are compared
+_GRID = (0.0, 0.25, 0.5, 0.75, 1.0)
+_CONDITIONS = {"A": (0.0, 0.0), "B": (1.0, 0.0), "C": (0.0, 1.0), "D": (1.0, 1.0)}
+
+
+def _effects(t: Tables, points: list[tuple[float, float]]) -> DataFrame:
+    """alpha, beta, set_id, r: how far the groups differ in each set under each weighting."""
+    scores = _round(enrich.ssgsea_grid(t.matrix(), t.membership(), t.scores(), t.samples(), points), 9, "es")
+    return stats.mann_whitney_u(scores.join(t.samples(), "sample_id"), ["alpha", "beta", "set_id"])
+
+
 @_query
 def weight_grid(t: Tables) -> DataFrame:
     """alpha x beta grid: score all sets under each weighting, count those that differ between the groups."""
-
-    def one(alpha: float, beta: float) -> DataFrame:
-        w = t.scores().select("feature", numeric.parametric_weight(F.col("d"), F.col("s"), alpha, beta).alias("w"))
-        scores = enrich.ssgsea(t.matrix(), t.membership(), w, t.samples(), replace(Config(), default_weight=1.0))
-        tests = stats.mann_whitney_u(scores.join(t.samples(), "sample_id"), ["set_id"])
-        return tests.agg(F.count("*").alias("sets"), F.count_if(F.abs("r") >= 0.3).alias("n_large"), F.round(F.max(F.abs("r")), 6).alias("max_r"))
-
-    return resample.over_grid((0.0, 1.0), (0.0, 1.0), one)
+    tests = _effects(t, [(a, b) for a in _GRID for b in _GRID])
+    return tests.groupBy("alpha", "beta").agg(F.count("*").alias("sets"), F.count_if(F.abs("r") >= 0.3).alias("n_large"), F.round(F.max(F.abs("r")), 6).alias("max_r"))
 
 
 @_query
 def ablation(t: Tables) -> DataFrame:
     """Conditions without weights, with either, with both: sets with large effects and their overlap with the full condition."""
-    d, s = F.col("d"), F.col("s")
-    zero = F.lit(0.0)
-    out = None
-    for name, a, b in (("A", zero, zero), ("B", d, zero), ("C", zero, s), ("D", d, s)):
-        w = t.scores().select("feature", numeric.parametric_weight(a, b, 1.0, 1.0).alias("w"))
-        tests = stats.mann_whitney_u(enrich.ssgsea(t.matrix(), t.membership(), w, t.samples()).join(t.samples(), "sample_id"), ["set_id"]).filter(F.abs("r") >= 0.3)
-        part = tests.select(F.lit(name).alias("condition"), "set_id")
-        out = part if out is None else out.unionByName(part)
-    sets = out.groupBy("condition").agg(F.collect_set("set_id").alias("sets"))
-    full = sets.filter("condition = 'D'").select(F.col("sets").alias("of_d"))
-    together = F.size(F.array_union("sets", "of_d"))
-    return sets.join(F.broadcast(full), how="cross").select("condition", F.size("sets").alias("n_sets"), F.when(together == 0, 1.0).otherwise(F.size(F.array_intersect("sets", "of_d")) / together).alias("overlap"))
+    name = F.coalesce(*[F.when((F.col("alpha") == a) & (F.col("beta") == b), F.lit(k)) for k, (a, b) in _CONDITIONS.items()])
+    large = _effects(t, list(_CONDITIONS.values())).filter(F.abs("r") >= 0.3).select(name.alias("condition"), "set_id")
+    full = large.filter("condition = 'D'").select("set_id", F.lit(1).alias("in_d"))
+    counts = large.join(full, "set_id", "left").groupBy("condition").agg(F.count("*").alias("n_sets"), F.count("in_d").alias("both"))
+    size = full.agg(F.count("*").alias("n_d"))
+    return counts.join(F.broadcast(size), how="cross").select("condition", "n_sets", F.round(F.col("both") / (F.col("n_sets") + F.col("n_d") - F.col("both")), 6).alias("overlap"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
