@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -25,6 +27,18 @@ def tier(rate: Column, first: float = 0.5, second: float = 0.8) -> Column:
     return F.when(rate == 0, "Complete").when(rate <= first, "Tier1").when(rate <= second, "Tier2").otherwise("Tier3")
 
 
+def magnitude_bucket(x: Column, steps: int = 4096) -> Column:
+    """A whole number that never falls where a double rises: its power of two and `steps` steps within it, negated below zero.
+
+    It splits an order into ranges without looking at the data; how many there are is bounded by the number format."""
+    size = F.abs(x)
+    power = F.floor(F.log2(size))
+    at = (power + 1100) * steps + F.floor((size / F.pow(F.lit(2.0), power) - 1) * steps)
+    finite = F.when(x == 0, F.lit(0)).otherwise(F.signum(x).cast("long") * at)
+    edge = F.lit(4000 * steps)
+    return F.when(F.isnan(x) | (x == math.inf), edge).when(x == -math.inf, -edge).otherwise(finite).cast("long")
+
+
 def stars(p: Column) -> Column:
     return F.when(p < 0.001, "***").when(p < 0.01, "**").when(p < 0.05, "*").otherwise("")
 

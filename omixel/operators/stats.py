@@ -7,10 +7,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from ..functions.numeric import magnitude_bucket
+
 
 def mid_ranks(rows: DataFrame, by: list[str], value: str, to: str = "mid") -> DataFrame:
     """Average rank of each value within its group, and how many share it (`peers`)."""
@@ -93,13 +96,39 @@ def normal_p(u: Column, n1: Column, n0: Column, ties: Column) -> Column:
     return F.least(F.lit(1.0), t * F.exp(-x * x + series))
 
 
-def benjamini_hochberg(rows: DataFrame, p: str = "p", by: list[str] = (), order: list[str] = ()) -> DataFrame:
-    """q and whether it is at most 0.05: the least p m / rank over all ranks from here on."""
-    group = Window.partitionBy(*by)
-    ranked = rows.withColumn("__rank", F.row_number().over(group.orderBy(p, *order))).withColumn("__m", F.count(p).over(group))
-    backwards = group.orderBy(F.col("__rank").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    q = F.least(F.lit(1.0), F.min(F.col(p) * F.col("__m") / F.col("__rank")).over(backwards))
-    return ranked.withColumn("q", q).withColumn("significant", F.col("q") <= 0.05).drop("__rank", "__m")
+def running(values: DataFrame, by: list[str], value: str, kind: str, column: str, to: str, descending: bool = False) -> DataFrame:
+    """`kind` (sum or min) of a column over the rows of a group up to this one, in the order of `value`, which holds no double twice a group.
+
+    Ranges of the value are totalled first, so that rows are sorted within their range only and one task sees no more than the ranges' totals."""
+    def ordered(c: str) -> Column:
+        return F.col(c).desc() if descending else F.col(c).asc()
+
+    of = {"sum": F.sum, "min": F.min}[kind]
+    dealt = values.withColumn("__group", F.struct(F.lit(0).alias("all"), *by)).withColumn("__range", magnitude_bucket(F.col(value)))
+    totals = dealt.groupBy("__group", "__range").agg(of(column).alias("__total"))
+    earlier = Window.partitionBy("__group").orderBy(ordered("__range")).rowsBetween(Window.unboundedPreceding, -1)
+    before = totals.select("__group", "__range", of("__total").over(earlier).alias("__before"))
+    here = of(column).over(Window.partitionBy("__group", "__range").orderBy(ordered(value)).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    joined = dealt.join(before, ["__group", "__range"]).withColumn(to, here)
+    both = F.col(to) + F.coalesce("__before", F.lit(0)) if kind == "sum" else F.least(to, "__before")
+    return joined.withColumn(to, both).drop("__group", "__range", "__before")
+
+
+def benjamini_hochberg(rows: DataFrame, p: str = "p", by: list[str] = ()) -> DataFrame:
+    """q and whether it is at most 0.05: the least p m / rank over all ranks from here on; equal p have one q, a null p has none and does not count.
+
+    The rows are read several times and so stay in Spark's cache, in memory and on disk, until it is cleared."""
+    rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
+    group = F.struct(F.lit(0).alias("all"), *by)
+    held = rows.filter(F.col(p).isNotNull()).groupBy(group.alias("__by"), F.col(p).alias("__p")).agg(F.count("*").alias("__n"))
+    ranked = running(held, ["__by"], "__p", "sum", "__n", "__rank")
+    sizes = held.groupBy("__by").agg(F.sum("__n").alias("__m"))
+    raised = ranked.join(sizes, "__by").withColumn("__raised", F.col("__p") * F.col("__m") / F.col("__rank"))
+    least = running(raised, ["__by"], "__p", "min", "__raised", "__least", descending=True)
+    told = least.select("__by", "__p", F.least(F.lit(1.0), F.col("__least")).alias("q"))
+    keyed = rows.withColumn("__by", group)
+    joined = keyed.join(told.withColumnRenamed("__by", "__of"), (keyed["__by"] == F.col("__of")) & (keyed[p] == F.col("__p")), "left")
+    return joined.drop("__by", "__of", "__p").withColumn("significant", F.col("q") <= 0.05)
 
 
 def pairwise_correlation(rows: DataFrame, item: str, on: str, value: str) -> DataFrame:
@@ -154,10 +183,18 @@ def clopper_pearson(rows: DataFrame, k: str = "k", n: str = "n", alpha: float =
 
 
 def metrics(rows: DataFrame, truth: str = "y", predicted: str = "predicted", score: str = "score") -> DataFrame:
-    """One row: confusion counts, accuracy, Cohen's kappa, tie-aware area under the ROC curve, per-class report."""
+    """One row: confusion counts, accuracy, Cohen's kappa, tie-aware area under the ROC curve, per-class report.
+
+    Counts per score are all that is read again; they stay in Spark's cache, so that what the rows come from runs once."""
     t, p = F.col(truth), F.col(predicted)
-    counts = rows.agg(*[F.count(F.when((t == a) & (p == b), 1)).alias(name) for name, a, b in (("tp", 1, 1), ("fn", 1, 0), ("fp", 0, 1), ("tn", 0, 0))])
-    area = mann_whitney_u(rows.withColumn("__all", F.lit(1)), ["__all"], score, truth).select((F.col("u") / F.nullif(F.col("n1") * F.col("n0"), F.lit(0)).cast("double")).alias("auc"))
+    named = [(name, (t == a) & (p == b)) for name, a, b in (("tp", 1, 1), ("fn", 1, 0), ("fp", 0, 1), ("tn", 0, 0))]
+    cells = [F.count(F.when(rule, 1)).alias(name) for name, rule in (*named, ("__n1", t == 1), ("__n0", t != 1))]
+    told = rows.groupBy(F.col(score).cast("double").alias("__score")).agg(*cells).persist(StorageLevel.MEMORY_AND_DISK)
+    counts = told.agg(*[F.coalesce(F.sum(name), F.lit(0)).alias(name) for name, _ in named])
+    scored = told.filter("__score is not null")
+    passed = running(scored, [], "__score", "sum", "__n0", "__upto")
+    pairs = F.sum("__n1") * F.sum("__n0")
+    area = passed.agg((F.sum(F.col("__n1") * (F.col("__upto") - F.col("__n0") / 2)) / F.nullif(pairs, F.lit(0)).cast("double")).alias("auc"))
     n = F.col("tp") + F.col("fn") + F.col("fp") + F.col("tn")
     agree = (F.col("tp") + F.col("tn")) / n
     chance = ((F.col("tp") + F.col("fn")) * (F.col("tp") + F.col("fp")) + (F.col("fp") + F.col("tn")) * (F.col("fn") + F.col("tn"))) / (n * n)

@@ -280,8 +280,9 @@ def invert_index(t: Tables) -> DataFrame:
 
 @_query
 def set_algebra(t: Tables) -> DataFrame:
-    lists = t.membership().filter(F.col("set_id").isin("T:ECONOMY", "S:11")).agg(*[F.collect_list(F.when(F.col("set_id") == s, F.col("feature"))).alias(c) for c, s in (("a", "T:ECONOMY"), ("b", "S:11"))])
-    return lists.select(F.size(F.array_intersect("a", "b")).alias("shared"), F.size(F.array_union("a", "b")).alias("together"), F.size(F.array_except("a", "b")).alias("only_first"))
+    first, second = ((F.col("set_id") == s).cast("int") for s in ("T:ECONOMY", "S:11"))
+    held = t.membership().filter(F.col("set_id").isin("T:ECONOMY", "S:11")).groupBy("feature").agg(F.max(first).alias("a"), F.max(second).alias("b"))
+    return held.agg(*[F.count(F.when(F.expr(rule), 1)).cast("int").alias(name) for name, rule in (("shared", "a = 1 and b = 1"), ("together", "true"), ("only_first", "a = 1 and b = 0"))])
 
 
 @_query
@@ -429,12 +430,12 @@ def rank_biserial(t: Tables) -> DataFrame:
 
 @_query
 def bh_fdr(t: Tables) -> DataFrame:
-    return _round(stats.benjamini_hochberg(_p_values(t), order=["set_id"]), 6, "p", "q").select("set_id", "p", "q", "significant")
+    return _round(stats.benjamini_hochberg(_p_values(t)), 6, "p", "q").select("set_id", "p", "q", "significant")
 
 
 @_query
 def differential(t: Tables) -> DataFrame:
-    tests = stats.benjamini_hochberg(_p_values(t).filter("n1 >= 3 and n0 >= 3"), order=["set_id"]).withColumnRenamed("significant", "significant_fdr")
+    tests = stats.benjamini_hochberg(_p_values(t).filter("n1 >= 3 and n0 >= 3")).withColumnRenamed("significant", "significant_fdr")
     out = tests.join(_means(t), "set_id").withColumns({"significant": F.col("p") < 0.05, "neg_log10_p": F.round(numeric.minus_log10(F.col("p")), 5), "stars": numeric.stars(F.col("p"))})
     return _round(out, 6, "mean_1", "mean_0", "diff", "r", "p", "q").select("set_id", "mean_1", "mean_0", "diff", "u", "r", "p", "q", "significant_fdr", "significant", "neg_log10_p", "stars")
 
@@ -443,7 +444,7 @@ def differential(t: Tables) -> DataFrame:
 def driver_features(t: Tables) -> DataFrame:
     by_feature = stats.mann_whitney_u(t.matrix().join(t.samples(), "sample_id"), ["feature"], "value").filter("n1 >= 3 and n0 >= 2")
     tests = by_feature.withColumn("p", stats.mann_whitney_p()).join(t.membership().distinct(), "feature")
-    best = matrix.first_n(stats.benjamini_hochberg(tests, order=["set_id", "feature"]), 5, ["set_id"], F.abs("r").desc(), F.col("feature"))
+    best = matrix.first_n(stats.benjamini_hochberg(tests), 5, ["set_id"], F.abs("r").desc(), F.col("feature"))
     return _long(_round(best, 6, "r", "p", "q"), "rank").select("set_id", "feature", "n1", "n0", "r", "p", "q", "rank")
 
 
@@ -709,7 +710,7 @@ def nested_loocv(t: Tables) -> DataFrame:
 @_query
 def permutation_test(t: Tables) -> DataFrame:
     x, y, _, _ = _set_scores(t)
-    null = resample.permutation_null(t.spark, x, y, replace(Config(), permutations=100))
+    null = resample.permutation_null(t.spark, x, y, Config())
     return stats.empirical_p(null, "accuracy", 0.7)
 
 

@@ -81,7 +81,7 @@ class Analysis:
 
     def test(self) -> None:
         tests = stats.mann_whitney_u(self.results["scores"].join(self.samples, "sample_id"), ["set_id"]).filter("n1 >= 3 and n0 >= 3")
-        self.results["differential"] = stats.benjamini_hochberg(tests.withColumn("p", stats.mann_whitney_p()), order=["set_id"])
+        self.results["differential"] = stats.benjamini_hochberg(tests.withColumn("p", stats.mann_whitney_p()))
 
     def validate(self) -> None:
         """Leave-one-out of the stable sets by both models, the former's accuracy under shuffled labels, and nested leave-one-out, which selects

@@ -10,7 +10,9 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from omixel.functions import solvers
+from pyspark.sql import functions as F
+
+from omixel.functions import numeric, solvers
 from omixel.operators import similarity, stats
 
 
@@ -55,11 +57,41 @@ def test_normal_tail_expression(spark):
 
 def test_bh(spark):
     p = [0.01, 0.04, 0.03, 0.005, 0.5]
-    df = stats.benjamini_hochberg(spark.createDataFrame([(i, x) for i, x in enumerate(p)], "i int, p double"), order=["i"])
+    df = stats.benjamini_hochberg(spark.createDataFrame([(i, x) for i, x in enumerate(p)], "i int, p double"))
     got = [r.q for r in df.orderBy("i").collect()]
     assert got == pytest.approx([0.025, 0.05, 0.05, 0.025, 0.5])
 
 
+@settings(max_examples=6, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from("ab"), st.none() | st.sampled_from([0.0, 1.0, 0.25, 0.01]) | st.floats(0, 1)), min_size=1, max_size=40))
+def test_bh_by_group_with_ties_and_nulls(spark, rows):
+    df = spark.createDataFrame([(i, g, x) for i, (g, x) in enumerate(rows)], "i int, g string, p double")
+    got = {r.i: r.q for r in stats.benjamini_hochberg(df, by=["g"]).collect()}
+    assert len(got) == len(rows)
+    for i, (g, x) in enumerate(rows):
+        ps = sorted(y for h, y in rows if h == g and y is not None)
+        want = None if x is None else min([1.0] + [y * len(ps) / (k + 1) for k, y in enumerate(ps) if y >= x])
+        assert got[i] == (want if want is None else pytest.approx(want))
+
+
+def test_area_of_tied_negative_and_null_scores(spark):
+    rows = [(1, 0.5), (0, 0.5), (1, -2.0), (0, -3.5), (1, 0.0), (0, 0.0), (0, 1e-300), (1, 7.0), (1, None), (None, 2.0), (1, math.inf), (0, 1e9)]
+    one, zero = ([x for y, x in rows if y == k and x is not None] for k in (1, 0))
+    want = sum((a > b) + (a == b) / 2 for a in one for b in zero) / (len(one) * len(zero))
+    df = spark.createDataFrame([(y, 1, s) for y, s in rows], "y int, predicted int, score double")
+    assert stats.metrics(df).first().auc == pytest.approx(want)
+    alone = stats.metrics(df.filter("y = 1")).first()
+    assert alone.auc is None
+    assert alone.tp == 6
+
+
+@settings(max_examples=10, deadline=None)
+@given(st.lists(st.floats(allow_nan=False), min_size=2, max_size=60))
+def test_ranges_keep_the_order_of_doubles(spark, values):
+    got = spark.createDataFrame([(float(v),) for v in values], "x double").select("x", numeric.magnitude_bucket(F.col("x")).alias("b")).orderBy("x").collect()
+    assert all(a.b <= b.b for a, b in itertools.pairwise(got))
+
+
 def _plain_upgma(d):
     clusters, heights = [[i] for i in range(len(d))], []
     while len(clusters) > 1:
