@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, url_rules
+from . import fill_middle, mixing, url_rules
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -82,9 +82,41 @@ def op10_document_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     return edited_pairs(_table(spark, folder, "documents"))
 
 
+def op11_personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    from .personal_data import BASE, KINDS, judged, listed
+
+    found = judged(_table(spark, folder, "documents").select("doc_id", "text"))
+    count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
+    counts = [count(KINDS.index(kind)).alias(f"n_{kind}") for kind in BASE]
+    return found.select("doc_id", *counts, F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+
+
+def op12_fill_middle(spark: SparkSession, folder: str) -> DataFrame:
+    from .fill_middle import output, restored, transformed
+
+    cut = transformed(_table(spark, folder, "documents").select("doc_id", "text")).select(
+        "doc_id",
+        F.col("__units").alias("n"),
+        F.col("__form").alias("form"),
+        F.length("__prefix").cast("long").alias("prefix_chars"),
+        F.length("__middle").cast("long").alias("middle_chars"),
+        output(F.col("__form"), F.col("__prefix"), F.col("__middle"), F.col("__suffix")).alias("output"),
+    )
+    return cut.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(restored(F.col("form"), F.col("output")), 256).alias("restored_sha256"))
+
+
+def op13_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    from .periodic_runs import judged, listed, repeated_tail, strongest
+
+    found = judged(_table(spark, folder, "documents").select("doc_id", "text"), rewrite=repeated_tail).withColumn("best", strongest(F.col("__runs")))
+    best = [F.col("best")[c].alias(c) for c in ("start", "length", "period")]
+    milli = F.expr("best.length * 1000 div best.period").alias("exponent_milli")
+    return found.select("doc_id", F.size("__runs").cast("long").alias("n_runs"), *best, milli, F.sha2(listed(F.col("__runs")), 256).alias("runs_sha256"), F.sha2("__rest", 256).alias("collapsed_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_url_rules": url_rules.ORACLE_SQL, "op7_source_mixing": mixing.ORACLE_SQL}
+    return {"op2_url_rules": url_rules.ORACLE_SQL, "op7_source_mixing": mixing.ORACLE_SQL, "op12_fill_middle": fill_middle.ORACLE_SQL}
