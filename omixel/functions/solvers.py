@@ -72,6 +72,73 @@ def logistic_elastic_net(x: np.ndarray, y: np.ndarray, c: float, l1_ratio: float
     return b
 
 
+def elastic_nets(x: np.ndarray, y: np.ndarray, weights: np.ndarray, c: np.ndarray, l1_ratio: np.ndarray, rounds: int = 1000, tolerance: float = 1e-5) -> np.ndarray:
+    """What logistic_elastic_net gives for many problems on one matrix at once: a column of coefficients, intercept last, for each
+    column of sample weights (0: left out), C and l1 ratio.  All gradients are two matrix products; columns that have settled leave."""
+    n, p = x.shape
+    z = np.hstack([x, np.ones((n, 1))])
+    total = weights.sum(0)
+    scale = 1 / (c * total)
+    w = weights / total
+    l2 = (1 - l1_ratio) * scale
+    groups, of = np.unique(w, axis=1, return_inverse=True)  # one norm for each distinct column of weights
+    norms = np.array([np.linalg.norm(z * np.sqrt(g)[:, None], 2) ** 2 / 4 for g in groups.T])
+    step = 1 / (norms[of.ravel()] + l2)
+    out = np.zeros((p + 1, len(c)))
+    active = np.arange(len(c))
+    b, ahead, t = out.copy(), out.copy(), np.ones(len(c))
+    penalised = np.append(np.ones(p), 0.0)[:, None]
+    wa, l1a, l2a, sa = w, penalised * (l1_ratio * scale * step), penalised * l2, step
+    wy = wa * y[:, None]
+    zt = np.ascontiguousarray(z.T)
+    for i in range(rounds):
+        m = z @ ahead
+        np.clip(m, -500, 500, out=m)
+        np.exp(-m, out=m)
+        m += 1
+        gradient = zt @ (wa / m - wy)
+        gradient += l2a * ahead
+        moved = ahead - gradient * sa
+        new = moved - np.clip(moved, -l1a, l1a)
+        step_taken = new - b
+        t[((ahead - new) * step_taken).sum(0) > 0] = 1.0
+        following = (1 + np.sqrt(1 + 4 * t * t)) / 2
+        ahead = new + (t - 1) / following * step_taken
+        b, t = new, following
+        if i % 10 == 9:
+            moving = np.abs(step_taken).max(0) >= tolerance * np.maximum(1.0, np.abs(b).max(0))
+            if not moving.all():
+                out[:, active[~moving]] = b[:, ~moving]
+                active = active[moving]
+                b, ahead, t, wa, wy, l1a, l2a, sa = b[:, moving], ahead[:, moving], t[moving], wa[:, moving], wy[:, moving], l1a[:, moving], l2a[:, moving], sa[moving]
+                if not len(active):
+                    break
+    out[:, active] = b
+    return out
+
+
+def cross_validated_elastic_net(x: np.ndarray, y: np.ndarray, l1_ratios: tuple[float, ...], n_cs: int = 10, folds: int = 5) -> np.ndarray:
+    """Coefficients, intercept last, at the C and l1 ratio of the best mean held-out area under the ROC curve; all folds' and
+    points' fits are one batch.  Raises ValueError where the smaller class has fewer than two members."""
+    k = min(folds, int(np.bincount(y.astype(int), minlength=2).min()))
+    if k < 2:
+        raise ValueError("a class has fewer than two members")
+    fold, cs = stratified_folds(y, k), np.logspace(-4, 4, n_cs)
+    ratio, c = (g.ravel() for g in np.meshgrid(l1_ratios, cs, indexing="ij"))
+    masks = [fold != f for f in range(k)]
+    weights = np.zeros((len(y), k))
+    for f, train in enumerate(masks):
+        weights[train, f] = balanced_weights(y[train])
+    fits = elastic_nets(x, y, np.repeat(weights, len(c), axis=1), np.tile(c, k), np.tile(ratio, k)).reshape(x.shape[1] + 1, k, len(c))
+    scores = np.zeros((len(c), k))
+    for f, train in enumerate(masks):
+        margin = x[~train] @ fits[:-1, f] + fits[-1, f]
+        ones, zeros = margin[y[~train] == 1][:, None], margin[y[~train] == 0][None]
+        scores[:, f] = ((ones > zeros) + 0.5 * (ones == zeros)).mean((0, 1))
+    best = int(scores.mean(1).argmax())
+    return elastic_nets(x, y, balanced_weights(y)[:, None], c[best : best + 1], ratio[best : best + 1], rounds=5000)[:, 0]
+
+
 def auc(y: np.ndarray, score: np.ndarray) -> float:
     n1 = int(y.sum())
     n0 = len(y) - n1

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import Config
 from ..functions.numeric import combined_weight
+from .order import quantiles, row_ranks
 
 
 def present_sets(membership: DataFrame, features: DataFrame, least: int = 3) -> DataFrame:
@@ -53,9 +54,8 @@ def degree_centrality(edges: DataFrame) -> DataFrame:
 
 def _hit_sums(matrix: DataFrame, membership: DataFrame, scores: DataFrame, samples: DataFrame, config: Config, parts: dict[str, Column]) -> DataFrame:
     """set_id, sample_id, n (values of the sample), hits, sp, and of every part its sum and its sum times p (name, name_p), over a set's hits."""
-    ranks = Window.partitionBy("sample_id").orderBy(F.col("value").desc(), "feature")
-    ranked = matrix.filter("value is not null").select("sample_id", "feature", "value", F.row_number().over(ranks).alias("rank"), F.count("*").over(Window.partitionBy("sample_id")).alias("n"))
-    sizes = ranked.groupBy("sample_id").agg(F.count("*").alias("n"))
+    ranked = row_ranks(matrix.select("sample_id", "feature", "value"), ["sample_id"], "value", "feature", descending=True)
+    sizes = matrix.filter("value is not null").groupBy("sample_id").agg(F.count("*").alias("n"))
     weighted = ranked.join(scores, "feature", "left").withColumns(parts).withColumn("p", F.col("n") - F.col("rank") + 1)
     sets = present_sets(membership, matrix, config.min_present)
     sums = [f(F.col(k)).alias(name) for k in parts for f, name in ((F.sum, k), (lambda c: F.sum(c * F.col("p")), f"{k}_p"))]
@@ -74,8 +74,8 @@ def ssgsea(matrix: DataFrame, membership: DataFrame, weight: DataFrame, samples:
 
     The running-sum difference summed over all ranks has a closed form in the hits alone: with p = n - rank + 1,
     es = (sum(a p) / sum(a) - (n (n + 1) / 2 - sum(p)) / (n - hits)) / n, a = |value| * weight.
-    So one window ranks each sample once, one join finds the hits, and one aggregate does the rest; the aggregate is partial
-    before its shuffle.  Null where a sample has too few values; 0 where a set hits none or all of them."""
+    So samples are ranked once, by ranges of the value, one join finds the hits, and one aggregate does the rest; the aggregate is
+    partial before its shuffle.  Null where a sample has too few values; 0 where a set hits none or all of them."""
     sums = _hit_sums(matrix, membership, weight, samples, config, {"a": F.abs("value") * F.coalesce("w", F.lit(config.default_weight))})
     return sums.select("set_id", "sample_id", _score(F.col("a"), F.col("a_p"), config).alias("es"))
 
@@ -100,16 +100,17 @@ def group_means(scores: DataFrame, samples: DataFrame) -> DataFrame:
     return by.withColumn("diff", F.col("mean_1") - F.col("mean_0")).withColumn("abs_diff", F.abs("diff"))
 
 
-def iqr(scores: DataFrame) -> DataFrame:
-    """set_id, iqr: exact quartiles with linear interpolation, nulls left out; 0 with fewer than two values."""
-    quartiles = F.expr("percentile(es, array(0.25D, 0.75D))")
-    return scores.groupBy("set_id").agg(quartiles.alias("q"), F.count("es").alias("n")).select("set_id", F.when(F.col("n") > 1, F.col("q")[1] - F.col("q")[0]).otherwise(0.0).alias("iqr"))
+def iqr(scores: DataFrame, by: list[str] = ()) -> DataFrame:
+    """by, set_id, iqr: exact quartiles with linear interpolation, nulls left out; 0 with fewer than two values."""
+    quartiles = quantiles(scores, [*by, "set_id"], "es", [0.25, 0.75])
+    spread = F.when(F.col("n") > 1, F.col("q")[1] - F.col("q")[0]).otherwise(0.0)
+    return scores.select(*by, "set_id").distinct().join(quartiles.select(*by, "set_id", spread.alias("iqr")), [*by, "set_id"], "left").withColumn("iqr", F.coalesce("iqr", F.lit(0.0)))
 
 
-def variance_filter(iqrs: DataFrame, percentile: float = 0.05) -> DataFrame:
-    """Sets whose interquartile range is above the percentile of all; ties with it go."""
-    cut = iqrs.agg(F.expr(f"percentile(iqr, {percentile}D)").alias("cut"))
-    return iqrs.join(F.broadcast(cut), how="cross").filter("iqr > cut")
+def variance_filter(iqrs: DataFrame, percentile: float = 0.05, by: list[str] = ()) -> DataFrame:
+    """Sets whose interquartile range is above the percentile of all (of their group); ties with it go."""
+    cut = quantiles(iqrs, list(by), "iqr", [percentile]).select(*by, F.col("q")[0].alias("cut"))
+    return (iqrs.join(cut, list(by)) if by else iqrs.join(F.broadcast(cut), how="cross")).filter("iqr > cut")
 
 
 def with_symbols(rows: DataFrame, symbols: DataFrame, on: str) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.solvers import chained_forest_impute
+from .order import quantiles
 
 #: features that one chained imputation takes together
 MOST_FEATURES = 2_000
@@ -21,9 +22,8 @@ def tail_parameters(matrix: DataFrame, least: int = 3) -> DataFrame:
     """feature, mu, sigma, lower, upper of the truncated normal that missing values are drawn from.
 
     Features with fewer than `least` values have none and stay as they are."""
-    stats = matrix.filter("value is not null").groupBy("feature").agg(
-        F.count("*").alias("n"), F.expr("percentile(value, array(0.01D, 0.05D))").alias("q"), F.stddev_samp("value").alias("s"), (F.min("value") - 2.0).alias("lower")
-    )
+    spread = matrix.filter("value is not null").groupBy("feature").agg(F.stddev_samp("value").alias("s"), (F.min("value") - 2.0).alias("lower"))
+    stats = quantiles(matrix, ["feature"], "value", [0.01, 0.05]).join(spread, "feature")
     mu = F.col("q")[0]
     sigma = F.lit(0.3) * F.when(F.col("s").isNull() | (F.col("s") == 0) | F.isnan("s"), 0.5).otherwise(F.col("s"))
     upper = F.when(F.col("q")[1] <= F.col("mu"), F.col("mu") + F.col("sigma")).otherwise(F.col("q")[1])

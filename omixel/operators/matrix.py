@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import tier
+from .order import quantiles
 
 
 def missing_rate(matrix: DataFrame, features: DataFrame, n_samples: int | Column) -> DataFrame:
@@ -69,7 +70,8 @@ def histogram(values: DataFrame, column: str, low: float, width: float) -> DataF
 def kernel_density(values: DataFrame, column: str, grid: list[float]) -> DataFrame:
     """Gaussian kernel density with Silverman's bandwidth at a fixed grid of points."""
     points = values.select(F.col(column).alias("x")).filter("x is not null")
-    stats = points.agg(F.count("*").alias("n"), F.stddev("x").alias("s"), F.expr("percentile(x, 0.75) - percentile(x, 0.25)").alias("iqr"))
+    spread = quantiles(points, [], "x", [0.25, 0.75]).select((F.col("q")[1] - F.col("q")[0]).alias("iqr"))
+    stats = points.agg(F.count("*").alias("n"), F.stddev("x").alias("s")).join(F.broadcast(spread), how="cross")
     width = F.lit(0.9) * F.least("s", F.col("iqr") / 1.34) * F.pow(F.col("n"), F.lit(-0.2))
     stats = stats.select("n", F.when(width > 0, width).otherwise(F.lit(1e-9)).alias("h"))
     dots = points.join(F.broadcast(stats), how="cross").withColumn("point", F.explode(F.array(*[F.lit(float(g)) for g in grid])))

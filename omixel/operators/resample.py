@@ -14,8 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import Config
-from ..functions.solvers import Forest, auc, cross_validated, kappa, ledoit_wolf, logistic_l2, sigmoid, standardise, stratified_folds
+from ..functions.solvers import Forest, auc, cross_validated, cross_validated_elastic_net, kappa, ledoit_wolf, logistic_l2, sigmoid, standardise, stratified_folds
 from .ml import MOST_VALUES
+from .order import quantiles
 
 
 def _tasks(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
@@ -38,7 +39,7 @@ def _select(x: np.ndarray, y: np.ndarray, config: Config) -> tuple[str, np.ndarr
     if len(np.unique(y)) < 2:
         return "one class", np.zeros(x.shape[1])
     try:
-        b, _, _ = cross_validated(standardise(x)[0], y, config.l1_ratios, config.n_cs, config.folds, "roc_auc")
+        b = cross_validated_elastic_net(standardise(x)[0], y, config.l1_ratios, config.n_cs, config.folds)
     except ValueError:
         return "too few of a class", np.zeros(x.shape[1])
     return "ok", b[:-1]
@@ -189,9 +190,8 @@ def power_curve(spark: SparkSession, x: np.ndarray, y: np.ndarray, sizes: tuple[
 
 
 def summary(runs: DataFrame, by: str, value: str = "accuracy") -> DataFrame:
-    return runs.groupBy(by).agg(
-        F.avg(value).alias("mean"), F.stddev_pop(value).alias("sd"), F.expr(f"percentile({value}, 0.025D)").alias("ci_low"), F.expr(f"percentile({value}, 0.975D)").alias("ci_high")
-    )
+    bounds = quantiles(runs, [by], value, [0.025, 0.975]).select(by, F.col("q")[0].alias("ci_low"), F.col("q")[1].alias("ci_high"))
+    return runs.groupBy(by).agg(F.avg(value).alias("mean"), F.stddev_pop(value).alias("sd")).join(bounds, by, "left")
 
 
 def recommended_n(table: DataFrame, mean: float = 0.90, low: float = 0.833) -> DataFrame:

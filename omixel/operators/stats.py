@@ -7,31 +7,35 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from ..functions.numeric import magnitude_bucket
+from ..storage import stored
+from .blocks import correlations
+from .order import running, value_counts
 
 
 def mid_ranks(rows: DataFrame, by: list[str], value: str, to: str = "mid") -> DataFrame:
     """Average rank of each value within its group, and how many share it (`peers`)."""
-    peers = F.count("*").over(Window.partitionBy(*by, value))
-    return rows.withColumn("peers", peers).withColumn(to, F.rank().over(Window.partitionBy(*by).orderBy(value)) + (F.col("peers") - 1) / 2.0)
+    ranked = running(stored(value_counts(rows, by, value), "ranked"), by, value, "sum", "peers", to)
+    told = ranked.select(*[F.col(c).alias(f"__{c}") for c in (*by, value)], "peers", (F.col(to) - (F.col("peers") - 1) / 2.0).alias(to))
+    same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in (*by, value)]
+    return rows.filter(F.col(value).isNotNull()).join(told, same).drop(*[f"__{c}" for c in (*by, value)])
 
 
 def mann_whitney_u(rows: DataFrame, by: list[str], value: str = "es", group: str = "y") -> DataFrame:
-    """by, n1, n0, u (of group 1), ties (sum of t^3 - t), r = 1 - 2 u / (n1 n0)."""
-    ranked = mid_ranks(rows.filter(F.col(value).isNotNull() & F.col(group).isNotNull()), by, value)
+    """by, n1, n0, u (of group 1), ties (sum of t^3 - t), r = 1 - 2 u / (n1 n0).
+
+    Distinct values and their counts are all that is ranked, by ranges of the value."""
     one = F.col(group) == 1
+    counts = stored(value_counts(rows.filter(F.col(group).isNotNull()), by, value, ones=one, zeros=~one), "ranked")
+    ranked = running(counts, by, value, "sum", "peers", "upto")
+    size = F.col("peers").cast("double")
     sums = ranked.groupBy(*by).agg(
-        F.count(F.when(one, 1)).alias("n1"),
-        F.count(F.when(~one, 1)).alias("n0"),
-        F.sum(F.when(one, F.col("mid"))).alias("r1"),
-        F.sum(F.col("peers") * F.col("peers") - 1).cast("double").alias("ties"),
+        F.sum("ones").alias("n1"), F.sum("zeros").alias("n0"), F.sum(F.col("ones") * (F.col("upto") - (size - 1) / 2.0)).alias("r1"), F.sum(size * size * size - size).alias("ties")
     )
-    u = F.coalesce("r1", F.lit(0.0)) - F.col("n1") * (F.col("n1") + 1) / 2.0
+    u = F.col("r1") - F.col("n1") * (F.col("n1") + 1) / 2.0
     return sums.withColumn("u", u).withColumn("r", F.lit(1.0) - F.lit(2.0) * F.col("u") / F.nullif(F.col("n1") * F.col("n0"), F.lit(0)).cast("double")).drop("r1")
 
 
@@ -96,34 +100,16 @@ def normal_p(u: Column, n1: Column, n0: Column, ties: Column) -> Column:
     return F.least(F.lit(1.0), t * F.exp(-x * x + series))
 
 
-def running(values: DataFrame, by: list[str], value: str, kind: str, column: str, to: str, descending: bool = False) -> DataFrame:
-    """`kind` (sum or min) of a column over the rows of a group up to this one, in the order of `value`, which holds no double twice a group.
-
-    Ranges of the value are totalled first, so that rows are sorted within their range only and one task sees no more than the ranges' totals."""
-    def ordered(c: str) -> Column:
-        return F.col(c).desc() if descending else F.col(c).asc()
-
-    of = {"sum": F.sum, "min": F.min}[kind]
-    dealt = values.withColumn("__group", F.struct(F.lit(0).alias("all"), *by)).withColumn("__range", magnitude_bucket(F.col(value)))
-    totals = dealt.groupBy("__group", "__range").agg(of(column).alias("__total"))
-    earlier = Window.partitionBy("__group").orderBy(ordered("__range")).rowsBetween(Window.unboundedPreceding, -1)
-    before = totals.select("__group", "__range", of("__total").over(earlier).alias("__before"))
-    here = of(column).over(Window.partitionBy("__group", "__range").orderBy(ordered(value)).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    joined = dealt.join(before, ["__group", "__range"]).withColumn(to, here)
-    both = F.col(to) + F.coalesce("__before", F.lit(0)) if kind == "sum" else F.least(to, "__before")
-    return joined.withColumn(to, both).drop("__group", "__range", "__before")
-
-
 def benjamini_hochberg(rows: DataFrame, p: str = "p", by: list[str] = ()) -> DataFrame:
     """q and whether it is at most 0.05: the least p m / rank over all ranks from here on; equal p have one q, a null p has none and does not count.
 
-    The rows are read several times and so stay in Spark's cache, in memory and on disk, until it is cleared."""
-    rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
+    The rows are read several times and so are stored, and the ranks of distinct p with them."""
+    rows = stored(rows, "tests")
     group = F.struct(F.lit(0).alias("all"), *by)
     held = rows.filter(F.col(p).isNotNull()).groupBy(group.alias("__by"), F.col(p).alias("__p")).agg(F.count("*").alias("__n"))
     ranked = running(held, ["__by"], "__p", "sum", "__n", "__rank")
     sizes = held.groupBy("__by").agg(F.sum("__n").alias("__m"))
-    raised = ranked.join(sizes, "__by").withColumn("__raised", F.col("__p") * F.col("__m") / F.col("__rank"))
+    raised = stored(ranked.join(sizes, "__by").withColumn("__raised", F.col("__p") * F.col("__m") / F.col("__rank")), "raised")
     least = running(raised, ["__by"], "__p", "min", "__raised", "__least", descending=True)
     told = least.select("__by", "__p", F.least(F.lit(1.0), F.col("__least")).alias("q"))
     keyed = rows.withColumn("__by", group)
@@ -131,11 +117,9 @@ def benjamini_hochberg(rows: DataFrame, p: str = "p", by: list[str] = ()) -> Dat
     return joined.drop("__by", "__of", "__p").withColumn("significant", F.col("q") <= 0.05)
 
 
-def pairwise_correlation(rows: DataFrame, item: str, on: str, value: str) -> DataFrame:
-    """a < b and the Pearson correlation of what both have on `on`."""
-    left = rows.select(F.col(on), F.col(item).alias("a"), F.col(value).alias("x"))
-    right = rows.select(F.col(on), F.col(item).alias("b"), F.col(value).alias("y"))
-    return left.join(right, on).filter("a < b and x is not null and y is not null").groupBy("a", "b").agg(F.corr("x", "y").alias("r"), F.count("*").alias("n"))
+def pairwise_correlation(rows: DataFrame, item: str, on: str, value: str, by: list[str] = ()) -> DataFrame:
+    """by, a < b and the Pearson correlation of what both have on `on`: by blocks of items, see there."""
+    return correlations(rows.filter(F.col(value).isNotNull()), item, on, value, by)
 
 
 def reproduced(again: DataFrame, stored: DataFrame, keys: list[str], value: str, tolerance: float = 0.01) -> DataFrame:
@@ -185,11 +169,12 @@ def clopper_pearson(rows: DataFrame, k: str = "k", n: str = "n", alpha: float =
 def metrics(rows: DataFrame, truth: str = "y", predicted: str = "predicted", score: str = "score") -> DataFrame:
     """One row: confusion counts, accuracy, Cohen's kappa, tie-aware area under the ROC curve, per-class report.
 
-    Counts per score are all that is read again; they stay in Spark's cache, so that what the rows come from runs once."""
+    Counts per score are all that is read again; they are stored, so that what the rows come from runs once."""
     t, p = F.col(truth), F.col(predicted)
     named = [(name, (t == a) & (p == b)) for name, a, b in (("tp", 1, 1), ("fn", 1, 0), ("fp", 0, 1), ("tn", 0, 0))]
     cells = [F.count(F.when(rule, 1)).alias(name) for name, rule in (*named, ("__n1", t == 1), ("__n0", t != 1))]
-    told = rows.groupBy(F.col(score).cast("double").alias("__score")).agg(*cells).persist(StorageLevel.MEMORY_AND_DISK)
+    told = rows.groupBy(F.col(score).cast("double").alias("__score")).agg(*cells)
+    told = stored(told, "counts")
     counts = told.agg(*[F.coalesce(F.sum(name), F.lit(0)).alias(name) for name, _ in named])
     scored = told.filter("__score is not null")
     passed = running(scored, [], "__score", "sum", "__n0", "__upto")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..config import Config
 from ..functions import numeric, text
-from ..operators import enrich, impute, matrix, ml, resample, similarity, stats
+from ..operators import enrich, impute, matrix, ml, order, resample, similarity, stats
 from ..sources.files import unpivot
 from . import oracle
 from .tables import Tables
@@ -188,16 +188,21 @@ def row_zscore(t: Tables) -> DataFrame:
     return _round(matrix.zscores(m.join(enough, "feature", "left_semi")), 6, "z").select("sample_id", "feature", "z")
 
 
+def _medians(rows: DataFrame, by: str, value: str) -> DataFrame:
+    return order.quantiles(rows, [by], value, [0.5]).select(by, F.col("q")[0].alias("median"))
+
+
 @_query
 def row_stats(t: Tables) -> DataFrame:
-    out = t.matrix().groupBy("feature").agg(F.avg("value").alias("mean"), F.median("value").alias("median"), F.var_samp("value").alias("variance"), F.stddev_pop("value").alias("sd"))
-    return _round(out, 6, "mean", "median", "variance", "sd")
+    m = t.matrix()
+    out = m.groupBy("feature").agg(F.avg("value").alias("mean"), F.var_samp("value").alias("variance"), F.stddev_pop("value").alias("sd"))
+    return _round(out.join(_medians(m, "feature", "value"), "feature", "left"), 6, "mean", "median", "variance", "sd")
 
 
 @_query
 def median_of_medians(t: Tables) -> DataFrame:
-    medians = t.matrix().groupBy("feature").agg(F.median("value").alias("m")).join(t.read("part").select(F.col("p_partkey").alias("feature"), "p_type"), "feature")
-    return medians.groupBy("p_type").agg(F.round(F.median("m"), 6).alias("median")).orderBy(F.desc("median"))
+    medians = _medians(t.matrix(), "feature", "value").join(t.read("part").select(F.col("p_partkey").alias("feature"), "p_type"), "feature")
+    return _round(_medians(medians, "p_type", "median"), 6, "median").orderBy(F.desc("median"))
 
 
 @_query
@@ -343,7 +348,9 @@ def theme_match(t: Tables) -> DataFrame:
 
 
 def _scores(t: Tables) -> DataFrame:
-    return _round(enrich.ssgsea(t.matrix(), t.membership(), enrich.weights(t.scores()), t.samples()), 9, "es")
+    """The scores of all sets, made once a query."""
+    values = t.once("matrix", t.matrix)
+    return t.once("scores", lambda: _round(enrich.ssgsea(values, t.membership(), enrich.weights(t.scores()), t.samples()), 9, "es"))
 
 
 def _means(t: Tables) -> DataFrame:
@@ -402,8 +409,9 @@ def iqr_filter(t: Tables) -> DataFrame:
 
 @_query
 def box_summary(t: Tables) -> DataFrame:
-    by = _scores(t).groupBy(F.left(F.col("set_id"), F.lit(1)).alias("source"))
-    out = by.agg(F.min("es").alias("low"), F.expr("percentile(es, 0.25D)").alias("q1"), F.median("es").alias("mid"), F.expr("percentile(es, 0.75D)").alias("q3"), F.max("es").alias("high"))
+    by_source = _scores(t).select(F.left(F.col("set_id"), F.lit(1)).alias("source"), "es")
+    five = order.quantiles(by_source, ["source"], "es", [0.0, 0.25, 0.5, 0.75, 1.0])
+    out = five.select("source", *[F.col("q")[i].alias(c) for i, c in enumerate(("low", "q1", "mid", "q3", "high"))])
     return _round(out, 6, "low", "q1", "mid", "q3", "high")
 
 
@@ -734,7 +742,7 @@ _CONDITIONS = {"A": (0.0, 0.0), "B": (1.0, 0.0), "C": (0.0, 1.0), "D": (1.0, 1.0
 
 def _effects(t: Tables, points: list[tuple[float, float]]) -> DataFrame:
     """alpha, beta, set_id, r: how far the groups differ in each set under each weighting."""
-    scores = _round(enrich.ssgsea_grid(t.matrix(), t.membership(), t.scores(), t.samples(), points), 9, "es")
+    scores = _round(enrich.ssgsea_grid(t.once("matrix", t.matrix), t.membership(), t.scores(), t.samples(), points), 9, "es")
     return stats.mann_whitney_u(scores.join(t.samples(), "sample_id"), ["alpha", "beta", "set_id"])
 
 

@@ -2,17 +2,27 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import stored
+
 
 class Tables:
     def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder
+        self.spark, self.folder, self._stored = spark, folder, {}
 
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    def once(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        """What several steps of a query read, made and stored once."""
+        if name not in self._stored:
+            self._stored[name] = stored(make(), name)
+        return self._stored[name]
+
     def samples(self) -> DataFrame:
         """sample_id, y: the nations of suppliers, in two groups."""
         here = self.read("supplier").select(F.col("s_nationkey").alias("n_nationkey")).distinct()

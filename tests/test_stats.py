@@ -190,3 +190,20 @@ def test_p_expression(spark):
 def test_reproduced(spark):
     a, b = (spark.createDataFrame(r, "k int, v double") for r in ([(1, 0.5), (2, 0.5), (3, None), (4, 1.0)], [(1, 0.509), (2, 0.52), (3, 1.0), (5, 1.0)]))
     assert {r.k: r.same for r in stats.reproduced(a, b, ["k"], "v").collect()} == {1: True, 2: False, 3: False, 4: False, 5: False}
+
+
+def test_elastic_nets_at_once():
+    """Many problems in one batch give what each of them gives alone, and the same selection over C and ratios."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(30, 12))
+    y = (x[:, 0] - x[:, 1] + rng.normal(size=30) > 0).astype(int)
+    w = solvers.balanced_weights(y)
+    part = np.where(np.arange(30) < 22, 1.0, 0.0)
+    part[:22] *= solvers.balanced_weights(y[:22])
+    problems = [(w, 0.3, 0.5), (w, 10.0, 0.9), (part, 1.0, 0.7)]
+    got = solvers.elastic_nets(x, y, np.stack([p[0] for p in problems], 1), np.array([p[1] for p in problems]), np.array([p[2] for p in problems]), rounds=20_000, tolerance=1e-11)
+    for k, (weights, c, ratio) in enumerate(problems):
+        rows = weights > 0
+        assert np.allclose(got[:, k], solvers.logistic_elastic_net(x[rows], y[rows], c, ratio, rounds=20_000, tolerance=1e-12), atol=1e-6)
+    one, _, _ = solvers.cross_validated(x, y, (0.5, 0.9), 6, 5, "roc_auc")
+    assert ((np.abs(one) > 1e-6) == (np.abs(solvers.cross_validated_elastic_net(x, y, (0.5, 0.9), 6)) > 1e-6)).all()
