@@ -21,10 +21,13 @@ def jaccard_pairs(membership: DataFrame) -> DataFrame:
     return sized.select("a", "b", (F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared"))).alias("jaccard"))
 
 
-def combined_similarity(jaccard: DataFrame, correlation: DataFrame) -> DataFrame:
-    """The larger of Jaccard similarity and absolute correlation; what either lacks counts as 0."""
+def combined_similarity(jaccard: DataFrame, correlation: DataFrame, by: list[str] = ()) -> DataFrame:
+    """The larger of Jaccard similarity and absolute correlation; what either lacks counts as 0.
+
+    With `by`, correlations are of many points, each of which has all pairs, and Jaccard similarities are the same at all of them."""
     r = F.coalesce(F.when(F.isnan("r"), 0.0).otherwise(F.col("r")), F.lit(0.0))
-    return jaccard.join(correlation.select("a", "b", "r"), ["a", "b"], "full").select("a", "b", F.greatest(F.coalesce("jaccard", F.lit(0.0)), F.abs(r)).alias("s"))
+    both = correlation.select(*by, "a", "b", "r").join(jaccard, ["a", "b"], "left" if by else "full")
+    return both.select(*by, "a", "b", F.greatest(F.coalesce("jaccard", F.lit(0.0)), F.abs(r)).alias("s"))
 
 
 def average_linkage(distance: np.ndarray) -> list[tuple[int, int, float]]:
@@ -71,11 +74,11 @@ def cut(n: int, merges: list[tuple[int, int, float]], height: float) -> list[int
     return [find(x) for x in range(n)]
 
 
-def clusters(sets: DataFrame, similarity: DataFrame, thresholds: tuple[float, ...]) -> DataFrame:
-    """set_id, threshold, cluster (its least set id): one dendrogram, cut at distance 1 - threshold, bounds included.
+def clusters(sets: DataFrame, similarity: DataFrame, thresholds: tuple[float, ...], by: list[str] = ()) -> DataFrame:
+    """by, set_id, threshold, cluster (its least set id): one dendrogram, cut at distance 1 - threshold, bounds included.
 
     Average linkage needs all distances together; up to MOST_SETS sets they fit one task, and more are refused."""
-    n = sets.select("set_id").distinct().count()
+    n = sets.groupBy(*by).agg(F.count_distinct("set_id").alias("n")).agg(F.max("n")).first()[0] or 0
     if n > MOST_SETS:
         raise ValueError(f"{n} sets: average linkage is made in one task and takes {MOST_SETS} at most")
 
@@ -89,16 +92,18 @@ def clusters(sets: DataFrame, similarity: DataFrame, thresholds: tuple[float, ..
         distance[a, b] = distance[b, a] = np.maximum(0.0, 1 - s)
         merges = average_linkage(distance) if len(names) > 1 else []
         parts = [pd.DataFrame({"set_id": names, "threshold": t, "cluster": [names[c] for c in cut(len(names), merges, 1 - t)]}) for t in thresholds]
-        return pd.concat(parts)
+        return pd.concat(parts).assign(**{c: ids[c].iloc[0] for c in by})
 
     all_ = F.lit(1).alias("__all")
-    ids = sets.select(all_, "set_id").distinct().groupBy("__all")
-    edges = similarity.select(all_, "a", "b", "s").groupBy("__all")
+    ids = sets.select(all_, *by, "set_id").distinct().groupBy("__all", *by)
+    edges = similarity.select(all_, *by, "a", "b", "s").groupBy("__all", *by)
     kind = sets.schema["set_id"].dataType.simpleString()
-    return ids.cogroup(edges).applyInPandas(run, f"set_id {kind}, threshold double, cluster {kind}")
+    keys = "".join(f"{c} {sets.schema[c].dataType.simpleString()}, " for c in by)
+    return ids.cogroup(edges).applyInPandas(run, f"{keys}set_id {kind}, threshold double, cluster {kind}")
 
 
-def representatives(members: DataFrame, iqrs: DataFrame) -> DataFrame:
-    """Of each cluster the set of the largest interquartile range; of equal ones the first."""
-    best = F.max_by("set_id", F.struct(F.col("iqr"), -F.col("ord")))
-    return members.join(iqrs, "set_id").groupBy("threshold", "cluster").agg(best.alias("set_id"), F.count("*").alias("members"))
+def representatives(members: DataFrame, iqrs: DataFrame, by: list[str] = ()) -> DataFrame:
+    """Of each cluster the set of the largest interquartile range; of equal ones the first by `ord`, then by id."""
+    first = F.min(F.struct(-F.col("iqr"), "ord", "set_id"))
+    best = first["set_id"]
+    return members.join(iqrs, [*by, "set_id"]).groupBy(*by, "threshold", "cluster").agg(best.alias("set_id"), F.count("*").alias("members"))

@@ -242,6 +242,9 @@ from (select *, ((tp + fn) * (tp + fp) + (fp + tn) * (fn + tn))::double / (n * n
     "resample_summary": _with(_RUNS) + "select n_total, round(avg(accuracy), 6) as mean, round(stddev_pop(accuracy), 6) as sd, round(quantile_cont(accuracy, 0.025), 6) as ci_low, round(quantile_cont(accuracy, 0.975), 6) as ci_high from runs group by 1",
     "recommended_n": _with(_RUNS) + "select min(n_total) as recommended_n from (select n_total, avg(accuracy) as mean, quantile_cont(accuracy, 0.025) as low from runs group by 1) where mean >= 0.85 and low > 0.75",
     "threshold_sweep": _with(_FREQ) + "select t as threshold, count(*) filter (where selection_prob >= t) as n_stable from freq cross join (select unnest([0.5, 0.6, 0.7, 0.75, 0.8, 0.85, 0.9])::double as t) group by 1",
+    "stable_by_point": _with(_COEF) + """, pts as (select position % 5 as alpha, (b % 5)::bigint as beta, status, position, coefficient from coefs),
+  freq as (select alpha, beta, position, avg(case when abs(coefficient) > 1e-8 then 1.0::double else 0.0::double end) as p from pts where status = 'ok' group by 1, 2, 3)
+  select g.alpha, g.beta, count(f.position) as n_stable from (select distinct alpha, beta from pts) g left join freq f on f.alpha = g.alpha and f.beta = g.beta and f.p >= 0.8 group by 1, 2""",
     "selection_frequency": _with(_COEF) + "select * from (select position, round(avg(case when abs(coefficient) > 1e-8 then 1.0::double else 0.0::double end), 6) as selection_prob, round(avg(coefficient), 6) as mean_coef, case when avg(coefficient) > 0 then 'up' when avg(coefficient) < 0 then 'down' else '-' end as direction from coefs where status = 'ok' group by 1) where selection_prob >= 0.5",
     "features_per_fold": _with(_COEF) + "select round(avg(n), 6) as mean, min(n) as low, max(n) as high from (select b, count(distinct position) as n from coefs where status = 'ok' and coefficient <> 0 group by 1)",
     "grid_pivot": _with(_GRID) + "select beta, " + ", ".join(f"max(case when alpha = '{k}' then acc end) as {k}" for k in ("click", "error", "purchase", "signup", "view")) + " from grid_runs group by 1",

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..config import Config
 from ..functions import numeric, text
-from ..operators import enrich, impute, matrix, ml, order, resample, similarity, stats
+from ..operators import enrich, impute, matrix, ml, order, points, resample, similarity, stats
 from ..sources.files import unpivot
 from . import oracle
 from .tables import Tables
@@ -764,6 +764,34 @@ def ablation(t: Tables) -> DataFrame:
     return counts.join(F.broadcast(size), how="cross").select("condition", "n_sets", F.round(F.col("both") / (F.col("n_sets") + F.col("n_d") - F.col("both")), 6).alias("overlap"))
 
 
+def _scored_points(t: Tables, points_: list[tuple[float, float]]) -> DataFrame:
+    values = t.once("matrix", t.matrix)
+    return t.once("points", lambda: _round(enrich.ssgsea_grid(values, t.membership(), t.scores(), t.samples(), points_), 9, "es"))
+
+
+@_query
+def grid_validation(t: Tables) -> DataFrame:
+    """Every weighting of the grid: sets that are left, selected, and leave-one-out of those that are selected; 100 bootstraps a point."""
+    scores = _scored_points(t, [(a, b) for a in _GRID for b in _GRID])
+    return points.evaluated(scores, t.samples(), t.membership(), ["alpha", "beta"], nested=False, config=replace(Config(), bootstraps=100))
+
+
+@_query
+def ablation_validation(t: Tables) -> DataFrame:
+    """The four conditions: selection by 200 bootstraps, leave-one-out, and nested leave-one-out with 10 bootstraps a fold."""
+    name = F.coalesce(*[F.when((F.col("alpha") == a) & (F.col("beta") == b), F.lit(k)) for k, (a, b) in _CONDITIONS.items()]).alias("condition")
+    scores = _scored_points(t, list(_CONDITIONS.values())).select(name, "set_id", "sample_id", "es")
+    return points.evaluated(scores, t.samples(), t.membership(), ["condition"], nested=True, config=replace(Config(), inner_bootstraps=10))
+
+
+@_query
+def stable_by_point(t: Tables) -> DataFrame:
+    """Sets that reach the stability threshold at each point of a grid, from a table of coefficients; points without one count 0."""
+    fits = _coefficients(t).select((F.col("position") % 5).alias("alpha"), (F.col("b") % 5).cast("long").alias("beta"), "b", "status", F.col("position").alias("set_id"), "coefficient")
+    by = ["alpha", "beta"]
+    return points.stable_counts(points.frequency(fits, by), fits, by, 0.8)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: lambda spark, folder, f=f: f(Tables(spark, folder)) for name, f in _QUERIES.items()}
 
