@@ -61,13 +61,15 @@ def ngrams(text: str, flags: np.ndarray) -> np.ndarray:
 class Model:
     languages: list[str]
     weights: np.ndarray  # DIMENSIONS x languages
+    known: np.ndarray  # DIMENSIONS x languages: whether a training text of the language has the n-gram
+    level: np.ndarray  # of each language the usual share of a text's n-grams that other training texts have
 
 
 def fit(examples: list[tuple[str, np.ndarray]], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model:
     """(language, n-gram numbers) -> one-versus-rest ridge regression on Nyström features."""
     languages = sorted({lang for lang, _ in examples})
     if not languages:
-        return Model([], np.zeros((DIMENSIONS, 0), np.float32))
+        return Model([], np.zeros((DIMENSIONS, 0), np.float32), np.zeros((DIMENSIONS, 0), bool), np.zeros(0))
     chosen: list[np.ndarray] = []  # round robin over the languages
     queues = [[x for lang, x in examples if lang == name] for name in languages]
     for i in range(max(map(len, queues))):
@@ -86,7 +88,13 @@ def fit(examples: list[tuple[str, np.ndarray]], landmarks: int = LANDMARKS, ridg
     solved = np.linalg.solve(features.T @ (weight * features) + ridge * len(examples) * np.diag([1.0] * (features.shape[1] - 1) + [0.0]) / features.shape[1], features.T @ (weight * signs))
     # the constant is spread over all n-grams only through the norm, so it is kept as a last row
     weights = np.vstack([basis.T @ (root @ solved[:-1]), solved[-1:]]).astype(np.float32)
-    return Model(languages, weights)
+    known, level = np.zeros((DIMENSIONS, len(languages)), bool), np.zeros(len(languages))
+    for j, name in enumerate(languages):
+        own = [x for lang, x in examples if lang == name]
+        times = np.bincount(np.concatenate(own), minlength=DIMENSIONS)
+        known[:, j] = times > 0
+        level[j] = np.median([(times[x] > 1).mean() for x in own])
+    return Model(languages, weights, known, level)
 
 
 def held_out(doc_id: Column, modulus: int = 4, remainder: int = 2) -> Column:
@@ -125,8 +133,10 @@ def trained(docs: DataFrame, train_docs: int = 2400, modulus: int = 4, remainder
     return fit([(lang, np.frombuffer(g, "<u4").astype(np.int64)) for lang, _, g in rows if g])
 
 
-def predict(texts: list[str | None], model: Model, flags: np.ndarray) -> tuple[list[str], list[float]]:
-    names, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
+def predict(texts: list[str | None], model: Model, flags: np.ndarray) -> tuple[list[str], list[float], list[float]]:
+    """Of each text the language, its score, and how much of the text is known in it: the share of its n-grams that the language's training
+    texts have, over the level that is usual there.  The score is relative to the other languages; what is known does not depend on them."""
+    names, scores, known = [UNKNOWN] * len(texts), [0.0] * len(texts), [0.0] * len(texts)
     rows = [i for i, t in enumerate(texts) if t and model.languages and _LETTER.search(t)]
     if rows:
         sets = [ngrams(texts[i], flags) for i in rows]
@@ -135,27 +145,31 @@ def predict(texts: list[str | None], model: Model, flags: np.ndarray) -> tuple[l
         decision = np.add.reduceat(model.weights[flat], np.concatenate([[0], np.cumsum(sizes)[:-1]]), axis=0) / np.sqrt(sizes)[:, None] + model.weights[-1]
         e = np.exp(4 * (decision - decision.max(1, keepdims=True)).astype(np.float64))
         share = e / e.sum(1, keepdims=True)
-        for i, best, row in zip(rows, decision.argmax(1).tolist(), share, strict=True):
-            names[i], scores[i] = model.languages[best], float(row[best])
-    return names, scores
+        best = decision.argmax(1)
+        seen = np.add.reduceat(model.known[flat, np.repeat(best, sizes)].astype(np.int64), np.concatenate([[0], np.cumsum(sizes)[:-1]])) / sizes
+        level = model.level[best]
+        relative = np.where(level > 0, seen / np.where(level > 0, level, 1.0), 1.0)  # a language of one text has no level
+        for i, b, row, r in zip(rows, best.tolist(), share, relative.tolist(), strict=True):
+            names[i], scores[i], known[i] = model.languages[b], float(row[b]), r
+    return names, scores, known
 
 
 def identified(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with __lang_pred and __lang_score."""
+    """docs with __lang_pred, __lang_score and __lang_known (see predict)."""
 
-    place, added = docs.columns.index("text"), [cluster.free_name(docs.columns, c) for c in ("__lang_pred", "__lang_score")]
+    place, added = docs.columns.index("text"), [cluster.free_name(docs.columns, c) for c in ("__lang_pred", "__lang_score", "__lang_known")]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flags = np.zeros(DIMENSIONS, bool)
         for batch in batches:
-            texts, names, scores = batch.column(place), [], []
+            texts, columns = batch.column(place), ([], [], [])
             for i in range(0, batch.num_rows, 256):
-                a, b = predict(texts.slice(i, 256).to_pylist(), model, flags)
-                names += a
-                scores += b
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names, *added])
+                for column, values in zip(columns, predict(texts.slice(i, 256).to_pylist(), model, flags), strict=True):
+                    column += values
+            new = [pa.array(c, pa.string() if k == 0 else pa.float64()) for k, c in enumerate(columns)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*batch.schema.names, *added])
         tidy()
 
     if docs.schema["text"].dataType != StringType():
         docs = docs.withColumn("text", F.col("text").cast("string"))
-    return docs.mapInArrow(score, StructType([*docs.schema.fields, StructField(added[0], StringType()), StructField(added[1], DoubleType())]))
+    return docs.mapInArrow(score, StructType([*docs.schema.fields, StructField(added[0], StringType()), *[StructField(c, DoubleType()) for c in added[1:]]]))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import random
 import zlib
 from collections import Counter
 
@@ -11,6 +12,7 @@ import pytest
 
 import __spark_entry__ as entry
 import corpus_pipeline
+from omixel.llm import language_id
 
 from . import helpers as h
 
@@ -74,7 +76,8 @@ def test_pipeline(spark, documents):
             assert now.columns == columns
         if name == "language_id":
             told = {r.doc_id: r for r in entry.queries()["op6_language_id"](spark, FOLDER).collect()}
-            assert sorted(r.doc_id for r in rows) == sorted(d[0] for d in documents if any(c.isalpha() for c in d[1] or "") and told[d[0]].score >= corpus_pipeline.LEAST_SCORE)
+            known = {r["doc_id"]: r["__lang_known"] for r in language_id.identified(docs, language_id.trained(docs)).collect()}
+            assert sorted(r.doc_id for r in rows) == sorted(d[0] for d in documents if any(c.isalpha() for c in d[1] or "") and known[d[0]] >= corpus_pipeline.LEAST_KNOWN)
             assert all(r.lang == (told[r.doc_id].lang_pred if d[2] is None else d[2]) for r in rows for d in (by_id[r.doc_id],))
         elif name == "minhash_near_dedup":
             of = h.classes(before)
@@ -111,7 +114,22 @@ def test_no_language_to_learn(spark, lang):
     kept = corpus_pipeline.tell_language(spark, docs, FOLDER)
     assert kept.columns == docs.columns and {r.text for r in kept.collect()} == {"some words", "é", "漢", "½"}
     known = corpus_pipeline.tell_language(spark, docs.union(h.frame(spark, [(i, "some words", "en", "s", 0, 0, "k") for i in range(100) if i not in out])), FOLDER)
-    assert {r.text for r in known.collect()} == {"some words", "é", "漢", "½"}
+    assert {r.text for r in known.collect()} == {"some words"}
+
+
+@pytest.mark.parametrize("languages", [1, 2, 4, 40])
+def test_number_of_languages(languages):
+    """The same texts stay and go, however many languages are known: clean texts of a known language stay, junk and other scripts go."""
+    rng, flags = random.Random(4), np.zeros(language_id.DIMENSIONS, bool)
+    syllables = [[rng.choice("bcdfghjklmnprstvw") + rng.choice("aeiou") + rng.choice(("", "n", "r", "s")) for _ in range(24)] for _ in range(40)]
+    say = lambda k, n: " ".join("".join(rng.choice(syllables[k]) for _ in range(rng.randrange(1, 4))) for _ in range(n)).capitalize() + "."
+    clean = [say(0, n) for n in (5, 20, 100, 400)]
+    junk = ["zzqx 8123 ||| kkkk", "слово дело и ещё", "0x00ff 0x7f3a 0xdead", "zxqjv wqkzx " * 50, "漢字仮名交じり文", "½"]
+    texts = [(f"l{k:02d}", say(k, rng.randrange(50, 300))) for k in range(languages) for _ in range(2400 // 40)]
+    model = language_id.fit([(k, language_id.ngrams(t, flags)) for k, t in texts])
+    names, _, known = language_id.predict(clean + junk, model, flags)
+    assert [k >= corpus_pipeline.LEAST_KNOWN for k in known] == [True] * len(clean) + [False] * len(junk), list(zip(names, known, strict=True))
+    assert names[:4] == ["l00"] * 4
 
 
 def test_language_decides(spark):
@@ -122,15 +140,15 @@ def test_language_decides(spark):
     more = spark.createDataFrame([(i, t, None, "s", 0) for i, t in zip(unlabelled, texts, strict=False)], docs.schema)
     kept = corpus_pipeline.tell_language(spark, docs.unionByName(more), FOLDER).filter("doc_id >= 1000000").orderBy("doc_id").collect()
     assert [r.lang for r in kept] == ["fr"] * 4 + ["de"] * 4
-    told = entry.queries()["op6_language_id"](spark, FOLDER).collect()
-    middle = sorted(r.score for r in told)[len(told) // 2]
-    least = corpus_pipeline.LEAST_SCORE
+    told = language_id.identified(docs, language_id.trained(docs)).collect()
+    assert min(r["__lang_known"] for r in told) > corpus_pipeline.LEAST_KNOWN  # all are clean enough to stay
+    least = corpus_pipeline.LEAST_KNOWN
     try:
-        corpus_pipeline.LEAST_SCORE = middle
+        corpus_pipeline.LEAST_KNOWN = 0.99
         kept = {r.doc_id for r in corpus_pipeline.tell_language(spark, docs, FOLDER).collect()}
     finally:
-        corpus_pipeline.LEAST_SCORE = least
-    assert kept == {r.doc_id for r in told if r.lang_pred != "und" and r.score >= middle} and len(kept) < len(told)
+        corpus_pipeline.LEAST_KNOWN = least
+    assert kept == {r.doc_id for r in told if r["__lang_pred"] != "und" and r["__lang_known"] >= 0.99} and 0 < len(kept) < len(told)
 
 
 def test_scratch_goes(spark):
