@@ -2,8 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last keep the columns of documents.
 
-1. language ID: documents whose language cannot be told go: those without a letter, and those of which no language has at least
-   LEAST_SCORE of the classifier's score.  A document without `lang` takes the predicted one.  Where no language can be learned (no label
+1. language ID: documents whose language cannot be told go: those without a letter, and those of which less than LEAST_KNOWN of what is
+   usual is known in the predicted language (n-grams that its training texts have); that does not depend on how many
+   languages there are, where the classifier's score does.  A document without `lang` takes the predicted one.  Where no language can be learned (no label
    outside the held-out documents), all documents with a letter stay as they are.
 2. near-dedup: of each class of near copies (weighted Jaccard 0.8 of five-word shingles) the one of the least doc_id stays.
 3. long repeats: passages of 50 words and more that also begin earlier are cut from the text.
@@ -20,8 +21,8 @@ from pyspark.sql import functions as F
 
 from omixel.llm import cluster, dartminhash, language_id, mixing, packing, suffix_dedup
 
-#: below it no language stands out from the others
-LEAST_SCORE = 0.4
+#: least share of known n-grams, relative to what training texts of the language know of each other
+LEAST_KNOWN = 0.65
 
 
 def tell_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,8 +30,8 @@ def tell_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     if not model.languages:
         return docs.filter(language_id.has_letter(docs["text"]))
     told = language_id.identified(docs, model)
-    language, score = (F.col(c) for c in told.columns[-2:])
-    return told.filter((language != language_id.UNKNOWN) & (score >= LEAST_SCORE)).withColumn("lang", F.coalesce(F.col("lang").cast("string"), language)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    language, known = F.col(told.columns[-3]), F.col(told.columns[-1])
+    return told.filter((language != language_id.UNKNOWN) & (known >= LEAST_KNOWN)).withColumn("lang", F.coalesce(F.col("lang").cast("string"), language)).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
