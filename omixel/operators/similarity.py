@@ -7,16 +7,71 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import stored
+from .order import row_ranks
+
+#: sets of one feature that meet in one task
+MEETING = 1_000
 #: sets that one task may cluster: their distances take 8 n^2 bytes
 MOST_SETS = 20_000
 
 
-def jaccard_pairs(membership: DataFrame) -> DataFrame:
+def meeting(rows: DataFrame, limit: int = MEETING) -> DataFrame:
+    """a, b (structs of a row's other columns, a of the lesser set_id) for every two sets that share a feature, once for each such feature.
+
+    The sets of a feature are dealt to blocks of about `limit` by a hash, and every two blocks meet at a key of their own; so a feature
+    that most sets have is many tasks."""
+    others = [F.col(c) for c in rows.columns if c != "feature"]
+    blocks = rows.groupBy("feature").agg(F.ceil(F.count("*") / limit).alias("blocks"))
+    block = F.pmod(F.xxhash64("set_id"), F.col("blocks"))
+    dealt = rows.join(blocks, "feature").select("feature", F.struct(*others).alias("row"), block.alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
+    sides = dealt.select("feature", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "row")
+    left = sides.filter("block = low").select("feature", "low", "high", F.col("row").alias("x"))
+    right = sides.filter("block = high").select("feature", "low", "high", F.col("row").alias("y"))
+    pairs = left.join(right, ["feature", "low", "high"]).filter("low < high or x.set_id < y.set_id")
+    less = F.col("x.set_id") < F.col("y.set_id")
+    return pairs.select(F.when(less, F.col("x")).otherwise(F.col("y")).alias("a"), F.when(less, F.col("y")).otherwise(F.col("x")).alias("b"))
+
+
+def similar_pairs(membership: DataFrame, threshold: float, limit: int = MEETING) -> DataFrame:
+    """a < b and their Jaccard similarity, for the pairs that reach the threshold (above 0): what jaccard_pairs gives, filtered.
+
+    Of each set only its rarest features are joined: two sets at the threshold share one of the first size - ceil(threshold * size) + 1 in
+    order of rarity.  A pair met there is dropped where its sizes, or what is left of both sets from there on, cannot reach the
+    threshold; the others' common features are counted."""
+    if not 0 < threshold <= 1:
+        raise ValueError("the threshold lies above 0, and at 1 at most")
+    return _of_candidates(membership.select("set_id", "feature").distinct(), candidate_pairs(membership, threshold, limit), threshold)
+
+
+def candidate_pairs(membership: DataFrame, threshold: float, limit: int = MEETING) -> DataFrame:
+    """a, b, na, nb: the pairs of which similar_pairs counts the common features."""
+    m = membership.select("set_id", "feature").distinct()
+    rarity = m.groupBy("feature").agg(F.count("*").cast("double").alias("sets"))
+    ranked = row_ranks(stored(m.join(rarity, "feature"), "rarity"), ["set_id"], "sets", "feature", to="place", size="size")
+    exact = F.lit(1e-9)  # a product that is whole must not be rounded up
+    prefix = ranked.filter(F.col("place") <= F.col("size") - F.ceil(F.lit(threshold) * F.col("size") - exact) + 1).select("feature", "set_id", "size", "place")
+    na, nb = F.col("a.size"), F.col("b.size")
+    needed = F.lit(threshold / (1 + threshold)) * (na + nb) - exact
+    left = 1 + F.least(na - F.col("a.place"), nb - F.col("b.place"))  # common features from here on, at most
+    # what both share before this feature would have met them earlier: the first meeting has all that is left
+    met = meeting(prefix, limit).filter(F.least(na, nb) >= F.lit(threshold) * F.greatest(na, nb) - exact)
+    first = met.groupBy(F.col("a.set_id").alias("a"), F.col("b.set_id").alias("b"), na.alias("na"), nb.alias("nb")).agg(F.max(left - needed).alias("room"))
+    return first.filter("room >= 0").drop("room")
+
+
+def _of_candidates(m: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
+    own = pairs.join(m.select(F.col("set_id").alias("a"), "feature"), "a")
+    shared = own.join(m.select(F.col("set_id").alias("b"), "feature"), ["b", "feature"], "left_semi").groupBy("a", "b", "na", "nb").agg(F.count("*").alias("shared"))
+    jaccard = F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared"))
+    return shared.select("a", "b", jaccard.alias("jaccard")).filter(F.col("jaccard") >= threshold)
+
+
+def jaccard_pairs(membership: DataFrame, limit: int = MEETING) -> DataFrame:
     """a < b and their Jaccard similarity, for the pairs that share a feature."""
     m = membership.select("set_id", "feature").distinct()
     sizes = m.groupBy("set_id").agg(F.count("*").alias("size"))
-    both = m.select(F.col("set_id").alias("a"), "feature").join(m.select(F.col("set_id").alias("b"), "feature"), "feature").filter("a < b")
-    shared = both.groupBy("a", "b").agg(F.count("*").alias("shared"))
+    shared = meeting(m, limit).groupBy(F.col("a.set_id").alias("a"), F.col("b.set_id").alias("b")).agg(F.count("*").alias("shared"))
     sized = shared.join(sizes.select(F.col("set_id").alias("a"), F.col("size").alias("na")), "a").join(sizes.select(F.col("set_id").alias("b"), F.col("size").alias("nb")), "b")
     return sized.select("a", "b", (F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared"))).alias("jaccard"))
 

@@ -172,6 +172,10 @@ SQL: dict[str, str] = {
     "group_diff": _with(BASE, ES, MEANS) + "select set_id, round(mean_1 - mean_0, 6) as diff, round(abs(mean_1 - mean_0), 6) as abs_diff, case when mean_1 - mean_0 > 0 then 'up' when mean_1 - mean_0 < 0 then 'down' else '-' end as direction from means",
     "source_direction": _with(BASE, ES, MEANS) + "select left(set_id, 1) as source, count(*) filter (where mean_1 > mean_0) as up, count(*) filter (where mean_1 < mean_0) as down from means group by 1",
     "top_sets": _with(BASE, ES, MEANS) + "select set_id, round(abs(mean_1 - mean_0), 6) as abs_diff from means order by abs(mean_1 - mean_0) desc, set_id limit 20",
+    "similar_sets": """with upto as (select distinct g || ':' || lpad(k::varchar, 2, '0') as set_id, p_partkey as feature from part, unnest(['all', p_brand]) as u(g), range(p_size, 51) as r(k)),
+  sizes as (select set_id, count(*) as n from upto group by 1),
+  common as (select x.set_id as a, y.set_id as b, count(*) as c from upto x join upto y on x.feature = y.feature and x.set_id < y.set_id group by 1, 2)
+  select a, b, round(c::double / (p.n + q.n - c), 9) as jaccard from common join sizes p on p.set_id = a join sizes q on q.set_id = b where c::double / (p.n + q.n - c) >= 0.7""",
     "jaccard_pairs": _with(BASE, _JACCARD) + "select a, b, round(jaccard, 9) as jaccard from jac",
     "combined_similarity": _with(BASE, ES, _JACCARD, _ES_FILLED, _COR) + "select coalesce(jac.a, cor.a) as a, coalesce(jac.b, cor.b) as b, round(greatest(coalesce(jaccard, 0.0), abs(coalesce(case when isnan(r) then 0.0 else r end, 0.0))), 6) as s from jac full join cor on jac.a = cor.a and jac.b = cor.b",
     "iqr": _with(BASE, ES, _IQR) + "select set_id, round(iqr, 6) as iqr from iqrs",

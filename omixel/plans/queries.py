@@ -387,6 +387,15 @@ def jaccard_pairs(t: Tables) -> DataFrame:
     return _round(similarity.jaccard_pairs(t.membership()), 9, "jaccard")
 
 
+@_query
+def similar_sets(t: Tables) -> DataFrame:
+    """Sets of parts up to a size, or of a brand and up to a size, that have seven tenths in common."""
+    parts = t.read("part").select("p_partkey", "p_size", F.explode(F.array(F.lit("all"), F.col("p_brand"))).alias("of"))
+    upto = parts.select("p_partkey", "of", F.explode(F.sequence("p_size", F.lit(50))).alias("size"))
+    sets = upto.select(F.concat("of", F.lit(":"), F.lpad(F.col("size").cast("string"), 2, "0")).alias("set_id"), F.col("p_partkey").alias("feature"))
+    return _round(similarity.similar_pairs(sets, 0.7), 9, "jaccard")
+
+
 def _correlations(t: Tables) -> DataFrame:
     mean = F.avg("es").over(Window.partitionBy("set_id"))
     return stats.pairwise_correlation(_scores(t).withColumn("es", F.coalesce("es", mean)), "set_id", "sample_id", "es")
