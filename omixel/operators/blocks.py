@@ -115,3 +115,20 @@ def correlations(rows: DataFrame, item: str, place: str, value: str, by: list[st
 
     out = paired(blocks, n_blocks, by, _moments, finish, f"a {kind}, b {kind}, r double, n bigint")
     return out.withColumn("r", F.when(~F.isnan("r"), F.col("r")))
+
+
+def products(rows: DataFrame, item: str, place: str, value: str, block: int = BLOCK, slice_: int = SLICE) -> DataFrame:
+    """a <= b, product: the sum of products of every two items' values over all places; a missing value counts as 0."""
+    n_blocks, n_slices = _parts(rows, [], item, place, block, slice_)
+    packed_ = packed(rows, [], item, place, value, n_blocks, n_slices)
+    kind = rows.schema[item].dataType.simpleString()
+
+    def finish(left: list, right: list, same: bool, sums: np.ndarray) -> pd.DataFrame:
+        a, b = (g.ravel() for g in np.meshgrid(np.array(left, object), np.array(right, object), indexing="ij"))
+        swap = a > b
+        a, b, v = np.where(swap, b, a), np.where(swap, a, b), sums[0].ravel()
+        keep = ~swap if same else np.ones(len(a), bool)
+        return pd.DataFrame({"a": a[keep], "b": b[keep], "product": v[keep]})
+
+    zero = lambda m: np.where(np.isnan(m), 0.0, m)
+    return paired(packed_, n_blocks, [], lambda x, y: [zero(x) @ zero(y).T], finish, f"a {kind}, b {kind}, product double")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import logistic
 from ..functions.solvers import cross_validated, sigmoid, standardise
+from . import blocks
 
 #: values of a training matrix that is collected to fit one model
 MOST_VALUES = 20_000_000
@@ -148,3 +149,31 @@ def principal_components(rows: DataFrame, features: str, k: int = 2) -> DataFram
     return model.transform(centred).withColumn("scores", vector_to_array("__p")).drop("__c", "__p").withColumn("explained", F.lit(shares))
 
 
+#: samples whose products with each other are decomposed on the driver
+MOST_SAMPLES = 4_000
+
+
+def wide_components(matrix: DataFrame, k: int = 2, value: str = "value") -> DataFrame:
+    """sample_id, scores (on the first k components), explained (share of the variance): of a matrix of any number of features.
+
+    Features are centred where they are.  Products of samples with each other are summed over features by blocks; their matrix, of at most
+    MOST_SAMPLES samples, is all that reaches the driver, and its eigenvectors are the scores.  A missing cell counts as the feature's mean.
+    A component's sign is such that its largest score is positive."""
+    n = matrix.select("sample_id").distinct().count()
+    if n > MOST_SAMPLES:
+        raise ValueError(f"{n} samples: components of a wide matrix take {MOST_SAMPLES} at most")
+    centred = matrix.withColumn("__v", F.col(value) - F.avg(value).over(Window.partitionBy("feature")))
+    products = blocks.products(centred, "sample_id", "feature", "__v").toPandas()  # n^2 / 2 rows
+    names = sorted(set(products["a"]))
+    at = {s: i for i, s in enumerate(names)}
+    gram = np.zeros((len(names), len(names)))
+    i, j = products["a"].map(at).to_numpy(int), products["b"].map(at).to_numpy(int)
+    gram[i, j] = gram[j, i] = products["product"].to_numpy()
+    values, vectors = np.linalg.eigh(gram) if names else (np.zeros(0), np.zeros((0, 0)))
+    values, vectors = np.maximum(values[::-1][:k], 0.0), vectors[:, ::-1][:, :k]
+    scores = vectors * np.sqrt(values)
+    scores *= np.where(np.abs(scores).max(0, initial=0.0) == scores.max(0, initial=-np.inf), 1.0, -1.0)
+    shares = (values / max(np.trace(gram), 1e-300)).tolist()
+    kind = matrix.schema["sample_id"].dataType.simpleString()
+    rows = [(s, r, shares) for s, r in zip(names, scores.tolist(), strict=True)]
+    return matrix.sparkSession.createDataFrame(rows, f"sample_id {kind}, scores array<double>, explained array<double>")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..config import Config
 from ..functions import numeric, text
-from ..operators import enrich, impute, matrix, ml, order, points, resample, similarity, stats
+from ..operators import enrich, impute, matrix, ml, order, points, resample, rowwise, similarity, stats
 from ..sources.files import unpivot
 from . import oracle
 from .tables import Tables
@@ -669,8 +669,13 @@ def complete_features(t: Tables) -> DataFrame:
 @_query
 def pca_samples(t: Tables) -> DataFrame:
     """Samples in two dimensions, from the sets that are scored in all of them."""
-    values = F.transform(F.array_sort(F.collect_list(F.struct("feature", "value"))), lambda x: x["value"])
-    return ml.principal_components(_complete_scores(t).groupBy("sample_id").agg(values.alias("values")), "values").select("sample_id", "scores", "explained")
+    return ml.wide_components(_complete_scores(t))
+
+
+@_query
+def pca_features(t: Tables) -> DataFrame:
+    """Samples in two dimensions, from every feature of the matrix; a missing value counts as the feature's mean."""
+    return ml.wide_components(t.once("matrix", t.matrix))
 
 
 @_query
@@ -699,6 +704,15 @@ def train_predict(t: Tables) -> DataFrame:
     return ml.score_arrays(rows.select("vec_id", "embedding"), F.col("embedding"), model).drop("embedding")
 
 
+@_query
+def elastic_net_rows(t: Tables) -> DataFrame:
+    """How often each component of the embeddings is selected to tell the labels apart, by 200 bootstraps of all rows."""
+    rows = t.read("embeddings").select("vec_id", "embedding", (F.col("label") < 5).cast("int").alias("y"))
+    fits = rowwise.bootstrapped_elastic_nets(rows, F.xxhash64("vec_id"), "embedding", "y", c=0.02, l1_ratio=0.7, passes=400, tolerance=1e-5)
+    told = t.spark.createDataFrame(fits, "b int, status string, position int, coefficient double").filter(F.col("position") < int(fits["position"].max()) if len(fits) else F.lit(True))
+    return resample.selection_frequency(told)
+
+
 @_query
 def stability_selection(t: Tables) -> DataFrame:
     x, y, _, names = _set_scores(t)
