@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
+from ..storage import stored
+
 SET = "struct<name:string,source:string,genes:array<string>,size_total:int,size_matched:int,p_value:double>"
 
 
@@ -44,6 +46,41 @@ def read_sets(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return entries.drop("genes"), entries.select("set_id", F.explode("genes").alias("feature"))
 
 
+def _before(rows: DataFrame, column: str, to: str) -> DataFrame:
+    """The sum of a column over all earlier records of the file: totals of its parts first, then within each part."""
+    totals = rows.groupBy("file", "part").agg(F.sum(column).alias("__total"))
+    earlier = Window.partitionBy("file").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select("file", "part", F.coalesce(F.sum("__total").over(earlier), F.lit(0)).alias("__offset"))
+    here = F.coalesce(F.sum(column).over(Window.partitionBy("file", "part").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return rows.join(offsets, ["file", "part"]).withColumn(to, here + F.col("__offset")).drop("__offset")
+
+
+def read_large_sets(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """What read_sets gives, of an object of any size, which many tasks read and parse.
+
+    The file is read as records that end in a closing brace, so that Spark splits it anywhere.  Whether a record begins inside a string follows
+    from the number of quotes before it, and how deep its end lies from the braces outside strings; both are running sums over the parts that
+    tasks have read.  Where the depth comes back to one an entry ends; its records are put together and parsed.  An entry is what one task holds."""
+    raw = spark.read.option("lineSep", "}").text(path)
+    records = raw.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("part"), F.monotonically_increasing_id().alias("at"), "value")
+    plain = F.regexp_replace("value", r"(?s)\\.", "")  # without escaped characters
+    count = lambda text, mark: F.length(text) - F.length(F.replace(text, F.lit(mark), F.lit("")))
+    quoted = stored(records.withColumn("quotes", count(plain, '"').cast("long")), "json-records")
+    begun = _before(quoted, "quotes", "earlier")
+    inside = F.col("earlier") % 2 == 1
+    outside = F.regexp_replace(F.concat(F.when(inside, F.lit('"')).otherwise(""), plain), r'"[^"]*(?:"|$)', "")
+    closes = ((F.col("earlier") + F.col("quotes")) % 2 == 0).cast("long")  # else the brace that ended the record is part of a string
+    deep = stored(begun.select("file", "part", "at", "value", closes.alias("closes"), (count(outside, "{") - closes).alias("step")), "json-depths")
+    ended = _before(deep, "step", "depth").withColumn("ends", ((F.col("closes") == 1) & (F.col("depth") + F.col("step") == 1)).cast("long"))
+    entries = _before(stored(ended.drop("depth", "step", "closes"), "json-entries"), "ends", "entry").groupBy("file", "entry").agg(
+        F.max("ends").alias("ends"), F.array_sort(F.collect_list(F.struct("part", "at", "value"))).alias("records")
+    )
+    text = F.concat(F.array_join(F.transform("records", lambda r: r["value"]), "}"), F.lit("}"))
+    body = F.concat(F.lit("{"), F.regexp_replace(text, r"^[\s,{}]+", ""), F.lit("}"))
+    parsed = entries.filter("ends = 1").select(F.explode(F.from_json(body, f"map<string,{SET}>")).alias("set_id", "s")).select("set_id", "s.*")
+    return parsed.drop("genes"), parsed.select("set_id", F.explode("genes").alias("feature"))
+
+
 def read_report(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.json(path, multiLine=True)
 
