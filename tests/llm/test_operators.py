@@ -453,7 +453,7 @@ def test_language(spark):
     model = language_id.trained(docs)
     assert model.languages == ["en", "fr"]
     got = language_id.identified(docs, model)
-    assert got.columns == [*docs.columns, "__lang_pred", "__lang_score"]
+    assert got.columns == [*docs.columns, "__lang_pred", "__lang_score", "__lang_known"]
     rows = got.collect()
     assert len(rows) == len(h.corpus())
     for r in rows:
@@ -669,8 +669,8 @@ def test_clashing_names(spark):
     kept(dartminhash.deduplicated(docs), 0)
     kept(suffix_dedup.without_repeats(docs), 0)
     told = language_id.identified(docs, language_id.trained(docs))
-    assert told.columns[-2:] == ["__lang_pred_", "__lang_score_"]
-    kept(told, 2)
+    assert told.columns[-3:] == ["__lang_pred_", "__lang_score_", "__lang_known"]
+    kept(told, 3)
     judged = url_rules.judged(docs.withColumn("url", F.lit("http://a.net/")), url_rules.rule_table(spark))
     assert judged.columns[-4:] == ["__host_", "__path_", "__rule_", "__verdict_"] and {(r["__host"], r["__host_"], r["__verdict_"]) for r in judged.collect()} == {("kept __host", "a.net", "block")}
     same = lambda f: Counter(map(str, f(docs).collect())) == Counter(map(str, f(h.frame(spark)).collect()))
