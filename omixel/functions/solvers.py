@@ -129,7 +129,7 @@ def cross_validated_elastic_net(x: np.ndarray, y: np.ndarray, l1_ratios: tuple[f
     weights = np.zeros((len(y), k))
     for f, train in enumerate(masks):
         weights[train, f] = balanced_weights(y[train])
-    fits = elastic_nets(x, y, np.repeat(weights, len(c), axis=1), np.tile(c, k), np.tile(ratio, k)).reshape(x.shape[1] + 1, k, len(c))
+    fits = elastic_nets(x, y, np.repeat(weights, len(c), axis=1), np.tile(c, k), np.tile(ratio, k), rounds=400).reshape(x.shape[1] + 1, k, len(c))
     scores = np.zeros((len(c), k))
     for f, train in enumerate(masks):
         margin = x[~train] @ fits[:-1, f] + fits[-1, f]

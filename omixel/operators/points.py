@@ -61,7 +61,7 @@ def designs(scores: DataFrame, samples: DataFrame, sets: DataFrame, by: list[str
 def fitted(tasks: DataFrame, matrices: DataFrame, by: list[str], slice_: Column, run: Callable[[np.ndarray, np.ndarray, list, pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
     """run(x, y, features, tasks) for each slice of tasks of a point, with the point's keys added; `slice_` deals the tasks."""
     keys = [*by, "slice"]
-    n = max(1, 2 * tasks.sparkSession.sparkContext.defaultParallelism)  # not left to the size of the rows, which says nothing of the work
+    n = max(1, 8 * tasks.sparkSession.sparkContext.defaultParallelism)  # not left to the size of the rows, which says nothing of the work
     left = tasks.withColumn("slice", F.pmod(slice_, F.lit(SLICES)).cast("int")).repartition(n, *keys)
     again = matrices.select(*[F.col(c).alias(c) for c in matrices.columns])  # tasks are made of the same table
     right = again.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(SLICES - 1)))).repartition(n, *keys)
