@@ -14,6 +14,11 @@ so two documents that share a passage of `length` words share a retained suffix
    `a` words to the left.  The sorted orders give that for all suffixes at once: runs of neighbours that match so far.  The earliest
    window of each run stays.  Overlapping windows join to maximal passages.
 
+The sorted suffixes are read as a stream.  One that equals the one before it, on both sides, is answered at once and let go; what is new is held
+until its leading words change.  Where more than `held` suffixes of the same leading words are new, and where leading words are in
+`hot_chunks` chunks or more (these are split over several tasks by chunk, so that each task passes on one suffix of equal ones), the windows
+that are left are passed on one by one, sorted by all their words, and each is compared with the one before it.  Both ways compare the same words.
+
 A word goes if one of its windows of `length` words also begins earlier: in a document of smaller id, or
 earlier in the same document.  That is decided on words, not on hashes.  A chunk first sorts its own suffixes and sends on
 what is new in it, once, so a passage in a third of all documents is one row a chunk; nothing is emitted in pairs.
@@ -42,9 +47,14 @@ from .textarrays import Words, mix, pack, split_sorted, tidy, unpack, window_has
 _MESSAGE = "chunk long, bucket int, hashes binary"
 _ARROW = pa.schema([("chunk", pa.int64()), ("bucket", pa.int32()), ("hashes", pa.binary())])
 _POSITION_BITS = 28
-_SUFFIX = "prefix long, suffix binary, before binary, chunk long, anchor int, windows long, settled boolean"
+_SUFFIX = "prefix long, suffix binary, before binary, chunk long, anchor int, windows long, settled boolean, hot boolean"
+_PASSED = "chunk long, anchor int, repeated long, words binary"
+_PASSED_ARROW = pa.schema([("chunk", pa.int64()), ("anchor", pa.int32()), ("repeated", pa.int64()), ("words", pa.binary())])
 _FOUND = "chunk long, anchor int, repeated long"
-_SORTED_AT_ONCE = 8192
+#: new suffixes of the same leading words that a task holds
+HELD = 8192
+#: leading words of so many chunks are split over tasks
+HOT_CHUNKS = 2048
 
 
 def retained(words: Words, hashes: np.ndarray, at: np.ndarray, length: int, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -95,6 +105,12 @@ def _heard(answers: pa.Table) -> np.ndarray:
     return np.sort(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
 
 
+def _told(answers: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes that are in other chunks too, hot ones)."""
+    hot = pc.less(answers["bucket"], 0)
+    return _heard(answers.filter(pc.invert(hot))), _heard(answers.filter(hot))
+
+
 def _isin(values: np.ndarray, among: np.ndarray) -> np.ndarray:
     if not len(among):
         return np.zeros(len(values), bool)
@@ -106,35 +122,38 @@ def _send_windows(length: int, k: int, n_buckets: int):
     def send(docs: pa.Table, answers: pa.Table) -> pa.Table:
         if not docs.num_rows or not answers.num_rows:
             return _ARROW.empty_table()
-        c = _Chunk(docs.select(["doc_id", "text"]), length, k)
-        extended = _isin(c.prefix[c.anchor], _heard(answers))
-        return _messages(docs["chunk"][0].as_py(), np.unique(c.windows[extended]), n_buckets)
+        c, chunk = _Chunk(docs.select(["doc_id", "text"]), length, k), docs["chunk"][0].as_py()
+        heard, hot = _told(answers)
+        asked = _messages(chunk, np.unique(c.windows[_isin(c.prefix[c.anchor], heard)]), n_buckets)
+        # hot prefixes come back with the answers: a negative bucket leaves them as they are
+        return pa.concat_tables([asked, pa.table([[chunk], [-1 - chunk % n_buckets], [pack(hot)]], schema=_ARROW)]) if len(hot) else asked
 
     return send
 
 
-def _shared(table: pa.Table) -> pa.Table:
-    """One bucket: hashes that are in several chunks, told to all of these."""
-    rows = sorted(table.to_pylist(), key=lambda r: r["chunk"])
-    values = [unpack(r["hashes"]) for r in rows]
-    merged = np.concatenate(values)
-    order = np.argsort(merged, kind="stable")
-    ranked = merged[order]
-    as_before = np.zeros(len(ranked), bool)
-    as_before[1:] = ranked[1:] == ranked[:-1]
-    told = as_before.copy()
-    told[:-1] |= as_before[1:]
-    flags = np.zeros(len(merged), bool)
-    flags[order] = told
-    out, i = {"chunk": [], "bucket": [], "hashes": []}, 0
-    for r, v in zip(rows, values, strict=True):
-        got = v[flags[i : i + len(v)]]
-        i += len(v)
-        if len(got):
-            out["chunk"].append(r["chunk"])
-            out["bucket"].append(r["bucket"])
-            out["hashes"].append(pack(got))
-    return pa.table(out, _ARROW)
+def _shared(hot_chunks: int | None = None):
+    """One bucket: hashes that are in several chunks, told to all of these; with a negative bucket those in `hot_chunks` or more."""
+
+    def share(table: pa.Table) -> pa.Table:
+        if table["bucket"][0].as_py() < 0:
+            return table.select(_ARROW.names)
+        rows = sorted(table.to_pylist(), key=lambda r: r["chunk"])
+        values = [unpack(r["hashes"]) for r in rows]
+        _, place, times = np.unique(np.concatenate(values), return_inverse=True, return_counts=True)
+        times = times[place]  # a chunk sends a hash once
+        out, i = {"chunk": [], "bucket": [], "hashes": []}, 0
+        for r, v in zip(rows, values, strict=True):
+            own = times[i : i + len(v)]
+            i += len(v)
+            hot = v[own >= hot_chunks] if hot_chunks else v[:0]
+            for bucket, got in ((r["bucket"], v[own > 1]), (-1 - r["bucket"], hot)):
+                if len(got):
+                    out["chunk"].append(r["chunk"])
+                    out["bucket"].append(bucket)
+                    out["hashes"].append(pack(got))
+        return pa.table(out, _ARROW)
+
+    return share
 
 
 def _stream(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[bytes, np.ndarray]:
@@ -218,61 +237,153 @@ class _Candidates:
         self.open = shared & ~self.repeated  # new in this chunk, and perhaps in another one too
 
 
-def _send_suffixes(length: int, k: int):
+def _send_suffixes(length: int, k: int, salts: int):
     """Of each chunk what is new in it, as suffixes to sort, and, settled, the windows that repeat within it."""
-    schema = pa.schema([("prefix", pa.int64()), ("suffix", pa.binary()), ("before", pa.binary()), ("chunk", pa.int64()), ("anchor", pa.int32()), ("windows", pa.int64()), ("settled", pa.bool_())])
+    schema = pa.schema(
+        [("prefix", pa.int64()), ("suffix", pa.binary()), ("before", pa.binary()), ("chunk", pa.int64()), ("anchor", pa.int32()), ("windows", pa.int64()), ("settled", pa.bool_()), ("hot", pa.bool_())]
+    )
 
     def send(docs: pa.Table, answers: pa.Table) -> pa.Table:
         if not docs.num_rows:
             return schema.empty_table()
-        c = _Chunk(docs.select(["doc_id", "text"]), length, k)
-        found = _Candidates(c, _isin(c.windows, _heard(answers)), length, k)
+        c, chunk = _Chunk(docs.select(["doc_id", "text"]), length, k), docs["chunk"][0].as_py()
+        heard, hot_prefixes = _told(answers)
+        found = _Candidates(c, _isin(c.windows, heard), length, k)
+        own = mix(np.array([chunk % (1 << 64)], np.uint64))
         out = []
         for windows, settled in ((found.open, False), (found.repeated, True)):
             at = np.flatnonzero(windows)
             anchors, none = found.anchors[at], [b""] * len(at)
             words = (none, none) if settled else contexts(c.words, anchors, windows[at], length, k)
+            hot = np.zeros(len(at), bool) if settled else _isin(c.prefix[anchors], hot_prefixes)
             # settled rows only pass: they are dealt out evenly, whatever their words
-            key = mix(anchors.astype(np.uint64) + np.uint64((docs["chunk"][0].as_py() << 20) % (1 << 64))) if settled else c.prefix[anchors]
-            columns = [key.view(np.int64), *words, np.full(len(at), docs["chunk"][0].as_py()), anchors, windows[at].view(np.int64), np.full(len(at), settled)]
+            key = mix(anchors.astype(np.uint64) + np.uint64((chunk << 20) % (1 << 64))) if settled else c.prefix[anchors]
+            key = np.where(hot, mix(key + own % np.uint64(salts)), key)
+            columns = [key.view(np.int64), *words, np.full(len(at), chunk), anchors, windows[at].view(np.int64), np.full(len(at), settled), hot]
             out.append(pa.table([pa.array(x, f.type) for x, f in zip(columns, schema, strict=True)], schema=schema))
         return pa.concat_tables(out)
 
     return send
 
 
-def _extend(length: int, k: int):
-    """Suffixes sorted by prefix and words: the windows that also begin in an earlier chunk; settled ones pass."""
+def _as_before(columns: list[pa.Array], last: tuple | None) -> np.ndarray:
+    """Which rows equal, in all columns, the row before; `last` stands before the first."""
+    same = np.ones(len(columns[0]), bool)
+    for i, c in enumerate(columns):
+        same[1:] &= pc.equal(c[1:], c[:-1]).to_numpy(zero_copy_only=False)
+        same[:1] &= last is not None and c[0].as_py() == last[i]
+    return same
+
+
+def _seen(same: np.ndarray, windows: np.ndarray, seen: int, length: int, k: int) -> tuple[np.ndarray, int]:
+    """Of each row the windows that rows which equal it had before it, and all that the last row and its equals have.
+
+    seen: those of the row before the first, for rows that equal that one."""
+    group, again, open_ = np.cumsum(~same), np.zeros(len(same), np.uint64), 0
+    for a in range(length - k + 1):
+        bit = np.uint64(1 << a)
+        rows = np.flatnonzero(windows & bit)
+        repeated = np.zeros(len(rows), bool)
+        repeated[1:] = group[rows[1:]] == group[rows[:-1]]
+        if seen >> a & 1:
+            repeated |= group[rows] == 0
+        again[rows[repeated]] |= bit
+        if (group[-1] == 0 and seen >> a & 1) or (len(rows) and group[rows[-1]] == group[-1]):
+            open_ |= 1 << a
+    return again, open_
+
+
+def _passed(chunk: np.ndarray, anchor: np.ndarray, windows: np.ndarray, words: list[bytes] | None = None) -> pa.RecordBatch:
+    """Windows that are known to repeat, or, with their words, some that are to be compared further."""
+    at = np.flatnonzero(windows)
+    given = pa.nulls(len(at), pa.binary()) if words is None else pa.array([words[i] for i in at.tolist()], pa.binary())
+    return pa.record_batch([pa.array(chunk[at], pa.int64()), pa.array(anchor[at], pa.int32()), pa.array(windows[at].view(np.int64)), given], schema=_PASSED_ARROW)
+
+
+def _extend(length: int, k: int, most: int):
+    """Suffixes sorted by prefix, words on both sides and age: the windows that also begin in an earlier chunk; settled ones pass.
+
+    At most `most` new suffixes of one prefix and a batch are in memory."""
 
-    def emit(table: pa.Table) -> pa.RecordBatch:
+    def resolved(table: pa.Table) -> pa.RecordBatch:
         chunk, anchor = (table[c].to_numpy().astype(np.int64) for c in ("chunk", "anchor"))
-        windows, settled = table["windows"].to_numpy().view(np.uint64), table["settled"].to_numpy()
-        at = np.flatnonzero(~settled)
-        age = np.argsort(np.lexsort((anchor[at], chunk[at])))
-        some = table.select(["suffix", "before"]).take(pa.array(at))
-        again = np.where(settled, windows, 0).astype(np.uint64)
-        again[at] = repeated_windows(some["suffix"].to_pylist(), some["before"].to_pylist(), age, windows[at], length, k)
-        at = np.flatnonzero(again)
-        return pa.record_batch([pa.array(chunk[at], pa.int64()), pa.array(anchor[at], pa.int32()), pa.array(again[at].view(np.int64))], names=["chunk", "anchor", "repeated"])
+        windows, age = table["windows"].to_numpy().view(np.uint64), np.empty(table.num_rows, np.int64)
+        age[np.lexsort((anchor, chunk))] = np.arange(table.num_rows)
+        return _passed(chunk, anchor, repeated_windows(table["suffix"].to_pylist(), table["before"].to_pylist(), age, windows, length, k))
+
+    def singly(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        """Each window as a row, with its words: those from the suffix on, and those before it."""
+        chunk, anchor = (table[c].to_numpy().astype(np.int64) for c in ("chunk", "anchor"))
+        windows = table["windows"].to_numpy().view(np.uint64)
+        right, left = ([x.split(b" ") for x in table[c].to_pylist()] for c in ("suffix", "before"))
+        for a in range(length - k + 1):
+            rows = np.flatnonzero(windows & np.uint64(1 << a))
+            if len(rows):
+                words = [b" ".join(right[i][: length - a]) + b"\n" + b" ".join(left[i][:a]) for i in rows.tolist()]
+                yield _passed(chunk[rows], anchor[rows], np.full(len(rows), 1 << a, np.uint64), words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
+        held, n_held, last, seen, passing = [], 0, None, 0, None
         for batch in batches:
-            held.append(batch)
-            if sum(b.num_rows for b in held) >= _SORTED_AT_ONCE:
-                table = pa.Table.from_batches(held)
+            settled = batch["settled"]
+            done = batch.filter(settled)
+            if done.num_rows:
+                yield _passed(done["chunk"].to_numpy(), done["anchor"].to_numpy(), done["windows"].to_numpy().view(np.uint64))
+            batch = batch.filter(pc.invert(settled))
+            if not batch.num_rows:
+                continue
+            windows = batch["windows"].to_numpy().view(np.uint64)
+            same = _as_before([batch[c] for c in ("prefix", "suffix", "before")], last)
+            again, seen = _seen(same, windows, seen, length, k)
+            last = tuple(batch[c][-1].as_py() for c in ("prefix", "suffix", "before"))
+            if again.any():
+                yield _passed(batch["chunk"].to_numpy(), batch["anchor"].to_numpy(), again)
+            fresh = windows & ~again
+            table = pa.Table.from_batches([batch.set_column(batch.schema.get_field_index("windows"), "windows", pa.array(fresh.view(np.int64)))]).filter(pa.array(fresh != 0))
+            alone = table["hot"].to_numpy()
+            if passing is not None:
+                alone = alone | (table["prefix"].to_numpy() == passing)
+            if alone.any():
+                yield from singly(table.filter(pa.array(alone)))
+                table = table.filter(pa.array(~alone))
+            if not table.num_rows:
+                continue
+            held.append(table)
+            n_held += table.num_rows
+            if n_held >= most:
+                table = pa.concat_tables(held)
                 prefix = table["prefix"].to_numpy()
                 cut = int(np.searchsorted(prefix, prefix[-1]))  # suffixes of the last prefix may go on in the next batch
                 if cut:
-                    yield emit(table.slice(0, cut))
-                    held = table.slice(cut).combine_chunks().to_batches()
-        if held:
-            yield emit(pa.Table.from_batches(held))
+                    yield resolved(table.slice(0, cut))
+                rest = table.slice(cut)
+                if rest.num_rows >= most:
+                    passing = int(prefix[-1])
+                    yield from singly(rest)
+                    rest = rest.slice(0, 0)
+                held, n_held = [rest.combine_chunks()], rest.num_rows
+        if n_held:
+            yield resolved(pa.concat_tables(held))
         tidy()
 
     return run
 
 
+def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Windows sorted by words and age: those whose words equal the ones before; what has no words is known to repeat."""
+    last = None
+    for batch in batches:
+        if batch.num_rows:
+            words = batch["words"]
+            keep = words.is_null().to_numpy(zero_copy_only=False)
+            there = np.flatnonzero(~keep)
+            if len(there):
+                words = words.take(pa.array(there))
+                keep[there[_as_before([words], last)]] = True
+                last = (words[-1].as_py(),)
+            yield batch.filter(pa.array(keep)).select(["chunk", "anchor", "repeated"])
+
+
 def _resolve(length: int, k: int, texts: bool):
     def resolve(docs: pa.Table, answers: pa.Table) -> pa.Table:
         docs = ordered(docs)
@@ -324,7 +435,7 @@ _SPANS = StructType(
 )
 
 
-def _plan(docs: DataFrame, length: int, k: int, chunk_bytes: int, texts: bool) -> DataFrame:
+def _plan(docs: DataFrame, length: int, k: int, chunk_bytes: int, texts: bool, held: int, hot_chunks: int) -> DataFrame:
     if not 0 <= length - k <= 62:
         raise ValueError(f"a suffix of {k} words or more lies in at most 63 windows, so {k} <= length <= {k + 62}")
     total = cluster.text_bytes(docs)
@@ -337,23 +448,27 @@ def _plan(docs: DataFrame, length: int, k: int, chunk_bytes: int, texts: bool) -
         schema = StructType([chunks.schema["row"], StructField("text", StringType()), StructField("n_removed", LongType())])
     by_chunk = chunks.groupBy("chunk")
     prefixes = by_chunk.applyInArrow(_send_prefixes(length, k, n_buckets), _MESSAGE)
-    shared = prefixes.groupBy("bucket").applyInArrow(_shared, _MESSAGE)
+    shared = prefixes.groupBy("bucket").applyInArrow(_shared(hot_chunks), _MESSAGE)
     windows = chunks.groupBy("chunk").cogroup(shared.groupBy("chunk")).applyInArrow(_send_windows(length, k, n_buckets), _MESSAGE)
-    candidates = windows.groupBy("bucket").applyInArrow(_shared, _MESSAGE)
-    suffixes = chunks.groupBy("chunk").cogroup(candidates.groupBy("chunk")).applyInArrow(_send_suffixes(length, k), _SUFFIX)
-    ordered = suffixes.repartition("prefix").sortWithinPartitions("prefix", "suffix")
-    repeated = ordered.mapInArrow(_extend(length, k), _FOUND)
+    candidates = windows.groupBy("bucket").applyInArrow(_shared(), _MESSAGE)
+    salts = math.ceil(total / chunk_bytes / hot_chunks) + 1
+    suffixes = chunks.groupBy("chunk").cogroup(candidates.groupBy("chunk")).applyInArrow(_send_suffixes(length, k, salts), _SUFFIX)
+    ordered = suffixes.repartition("prefix").sortWithinPartitions("prefix", "suffix", "before", "chunk", "anchor")
+    passed = ordered.mapInArrow(_extend(length, k, held), _PASSED)
+    # equal words meet in one task; what is known already is dealt out evenly
+    met = passed.repartition(F.xxhash64("words", F.when(F.col("words").isNull(), F.struct("chunk", "anchor"))))
+    repeated = met.sortWithinPartitions("words", "chunk", "anchor").mapInArrow(_compare, _FOUND)
     return chunks.groupBy("chunk").cogroup(repeated.groupBy("chunk")).applyInArrow(_resolve(length, k, texts), schema)
 
 
-def repeated_passages(docs: DataFrame, length: int = 50, k: int = 16, chunk_bytes: int = 2 << 20) -> DataFrame:
+def repeated_passages(docs: DataFrame, length: int = 50, k: int = 16, chunk_bytes: int = 2 << 20, held: int = HELD, hot_chunks: int = HOT_CHUNKS) -> DataFrame:
     """One row per document: doc_id, n_words, n_removed, spans (word ranges that go), kept_sha256."""
-    return _plan(docs, length, k, chunk_bytes, texts=False)
+    return _plan(docs, length, k, chunk_bytes, False, held, hot_chunks)
 
 
-def without_repeats(docs: DataFrame, length: int = 50, k: int = 16, chunk_bytes: int = 2 << 20) -> DataFrame:
+def without_repeats(docs: DataFrame, length: int = 50, k: int = 16, chunk_bytes: int = 2 << 20, held: int = HELD, hot_chunks: int = HOT_CHUNKS) -> DataFrame:
     """The documents with repeated passages cut out of `text`; n_chars, where there is one, follows the text."""
-    out = _plan(docs, length, k, chunk_bytes, texts=True)
+    out = _plan(docs, length, k, chunk_bytes, True, held, hot_chunks)
     columns = []
     for c in docs.columns:
         if c == "text":

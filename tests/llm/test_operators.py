@@ -201,6 +201,44 @@ def test_equal_hashes_of_different_words_do_not_match(spark, monkeypatch):
     assert sum(int(x).bit_count() for x in found.repeated) == 21
 
 
+@pytest.mark.parametrize(("held", "hot_chunks"), [(1, 1000), (7, 3), (10_000, 1), (10_000, 2)])
+def test_suffixes_of_hot_words_give_the_same(spark, held, hot_chunks):
+    """Held or passed on window by window, split over tasks or not: the same words go."""
+    rows = h.corpus()
+    want = sorted((d or 0, len(w), sum(g)) for d, w, g in h.removed(rows, 20))
+    got = suffix_dedup.repeated_passages(h.frame(spark), 20, 6, 3000, held, hot_chunks).collect()
+    assert sorted((r.doc_id or 0, r.n_words, r.n_removed) for r in got) == want
+
+
+@pytest.mark.parametrize("different", [1, 5, 40_000])
+def test_suffixes_are_a_stream(different):
+    """160,000 suffixes of one prefix: memory does not grow with them, and each window but the first of its words repeats."""
+    n, step, length, k = 160_000, 4000, 10, 4
+    one = [" ".join(f"w{(0 if j < k else i)}x{j}" for j in range(length)) + " " for i in range(different)]
+    most = 0
+
+    def batches():
+        per = n // different
+        for low in range(0, n, step):
+            at = np.arange(low, low + step)
+            columns = [np.full(step, 7), [one[i // per].encode() for i in at.tolist()], [b""] * step, at, np.zeros(step, int), np.ones(step, int), np.zeros(step, bool), np.zeros(step, bool)]
+            names = ["prefix", "suffix", "before", "chunk", "anchor", "windows", "settled", "hot"]
+            kinds = [pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.bool_()]
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)
+
+    one.sort()
+    began, out = pa.total_allocated_bytes(), []
+    for b in suffix_dedup._extend(length, k, 1000)(batches()):
+        most = max(most, pa.total_allocated_bytes() - began)
+        out += zip(b["words"].to_pylist(), b["chunk"].to_pylist(), strict=True)
+    assert most < 8 << 20
+    out.sort(key=lambda x: (x[0] or b"", x[1]))
+    met = pa.record_batch([pa.array([x[i] for x in out], t) for i, t in ((1, pa.int64()), (0, pa.binary()))], names=["chunk", "words"])
+    met = met.append_column("anchor", pa.array(np.zeros(len(out)), pa.int32())).append_column("repeated", pa.array(np.ones(len(out)), pa.int64()))
+    got = {c for b in suffix_dedup._compare(iter([met])) for c in b["chunk"].to_pylist()}
+    assert got == {i for i in range(n) if i % (n // different)}
+
+
 def test_suffixes_are_sorted_by_spark(spark):
     plan = suffix_dedup.repeated_passages(h.frame(spark))._jdf.queryExecution().executedPlan().toString()
     assert "prefix#" in plan and any("Sort [prefix#" in x and "suffix#" in x for x in plan.splitlines())
