@@ -4,8 +4,8 @@ Documents arrive in batches of ascending doc_id.  The index is a set of immutabl
 each bucket of the hash space, the sorted distinct fingerprints of all windows of one or more earlier batches.
 A batch is cut into chunks of consecutive ids.  Each chunk sends its sorted distinct window fingerprints to
 the buckets, a bucket merges them with its part of every run, and answers each chunk with one bit per
-fingerprint: seen before, or not.  What no run holds becomes the batch's own run; once `fan_in` runs exist they are
-merged into one.  A window is a window of `size` words.  Its fingerprint is a 64-bit hash, by which runs are sorted and
+fingerprint: seen before, or not.  What no run holds becomes the batch's own run, of level 0; `fan_in` runs of one level
+are merged into one of the next, so that a fingerprint is rewritten once a level, which is log(batches) to the base `fan_in` times.  A window is a window of `size` words.  Its fingerprint is a 64-bit hash, by which runs are sorted and
 merged, and a 16-bit check that verifies it: a hash of the same words that is made of their bytes independently of the first.
 Windows count as equal, within a chunk, across chunks and in runs, only if both agree; those that agree in the hash alone
 stand side by side.
@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -209,7 +210,7 @@ class SubstringIndex:
     def __init__(self, spark: SparkSession, path: str | None = None, size: int = 20, n_buckets: int = 64, fan_in: int = 3, chunk_bytes: int = 2 << 20):
         self.spark, self.size, self.n_buckets, self.fan_in, self.chunk_bytes = spark, size, n_buckets, fan_in, chunk_bytes
         self.path = path or cluster.scratch(spark, "substring-index")
-        self.runs: list[str] = []
+        self.runs: list[tuple[int, str]] = []  # level, folder
         self._made = 0
 
     _RUN = "bucket int, part int, hashes binary, checks binary"
@@ -217,7 +218,10 @@ class SubstringIndex:
     def _history(self) -> DataFrame:
         if not self.runs:
             return self.spark.createDataFrame([], self._RUN)
-        return self.spark.read.schema(self._RUN).parquet(*self.runs)
+        return self._read(self.runs)
+
+    def _read(self, runs: list[tuple[int, str]]) -> DataFrame:
+        return self.spark.read.schema(self._RUN).parquet(*[path for _, path in runs])
 
     def dedup(self, docs: DataFrame, keep_run: bool = True, total_bytes: int | None = None) -> DataFrame:
         """One row per document: doc_id, n_words, n_removed, kept_sha256.  Adds the batch to the index if keep_run."""
@@ -232,9 +236,9 @@ class SubstringIndex:
             merged = ordered_.mapInArrow(_merge(keep_run, self.n_buckets), _MERGED)
             both = chunks.groupBy("chunk").cogroup(merged.groupBy("chunk")).applyInArrow(_resolve(self.size, self.n_buckets), "run boolean, " + _RESULT + ", " + self._RUN)
             both.write.partitionBy("run").parquet(out)
-        if keep_run:
-            self.runs.append(f"{out}/run=true")
-            if len(self.runs) >= self.fan_in:
+        if keep_run and self._has(f"{out}/run=true"):
+            self.runs.append((0, f"{out}/run=true"))
+            if self._full() is not None:
                 self.compact()
         return self.spark.read.schema(_RESULT).parquet(f"{out}/run=false") if self._has(f"{out}/run=false") else self.spark.createDataFrame([], _RESULT)
 
@@ -242,37 +246,62 @@ class SubstringIndex:
         p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(p)
 
+    def _full(self) -> int | None:
+        """The lowest level with `fan_in` runs."""
+        times = Counter(level for level, _ in self.runs)
+        return min((level for level, n in times.items() if n >= self.fan_in), default=None)
+
     def compact(self) -> None:
-        """Merge all runs into one, then drop the old ones."""
-        self.runs = [r for r in self.runs if self._has(r)]
-        if len(self.runs) > 1:
-            path = f"{self.path}/compacted-{self._made:06d}"
+        """Merge the runs of each full level into one of the next, then drop the merged ones."""
+        while (level := self._full()) is not None:
+            merged = [r for r in self.runs if r[0] == level]
+            path = f"{self.path}/compacted-{self._made:06d}-{level + 1}"
             with cluster.shuffles_end_with_query(self.spark):
-                self._history().groupBy("bucket", "part").applyInArrow(_compact, self._RUN).write.parquet(path)
-            for r in self.runs:
-                cluster.remove(self.spark, r)
-            self.runs = [path]
+                self._read(merged).groupBy("bucket", "part").applyInArrow(_compact, self._RUN).write.parquet(path)
+            self.runs = [*(r for r in self.runs if r[0] != level), (level + 1, path)]
+            for _, old in merged:
+                cluster.remove(self.spark, old)
 
     def drop_runs(self) -> None:
-        for r in self.runs:
-            cluster.remove(self.spark, r)
+        for _, path in self.runs:
+            cluster.remove(self.spark, path)
         self.runs = []
 
 
+def batches_of(docs: DataFrame, n: int) -> list[tuple[int, int]]:
+    """(least id, bytes of text) of at most n batches of ascending ids; the first takes all smaller ids too.
+
+    A batch has about 1/n of rows and bytes, halved and added, so neither many rows nor long texts make it more than about twice as large, but for a range more.  Sizes of 16 ranges
+    a batch are gathered; an id is never cut, so one that holds more than a batch is a larger one."""
+    key = cluster.id_order(F.col("doc_id"))
+    fine = cluster.id_bounds(docs, 16 * n)
+    sized = docs.groupBy(cluster.range_of(key, fine).alias("range")).agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).alias("bytes"), F.count("*").alias("rows"))
+    sizes = {r["range"]: (r["bytes"], r["rows"]) for r in sized.collect()}
+    n_bytes, n_rows = (max(1, sum(x[i] for x in sizes.values())) for i in (0, 1))
+    out, before = [], 0.0
+    for i, low in enumerate(fine):
+        more, rows = sizes.get(i, (0, 0))
+        if not out or (len(out) < n and before >= len(out) / n):
+            out.append([low, 0])
+        out[-1][1] += more
+        before += (more / n_bytes + rows / n_rows) / 2
+    return [tuple(x) for x in out]
+
+
 def dedup_documents(docs: DataFrame, size: int = 20, batch_bytes: int = 64 << 30, least_batches: int = 4) -> DataFrame:
-    """Dedup a whole table: batches of ascending ids, four at least, through one index, which is dropped at the end.
+    """Dedup a whole table: batches of ascending ids, four where there are ids enough, through one index, which is dropped at the end.
 
     The batches before the last leave runs, `fan_in` of which are compacted, as they are where batches arrive over time."""
     spark = docs.sparkSession
     total = cluster.text_bytes(docs)
-    bounds = cluster.id_bounds(docs, max(least_batches, math.ceil(total / batch_bytes)))
-    per_batch = total / len(bounds)
-    index = SubstringIndex(spark, size=size, n_buckets=max(8, math.ceil(per_batch / (6 << 20))))
+    batches = batches_of(docs, max(least_batches, math.ceil(total / batch_bytes)))
+    index = SubstringIndex(spark, size=size, n_buckets=max(8, math.ceil(max(n for _, n in batches) / (6 << 20))))
     key, out = cluster.id_order(F.col("doc_id")), None
-    for i, low in enumerate(bounds):
-        last = i + 1 == len(bounds)
-        batch = docs.filter((key >= low) if last else (key >= low) & (key < bounds[i + 1])) if i else docs.filter(key < bounds[1]) if not last else docs
-        part = index.dedup(batch, keep_run=not last, total_bytes=math.ceil(per_batch))
+    for i, (low, n_bytes) in enumerate(batches):
+        last = i + 1 == len(batches)
+        batch = docs if i == 0 else docs.filter(key >= low)
+        batch = batch if last else batch.filter(key < batches[i + 1][0])
+        part = index.dedup(batch, keep_run=not last, total_bytes=n_bytes)
         out = part if out is None else out.unionByName(part)
     index.drop_runs()
     return out
