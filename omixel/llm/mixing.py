@@ -1,8 +1,8 @@
 """Mixing sources to target weights.
 
 The tokens (words) of each source are summed, targets follow from weights, and a source is repeated at
-rate = target / size: each document floor(rate) times, plus one more copy where a hash of seed and
-doc_id falls below the fraction of the rate.
+rate = target / size: each document floor(rate) times, plus one more copy where a hash of seed,
+doc_id and text falls below the fraction of the rate.
 
 Targets share `share` times all tokens by weight; none exceeds `most` times its source's size, and what
 is over goes to the others by weight until none is above.  That fixed point is target = min(cap, level * weight),
@@ -13,7 +13,7 @@ The sources' table is broadcast while it has at most BROADCAST_SOURCES rows; bey
 Spark, which splits hot sources.
 
 Defined results: a null text has no words; a null source is a source of its own and comes last; rows that share
-a doc_id share the draw; sources without words get no target; columns of docs stay as they
+doc_id and text share the draw, others do not, so a source without ids comes near its target too; sources without words get no target; columns of docs stay as they
 are: a new column of a name that docs has gets an underscore more; an empty table gives an empty result; reruns agree.
 """
 
@@ -53,9 +53,9 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: flo
     )
 
 
-def _draw(doc_id: Column, seed: int) -> Column:
-    """Uniform on [0, 1): 52 bits of a hash of seed and id."""
-    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("null"))))
+def _draw(doc_id: Column, text_md5: Column, seed: int) -> Column:
+    """Uniform on [0, 1): 52 bits of a hash of seed, id and text."""
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("null")), F.lit(":"), text_md5))
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
 
 
@@ -65,13 +65,13 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float =
     size: a document's size, where docs has it; by default its words are counted."""
     spark = docs.sparkSession
     size = n_words(F.col("text")) if size is None else size
-    rows = docs.select(cluster.as_row(docs), F.col("source").cast("string").alias("source"), size.alias("__size"), F.col("doc_id").alias("doc_id"))
+    rows = docs.select(cluster.as_row(docs), F.col("source").cast("string").alias("source"), size.alias("__size"), F.col("doc_id").alias("doc_id"), F.coalesce(F.md5("text"), F.lit("null")).alias("text_md5"))
     sizes = rows.groupBy("source").agg(F.sum("__size").alias("size"))
     plan = cluster.written(targets(sizes, weights, share, most), "mix-targets").withColumnsRenamed({"source": "key", "source_size": "__source_size", "target": "__target"})
     if plan.count() <= BROADCAST_SOURCES:
         plan = F.broadcast(plan)
     rate = F.when(F.col("__source_size") > 0, F.col("__target") / F.col("__source_size")).otherwise(F.lit(0.0))
-    copies = F.floor("__rate") + (_draw(F.col("doc_id"), seed) < F.col("__rate") - F.floor("__rate")).cast("long")
+    copies = F.floor("__rate") + (_draw(F.col("doc_id"), F.col("text_md5"), seed) < F.col("__rate") - F.floor("__rate")).cast("long")
     mixed = rows.join(plan, F.col("source").eqNullSafe(F.col("key")), "left").withColumn("__rate", rate).withColumn("__copies", copies)
     return mixed.select(*cluster.of_row(docs), *[F.col(c).alias(cluster.free_name(docs.columns, c)) for c in _NAMES])
 
@@ -85,7 +85,7 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
 
 
 ORACLE_SQL = r"""
-with s as (select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size from documents),
+with s as (select doc_id, source, coalesce(md5(text), 'null') as text_md5, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size from documents),
 g as (select source, sum(size)::bigint as size from s group by source),
 r as (select *, row_number() over (order by source collate "binary" asc nulls last) - 1 as rank from g),
 w as (select *, case rank % 3 when 0 then 3.0::double when 1 then 1.0::double else 2.0::double end as weight, 2.0::double * size as cap from r),
@@ -95,7 +95,7 @@ c as (select *, sum(cap) over (order by ratio, rank rows unbounded preceding) -
 l as (select *, (total - capped) / open as level from c),
 t as (select source, size as source_size, least(cap, (select arg_min(level, ratio * 1e6 + rank) from l where level <= ratio) * weight) as target from l),
 d as (select s.doc_id, s.size, t.source_size, t.target, case when t.source_size > 0 then t.target / t.source_size else 0.0::double end as rate,
-  ('0x' || substr(md5('7:' || coalesce(s.doc_id::varchar, 'null')), 1, 13))::bigint / 4503599627370496.0::double as draw
+  ('0x' || substr(md5('7:' || coalesce(s.doc_id::varchar, 'null') || ':' || s.text_md5), 1, 13))::bigint / 4503599627370496.0::double as draw
   from s join t on s.source is not distinct from t.source)
 select doc_id, size, source_size, target, (size * (floor(rate)::bigint + case when draw < rate - floor(rate) then 1 else 0 end))::bigint as taken from d
 """
