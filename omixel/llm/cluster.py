@@ -8,6 +8,7 @@ import math
 import re
 import shutil
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
 
@@ -22,8 +23,12 @@ _LAST = (1 << 63) - 1
 #: bytes of text in a range of ids, which one task sorts
 RANGE_BYTES = 256 << 20
 _SEQUENCE_BITS = 24
-#: folders to remove, for each `temporary` that is open
-_open: list[list[str]] = []
+#: of each thread the folders to remove, for each `temporary` that is open: jobs of two threads never remove each other's
+_here = threading.local()
+
+
+def _open() -> list[list[str]]:
+    return _here.__dict__.setdefault("open", [])
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -45,7 +50,7 @@ def shared_dir(spark: SparkSession) -> str:
 def scratch(spark: SparkSession, name: str, lasting: bool = False) -> str:
     """A new folder name below the shared folder; lasting: it outlives the innermost `temporary`."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    levels = _open[:-1] if lasting else _open
+    levels = _open()[:-1] if lasting else _open()
     if levels:
         levels[-1].append(path)
     return path
@@ -54,11 +59,11 @@ def scratch(spark: SparkSession, name: str, lasting: bool = False) -> str:
 @contextlib.contextmanager
 def temporary(spark: SparkSession):
     """Removes, at the end, what is written inside, but for what is lasting."""
-    _open.append([])
+    _open().append([])
     try:
         yield
     finally:
-        for path in _open.pop():
+        for path in _open().pop():
             remove(spark, path)
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import math
 import random
+import threading
 import zlib
 from collections import Counter, defaultdict
 
@@ -82,9 +83,9 @@ def test_substring_index(spark, chunk):
     rows = h.corpus()
     index = substring_index.SubstringIndex(spark, size=20, n_buckets=5, fan_in=2, chunk_bytes=chunk)
     df, out = h.frame(spark), []
-    for low, high in ((-1, 20), (21, 60), (61, 1 << 62)):  # three batches: a run, two runs merged, and a last one
+    for low, high in ((-1, 20), (21, 60), (61, 1 << 62)):  # three batches: a run, two runs merged, and one of a lower level
         out += index.dedup(df.filter(f"doc_id between {low} and {high}" + (" or doc_id is null" if high > 60 else ""))).collect()
-    assert len(index.runs) == 1
+    assert [level for level, _ in index.runs] == [1, 0]
     want = [(d, len(w), sum(g), hashlib.sha256(" ".join(x for x, gone in zip(w, g, strict=True) if not gone).encode()).hexdigest()) for d, w, g in h.removed(rows, 20)]
     key = lambda r: (r[0] is None, r[0] or 0, r[1:])
     assert sorted(map(tuple, out), key=key) == sorted(want, key=key)
@@ -114,6 +115,48 @@ def test_colliding_hashes_are_told_apart_by_the_check(monkeypatch):
     assert sum(len(unpack(t["hashes"][0].as_py())) for t in merged) == len({tuple(t.split()[i : i + 6]) for t in texts for i in range(35)})
 
 
+def test_a_window_is_rewritten_once_a_level(spark, monkeypatch):
+    """40 batches: nothing is merged more often than log3(40), and few runs are left."""
+    index, rewritten = substring_index.SubstringIndex(spark, fan_in=3), Counter()
+    holds = {}
+
+    class Reader:
+        def __init__(self, runs):
+            self.ids = [i for _, path in runs for i in holds[path]]
+            rewritten.update(self.ids)
+
+        def groupBy(self, *_):  # noqa: N802
+            return self
+
+        def applyInArrow(self, *_):  # noqa: N802
+            return self
+
+        @property
+        def write(self):
+            return self
+
+        def parquet(self, path):
+            holds[path] = self.ids
+
+    monkeypatch.setattr(substring_index.SubstringIndex, "_read", lambda self, runs: Reader(runs))
+    monkeypatch.setattr(cluster, "remove", lambda spark, path: holds.pop(path))
+    for i in range(40):
+        holds[f"batch-{i}"] = [i]
+        index.runs.append((0, f"batch-{i}"))
+        index._made += 1
+        index.compact()
+    assert sorted(i for x in holds.values() for i in x) == list(range(40)) and len(holds) <= 8
+    assert max(rewritten.values()) == 3 and {path for _, path in index.runs} == set(holds)
+
+
+def test_batches_are_cut_by_bytes_and_rows(spark):
+    rows = [(i, "long " * (1000 if i < 20 else 1), "en", "s", 0, 0, "k") for i in range(400)]
+    got = substring_index.batches_of(h.frame(spark, rows), 4)
+    assert len(got) == 4 and sum(n for _, n in got) == sum(len(r[1]) for r in rows)
+    assert got[0][0] == 0 and max(n for _, n in got) <= 2 * sum(n for _, n in got) / 4 + 7 * 5000  # a range has 7 ids at most
+    assert substring_index.batches_of(h.frame(spark, []), 4) == [(0, 0)]
+
+
 def test_the_index_is_compacted_in_the_query(spark, monkeypatch):
     made = []
     compact = substring_index.SubstringIndex.compact
@@ -831,3 +874,26 @@ def test_step_groups_are_full_until_the_last_block():
     assert Counter(first) == Counter({None: 5 + 2, 4096: 16, 512: 128})
     then = packing._step_groups([w for w, g in zip(windows, first, strict=True) if g is None], 1 << 16, counters, last=True)
     assert Counter(then) == Counter({1 << 13 | 4096: 5, 1 << 13 | 512: 2})
+
+
+def test_a_source_without_ids_comes_near_its_target(spark):
+    """Rows of no id or of one id draw apart by their texts; rows that are the same draw alike."""
+    rows = [(None if i % 3 else 5, f"{i} a few words", "en", f"s{i % 2}", 0, 0, "k") for i in range(2000)] + [(5, "the same", "en", "s0", 0, 0, "k")] * 3
+    got = mixing.mix(h.frame(spark, rows)).collect()
+    for source in ("s0", "s1"):
+        own = [r for r in got if r.source == source]
+        assert sum(r["__size"] * r["__copies"] for r in own) == pytest.approx(own[0]["__target"], rel=0.1)
+    assert len({r["__copies"] for r in got if r.text == "the same"}) == 1
+
+
+def test_scopes_belong_to_threads(spark):
+    def other():
+        with cluster.temporary(spark):
+            cluster.scratch(spark, "other")
+
+    with cluster.temporary(spark):
+        path = cluster.scratch(spark, "own")
+        thread = threading.Thread(target=other)
+        thread.start()
+        thread.join()
+        assert cluster._open() == [[path]]
