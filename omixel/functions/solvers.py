@@ -246,57 +246,101 @@ class Forest:
         return np.mean([walk(t, np.arange(len(x))) for t in self.trees], 0)
 
 
-def regression_tree(x: np.ndarray, y: np.ndarray, rng: np.random.Generator, least: int = 2, features: int | None = None, depth: int = 12):
-    if len(y) < 2 * least or depth == 0 or np.ptp(y) == 0:
-        return float(y.mean())
-    best, parent = (1e-12, None, None), y.sum() ** 2 / len(y)
-    for f in rng.permutation(x.shape[1])[: features or x.shape[1]]:
-        order = np.argsort(x[:, f], kind="stable")
-        v, s = x[order, f], np.cumsum(y[order])
-        n = np.arange(1, len(y))
-        ok = (v[1:] > v[:-1]) & (n >= least) & (len(y) - n >= least)
-        if ok.any():
-            gain = np.where(ok, s[:-1] ** 2 / n + (s[-1] - s[:-1]) ** 2 / (len(y) - n) - parent, -np.inf)
-            i = int(gain.argmax())
-            if gain[i] > best[0]:
-                best = (gain[i], f, (v[i] + v[i + 1]) / 2)
-    _, f, at = best
-    if f is None:
-        return float(y.mean())
-    left = x[:, f] <= at
-    return f, at, regression_tree(x[left], y[left], rng, least, features, depth - 1), regression_tree(x[~left], y[~left], rng, least, features, depth - 1)
-
-
-def tree_values(tree, x: np.ndarray) -> np.ndarray:
-    if not isinstance(tree, tuple):
-        return np.full(len(x), tree)
-    f, at, low, high = tree
-    left = x[:, f] <= at
-    out = np.empty(len(x))
-    out[left], out[~left] = tree_values(low, x[left]), tree_values(high, x[~left])
-    return out
-
-
-def chained_forest_impute(x: np.ndarray, trees: int = 100, rounds: int = 10, least: int = 2, seed: int = 42, tolerance: float = 1e-3) -> np.ndarray:
-    """Missing cells (NaN) by forests of each feature on the others, features of fewest gaps first, until they settle."""
-    out, gaps = x.copy(), np.isnan(x)
-    medians = np.array([np.median(c[~np.isnan(c)]) if (~np.isnan(c)).any() else 0.0 for c in x.T])
-    out[gaps] = np.broadcast_to(medians, x.shape)[gaps]
-    order = [f for f in np.argsort(gaps.sum(0), kind="stable") if gaps[:, f].any() and not gaps[:, f].all()]
-    rng = np.random.default_rng(seed)
-    for _ in range(rounds):
-        before = out.copy()
-        for f in order:
-            others, rows = np.delete(out, f, 1), ~gaps[:, f]
-            n = int(rows.sum())
-            found = np.zeros(int(gaps[:, f].sum()))
-            for _ in range(trees):
-                pick = rng.integers(0, n, n)
-                found += tree_values(regression_tree(others[rows][pick], out[rows, f][pick], rng, least, max(1, int(np.sqrt(others.shape[1])))), others[~rows])
-            out[~rows, f] = found / trees
-        if np.abs(out - before)[gaps].max(initial=0.0) < tolerance * max(1e-12, np.abs(out[~gaps]).max(initial=1.0)):
-            break
-    return out
+#: gains that differ by less are equal
+EQUAL = 1e-9
+
+
+class Cuts:
+    """Where columns can be cut in two: for each cut its column and which rows lie below.
+
+    A column has a cut between any two neighbouring values; of more than `bins` those at evenly spaced ranks."""
+
+    def __init__(self, x: np.ndarray, bins: int = 255):
+        n = len(x)
+        order = np.argsort(x, 0, kind="stable")
+        rank = np.empty_like(order)
+        np.put_along_axis(rank, order, np.broadcast_to(np.arange(n)[:, None], x.shape), 0)
+        v = np.take_along_axis(x, order, 0)
+        column, below = [], []
+        for f in range(x.shape[1]):
+            at = np.flatnonzero(v[1:, f] > v[:-1, f]) + 1
+            if len(at) > bins:
+                at = at[np.linspace(0, len(at) - 1, bins).astype(int)]
+            column.append(np.full(len(at), f))
+            below.append(rank[:, f] < at[:, None])
+        self.column = np.concatenate(column) if column else np.zeros(0, int)
+        self.below = np.concatenate(below) if below else np.zeros((0, n), bool)
+
+
+class RegressionForest:
+    """Regression trees on bootstraps of the rows where y is known, all grown by one level at a time; no bound on depth.
+
+    place: of each tree and row the node it is in; ~node where the node is a leaf.  A bootstrap is a weight of each row; a leaf has `least` rows of it."""
+
+    STRIP = 1024
+
+    def __init__(self, y: np.ndarray, trees: int, seed: list[int], least: int = 2, place: np.ndarray | None = None):
+        self.known, self.least = ~np.isnan(y), least
+        self.y, n = np.where(self.known, y, 0.0), int(self.known.sum())
+        self.weights = np.zeros((trees, len(y)))
+        self.weights[:, self.known] = np.random.default_rng(seed).multinomial(n, np.full(n, 1 / n), trees)
+        self.place = np.zeros((trees, len(y)), np.int32) if place is None else place.reshape(trees, len(y)).copy()
+
+    def nodes(self) -> tuple[np.ndarray, np.ndarray]:
+        """(tree, node) of the nodes that are no leaves yet, in order."""
+        tree, row = np.nonzero(self.place >= 0)
+        width = int(self.place.max(initial=0)) + 1
+        return np.divmod(np.unique(tree * width + self.place[tree, row]), width)
+
+    def search(self, cuts: Cuts, own: int = -1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each open node the best gain, as a share of its squares that the cut explains (0: none), the rows below that cut, and its column; of equal ones the first.
+
+        Column `own` is left out."""
+        tree, node = self.nodes()
+        inside = (self.place[tree] == node[:, None]) & (self.weights[tree] > 0)
+        w = np.where(inside, self.weights[tree], 0.0).T
+        count, total = inside.T.astype(float), w.sum(0)
+        rows, apart = count.sum(0), self.y[:, None] - self.y @ w / total
+        s, squares = w * apart, (w * apart**2).sum(0)
+        squares[squares <= 1e-24 * (self.y**2 @ w)] = np.inf  # all the same
+        best, at = np.zeros(len(tree)), np.full(len(tree), -1)
+        usable = np.flatnonzero(cuts.column != own)
+        for i in range(0, len(usable), self.STRIP):
+            strip = usable[i : i + self.STRIP]
+            low = cuts.below[strip].astype(float)
+            n_low, w_low, s_low = low @ count, low @ w, low @ s
+            with np.errstate(divide="ignore", invalid="ignore"):
+                gain = s_low**2 * (1 / w_low + 1 / (total - w_low)) / squares  # what is apart adds up to none
+            gain[(n_low < self.least) | (rows - n_low < self.least)] = 0.0
+            found = gain.max(0)
+            top = (gain >= found - EQUAL).argmax(0)
+            better = found > best + EQUAL
+            best[better], at[better] = found[better], strip[top[better]]
+        if not len(usable):
+            return best, np.zeros((len(tree), len(self.y)), bool), at
+        return best, cuts.below[at], cuts.column[at]
+
+    def cut(self, gain: np.ndarray, below: np.ndarray) -> None:
+        """Cut the open nodes; those without a gain become leaves."""
+        tree, node = self.nodes()
+        here = self.place[tree] == node[:, None]
+        fresh = int(np.where(self.place < 0, ~self.place, self.place).max(initial=0)) + 1
+        low = fresh + 2 * np.arange(len(tree), dtype=np.int32)
+        to = np.where(gain[:, None] > 0, np.where(below, low[:, None], low[:, None] + 1), ~node[:, None])
+        k, row = np.nonzero(here)
+        self.place[tree[k], row] = to[k, row]
+
+    def grow(self, cuts: Cuts, own: int = -1) -> None:
+        while (self.place >= 0).any():
+            self.cut(*self.search(cuts, own)[:2])
+
+    def values(self) -> np.ndarray:
+        """The mean over trees of the leaf that each row is in."""
+        out = np.zeros(len(self.y))
+        for place, w in zip(~self.place, self.weights, strict=True):
+            leaf = np.unique(place, return_inverse=True)[1]
+            out += (np.bincount(leaf, w * self.y) / np.bincount(leaf, w))[leaf]
+        return out / len(self.place)
 
 
 def ledoit_wolf(x: np.ndarray) -> tuple[np.ndarray, float]:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 from statistics import NormalDist
 
@@ -11,12 +10,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.solvers import chained_forest_impute
+from ..functions.solvers import EQUAL, Cuts, RegressionForest
+from ..storage import stored
 from .order import quantiles
 
-#: features that one chained imputation takes together
-MOST_FEATURES = 2_000
-
 
 def tail_parameters(matrix: DataFrame, least: int = 3) -> DataFrame:
     """feature, mu, sigma, lower, upper of the truncated normal that missing values are drawn from.
@@ -50,25 +47,114 @@ def tail_draws(missing: DataFrame, parameters: DataFrame, seed: int = 42) -> Dat
     return cells.mapInPandas(_draw, schema)
 
 
-def chained_forests(matrix: DataFrame, samples: DataFrame, trees: int = 100, rounds: int = 10, seed: int = 42, block: int = 200) -> DataFrame:
-    """sample_id, feature, imputed of every missing cell.  Features are imputed in blocks of a hash, each in a task of its own.
+def _found(n_blocks: int, trees: int, seed: int, round_: int):
+    """One block of targets and one of predictors: the best cut of each open node within that block; of the only block, whole trees."""
 
-    Within a block every feature helps to predict the others, complete ones too."""
-    if block > MOST_FEATURES:
-        raise ValueError(f"a block has {MOST_FEATURES} features at most")
-    n_blocks = max(1, -(-matrix.select("feature").distinct().count() // block))
+    def search(targets: pd.DataFrame, predictors: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(targets):
+            keys, x = np.zeros(0, np.int64), np.zeros((len(targets["value"].iloc[0]), 0))
+            if len(predictors):  # a block may have no feature
+                predictors = predictors.sort_values("column")
+                keys, x = predictors["column"].to_numpy(np.int64), np.array(predictors["values"].to_list(), float).T
+            cuts, at = Cuts(x), {k: i for i, k in enumerate(keys.tolist())}
+            for t in targets.itertuples():
+                forest = _forest(t, trees, seed, round_)
+                own = at.get(t.key, -1)
+                if n_blocks == 1:
+                    forest.grow(cuts, own)
+                    out.append((t.key, b"", b"", b"", forest.place.tobytes()))
+                else:
+                    gain, below, column = forest.search(cuts, own)
+                    columns = keys[column] if len(keys) else column.astype(np.int64)
+                    out.append((t.key, gain.tobytes(), columns.tobytes(), np.packbits(below, axis=1).tobytes(), b""))
+        return pd.DataFrame(out, columns=["key", "gain", "column", "below", "place"])
+
+    return search
+
+
+def _forest(t, trees: int, seed: int, round_: int) -> RegressionForest:
+    place = np.frombuffer(t.place, np.int32) if t.place else None
+    return RegressionForest(np.array(t.value, float), trees, [seed, round_, t.key % (1 << 63)], place=place)
+
+
+def _applied(trees: int, seed: int, round_: int):
+    """One target: its forest cut where the best of all blocks is."""
+
+    def apply(targets: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
+        t = next(targets.itertuples())
+        forest = _forest(t, trees, seed, round_)
+        if found["place"].iloc[0]:
+            place = found["place"].iloc[0]
+        else:
+            if (forest.place >= 0).any():
+                gains, columns = (np.stack([np.frombuffer(g, kind) for g in found[c]]) for c, kind in (("gain", float), ("column", np.int64)))
+                bits = np.stack([np.frombuffer(x, np.uint8).reshape(gains.shape[1], -1) for x in found["below"]])
+                top = gains.max(0)  # of equal cuts that of the least key, whatever its block
+                best = np.where(gains >= top - EQUAL, columns, np.iinfo(np.int64).max).argmin(0)
+                k = np.arange(gains.shape[1])
+                forest.cut(gains[best, k], np.unpackbits(bits[best, k], axis=1, count=forest.place.shape[1]).astype(bool))
+            place = forest.place.tobytes()
+        return targets.assign(place=place, open=bool((np.frombuffer(place, np.int32) >= 0).any()))
+
+    return apply
+
+
+def _predicted(trees: int, seed: int, round_: int):
+    def predict(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            values = [_forest(t, trees, seed, round_).values() for t in f.itertuples()]
+            yield f[["key"]].assign(predicted=[v.tolist() for v in values])
+
+    return predict
+
+
+def chained_forests(matrix: DataFrame, samples: DataFrame, trees: int = 100, rounds: int = 10, seed: int = 42, block: int = 1024, targets_a_task: int = 16, tolerance: float = 1e-3) -> DataFrame:
+    """sample_id, feature, imputed of every missing cell of a feature that has some values.
+
+    In each round every feature with gaps is predicted by a forest from all other features as they were after the round before; gaps start at medians, and
+    rounds end once no imputed value moves by more than `tolerance` times the largest observed one.  Trees look at all features in each cut, without a bound on depth.
+
+    Features are in blocks of about `block`; blocks of targets meet blocks of predictors, each pair in a task, which finds the best cuts of
+    all open nodes of its targets; the best of all blocks is taken, level by level.  Where one block holds all features, a task grows whole trees; the
+    result is the same.  The samples are taken to be few: a feature's values are one row."""
     ids = sorted(r[0] for r in samples.select("sample_id").distinct().collect())
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        wide = frame.pivot(index="sample_id", columns="feature", values="value").reindex(ids).sort_index(axis=1)
-        own = int(hashlib.sha256(str(wide.columns[0]).encode()).hexdigest()[:8], 16)
-        full = chained_forest_impute(wide.to_numpy(float), trees, rounds, seed=seed + own)
-        rows, columns = np.nonzero(wide.isna().to_numpy())
-        return pd.DataFrame({"sample_id": [ids[i] for i in rows], "feature": wide.columns.to_numpy()[columns], "imputed": full[rows, columns]})
-
-    kinds = {c: matrix.schema[c].dataType.simpleString() for c in ("sample_id", "feature")}
-    blocked = matrix.select("sample_id", "feature", "value", F.pmod(F.xxhash64("feature"), F.lit(n_blocks)).alias("block"))
-    return blocked.groupBy("block").applyInPandas(run, f"sample_id {kinds['sample_id']}, feature {kinds['feature']}, imputed double")
+    spark, kinds = matrix.sparkSession, {c: matrix.schema[c].dataType.simpleString() for c in ("sample_id", "feature")}
+    places = spark.createDataFrame(list(enumerate(ids)), f"place int, sample_id {kinds['sample_id']}")
+    given = matrix.filter("value is not null and not isnan(value)").join(F.broadcast(places), "sample_id").groupBy("feature")
+    by_place = given.agg(F.map_from_entries(F.collect_list(F.struct("place", F.col("value").cast("double")))).alias("held"), F.sort_array(F.collect_list(F.col("value").cast("double"))).alias("s"))  # one value a sample
+    value = F.transform(F.sequence(F.lit(0), F.lit(len(ids) - 1)), lambda i: F.coalesce(F.try_element_at("held", i), F.lit(float("nan"))))
+    now = F.transform("value", lambda v: F.when(F.isnan(v), F.col("m")).otherwise(v))
+    median = (F.get("s", F.floor((F.size("s") - 1) / 2)) + F.get("s", F.floor(F.size("s") / 2))) / 2
+    by_place = by_place.withColumn("m", median)
+    features = stored(by_place.select("feature", F.xxhash64("feature").alias("key"), value.alias("value"), "m").withColumn("now", now).drop("m"), "features")
+    n = features.count()
+    n_blocks, gaps = max(1, -(-n // block)), F.exists("value", F.isnan)
+    n_groups = max(1, -(-features.filter(gaps).count() // targets_a_task))
+    largest = features.select(F.max(F.array_max(F.transform("value", lambda v: F.when(~F.isnan(v), F.abs(v)))))).first()[0] or 0.0
+    part = F.pmod(F.col("key"), F.lit(n_blocks)).cast("int")
+    state = "key long, value array<double>, place binary, open boolean"
+    for round_ in range(rounds):
+        targets = features.filter(gaps).select("key", "value", F.lit(b"").alias("place"), F.lit(True).alias("open"))
+        predictors = features.select((F.col("key") + 0).alias("column"), F.col("now").alias("values"), part.alias("block"), F.explode(F.sequence(F.lit(0), F.lit(n_groups - 1))).alias("group"))
+        more = True
+        while more:
+            met = targets.filter("open").withColumn("group", F.pmod(F.hash("key"), F.lit(n_groups)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
+            found = met.groupBy("group", "block").cogroup(predictors.groupBy("group", "block")).applyInPandas(
+                _found(n_blocks, trees, seed, round_), "key long, gain binary, column binary, below binary, place binary"
+            )
+            grown = targets.filter("open").groupBy("key").cogroup(found.groupBy("key")).applyInPandas(_applied(trees, seed, round_), state)
+            targets = stored(targets.filter("not open").unionByName(grown), "forests")
+            more = not targets.filter("open").isEmpty()
+        predicted = targets.mapInPandas(_predicted(trees, seed, round_), "key long, predicted array<double>")
+        again = F.when(F.col("predicted").isNull(), F.col("now")).otherwise(F.zip_with("value", "predicted", lambda v, p: F.when(F.isnan(v), p).otherwise(v)))
+        moved = F.array_max(F.zip_with("now", "was", lambda a, b: F.abs(a - b)))
+        features = stored(features.join(predicted, "key", "left").withColumn("was", F.col("now")).withColumn("now", again).drop("predicted").withColumn("moved", moved).drop("was"), "features")
+        if (features.agg(F.max("moved")).first()[0] or 0.0) <= tolerance * largest:
+            break
+        features = features.drop("moved")
+    cells = features.filter(gaps).select("feature", F.posexplode(F.arrays_zip("value", "now")).alias("place", "cell")).filter(F.isnan("cell.value"))
+    return cells.join(F.broadcast(places), "place").select("sample_id", "feature", F.col("cell.now").alias("imputed"))
 
 
 def assembled(matrix: DataFrame, samples: DataFrame, tiers: DataFrame, imputed: DataFrame) -> DataFrame:

@@ -694,7 +694,7 @@ def qrilc_draws(t: Tables) -> DataFrame:
 def missforest(t: Tables) -> DataFrame:
     m = t.matrix()
     near = matrix.tiers(_rates(t)).filter("tier in ('Complete', 'Tier1')").select("feature")
-    return impute.chained_forests(m.join(near, "feature", "left_semi"), t.samples(), trees=5, rounds=2, block=40)
+    return impute.chained_forests(m.join(near, "feature", "left_semi"), t.samples(), trees=10, rounds=2)
 
 
 @_query

@@ -157,20 +157,12 @@ def test_ledoit_wolf_shrinks():
     assert 0 < s <= 1 and np.linalg.cond(c) < 1e4 and np.allclose(c, c.T)
 
 
-def test_forest_and_imputation():
+def test_forest():
     rng = np.random.default_rng(1)
     x = rng.standard_normal((60, 5))
     y = (x[:, 2] > 0).astype(int)
     p = solvers.Forest(60, 3).fit(x, y).probability(x)
     assert ((p > 0.5) == (y == 1)).mean() > 0.9
-    base = rng.standard_normal(60)
-    m = np.stack([base + 0.05 * rng.standard_normal(60) for _ in range(4)], 1)
-    holes = m.copy()
-    holes[::7, 1] = np.nan
-    full = solvers.chained_forest_impute(holes, trees=20, rounds=3)
-    assert not np.isnan(full).any()
-    assert np.abs(full[::7, 1] - m[::7, 1]).mean() < np.abs(np.nanmedian(holes[:, 1]) - m[::7, 1]).mean()
-    assert np.array_equal(full[~np.isnan(holes)], holes[~np.isnan(holes)])
 
 
 def test_p_expression(spark):
