@@ -33,6 +33,10 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def text_digest(text: Column) -> Column:
+    return F.coalesce(F.md5(text), F.lit("null"))
+
+
 def targets(sizes: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0) -> DataFrame:
     """(source, size) -> (source, source_size, target); weights repeat over the sources in code point order, null last."""
     everything = Window.partitionBy()
@@ -59,13 +63,14 @@ def _draw(doc_id: Column, text_md5: Column, seed: int) -> Column:
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: int = 7, size: Column | None = None) -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: int = 7, size: Column | None = None, digest: Column | None = None) -> DataFrame:
     """docs with __size, __source_size, __target, __rate and __copies: how often the mix takes each document.
 
-    size: a document's size, where docs has it; by default its words are counted."""
+    size, digest: a document's size and the digest of its text, where docs has these; by default they are taken from `text`."""
     spark = docs.sparkSession
     size = n_words(F.col("text")) if size is None else size
-    rows = docs.select(cluster.as_row(docs), F.col("source").cast("string").alias("source"), size.alias("__size"), F.col("doc_id").alias("doc_id"), F.coalesce(F.md5("text"), F.lit("null")).alias("text_md5"))
+    digest = text_digest(F.col("text")) if digest is None else digest
+    rows = docs.select(cluster.as_row(docs), F.col("source").cast("string").alias("source"), size.alias("__size"), F.col("doc_id").alias("doc_id"), digest.alias("text_md5"))
     sizes = rows.groupBy("source").agg(F.sum("__size").alias("size"))
     plan = cluster.written(targets(sizes, weights, share, most), "mix-targets").withColumnsRenamed({"source": "key", "source_size": "__source_size", "target": "__target"})
     if plan.count() <= BROADCAST_SOURCES:

@@ -62,12 +62,13 @@ def op6_language_id(spark: SparkSession, folder: str) -> DataFrame:
 
 def op7_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
     from . import cluster
-    from .mixing import mix, n_words
+    from .mixing import mix, n_words, text_digest
 
-    # words are counted once: sizes are written, and the mix reads them instead of the texts
-    sizes = cluster.written(_table(spark, folder, "documents").select("doc_id", "source", n_words(F.col("text")).alias("size")), "mix-sizes")
+    # words are counted once: sizes and digests are written, and the mix reads them instead of the texts
+    text = F.col("text")
+    sizes = cluster.written(_table(spark, folder, "documents").select("doc_id", "source", n_words(text).alias("size"), text_digest(text).alias("digest")), "mix-sizes")
     taken = (F.col("__size") * F.col("__copies")).alias("taken")
-    return mix(sizes, size=F.col("size")).select("doc_id", "size", F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), taken)
+    return mix(sizes, size=F.col("size"), digest=F.col("digest")).select("doc_id", "size", F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), taken)
 
 
 def op9_brown_lm(spark: SparkSession, folder: str) -> DataFrame:
