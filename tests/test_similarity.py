@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from omixel.operators import similarity
 
@@ -64,3 +65,19 @@ def test_a_hot_feature_is_many_keys(spark):
 def test_threshold(sets, threshold):
     with pytest.raises(ValueError):
         similarity.similar_pairs(sets[0], threshold)
+
+
+def test_features_of_the_same_sets_are_one(spark):
+    """Features that are in the same sets are joined once, with their number as weight; sizes, places and similarities are those of all of them."""
+    out = {f"s{i:02d}": {f for f in range(3000) if f % 30 >= i} for i in range(30)}
+    df = spark.createDataFrame([(s, f) for s, fs in out.items() for f in fs], "set_id string, feature int").repartition(4)
+    m = similarity.alike(df)
+    assert m.count() == sum(range(31)) and m.select("feature", "weight").distinct().count() == 30 and {r.weight for r in m.collect()} == {100}
+    assert {(r.a, r.b): r.jaccard for r in similarity.similar_pairs(df, 0.7).collect()} == _plain(out, 0.7)
+
+
+def test_no_table_of_members_is_broadcast(spark):
+    """Members compress well on disk, so that their size there is below the bound for broadcasts; they are merged all the same."""
+    df = spark.range(2000).select((F.col("id") % 40).alias("set_id"), F.col("id").alias("feature"))
+    plan = similarity.similar_pairs(df, 0.7)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("strategy=merge") >= 2
