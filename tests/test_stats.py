@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import itertools
 import math
+import time
 
 import numpy as np
 import pytest
@@ -27,6 +28,26 @@ def test_clopper_pearson_ends():
     assert stats.binomial_interval(10, 10)[1] == 1.0
 
 
+@pytest.mark.parametrize(("k", "n"), [(0, 1), (1, 1), (0, 40), (40, 40), (1, 40), (7, 40), (20, 40), (39, 40), (3, 2000), (1000, 2000), (1900, 2000)])
+@pytest.mark.parametrize("alpha", [0.05, 0.001])
+def test_clopper_pearson_tails(k, n, alpha):
+    """At the bounds the tails, summed term by term, have alpha / 2."""
+    term = lambda p, i: math.exp(math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log1p(-p))
+    low, high = stats.binomial_interval(k, n, alpha)
+    assert low == 0.0 if k == 0 else math.fsum(term(low, i) for i in range(k, n + 1)) == pytest.approx(alpha / 2, rel=1e-9)
+    assert high == 1.0 if k == n else math.fsum(term(high, i) for i in range(k + 1)) == pytest.approx(alpha / 2, rel=1e-9)
+
+
+def test_clopper_pearson_of_many_is_quick():
+    """What it takes grows with the root of n: the sum over a hundred million terms took minutes for each of 80 steps."""
+    n = 100_000_000
+    began = time.perf_counter()
+    low, high = stats.binomial_interval(n // 4, n)
+    assert time.perf_counter() - began < 20
+    spread = 1.959963984540054 * math.sqrt(0.25 * 0.75 / n)
+    assert (0.25 - low) / spread == pytest.approx(1, abs=1e-3) and (high - 0.25) / spread == pytest.approx(1, abs=1e-3)
+
+
 def test_mann_whitney_p():
     assert stats.p_of_u(4.0, 2, 6, 0.0) == pytest.approx(_enumerated(4.0, 2, 6))
     # r = -0.5 for groups of 8 in all, 2 of them in one
