@@ -85,3 +85,35 @@ def test_blocks_make_no_difference(spark):
     assert error < 0.6 * np.mean([abs(medians[f] - m[s, int(f[1:])]) for s, f in asked])
     assert impute.chained_forests(matrix.filter("feature = 'f7'"), samples, 2, 2).count() == 0
     assert impute.chained_forests(matrix.limit(0), samples, 2, 2).count() == 0
+
+
+def test_distinct_cuts_give_the_same_trees():
+    """Each way to part the samples is kept once, with two features that make it; trees are those of all features' cuts, the own one left out.
+
+    Copies of features add no cut; keys are of 64 bits, in which neighbouring ones differ by less than a double tells."""
+    rng = np.random.default_rng(1)
+    x = np.round(rng.standard_normal((25, 300)), 1)
+    x = np.concatenate([x, x[:, :40]], 1)
+    keys = np.int64(2**62) + np.arange(340) * 3 + 1
+    told = impute.pd.concat(impute._cuts(iter([impute.pd.DataFrame({"column": keys, "values": list(x.T)})])))
+    row = impute._packed(told.assign(block=0)).iloc[0]
+    named = np.frombuffer(row["named"], np.int64).reshape(-1, 4)
+    below = np.unpackbits(np.frombuffer(row["cuts"], np.uint8).reshape(len(named), -1), axis=1, count=25).astype(bool)
+    distinct, every = Cuts.distinct(below, named[:, :2], named[:, 2:]), Cuts(x)
+    either = {min(c.tobytes(), (~c).tobytes()) for c in every.below}
+    assert len(distinct.below) == len(either) < len(every.below)
+    for target in range(12):
+        y = np.where(rng.random(25) < 0.2, np.nan, x[:, target] + 0.01 * rng.standard_normal(25))
+        grown, plain, scanned = (RegressionForest(y, 6, [target]) for _ in range(3))
+        grown.grow(distinct, int(keys[target]))
+        plain.grow(every, target)
+        while (scanned.place >= 0).any():  # level by level, as where there are several blocks
+            scanned.cut(*scanned.search(distinct, int(keys[target]))[:2])
+        assert np.allclose(grown.values(), plain.values(), rtol=0, atol=1e-12) and np.allclose(scanned.values(), plain.values(), rtol=0, atol=1e-12)
+        want = np.mean([_plain(np.delete(x, target, 1), plain.y, w, 2) for w in plain.weights[:1]], 0) if target == 0 else None
+        assert want is None or np.allclose(want[plain.known & (plain.weights[0] > 0)], _first_tree(plain)[plain.known & (plain.weights[0] > 0)])
+
+
+def _first_tree(forest):
+    leaf = np.unique(~forest.place[0], return_inverse=True)[1]
+    return (np.bincount(leaf, forest.weights[0] * forest.y) / np.bincount(leaf, forest.weights[0]))[leaf]
