@@ -103,3 +103,15 @@ def test_blocks_are_what_is_sent(spark):
     df = spark.range(600 * 20).select((F.col("id") % 600).alias("item"), F.floor(F.col("id") / 600).alias("place"), F.rand(3).alias("v"))
     packed = blocks.packed(df, [], "item", "place", "v", 5, 1)
     assert packed.count() == 5 and blocks.correlations(df, "item", "place", "v", block=120).count() == 600 * 599 // 2
+
+
+def test_input_tables_are_merged(spark):
+    """What is read of parts takes little on disk, so Spark would send all of it to the driver and from there to every task."""
+    from omixel.operators import enrich, similarity
+    from omixel.plans.tables import Tables
+
+    t = Tables(spark, "/root/testdata/sf0.001")
+    values = t.once("matrix", t.matrix)
+    for df in (t.matrix(), similarity.meeting(t.membership()), enrich.ssgsea_grid(values, t.membership(), t.scores(), t.samples(), [(0.0, 1.0)])):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert not [line for line in plan.splitlines() if "BroadcastHashJoin" in line and ("feature" in line or "l_partkey" in line)]
