@@ -10,7 +10,7 @@ import pytest
 
 from omixel.config import Config
 from omixel.functions import solvers
-from omixel.operators import points, resample
+from omixel.operators import points, resample, similarity
 
 CONFIG = replace(Config(), bootstraps=6, inner_bootstraps=3, n_cs=3, l1_ratios=(0.5,), stability=0.5)
 
@@ -62,6 +62,38 @@ def test_evaluated(spark, tables):
         assert r.nested_accuracy == pytest.approx((nested.predicted == y).mean()) and r.nested_auc == pytest.approx(solvers.auc(y, nested.probability.to_numpy()))
 
 
+def test_everything_is_fitted_once(spark, tables, tmp_path, monkeypatch):
+    """What several tables are made of (clusters, selections of the folds, predictions) is made once, and so sent for once."""
+    scores, samples, membership, _, _ = tables
+
+    def counted(name):
+        plain, folder = getattr(points, name), str(tmp_path)
+
+        def run(*args):
+            import tempfile
+
+            tempfile.mkstemp(prefix=f"{name}-", dir=folder)
+            return plain(*args)
+
+        monkeypatch.setattr(points, name, run)
+
+    counted("_select")
+    counted("_predict_one")
+    linkage, folder = similarity.average_linkage, str(tmp_path)
+
+    def linked(distance):
+        import tempfile
+
+        tempfile.mkstemp(prefix="linkage-", dir=folder)
+        return linkage(distance)
+
+    monkeypatch.setattr(similarity, "average_linkage", linked)
+    got = points.evaluated(scores, samples, membership, ["point"], True, CONFIG).collect()
+    assert len(got) == 2 and all(r.n_stable >= 2 for r in got)
+    made = {name: len(list(tmp_path.glob(f"{name}-*"))) for name in ("_select", "_predict_one", "linkage")}
+    assert made == {"_select": 2 * (CONFIG.bootstraps + 14 * CONFIG.inner_bootstraps), "_predict_one": 2 * 2 * 14, "linkage": 2}
+
+
 def test_too_few(spark, tables):
     """A point where nothing is selected has no validation; a point without scores has no row."""
     scores, samples, membership, _, _ = tables
