@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pytest
 
+from omixel.functions.forests import completed, searched
 from omixel.functions.solvers import Cuts, RegressionForest
 from omixel.operators import impute
 
@@ -117,3 +118,71 @@ def test_distinct_cuts_give_the_same_trees():
 def _first_tree(forest):
     leaf = np.unique(~forest.place[0], return_inverse=True)[1]
     return (np.bincount(leaf, forest.weights[0] * forest.y) / np.bincount(leaf, forest.weights[0]))[leaf]
+
+
+def _gathered(x, keys, whole=True):
+    """The distinct cuts of columns x, as words and as those of RegressionForest."""
+    told = impute.pd.concat(impute._cuts(iter([impute.pd.DataFrame({"column": keys, "values": list(x.T)})])))
+    half = len(told) // 2  # in two rows, as tasks pack them
+    told = impute.pd.concat([told.assign(block=0)]).sort_values("cut")
+    while 0 < half < len(told) and told["cut"].iloc[half] == told["cut"].iloc[half - 1]:
+        half += 1
+    block = impute.pd.concat([impute._packed(part) for part in (told.iloc[:half], told.iloc[half:]) if len(part)])
+    named = np.concatenate([np.frombuffer(k, np.int64).reshape(-1, 4) for k in block["named"]])
+    packed = np.concatenate([np.frombuffer(c, np.uint8) for c in block["cuts"]]).reshape(len(named), -1)
+    below = np.unpackbits(packed, axis=1, count=len(x)).astype(bool)
+    return impute._gathered(block, len(x), whole), Cuts.distinct(below, named[:, :2], named[:, 2:])
+
+
+@pytest.mark.parametrize(("n", "columns", "digits", "gaps"), [(25, 400, 6, 0.35), (25, 20, 6, 0.2), (25, 300, 0, 0.35), (12, 60, 1, 0.3), (20, 3, 1, 0.3), (32, 60, 6, 0.02)])
+def test_targets_at_once_have_the_same_trees(n, columns, digits, gaps):
+    """Few cuts and many, ties of values and of columns, own columns, more rows than ways are tried for; levels by blocks find the same cuts."""
+    rng = np.random.default_rng(columns)
+    x = np.round(rng.standard_normal((n, columns)), digits)
+    x[:, columns // 2 :: 3] = x[:, : len(range(columns // 2, columns, 3))]  # copies
+    keys = rng.permutation(np.int64(2**62) + np.arange(columns) * 3 - (np.arange(columns) % 2) * 2**62 * 2)
+    cuts, plain = _gathered(x, keys)
+    y = x.T[:12].copy()
+    y[rng.random(y.shape) < gaps] = np.nan
+    y[np.isnan(y).all(1), 0] = 1.0
+    seeds, asked = [[7, i] for i in range(len(y))], np.isnan(y)
+    for least in (1, 2, 4):
+        got, want = completed(cuts, keys[: len(y)], y, 6, seeds, least), y.copy()
+        for i, v in enumerate(y):
+            forest = RegressionForest(v, 6, seeds[i], least)
+            forest.grow(plain, int(keys[i]))
+            want[i, asked[i]] = forest.values()[asked[i]]
+        assert np.allclose(got, want, rtol=0, atol=1e-12)
+    forest, scanned = RegressionForest(y[0], 6, seeds[0]), RegressionForest(y[0], 6, seeds[0])
+    while (forest.place >= 0).any():
+        found, told = searched(cuts, forest, int(keys[0])), scanned.search(plain, int(keys[0]))
+        some = told[0] > 0
+        assert np.allclose(found[0], told[0]) and (found[2][some] == told[2][some]).all()
+        forest.cut(*found[:2])
+        scanned.cut(*told[:2])
+        assert (forest.place == scanned.place).all()
+
+
+def test_few_of_many_cuts_are_looked_at():
+    """A tree costs no more with more cuts, and the first ones decide for nearly all targets, as all of them would."""
+    rng = np.random.default_rng(0)
+    x, y = rng.standard_normal((25, 20_000)), rng.standard_normal((150, 25))
+    y[rng.random(y.shape) < 0.35] = np.nan
+    keys, own, seeds = np.arange(20_000), np.full(150, -1), [[i] for i in range(150)]
+    some, _ = _gathered(x[:, :5000], keys[:5000], whole=False)
+    more, _ = _gathered(x, keys)
+    first, want = completed(some, own, y, 10, seeds), completed(more, own, y, 10, seeds)
+    assert len(more.codes) > 3 * len(some.codes) > 250_000
+    assert more.compared < 1500 * 20_000 and more.compared < 1.3 * some.compared
+    done = ~np.isnan(first).any(1)
+    assert 120 < done.sum() < 150 and (first[done] == want[done]).all() and np.isnan(first[~done]).any(1).all()
+
+
+def test_first_features_make_no_difference(spark):
+    m, gaps = _rows(n_features=40)
+    cells = [(int(s), f"f{f}", float(m[s, f])) for s, f in zip(*np.nonzero(~gaps), strict=True)]
+    matrix = spark.createDataFrame(cells, "sample_id int, feature string, value double")
+    samples = spark.createDataFrame([(i,) for i in range(20)], "sample_id int")
+    got = [{(r.sample_id, r.feature): r.imputed for r in impute.chained_forests(matrix, samples, 3, 1, block=block, ahead=ahead).collect()} for block, ahead in ((100, 100), (100, 30), (10, 30))]
+    assert set(got[0]) == set(got[1]) == set(got[2]) and len(got[0]) > 50
+    assert all(got[0][k] == pytest.approx(got[i][k], abs=1e-12) for k in got[0] for i in (1, 2))
